@@ -11,7 +11,7 @@ THRESHOLD = 4.5
 MIN_LENGTH = 20
 
 # A quoted literal on the right of an assignment.
-ASSIGNED_LITERAL = r"""(?dU)[=:]\s*['"]([^'"\s]{%d,})['"]""" % MIN_LENGTH
+ASSIGNED_LITERAL = r"""[=:]\s*['"]([^'"\s]{%d,})['"]""" % MIN_LENGTH
 
 
 def entropy(text: Column) -> Column:
@@ -31,7 +31,7 @@ def entropy(text: Column) -> Column:
 
 
 def assigned_literals(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(ASSIGNED_LITERAL), F.lit(1))
+    return F.regexp_extract_all(line, F.lit("(?dU)" + ASSIGNED_LITERAL), F.lit(1))
 
 
 def has_random_literal(line: Column, threshold: float = THRESHOLD) -> Column:

@@ -5,14 +5,16 @@ read once whatever the number of engines, and no line is shuffled:
 
     files -> explode lines -> rule bits per line -> explode hits
 
-Each rule tests cheap substrings before its regex. The bits of the rules that
+Each rule tests cheap substrings before its regex; a substring that several
+rules need is tested once per line. The bits of the rules that
 report every match share one long, and an engine that reports the first match
-is one ``coalesce`` in catalog order.
+is one ``CASE`` in catalog order.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,17 +32,31 @@ BITS = 60
 TEST_PATH = r"\.env\.example|test_|_test\.|fixture"
 
 
+def sql_text(text: str | None) -> str:
+    """A Spark SQL string literal."""
+    if text is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def folded(text: Column) -> Column:
     """Lower case for substring tests; the long s folds to s as in the patterns."""
     return F.lower(F.replace(text, F.lit("ſ"), F.lit("s")))
 
 
-def has_needles(rule: Rule, low: Column) -> Column | None:
-    groups = [
-        reduce(lambda a, b: a | b, [F.contains(low, F.lit(n)) for n in group])
-        for group in rule.needles
+def needle_test(
+    groups: Iterable[tuple[str, ...]], text: str, known: dict[str, str] | None = None
+) -> str | None:
+    """SQL condition that a text holds a needle of every group.
+
+    ``known`` names columns that already hold the test of a needle.
+    """
+    known = known or {}
+    tests = [
+        " OR ".join(known.get(n, f"contains({text}, {sql_text(n)})") for n in group)
+        for group in groups
     ]
-    return reduce(lambda a, b: a & b, groups) if groups else None
+    return " AND ".join(f"({t})" for t in tests) if tests else None
 
 
 def match_start_lines(code: Column, regex: str) -> Column:
@@ -65,47 +81,65 @@ def _multiline_column(rule: Rule) -> str:
     return f"_lines_{rule.rule_id}"
 
 
-def _condition(rule: Rule) -> Column:
+def _match_lines(rule: Rule) -> Column:
+    """Lines on which a whole-file rule matches; most files only pay for a sign test.
+
+    Needles without letters are looked up in the text as it is. The branches
+    are nested, so the text is folded only where those are present.
+    """
+    hits = match_start_lines(F.col("code"), rule.regex)
+    signs = [g for g in rule.needles if not any(n.upper() != n for n in g)]
+    words = [g for g in rule.needles if g not in signs]
+    if words:
+        test = needle_test(words, "lower(replace(code, 'ſ', 's'))")
+        hits = F.when(F.expr(test), hits)
+    if signs:
+        hits = F.when(F.expr(needle_test(signs, "code")), hits)
+    return hits
+
+
+def _condition(rule: Rule, known: dict[str, str]) -> str:
+    """SQL condition that a rule matches the current line, cheapest tests first."""
     tests = []
     if rule.languages is not None:
-        tests.append(F.col("language").isin(*rule.languages))
+        tests.append(f"language IN ({', '.join(map(sql_text, rule.languages))})")
     if rule.multiline:
-        tests.append(F.array_contains(F.col(_multiline_column(rule)), F.col("line_no")))
-    elif rule is secret_rules.ENTROPY:
-        tests.append(F.col("line").rlike(entropy_fn.ASSIGNED_LITERAL))
-        tests.append(entropy_fn.has_random_literal(F.col("line")))
+        tests.append(f"array_contains(`{_multiline_column(rule)}`, line_no)")
     else:
-        needles = has_needles(rule, F.col("_low"))
+        needles = needle_test(rule.needles, "_low", known)
         if needles is not None:
             tests.append(needles)
-        tests.append(F.col("line").rlike(rule.regex))
-    return reduce(lambda a, b: a & b, tests)
+        tests.append(f"line RLIKE {sql_text(rule.regex)}")
+    if rule.random_value:
+        tests.append("_random")
+    return " AND ".join(tests)
 
 
 def exploded_lines(files: DataFrame, catalog: Catalog, keep: list[str]) -> DataFrame:
-    """Lines with the columns the rules read: folded text, whole-file hits."""
+    """Lines with what the rules read: folded text, and hits of whole-file patterns."""
     whole_file = [r for r in catalog.rules if r.multiline]
-    marks = []
-    for r in whole_file:
-        hits = match_start_lines(F.col("code"), r.regex)
-        needles = has_needles(r, folded(F.col("code")))
-        marks.append(
-            (hits if needles is None else F.when(needles, hits)).alias(_multiline_column(r))
-        )
     names = [_multiline_column(r) for r in whole_file]
-    return (
-        files.select(*keep, *marks, "code")
-        .select(*keep, *names, F.posexplode(line_array(F.col("code"))).alias("_pos", "line"))
-        .select(
-            *keep,
-            *names,
-            (F.col("_pos") + 1).alias("line_no"),
-            "line",
-            folded(F.col("line")).alias("_low"),
-        )
+    if whole_file:
+        marks = [_match_lines(r).alias(_multiline_column(r)) for r in whole_file]
+        files = files.select(*keep, "code", *marks)
+    return files.select(
+        *keep, *names, F.posexplode(line_array(F.col("code"))).alias("_pos", "line")
+    ).select(
+        *keep,
+        *names,
+        (F.col("_pos") + 1).alias("line_no"),
+        "line",
+        folded(F.col("line")).alias("_low"),
     )
 
 
+def _shared_needles(rules: list[Rule]) -> dict[str, str]:
+    """Needles that several rules test, with the column that holds each test."""
+    uses = Counter(n for r in rules if not r.multiline for n in {n for g in r.needles for n in g})
+    shared = sorted(n for n, count in uses.items() if count > 1)
+    return {n: f"_has{i}" for i, n in enumerate(shared)}
+
+
 def rule_hits(
     files: DataFrame, catalog: Catalog, min_level: str = "info", keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -129,58 +163,53 @@ def rule_hits(
         if reported:
             wanted[engine] = (chain[: chain.index(reported[-1]) + 1], reported)
 
-    used = set(every).union(*(chain for chain, _ in wanted.values()))
+    positions = sorted(set(every).union(*(chain for chain, _ in wanted.values())))
+    used = [rules[i] for i in positions]
+    known = _shared_needles(used)
     carried = ["path", "language", *keep]
-    lines = exploded_lines(
-        files, Catalog(tuple(rules[i] for i in sorted(used))), carried
-    )
+    lines = exploded_lines(files, Catalog(tuple(used)), carried)
+    if any(r.random_value for r in used):
+        lines = lines.withColumn("_random", entropy_fn.has_random_literal(F.col("line")))
 
     tested, hits, found = [], [], []
     for start in range(0, len(every), BITS):
         part = every[start : start + BITS]
         name = f"_bits{start}"
-        bits = reduce(
-            lambda a, b: a.bitwiseOR(b),
-            [
-                F.when(_condition(rules[i]), F.lit(1 << k).cast("bigint")).otherwise(
-                    F.lit(0).cast("bigint")
-                )
-                for k, i in enumerate(part)
-            ],
-        )
-        tested.append(bits.alias(name))
-        found.append(F.col(name) != 0)
-        hits += [
-            F.when(F.col(name).bitwiseAND(F.lit(1 << k).cast("bigint")) != 0, F.lit(i))
+        bits = " | ".join(
+            f"CASE WHEN {_condition(rules[i], known)} THEN {1 << k}L ELSE 0L END"
             for k, i in enumerate(part)
-        ]
+        )
+        tested.append(f"{bits} AS {name}")
+        found.append(f"{name} <> 0")
+        hits += [f"CASE WHEN {name} & {1 << k}L <> 0 THEN {i} END" for k, i in enumerate(part)]
     for engine, (chain, reported) in wanted.items():
         name = f"_first_{engine}"
-        tested.append(
-            F.coalesce(*[F.when(_condition(rules[i]), F.lit(i)) for i in chain]).alias(name)
-        )
-        here = F.col(name)
+        cases = " ".join(f"WHEN {_condition(rules[i], known)} THEN {i}" for i in chain)
+        tested.append(f"CASE {cases} END AS {name}")
+        here = name
         if len(reported) < len(chain):
-            here = F.when(here.isin(reported), here)
-        found.append(here.isNotNull())
+            here = f"CASE WHEN {name} IN ({', '.join(map(str, reported))}) THEN {name} END"
+        found.append(f"{here} IS NOT NULL")
         hits.append(here)
 
-    any_hit = reduce(lambda a, b: a | b, found) if found else F.lit(False)
-    positions = F.array(*hits) if hits else F.array().cast("array<int>")
+    any_hit = " OR ".join(found) if found else "false"
+    array = f"array({', '.join(hits)})" if hits else "CAST(array() AS ARRAY<INT>)"
+    flags = [f"contains(_low, {sql_text(n)}) AS {c}" for n, c in known.items()]
     return (
-        lines.select(*carried, "line_no", "line", *tested)
-        .select(
-            *carried, "line_no", "line", F.explode(F.when(any_hit, positions)).alias("rule_pos")
+        lines.selectExpr("*", *flags)
+        .selectExpr(*carried, "line_no", "line", *tested)
+        .selectExpr(
+            *carried, "line_no", "line", f"explode(CASE WHEN {any_hit} THEN {array} END) AS rule_pos"
         )
-        .where(F.col("rule_pos").isNotNull())
+        .where("rule_pos IS NOT NULL")
     )
 
 
-def rule_column(catalog: Catalog, attribute: str, position: Column) -> Column:
-    """An attribute of the rule at a catalog position, from a literal array."""
+def rule_column(catalog: Catalog, attribute: str) -> Column:
+    """An attribute of the rule at ``rule_pos``, from a literal array."""
     values = [getattr(r, attribute) for r in catalog.rules]
-    kind = "int" if attribute == "sev_rank" else "string"
-    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), position)
+    items = [str(v) if isinstance(v, int) else sql_text(v) for v in values]
+    return F.expr(f"get(array({', '.join(items)}), rule_pos)") if items else F.lit(None)
 
 
 def snippet(catalog: Catalog) -> Column:
@@ -189,10 +218,8 @@ def snippet(catalog: Catalog) -> Column:
     plain = trimmed(F.col("line"))
     if not secret:
         return plain
-    hidden = redact_fn.redact(plain, secret, entropy=secret_rules.ENTROPY in secret)
-    return F.when(rule_column(catalog, "engine", F.col("rule_pos")) == SECRETS, hidden).otherwise(
-        plain
-    )
+    hidden = redact_fn.redact(plain, secret, entropy=any(r.random_value for r in secret))
+    return F.when(rule_column(catalog, "engine") == SECRETS, hidden).otherwise(plain)
 
 
 def match(
@@ -202,21 +229,16 @@ def match(
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Raw findings of the line engines: rule, snippet and place."""
-    pos = F.col("rule_pos")
-    columns = [
-        rule_column(catalog, "engine", pos).alias("engine"),
-        rule_column(catalog, "rule_id", pos).alias("rule_id"),
-        rule_column(catalog, "cwe_id", pos).alias("cwe_id"),
-        rule_column(catalog, "severity", pos).alias("severity"),
-        rule_column(catalog, "sev_rank", pos).alias("sev_rank"),
-        rule_column(catalog, "title", pos).alias("title"),
+    attributes = ("engine", "rule_id", "cwe_id", "severity", "sev_rank", "title", "description")
+    return rule_hits(files, catalog, min_level, keep).select(
+        *keep,
+        *[rule_column(catalog, a).alias(a) for a in attributes],
         snippet(catalog).alias("vulnerable_code"),
-        rule_column(catalog, "description", pos).alias("description"),
         F.col("line_no").alias("line_start"),
         F.col("line_no").alias("line_end"),
         F.col("path").alias("file_path"),
-    ]
-    return rule_hits(files, catalog, min_level, keep).select(*keep, *columns)
+        F.col("language").alias("_language"),
+    )
 
 
 def without_tests(files: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lynceus import schemas
 from lynceus.functions.languages import language_of
 from lynceus.functions.severity import RANK, parse_level
 from lynceus.functions.text import extension
@@ -18,6 +19,7 @@ from lynceus.operators.matching import match, with_entropy, without_tests
 from lynceus.operators.vulnerabilities import enrich_titles
 from lynceus.rules.catalog import DEFAULT
 from lynceus.rules.model import AI_CODE, ENGINES, SAST, SCA, SECRETS, Catalog, parse_engines
+from lynceus.scale import spread
 
 
 def as_files(rows: DataFrame) -> DataFrame:
@@ -52,11 +54,17 @@ def scan(
         catalog = with_entropy(catalog)
     if skip_tests:
         files = without_tests(files)
+    files = spread(files)
     lines = [e for e in engines if e in (SAST, SECRETS, AI_CODE)]
-    parts = [match(files, catalog.of(*lines), level).withColumn("cve_id", F.lit(None).cast("string"))]
+    parts = []
+    if lines:
+        raw = match(files, catalog.of(*lines), level).drop("_language")
+        parts.append(raw.withColumn("cve_id", F.lit(None).cast("string")))
     if SCA in engines and advisories is not None:
         hits = affected(extract_dependencies(files, by_content=by_content), advisories)
         parts.append(sca_findings(hits).where(F.col("sev_rank") >= RANK[level]))
+    if not parts:
+        return files.sparkSession.createDataFrame([], schemas.FINDINGS)
     findings = to_findings(append_engines(parts), detected_at)
     if vulnerabilities is not None:
         findings = enrich_titles(findings, vulnerabilities)

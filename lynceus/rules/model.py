@@ -20,6 +20,11 @@ SAST, SCA, SECRETS, AI_CODE = "sast", "sca", "secrets", "ai_code"
 ENGINES = (SAST, SCA, SECRETS, AI_CODE)
 ENGINE_LABELS = {SAST: "SAST", SCA: "SCA", SECRETS: "Secrets", AI_CODE: "AI Code"}
 
+# Texts that many rules require. Tested once per line and before rarer ones.
+CALL = ("(",)
+ASSIGN = ("=", ":")
+QUOTE = ("'", '"')
+
 # Engines that report only the first matching rule of a line.
 FIRST_MATCH = frozenset({SECRETS, AI_CODE})
 
@@ -31,7 +36,8 @@ class Rule:
     ``needles`` holds groups of lower-case texts; a matching line contains at
     least one text of every group. They only save regex work and never change
     a result. ``multiline`` patterns see the whole file and report the line
-    their match starts on. ``languages`` limits a rule to some languages.
+    their match starts on. ``languages`` limits a rule to some languages. A
+    ``random_value`` rule also needs a literal of high entropy.
     """
 
     rule_id: str
@@ -46,6 +52,7 @@ class Rule:
     ignore_case: bool = True
     multiline: bool = False
     value_group: int = 0
+    random_value: bool = False
 
     @property
     def regex(self) -> str:

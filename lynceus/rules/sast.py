@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lynceus.rules.model import SAST, Catalog, Rule
+from lynceus.rules.model import CALL, SAST, Catalog, Rule
 
 
 def _rule(rule_id, title, severity, cwe, pattern, needles, description, **more) -> Rule:
@@ -17,34 +17,34 @@ RULES = Catalog(
         _rule(
             "S01", "Insecure Hashing Algorithm (MD5)", "medium", 327,
             r"""\bmd5\b\(|hashlib\.md5\(|crypto\.createHash\(['"]md5['"]\)""",
-            (("md5",),),
+            (CALL, ("md5",)),
             "MD5 collisions are cheap to produce. Hash with SHA-256, and passwords with Argon2.",
         ),
         _rule(
             "S02", "Insecure Hashing Algorithm (SHA1)", "low", 327,
             r"""\bsha1\b\(|hashlib\.sha1\(|crypto\.createHash\(['"]sha1['"]\)""",
-            (("sha1",),),
+            (CALL, ("sha1",)),
             "SHA-1 collisions have been demonstrated in practice. Move to SHA-256 or stronger.",
         ),
         _rule(
             "S03", "Potential SQL Injection (String Concatenation)", "high", 89,
             r"""(?:select|insert|update|delete|from).*(?:['"+=]|\.format\(|\$\{)""",
             (
-                ("select", "insert", "update", "delete", "from"),
                 ("'", '"', "+", "=", ".format(", "${"),
+                ("select", "insert", "update", "delete", "from"),
             ),
             "SQL text is built from pieces. Bind values as parameters or use a query builder.",
         ),
         _rule(
             "S04", "Potential OS Command Injection", "high", 78,
             r"""\bos\.(?:system|popen)\(|subprocess\.(?:run|call|popen)\(.*\bshell\s*=\s*true\b|child_process\.exec\(""",
-            (("os.system(", "os.popen(", "subprocess.", "child_process.exec("),),
+            (CALL, ("os.system(", "os.popen(", "subprocess.", "child_process.exec(")),
             "A shell interprets this command. Pass an argument list and avoid the shell.",
         ),
         _rule(
             "S05", "Dangerous Use of eval()", "high", 95,
             r"""\beval\(|new function\(|settimeout\(.*['"].*['"]\)""",
-            (("eval(", "new function(", "settimeout("),),
+            (CALL, ("eval(", "new function(", "settimeout(")),
             "Text is run as code here. Anyone who controls the text controls the program.",
         ),
         _rule(
@@ -62,7 +62,7 @@ RULES = Catalog(
         _rule(
             "S08", "Prototype Pollution Potential", "medium", 1321,
             r"""object\.assign\(.*\.\.\.|json\.parse\(.*req\.(?:body|query)""",
-            (("object.assign(", "json.parse("),),
+            (CALL, ("object.assign(", "json.parse(")),
             "Untrusted keys are merged into an object and may reach its prototype.",
         ),
         _rule(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lynceus.rules.model import SECRETS, Catalog, Rule
+from lynceus.functions.entropy import ASSIGNED_LITERAL
+from lynceus.rules.model import ASSIGN, QUOTE, SECRETS, Catalog, Rule
 
 
 def _rule(rule_id, title, severity, pattern, needles, description, **more) -> Rule:
@@ -27,7 +28,7 @@ RULES = Catalog(
         _rule(
             "K02", "AWS Secret Key", "critical",
             r"""aws\w*secret\w*['"]?\s*[=:]\s*['"]([a-z0-9/+=]{40})['"]""",
-            (("aws",), ("secret",)),
+            (ASSIGN, QUOTE, ("aws",), ("secret",)),
             "AWS secret key in the text. Revoke it and load keys from a secret store.",
         ),
         _rule(
@@ -47,7 +48,7 @@ RULES = Catalog(
         _rule(
             "K05", "Database URL with Password", "high",
             r"""(?:postgres|mysql|mongodb)://[^:]+:([^@]+)@""",
-            (("postgres://", "mysql://", "mongodb://"),),
+            (("://",), ("postgres://", "mysql://", "mongodb://")),
             "A connection string carries its password. Keep the password outside the code.",
         ),
         _rule(
@@ -60,26 +61,26 @@ RULES = Catalog(
         _rule(
             "K07", "JSON Web Token", "high",
             r"""(eyJ[a-zA-Z0-9_-]+\.eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+)""",
-            (("eyj",),),
+            (("eyj",), (".eyj",)),
             "A signed token in the text grants its holder's rights until it expires.",
             ignore_case=False,
         ),
         _rule(
             "K08", "Generic API Key", "medium",
             r"""api[_-]?key\s*=\s*['"]([a-z0-9]{20,})['"]""",
-            (("api",), ("key",)),
+            (ASSIGN, QUOTE, ("api",), ("key",)),
             "An API key is assigned as a literal. Read it from the environment.",
         ),
         _rule(
             "K09", "Hardcoded Password", "medium",
             r"""(?:password|passwd|pwd)['"]?\s*[=:]\s*['"]([^'"]{4,})['"]""",
-            (("password", "passwd", "pwd"),),
+            (ASSIGN, QUOTE, ("password", "passwd", "pwd")),
             "A password is assigned as a literal. Read it from a secret store.",
         ),
         _rule(
             "K10", "Provider Key", "medium",
             r"""\w*_key\s*=\s*['"]([a-z0-9_]{20,})['"]""",
-            (("_key",),),
+            (ASSIGN, QUOTE, ("_key",)),
             "A provider key is assigned as a literal. Read it from the environment.",
         ),
     )
@@ -87,6 +88,6 @@ RULES = Catalog(
 
 # Reported only when the entropy detector is switched on.
 ENTROPY = Rule(
-    "K11", SECRETS, "High-Entropy String", "", "high", "CWE-798",
-    "A quoted value looks random enough to be a credential.",
+    "K11", SECRETS, "High-Entropy String", ASSIGNED_LITERAL, "high", "CWE-798",
+    "A quoted value looks random enough to be a credential.", (ASSIGN, QUOTE), random_value=True,
 )

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
+SPREAD_BYTES = 256 * 1024 * 1024
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
@@ -37,7 +38,19 @@ def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's own size estimate; costs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Small inputs dealt out to all cores before heavy per-row work.
+
+    A file with few row groups gives few tasks. Up to ``max_bytes`` the rows
+    are moved, which is cheap at that size; larger inputs already split into
+    enough tasks and stay where they are.
+    """
+    if df.isStreaming or planned_bytes(df) > max_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 3)
 
 
 def _row_bytes(df: DataFrame) -> Column:

@@ -1,7 +1,7 @@
 """Dependencies from manifests and lock files.
 
-Each format is a chain of string and array functions over the ``files`` rows;
-nothing is shuffled but the duplicate rows of a go.sum, which stay in one file.
+Each format is one expression from the text of a file to its packages, built
+from string and array functions. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.functions.text import line_array, trimmed
-from lynceus.operators.findings import append_engines
 
 CARGO, NPM, PIP, GO, MAVEN = "cargo", "npm", "pip", "go", "maven"
 YARN, PNPM, PIPFILE, POETRY = "yarn", "pnpm", "pipfile", "poetry"
@@ -73,18 +72,23 @@ def manifest_kind(path: Column, code: Column, by_content: bool = True) -> Column
     )
 
 
-def _rows(files: DataFrame, kind: str, name: Column, version: Column) -> DataFrame:
-    return files.select(
-        F.col("path").alias("file_path"),
-        name.alias("name"),
-        version.alias("version"),
-        F.lit(ECOSYSTEM[kind]).alias("ecosystem"),
-    )
+def _packages(items: Column, name, version) -> Column:
+    """Name and version of each item; items that lack one are left out."""
+    found = F.transform(items, lambda x: F.struct(name(x).alias("name"), version(x).alias("version")))
+    return F.filter(found, lambda p: (p["name"] != "") & (p["version"] != ""))
+
 
+def _lines(code: Column, pattern: str) -> Column:
+    """Trimmed lines that match a pattern."""
+    return F.filter(F.transform(line_array(code), trimmed), lambda line: line.rlike(pattern))
 
-def _lines(files: DataFrame) -> DataFrame:
-    return files.select("path", F.explode(line_array(F.col("code"))).alias("_raw")).select(
-        "path", trimmed(F.col("_raw")).alias("line")
+
+def _groups(items: Column, pattern: str) -> Column:
+    """Packages from the first two groups of a pattern."""
+    return _packages(
+        items,
+        lambda x: F.regexp_extract(x, pattern, 1),
+        lambda x: F.regexp_extract(x, pattern, 2),
     )
 
 
@@ -93,142 +97,86 @@ def _setting(block: Column, key: str) -> Column:
     return F.regexp_extract(block, rf'(?s)^(?:.*\n)?[ \t]*{key} = "*([^"\n]*)', 1)
 
 
-def _package_blocks(files: DataFrame, kind: str) -> DataFrame:
-    blocks = files.select(
-        "path",
-        F.posexplode(F.split("code", r"(?m)^[ \t]*\[\[package\]\][ \t]*\r?$", -1)).alias(
-            "_n", "block"
-        ),
-    ).where("_n > 0")
-    rows = _rows(
-        blocks, kind, _setting(F.col("block"), "name"), _setting(F.col("block"), "version")
+def package_blocks(code: Column) -> Column:
+    """``[[package]]`` blocks of a Cargo.lock or poetry.lock."""
+    pieces = F.split(code, r"(?m)^[ \t]*\[\[package\]\][ \t]*\r?$", -1)
+    return _packages(
+        F.slice(pieces, F.lit(2), F.size(pieces)),
+        lambda block: _setting(block, "name"),
+        lambda block: _setting(block, "version"),
     )
-    return rows.where("name <> '' AND version <> ''")
-
-
-def cargo_lock(files: DataFrame) -> DataFrame:
-    """Name and version of every ``[[package]]`` block."""
-    return _package_blocks(files, CARGO)
-
-
-def poetry_lock(files: DataFrame) -> DataFrame:
-    """As Cargo.lock, for Python packages."""
-    return _package_blocks(files, POETRY)
 
 
-def package_lock(files: DataFrame) -> DataFrame:
+def package_lock(code: Column) -> Column:
     """Installed packages of a ``package-lock.json``; nested paths keep their last name."""
-    entries = files.select(
-        "path",
-        F.explode(
-            F.from_json(
-                "code", "STRUCT<packages: MAP<STRING, STRUCT<version: STRING>>>"
-            )["packages"]
-        ).alias("place", "entry"),
+    entries = F.map_entries(
+        F.from_json(code, "STRUCT<packages: MAP<STRING, STRUCT<version: STRING>>>")["packages"]
+    )
+    return _packages(
+        F.filter(entries, lambda e: F.contains(e["key"], F.lit("node_modules/"))),
+        lambda e: F.substring_index(e["key"], "node_modules/", -1),
+        lambda e: e["value"]["version"],
     )
-    return _rows(
-        entries.where(F.contains("place", F.lit("node_modules/"))),
-        NPM,
-        F.substring_index("place", "node_modules/", -1),
-        F.col("entry.version"),
-    ).where("version IS NOT NULL")
 
 
-def requirements(files: DataFrame) -> DataFrame:
+def requirements(code: Column) -> Column:
     """``name op version`` lines; comments are skipped."""
     pattern = r"^([A-Za-z0-9_.\-]+)\s*[><=!~]+\s*([^\s;#]+)"
-    line = F.col("line")
-    return _rows(
-        _lines(files).where(line.rlike(pattern)),
-        PIP,
-        F.regexp_extract(line, pattern, 1),
-        F.regexp_extract(line, pattern, 2),
-    )
+    return _groups(_lines(code, pattern), pattern)
 
 
-def go_sum(files: DataFrame) -> DataFrame:
+def go_sum(code: Column) -> Column:
     """Modules of a go.sum; the ``/go.mod`` line of a module folds into it."""
     pattern = r"^(\S+)\s+v([^\s/]+)"
-    line = F.col("line")
-    rows = _rows(
-        _lines(files).where(line.rlike(pattern)),
-        GO,
-        F.regexp_extract(line, pattern, 1),
-        F.regexp_extract(line, pattern, 2),
-    )
-    return distinct_dependencies(rows)
-
-
-def distinct_dependencies(dependencies: DataFrame) -> DataFrame:
-    """One row per file, module and version."""
-    return dependencies.dropDuplicates(["file_path", "name", "version", "ecosystem"])
+    return F.array_distinct(_groups(_lines(code, pattern), pattern))
 
 
-def pom_xml(files: DataFrame) -> DataFrame:
+def pom_xml(code: Column) -> Column:
     """``group:artifact`` and version of every dependency element."""
-    blocks = files.select(
-        "path",
-        F.explode(
-            F.regexp_extract_all("code", F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))
-        ).alias("block"),
-    )
 
-    def element(tag: str) -> Column:
-        return trimmed(F.regexp_extract("block", rf"<{tag}>([^<]*)</{tag}>", 1))
+    def element(block: Column, tag: str) -> Column:
+        return trimmed(F.regexp_extract(block, rf"<{tag}>([^<]*)</{tag}>", 1))
 
-    artifact, group = element("artifactId"), element("groupId")
-    return _rows(
-        blocks.where(artifact != ""),
-        MAVEN,
-        F.concat_ws(":", F.nullif(group, F.lit("")), artifact),
-        F.coalesce(F.nullif(element("version"), F.lit("")), F.lit(UNKNOWN_VERSION)),
+    blocks = F.regexp_extract_all(code, F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))
+    return _packages(
+        F.filter(blocks, lambda b: element(b, "artifactId") != ""),
+        lambda b: F.concat_ws(
+            ":", F.nullif(element(b, "groupId"), F.lit("")), element(b, "artifactId")
+        ),
+        lambda b: F.coalesce(F.nullif(element(b, "version"), F.lit("")), F.lit(UNKNOWN_VERSION)),
     )
 
 
-def yarn_lock(files: DataFrame) -> DataFrame:
+def yarn_lock(code: Column) -> Column:
     """Entries of a yarn.lock: a ``name@range:`` head and its ``version`` line."""
-    entries = files.select("path", F.explode(F.split("code", r"\r?\n\s*\r?\n")).alias("entry"))
-    name = F.regexp_extract("entry", r'(?m)^"?((?:@[^/@\s"]+/)?[^@\s"#]+)@[^\n]*:\s*$', 1)
-    version = F.regexp_extract("entry", r'(?m)^\s+version:?\s+"?([^"\s]+)"?', 1)
-    return _rows(entries, YARN, name, version).where("name <> '' AND version <> ''")
+    return _packages(
+        F.split(code, r"\r?\n\s*\r?\n"),
+        lambda e: F.regexp_extract(e, r'(?m)^"?((?:@[^/@\s"]+/)?[^@\s"#]+)@[^\n]*:\s*$', 1),
+        lambda e: F.regexp_extract(e, r'(?m)^\s+version:?\s+"?([^"\s]+)"?', 1),
+    )
 
 
-def pnpm_lock(files: DataFrame) -> DataFrame:
+def pnpm_lock(code: Column) -> Column:
     """Keys such as ``/name@1.2.3:`` or ``/name/1.2.3:`` of a pnpm lock file."""
     pattern = r"^['\"]?/?((?:@[^/@\s]+/)?[^/@\s'\"]+)[@/](\d[^(:\s'\"_]*)[^:\s]*['\"]?:"
-    line = F.col("line")
-    rows = _rows(
-        _lines(files).where(line.rlike(pattern)),
-        PNPM,
-        F.regexp_extract(line, pattern, 1),
-        F.regexp_extract(line, pattern, 2),
-    )
-    return distinct_dependencies(rows)
+    return F.array_distinct(_groups(_lines(code, pattern), pattern))
 
 
-def pipfile_lock(files: DataFrame) -> DataFrame:
+def pipfile_lock(code: Column) -> Column:
     """Pinned packages of the default and develop sections."""
     section = "MAP<STRING, STRUCT<version: STRING>>"
-    parsed = files.select(
-        "path",
-        F.from_json("code", f"STRUCT<`default`: {section}, develop: {section}>").alias("doc"),
+    doc = F.from_json(code, f"STRUCT<`default`: {section}, develop: {section}>")
+    none = F.array().cast("array<struct<key:string,value:struct<version:string>>>")
+    part = lambda name: F.coalesce(F.map_entries(doc.getField(name)), none)
+    return _packages(
+        F.concat(part("default"), part("develop")),
+        lambda e: e["key"],
+        lambda e: F.regexp_replace(e["value"]["version"], r"^[=\s]+", ""),
     )
-    entries = parsed.select(
-        "path",
-        F.explode(
-            F.array(F.col("doc").getField("default"), F.col("doc").getField("develop"))
-        ).alias("part"),
-    ).select("path", F.explode("part").alias("name", "entry"))
-    return _rows(
-        entries,
-        PIPFILE,
-        F.col("name"),
-        F.regexp_replace("entry.version", r"^[=\s]+", ""),
-    ).where("version IS NOT NULL")
 
 
 PARSERS = {
-    CARGO: cargo_lock,
+    CARGO: package_blocks,
     NPM: package_lock,
     PIP: requirements,
     GO: go_sum,
@@ -236,16 +184,37 @@ PARSERS = {
     YARN: yarn_lock,
     PNPM: pnpm_lock,
     PIPFILE: pipfile_lock,
-    POETRY: poetry_lock,
+    POETRY: package_blocks,
 }
 
 
+def _exploded(manifests: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    kind, code = F.col("kind"), F.col("code")
+    found = ecosystem = F
+    for k in kinds:
+        found = found.when(kind == k, PARSERS[k](code))
+        ecosystem = ecosystem.when(kind == k, ECOSYSTEM[k])
+    return manifests.where(kind.isin(*kinds)).select(
+        F.col("path").alias("file_path"), ecosystem.alias("ecosystem"), F.explode(found).alias("p")
+    ).select("file_path", "p.name", "p.version", "ecosystem")
+
+
+def parse(files: DataFrame, kind: str) -> DataFrame:
+    """Dependencies of files that are all of one kind."""
+    return _exploded(files.select("path", "code", F.lit(kind).alias("kind")), (kind,))
+
+
 def extract_dependencies(
     files: DataFrame, kinds: tuple[str, ...] = tuple(PARSERS), by_content: bool = True
 ) -> DataFrame:
-    """Dependencies of every manifest among the files, each format by its parser."""
+    """Dependencies of every manifest among the files, each format by its parser.
+
+    One pass over the files: the kind selects the parser inside the row.
+    """
     kind = manifest_kind(F.col("path"), F.col("code"), by_content)
-    manifests = files.select("path", "code", kind.alias("kind"))
-    return append_engines(
-        [PARSERS[k](manifests.where(F.col("kind") == k)) for k in kinds]
-    )
+    return _exploded(files.select("path", "code", kind.alias("kind")), kinds)
+
+
+def distinct_dependencies(dependencies: DataFrame) -> DataFrame:
+    """One row per file, module and version."""
+    return dependencies.dropDuplicates(["file_path", "name", "version", "ecosystem"])

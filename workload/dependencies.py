@@ -98,7 +98,7 @@ for _kind in NAMES:
 
     @query(f"manifest_{_kind}", expected(_kind))
     def manifest(spark, sf, kind=_kind):
-        return M.PARSERS[kind](manifest_files(spark, sf, kind))
+        return M.parse(manifest_files(spark, sf, kind), kind)
 
 
 def all_manifests(spark, sf):

@@ -44,13 +44,14 @@ def planned_bytes(df: DataFrame) -> int:
 def spread(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
     """Small inputs dealt out to all cores before heavy per-row work.
 
-    A file with few row groups gives few tasks. Up to ``max_bytes`` the rows
-    are moved, which is cheap at that size; larger inputs already split into
-    enough tasks and stay where they are.
+    A file with few row groups gives few tasks. Up to ``max_bytes`` the rows of
+    few files are moved, which is cheap at that size; larger inputs already
+    split into enough tasks and stay where they are.
     """
     if df.isStreaming or planned_bytes(df) > max_bytes:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 3)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores * 3)
 
 
 def _row_bytes(df: DataFrame) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lynceus.plans.scan import as_files
+from lynceus.scale import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -177,9 +178,24 @@ CORPORA = {
 }
 
 
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def derived(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the given ones, written once per application and read by all queries."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _written:
+        path = work_dir(spark, name)
+        rows = build()
+        rows.repartition(spark.sparkContext.defaultParallelism * 2).write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
 def corpus(spark: SparkSession, sf: str, name: str = "code") -> DataFrame:
     source, path, text = CORPORA[name]
-    return as_files(table(spark, sf, source).selectExpr(f"{path} AS path", f"{text} AS code"))
+    rows = lambda: table(spark, sf, source).selectExpr(f"{path} AS path", f"{text} AS code")
+    return as_files(derived(spark, sf, f"corpus-{name}", rows) if name == "code" else rows())
 
 
 def corpus_sql(name: str = "code") -> str:

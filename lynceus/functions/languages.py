@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lynceus.functions.text import sql_map
+
 UNKNOWN = "unknown"
 
 # Extension -> language. `jsx` is read as JavaScript.
@@ -59,8 +61,7 @@ BY_NAME = {
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(text) for pair in table.items() for text in pair]
-    return F.try_element_at(F.create_map(*pairs), F.lower(key))
+    return F.try_element_at(sql_map(table), F.lower(key))
 
 
 def language_from_ext(ext: Column) -> Column:

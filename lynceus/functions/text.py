@@ -13,6 +13,18 @@ WHITE_SPACE = (
 )
 
 
+def sql_text(text: str | None) -> str:
+    """A Spark SQL string literal."""
+    if text is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_map(table: dict[str, str]) -> Column:
+    """A constant map column."""
+    return F.expr(f"map({', '.join(sql_text(t) for pair in table.items() for t in pair)})")
+
+
 def trimmed(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITE_SPACE))
 

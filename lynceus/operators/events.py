@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lynceus.functions.text import sql_map
 from lynceus.rules.model import ENGINE_LABELS, parse_engines
 
 # Event types, messages and the time finished events stay replayable.
@@ -17,8 +18,7 @@ REPLAY_SECONDS = 300
 
 
 def engine_label(engine: Column) -> Column:
-    pairs = [F.lit(text) for pair in ENGINE_LABELS.items() for text in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), engine), engine)
+    return F.coalesce(F.try_element_at(sql_map(ENGINE_LABELS), engine), engine)
 
 
 def progress_percent(done: Column, total: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lynceus.functions import entropy as entropy_fn
 from lynceus.functions import redact as redact_fn
 from lynceus.functions.severity import RANK
-from lynceus.functions.text import line_array, trimmed
+from lynceus.functions.text import line_array, sql_text, trimmed
 from lynceus.rules import secrets as secret_rules
 from lynceus.rules.model import FIRST_MATCH, SECRETS, Catalog, Rule
 
@@ -32,13 +32,6 @@ BITS = 60
 TEST_PATH = r"\.env\.example|test_|_test\.|fixture"
 
 
-def sql_text(text: str | None) -> str:
-    """A Spark SQL string literal."""
-    if text is None:
-        return "CAST(NULL AS STRING)"
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def folded(text: Column) -> Column:
     """Lower case for substring tests; the long s folds to s as in the patterns."""
     return F.lower(F.replace(text, F.lit("ſ"), F.lit("s")))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from lynceus import schemas
 from lynceus.functions.severity import rank_of
-from lynceus.functions.text import none_if_empty
+from lynceus.functions.text import none_if_empty, sql_map
 from lynceus.rules.model import SAST
 
 # Analyzer levels.
@@ -50,9 +50,8 @@ def read_analyzer(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 def analyzer_findings(reports: DataFrame) -> DataFrame:
     """Results of analyzer reports as raw findings."""
-    pairs = [F.lit(text) for pair in ANALYZER_LEVEL.items() for text in pair]
     level = F.coalesce(
-        F.try_element_at(F.create_map(*pairs), F.upper("hit.extra.severity")), F.lit("low")
+        F.try_element_at(sql_map(ANALYZER_LEVEL), F.upper("hit.extra.severity")), F.lit("low")
     )
     return reports.select(F.explode("results").alias("hit")).select(
         F.lit(SAST).alias("engine"),

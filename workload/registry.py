@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from workload import dependencies, feeds, scanning  # noqa: F401
+from workload import dependencies, feeds, reporting, scanning, timing  # noqa: F401
 from workload.base import QUERIES, SQL  # noqa: F401

@@ -139,6 +139,15 @@ def scan_findings(spark, sf):
     return line_scan(spark, sf).select("engine", "file_path", "line_start", "rule_id", "severity", "sev_rank")
 
 
+@query(
+    "scan_counts",
+    f"WITH {findings_cte()} SELECT engine, rule_id, severity, count(*) AS n FROM found GROUP BY ALL",
+)
+def scan_counts(spark, sf):
+    """Findings per rule: the flagship query."""
+    return line_scan(spark, sf).groupBy("engine", "rule_id", "severity").agg(F.count("*").alias("n"))
+
+
 @query(
     "scan_ranked",
     f"""WITH {findings_cte('conversations')} SELECT engine, path AS file_path, line_no AS line_start, rule_id FROM found

@@ -70,12 +70,14 @@ def rank_order(findings: DataFrame) -> DataFrame:
 
     The tie-break names every column that tells two findings apart, so the
     order is total and the range partitioner can split a level that holds most
-    of the rows.
+    of the rows. The sort samples its input before it runs, so the findings are
+    written first and the scan behind them runs once.
     """
     from lynceus.rules.model import ENGINES
+    from lynceus.scale import cut_lineage
 
     engines = F.array(*[F.lit(e) for e in ENGINES])
-    return findings.orderBy(
+    return cut_lineage(findings, "findings").orderBy(
         F.desc("sev_rank"),
         F.array_position(engines, F.col("engine")),
         "file_path",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lynceus.functions.severity import rank_of
 from lynceus.functions.versions import OPEN_END, in_range, version_key
 from lynceus.rules.model import SCA
-from lynceus.scale import BROADCAST_BYTES, join_lookup
+from lynceus.scale import BROADCAST_BYTES, join_lookup, spread
 
 COORDINATES = ["ecosystem", "name", "version"]
 
@@ -92,7 +92,7 @@ def affected(
     so the dependencies are not shuffled; otherwise hot packages are salted.
     """
     return join_lookup(
-        dependencies.withColumn("key", version_key(F.col("version"))),
+        spread(dependencies).withColumn("key", version_key(F.col("version"))),
         _ranges(advisories),
         ["ecosystem", "name"],
         condition=_in_any_range(),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lynceus.functions.entropy import ASSIGNED_LITERAL, THRESHOLD, assigned_literals, entropy
 from lynceus.functions.text import to_lines
+from lynceus.scale import spread
 
 
 def random_literals(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -15,8 +16,9 @@ def random_literals(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     Only lines with a candidate leave the line split, and the entropy of a
     literal is folded inside its row.
     """
-    lines = to_lines(files.select("path", "code")).where(
-        F.col("line").rlike("(?dU)" + ASSIGNED_LITERAL)
+    lines = to_lines(spread(files.select("path", "code"))).where(
+        (F.contains("line", F.lit("'")) | F.contains("line", F.lit('"')))
+        & F.col("line").rlike("(?dU)" + ASSIGNED_LITERAL)
     )
     found = lines.select(
         F.col("path").alias("file_path"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.functions.text import line_array, trimmed
+from lynceus.scale import spread
 
 CARGO, NPM, PIP, GO, MAVEN = "cargo", "npm", "pip", "go", "maven"
 YARN, PNPM, PIPFILE, POETRY = "yarn", "pnpm", "pipfile", "poetry"
@@ -201,7 +202,7 @@ def _exploded(manifests: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 
 def parse(files: DataFrame, kind: str) -> DataFrame:
     """Dependencies of files that are all of one kind."""
-    return _exploded(files.select("path", "code", F.lit(kind).alias("kind")), (kind,))
+    return _exploded(spread(files).select("path", "code", F.lit(kind).alias("kind")), (kind,))
 
 
 def extract_dependencies(
@@ -212,7 +213,7 @@ def extract_dependencies(
     One pass over the files: the kind selects the parser inside the row.
     """
     kind = manifest_kind(F.col("path"), F.col("code"), by_content)
-    return _exploded(files.select("path", "code", kind.alias("kind")), kinds)
+    return _exploded(spread(files).select("path", "code", kind.alias("kind")), kinds)
 
 
 def distinct_dependencies(dependencies: DataFrame) -> DataFrame:

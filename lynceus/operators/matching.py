@@ -25,6 +25,7 @@ from lynceus.functions.severity import RANK
 from lynceus.functions.text import line_array, sql_text, trimmed
 from lynceus.rules import secrets as secret_rules
 from lynceus.rules.model import FIRST_MATCH, SECRETS, Catalog, Rule
+from lynceus.scale import spread
 
 BITS = 60
 
@@ -160,7 +161,7 @@ def rule_hits(
     used = [rules[i] for i in positions]
     known = _shared_needles(used)
     carried = ["path", "language", *keep]
-    lines = exploded_lines(files, Catalog(tuple(used)), carried)
+    lines = exploded_lines(spread(files), Catalog(tuple(used)), carried)
     if any(r.random_value for r in used):
         lines = lines.withColumn("_random", entropy_fn.has_random_literal(F.col("line")))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lynceus.functions.severity import LEVELS, RANK, at_least, label, parse_level
 from lynceus.functions.text import empty_if_none
+from lynceus.scale import cut_lineage, join_lookup
 
 UNKNOWN_PATH = "unknown"
 HISTORY_ROWS = 50
@@ -196,9 +197,10 @@ def diagnostics_by_file(found: DataFrame) -> DataFrame:
     """Diagnostics with a file's rows next to each other, in line order.
 
     A range partitioning over (path, line) is used instead of one list per
-    path, so the rows without a path, or of one huge file, span many tasks.
+    path, so the rows without a path, or of one huge file, span many tasks. It
+    samples its input, which is therefore written first.
     """
-    return found.repartitionByRange("path", "line", "rule_id").sortWithinPartitions(
+    return cut_lineage(found, "diagnostics").repartitionByRange("path", "line", "rule_id").sortWithinPartitions(
         "path", "line", "rule_id"
     )
 
@@ -206,16 +208,22 @@ def diagnostics_by_file(found: DataFrame) -> DataFrame:
 # Retention -----------------------------------------------------------------
 
 
+def _by_scan(results: DataFrame, scans: DataFrame, how: str) -> DataFrame:
+    """Join on the scan; one scan may own most of the findings."""
+    ids = scans.select("scan_id").distinct()
+    return join_lookup(results, ids, ["scan_id"], how, salt_by=["finding_id"])
+
+
 def orphan_results(results: DataFrame, scans: DataFrame) -> DataFrame:
     """Stored findings whose scan is gone."""
-    return results.join(scans.select("scan_id").distinct(), "scan_id", "left_anti")
+    return _by_scan(results, scans, "left_anti")
 
 
 def without_scans(results: DataFrame, deleted: DataFrame) -> DataFrame:
     """Stored findings after the given scans were deleted."""
-    return results.join(deleted.select("scan_id").distinct(), "scan_id", "left_anti")
+    return _by_scan(results, deleted, "left_anti")
 
 
 def results_of_scans(results: DataFrame, scans: DataFrame) -> DataFrame:
     """Stored findings of a set of scans."""
-    return results.join(scans.select("scan_id").distinct(), "scan_id", "left_semi")
+    return _by_scan(results, scans, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lynceus.scale import join_lookup
+from lynceus.scale import cut_lineage, join_lookup
 
 MIN_SCORE = 0.3
 
@@ -60,15 +60,17 @@ def similar_titles(titles: DataFrame, queries: DataFrame, min_score: float = MIN
         # Trigrams that no title has are the rarest of all and take up their share.
         .withColumn("take", F.col("needed") - (F.size("wanted") - F.size("by_rarity")))
         .where("take > 0")
-        .select("query", "wanted", F.explode(F.expr("slice(by_rarity, 1, take)")).alias("g"))
-        .select("query", "wanted", F.col("g.gram").alias("gram"))
+        .withColumn("lookup", F.expr("transform(slice(by_rarity, 1, take), g -> g.gram)"))
+        .select("query", "wanted", "lookup", F.posexplode("lookup").alias("rank", "gram"))
     )
-    candidates = join_lookup(postings, rare, ["gram"], salt_by=["title"])
+    candidates = join_lookup(postings, cut_lineage(rare, "trigrams"), ["gram"], salt_by=["title"])
+    # A pair that several trigrams find is kept at the rarest of them only.
+    found_before = F.arrays_overlap(F.expr("slice(lookup, 1, rank)"), "grams")
     score = similarity(F.col("grams"), F.col("wanted"))
     return (
-        candidates.select("query", "title", score.alias("score"))
+        candidates.where(~found_before)
+        .select("query", "title", score.alias("score"))
         .where(F.col("score") >= min_score)
-        .distinct()
     )
 
 
@@ -76,5 +78,5 @@ def title_search(
     vulnerabilities: DataFrame, queries: DataFrame, min_score: float = MIN_SCORE
 ) -> DataFrame:
     """Vulnerabilities whose title resembles a query, with the score."""
-    pairs = similar_titles(vulnerabilities, queries, min_score)
+    pairs = cut_lineage(similar_titles(vulnerabilities, queries, min_score), "title-pairs")
     return join_lookup(vulnerabilities, pairs, ["title"], salt_by=["cve_id"])

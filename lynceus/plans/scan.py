@@ -19,7 +19,6 @@ from lynceus.operators.matching import match, with_entropy, without_tests
 from lynceus.operators.vulnerabilities import enrich_titles
 from lynceus.rules.catalog import DEFAULT
 from lynceus.rules.model import AI_CODE, ENGINES, SAST, SCA, SECRETS, Catalog, parse_engines
-from lynceus.scale import spread
 
 
 def as_files(rows: DataFrame) -> DataFrame:
@@ -54,7 +53,6 @@ def scan(
         catalog = with_entropy(catalog)
     if skip_tests:
         files = without_tests(files)
-    files = spread(files)
     lines = [e for e in engines if e in (SAST, SECRETS, AI_CODE)]
     parts = []
     if lines:

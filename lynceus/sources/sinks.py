@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,21 +103,21 @@ def persist(
     language: str,
     target_name: str,
     created_at: datetime,
+    load_id: str | None = None,
 ) -> None:
-    """Append a scan's findings and its summary row.
+    """Store findings that carry a ``scan_id``, and a summary row per scan.
 
-    ``findings`` carries a ``scan_id``. The findings are written once, and the
-    summary is computed from what was written, so the two cannot disagree and
-    the scan does not run twice. Only the date folder just written is read.
+    Each call writes one folder below the date of the scan, and the summary is
+    computed from that folder: the two cannot disagree, the scan runs once and
+    nothing older is read. A repeated call with the same ``load_id`` replaces
+    what the first one wrote.
     """
     spark = findings.sparkSession
-    rows = scan_result_rows(findings).withColumn("scan_date", F.lit(created_at.date()))
-    rows.write.mode("append").partitionBy("scan_date").parquet(f"{path}/scan_results")
-    stored = spark.read.schema(rows.schema).parquet(f"{path}/scan_results").where(
-        F.col("scan_date") == F.lit(created_at.date())
-    )
-    ids = findings.select("scan_id").distinct()
-    summary = scan_summary(stored.join(ids, "scan_id", "left_semi")).select(
+    place = f"scan_date={created_at.date().isoformat()}/load={load_id or uuid.uuid4().hex}"
+    rows = scan_result_rows(findings).drop("scan_date")
+    rows.write.mode("overwrite").parquet(f"{path}/scan_results/{place}")
+    stored = spark.read.schema(rows.schema).parquet(f"{path}/scan_results/{place}")
+    summary = scan_summary(stored).select(
         "scan_id",
         F.lit(language).alias("language"),
         F.lit(target_name).alias("target_name"),
@@ -124,7 +125,7 @@ def persist(
         "severity_counts",
         F.lit(created_at).cast("timestamp").alias("created_at"),
     )
-    summary.write.mode("append").parquet(f"{path}/scans")
+    summary.write.mode("overwrite").parquet(f"{path}/scans/{place}")
 
 
 def write_version(table: DataFrame, path: str, version: int) -> str:

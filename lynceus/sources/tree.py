@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynceus.functions.languages import language_from_ext
 from lynceus.functions.text import extension, file_name
 from lynceus.operators.manifests import ENDINGS
+from lynceus.scale import work_dir
 
 # Folders that hold no source of their own.
 PRUNED_FOLDERS = (".git", "node_modules", "target", ".venv", "__pycache__", "dist", "build")
@@ -22,6 +27,11 @@ SCANNABLE_EXTENSIONS = (
 # Files named like an extension, and manifests whose extension is not scannable.
 SCANNABLE_NAMES = (".env", "dockerfile") + tuple(e for _, group in ENDINGS for e in group)
 
+# Entries a task lists before it hands the folders that are left to other tasks.
+ENTRIES_PER_TASK = 50_000
+READ_BYTES = 16 * 1024 * 1024
+BYTES_PER_TASK = 128 * 1024 * 1024
+
 
 def in_pruned_folder(path: Column, folders: tuple[str, ...] = PRUNED_FOLDERS) -> Column:
     return F.exists(F.split(path, "/"), lambda part: part.isin(*folders))
@@ -41,6 +51,82 @@ def _decoded(raw: DataFrame) -> DataFrame:
     )
 
 
+def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def list_tree(
+    spark: SparkSession, root: str, entries_per_task: int = ENTRIES_PER_TASK
+) -> DataFrame:
+    """Path and size of every file below a folder, pruned folders left out.
+
+    Spark's own listing keeps the whole index on the driver and skips names
+    that begin with a dot or an underscore, such as ``__init__.py``. Here each
+    task walks folders and returns those it did not get to, which the next
+    round deals out again. Every round is a written table.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filesystem, _ = _filesystem(root)
+        for pdf in batches:
+            for start in pdf["path"]:
+                todo, rows, listed = [start], [], 0
+                while todo and listed < entries_per_task:
+                    for info in filesystem.get_file_info(pafs.FileSelector(todo.pop())):
+                        listed += 1
+                        if info.type == pafs.FileType.File:
+                            rows.append((info.path, False, info.size))
+                        elif info.base_name not in PRUNED_FOLDERS:
+                            todo.append(info.path)
+                rows += [(folder, True, 0) for folder in todo]
+                yield pd.DataFrame(rows, columns=["path", "is_folder", "bytes"])
+
+    schema = "path STRING, is_folder BOOLEAN, bytes BIGINT"
+    base = work_dir(spark, "listing")
+    folders = spark.createDataFrame([(_filesystem(root)[1],)], "path STRING")
+    rounds = 0
+    while True:
+        out = f"{base}/round={rounds}"
+        folders.mapInPandas(walk, schema).write.parquet(out)
+        found = spark.read.schema(schema).parquet(out)
+        folders = found.where("is_folder").select("path").repartition(
+            spark.sparkContext.defaultParallelism * 4
+        )
+        rounds += 1
+        if folders.isEmpty():
+            break
+    return spark.read.schema(schema).parquet(base).where("NOT is_folder").select("path", "bytes")
+
+
+def _contents(files: DataFrame, root: str, skip_unreadable: bool = True) -> DataFrame:
+    """Bytes of listed files, read in tasks of similar size."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filesystem, _ = _filesystem(root)
+        rows, size = [], 0
+        for pdf in batches:
+            for path in pdf["path"]:
+                try:
+                    with filesystem.open_input_stream(path) as stream:
+                        content = stream.read()
+                except OSError:
+                    if skip_unreadable:
+                        continue
+                    raise
+                rows.append((path, content))
+                size += len(content)
+                if size >= READ_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    rows, size = [], 0
+        yield pd.DataFrame(rows, columns=["path", "content"])
+
+    total = files.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, total // BYTES_PER_TASK)
+    return files.select("path").repartition(int(tasks)).mapInPandas(
+        read, "path STRING, content BINARY"
+    )
+
+
 def read_code_tree(
     spark: SparkSession,
     path: str,
@@ -49,8 +135,25 @@ def read_code_tree(
 ) -> DataFrame:
     """Every scannable text file below a folder.
 
-    Folder, name and size tests read file metadata only. They prune files
-    while the scan is planned, so the contents of other files are never read.
+    Folders, names and sizes are tested on the listing, so no other file is
+    opened.
+    """
+    files = list_tree(spark, path).where(is_scannable(F.col("path"), extensions))
+    if max_bytes is not None:
+        files = files.where(F.col("bytes") <= max_bytes)
+    return _decoded(_contents(files, path))
+
+
+def read_code_files(
+    spark: SparkSession,
+    path: str,
+    extensions: tuple[str, ...] = SCANNABLE_EXTENSIONS,
+    max_bytes: int | None = None,
+) -> DataFrame:
+    """As :func:`read_code_tree` through Spark's binary file source.
+
+    The tests on file metadata prune while the scan is planned. Names that
+    begin with a dot or an underscore are not seen.
     """
     place = F.col("_metadata.file_path")
     raw = (
@@ -65,13 +168,14 @@ def read_code_tree(
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """One file whatever its name. A file that is no UTF-8 text is an error."""
-    raw = spark.read.format("binaryFile").load(path)
+    """One file whatever its name. A missing file, or one that is no UTF-8 text, is an error."""
+    _, place = _filesystem(path)
+    files = spark.createDataFrame([(place, 0)], "path STRING, bytes BIGINT")
     code = F.col("content").cast("string")
     checked = F.when(F.is_valid_utf8(code), code).otherwise(
         F.raise_error(F.concat(F.lit("not UTF-8 text: "), F.col("path")))
     )
     ext = extension(F.col("path"))
-    return raw.select(
+    return _contents(files, path, skip_unreadable=False).select(
         "path", checked.alias("code"), language_from_ext(ext).alias("language"), ext.alias("ext")
     )

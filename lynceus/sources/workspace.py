@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynceus import schemas
+from lynceus.scale import join_lookup
 
 # Largest single input, and largest workspace batch, in bytes.
 MAX_FILE_BYTES = 512 * 1024
@@ -23,10 +24,7 @@ def read_workspace(spark: SparkSession, path: str) -> DataFrame:
 def split_oversize(
     files: DataFrame, max_bytes: int = MAX_FILE_BYTES
 ) -> tuple[DataFrame, DataFrame]:
-    """Files within the limit, and the rejected ones with a reason.
-
-    Rejected rows carry no text, so a columnar source is read for sizes only.
-    """
+    """Files within the limit, and the rejected ones with a reason instead of their text."""
     size = F.octet_length("code")
     rejects = files.where(size > max_bytes).select(
         "path",
@@ -41,8 +39,8 @@ def split_oversize_batches(
 ) -> tuple[DataFrame, DataFrame]:
     """Files of workspace batches within the limit, and the batches over it.
 
-    Only sizes are aggregated; the texts are not shuffled when the rejected
-    batches are few, which they are unless most of the input is oversize.
+    Sizes aggregate before the shuffle, and the texts are not shuffled as long
+    as the list of rejected batches measures small.
     """
     sizes = files.groupBy(batch).agg(
         F.sum(F.octet_length("code")).alias("bytes"), F.count("*").alias("files")
@@ -53,7 +51,5 @@ def split_oversize_batches(
         "files",
         F.lit(f"Workspace request body exceeds the {max_bytes / 2**20:g} MiB limit").alias("reason"),
     )
-    from lynceus.scale import join_lookup
-
     kept = join_lookup(files, rejects.select(batch), [batch], "left_anti", salt_by=["path"])
     return kept, rejects

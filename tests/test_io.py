@@ -61,10 +61,17 @@ def test_code_tree(spark, tmp_path):
     put(".env", b"A=1\n")
     put("node_modules/m/i.js", b"eval(z)\n")
     put("src/dist/i.js", b"eval(z)\n")
+    put("src/__init__.py", b"z = 1\n")
+    put(".github/wf.yml", b"on: push\n")
     put("src/big.py", b"x" * 2000)
     files = tree.read_code_tree(spark, str(tmp_path), max_bytes=1000)
     names = {os.path.basename(r["path"]): r["language"] for r in files.collect()}
-    assert names == {"a.py": "python", "B.JS": "javascript", "requirements.txt": "unknown", "Dockerfile": "unknown", ".env": "unknown"}
+    seen = {"a.py": "python", "B.JS": "javascript", "requirements.txt": "unknown", "Dockerfile": "unknown"}
+    assert names == {**seen, ".env": "unknown", "__init__.py": "python", "wf.yml": "unknown"}
+    plain = tree.read_code_files(spark, str(tmp_path), max_bytes=1000)
+    assert {os.path.basename(r["path"]): r["language"] for r in plain.collect()} == seen
+    rounds = tree.list_tree(spark, str(tmp_path), entries_per_task=2)
+    assert rounds.count() == tree.list_tree(spark, f"file://{tmp_path}").count() == 10
     assert scan(files, ["sast"]).where("rule_id = 'S05'").count() == 2
     one = tree.read_file(spark, str(tmp_path / "src/notes.txt")).collect()
     assert one[0]["code"] == "eval(z)\n"

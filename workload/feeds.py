@@ -37,7 +37,7 @@ def cvss(spark, sf):
 
 @query(
     "severity_names",
-    """SELECT o_orderpriority, level, CASE level WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END AS rank, count(*) AS n
+    """SELECT o_orderpriority, level, CAST(CASE level WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END AS BIGINT) AS rank, count(*) AS n
        FROM (SELECT o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS level FROM orders) GROUP BY ALL""",
 )
 def severity_names(spark, sf):

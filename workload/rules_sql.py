@@ -68,9 +68,6 @@ SECRETS = {
     "K10": ("medium", _m(r"""[\p{L}\p{N}_]*_key\s*=\s*['"][a-z0-9_]{20,}['"]""")),
 }
 
-RANKS = {"info": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
-
-ANY = " OR ".join(f"({test})" for _, test in [*SAST.values(), *AI_CODE.values(), *SECRETS.values()])
 
 
 def level_sql(rules: dict, column: str = "rule_id") -> str:
@@ -105,5 +102,5 @@ def findings_cte(name: str = "code") -> str:
     )"""
 
 
-RANK_SQL = "CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END"
+RANK_SQL = "CAST(CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END AS BIGINT)"
 SNIPPET = trim_sql("line")

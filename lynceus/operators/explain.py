@@ -47,12 +47,14 @@ def unanswered(asked: DataFrame, cache: DataFrame) -> DataFrame:
     return asked.join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
-def answer(asked: DataFrame, explain: Ask, fix: Ask) -> DataFrame:
+def answer(asked: DataFrame, explain: Ask, fix: Ask, tasks: int | None = None) -> DataFrame:
     """Answers to questions. A call that fails gives the fallback text.
 
-    Calls are slow and may cost money, so the answers are written once and read
-    back: a later stage that is retried does not ask again.
+    Calls are slow, so the questions are dealt out by number, not by size; they
+    may cost money, so the answers are written once and read back: a later
+    stage that is retried does not ask again.
     """
+    tasks = tasks or asked.sparkSession.sparkContext.defaultParallelism * 4
 
     def attempt(ask: Ask, prompt: str, fallback: str) -> str:
         try:
@@ -70,7 +72,7 @@ def answer(asked: DataFrame, explain: Ask, fix: Ask) -> DataFrame:
                 }
             )
 
-    return cut_lineage(asked.mapInPandas(run, ANSWERS), "answers")
+    return cut_lineage(asked.repartition(tasks).mapInPandas(run, ANSWERS), "answers")
 
 
 def with_answers(findings: DataFrame, answers: DataFrame) -> DataFrame:

@@ -4,14 +4,20 @@ A window opens at a key's first request. A request at least one window length
 after the opening opens a new window; otherwise it is allowed while the window
 has admitted fewer than the limit. A rejected request changes nothing.
 
-Windows depend on each other, but only through (opening time, admitted). Time
-is cut into blocks, and a block is a function from the state before it to the
-state after it, so the blocks of one hot key are worked on in parallel:
+Where windows open depends on request times only, and one window on the next
+only through its opening time. Time is cut into blocks, and a block is a
+function from the window open before it to the window open after it, so the
+blocks of one hot key are worked on in parallel:
 
-1. the requests of every (key, block) become one sorted row;
+1. the distinct request times of every (key, block) become one sorted row;
 2. every row gives its transfer function, a few steps;
-3. one ordered pass over the steps gives the state before each block;
-4. every row is decided from that state.
+3. one ordered pass over the steps gives the window open before each block;
+4. every row lists the windows that open in it;
+5. the first requests of every window are admitted, a top-k that combines
+   before the shuffle.
+
+No step holds the requests of a key. A row of step 1 holds distinct times of one
+block, however many requests share them.
 """
 
 from __future__ import annotations
@@ -20,31 +26,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lynceus.scale import BROADCAST_BYTES, cut_lineage, join_lookup
+
 # Requests admitted per window, and the window length.
 LIMIT = 10
 WINDOW_MICROS = 60_000_000
 
-# Windows per block. A (key, block) is one row, so this bounds what one task
-# holds: the requests of one client in so many windows.
-BLOCK_WINDOWS = 64
+# Windows per block.
+BLOCK_WINDOWS = 16
 
 NEVER = np.iinfo(np.int64).min // 2
+NO_KEY = "unknown"
 
 
-def micros(ts):
+def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def transfer(times: np.ndarray, block_start: int, window: int, limit: int):
-    """State after a block for each state before it, as steps.
+def transfer(times: np.ndarray, block_start: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window open after a block for each window open before it, as steps.
 
-    Returns ``(until, start, used)``: a window that expires at or before
-    ``until[i]`` (and after ``until[i-1]``) leaves the block in a window opened
-    at ``start[i]`` with ``used[i]`` requests admitted. A window that expires
-    after the last request stays open.
+    Returns ``(until, start)``: a window that expires at or before ``until[i]``
+    (and after ``until[i-1]``) leaves the block in a window opened at
+    ``start[i]``. A window that expires after the last request stays open.
     """
     n = len(times)
     after = np.searchsorted(times, times + window, side="left")
@@ -57,13 +64,19 @@ def transfer(times: np.ndarray, block_start: int, window: int, limit: int):
     # Windows opened before the block expire within its first window length,
     # so only these requests can open the block's first window.
     reach = min(n, int(np.searchsorted(times, block_start + window, side="left")) + 1)
-    first = last[:reach]
-    # Requests at equal times open the same window; the earliest one counts.
-    unique = np.searchsorted(times, times[:reach], side="left")
-    first = last[unique]
-    keep = np.append(first[1:] != first[:-1], True)
-    ends = first[keep]
-    return times[:reach][keep], times[ends], np.minimum(n - ends, limit)
+    ends = last[:reach]
+    keep = np.append(ends[1:] != ends[:-1], True)
+    return times[:reach][keep], times[ends[keep]]
+
+
+def openings(times: np.ndarray, start: int, window: int) -> list[int]:
+    """Opening times of the windows that requests of a block fall into."""
+    out = [start] if start + window > times[0] else []
+    i = int(np.searchsorted(times, start + window, side="left"))
+    while i < len(times):
+        out.append(int(times[i]))
+        i = int(np.searchsorted(times, times[i] + window, side="left"))
+    return out
 
 
 def decide(times: np.ndarray, start: int, used: int, window: int, limit: int) -> np.ndarray:
@@ -91,101 +104,116 @@ def state_after(times: np.ndarray, start: int, used: int, window: int, limit: in
     return start, used
 
 
-def throttle(
-    requests: DataFrame,
-    key: str,
-    ts: str,
-    request_id: str,
-    limit: int = LIMIT,
-    window_micros: int = WINDOW_MICROS,
-    block_windows: int = BLOCK_WINDOWS,
+def window_openings(
+    requests: DataFrame, window_micros: int, block_windows: int
 ) -> DataFrame:
-    """Key, id and time of every request with ``allowed``. Ties go by id."""
+    """Per (key, block): the opening times of the windows its requests fall into.
+
+    ``requests`` has the columns key, block and t.
+    """
     span = window_micros * block_windows
-    t = micros(F.col(ts))
-    blocks = (
-        requests.select(
-            F.col(key).alias("key"),
-            F.floor(t / F.lit(span)).cast("bigint").alias("block"),
-            F.struct(t.alias("t"), F.col(request_id).alias("id")).alias("r"),
-        )
-        .groupBy("key", "block")
-        .agg(F.array_sort(F.collect_list("r")).alias("r"))
-        .select("key", "block", F.col("r.t").alias("t"), F.col("r.id").alias("id"))
-    )
-    key_type = blocks.schema["key"].dataType.simpleString()
-    id_type = requests.schema[request_id].dataType.simpleString()
+    longs = "array<bigint>"
+    times = requests.groupBy("key", "block").agg(F.array_sort(F.collect_set("t")).alias("t"))
 
     def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [
-                transfer(np.asarray(t), int(b) * span, window_micros, limit)
+                transfer(np.asarray(t), int(b) * span, window_micros)
                 for t, b in zip(pdf["t"], pdf["block"])
             ]
             yield pd.DataFrame(
                 {
                     "key": pdf["key"],
                     "block": pdf["block"],
-                    "n": [len(t) for t in pdf["t"]],
                     "until": [r[0] for r in rows],
                     "start": [r[1] for r in rows],
-                    "used": [r[2] for r in rows],
                 }
             )
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start, used = None, NEVER, 0
+        key, start = None, NEVER
         for pdf in batches:
-            starts, counts = [], []
-            for k, n, until, opened, admitted in zip(
-                pdf["key"], pdf["n"], pdf["until"], pdf["start"], pdf["used"]
-            ):
+            starts = []
+            for k, until, opened in zip(pdf["key"], pdf["until"], pdf["start"]):
                 if k != key:
-                    key, start, used = k, NEVER, 0
+                    key, start = k, NEVER
                 starts.append(start)
-                counts.append(used)
                 i = int(np.searchsorted(until, start + window_micros, side="left"))
                 if i < len(until):
-                    start, used = int(opened[i]), int(admitted[i])
-                else:
-                    used = min(limit, used + n)
-            yield pd.DataFrame(
-                {"key": pdf["key"], "block": pdf["block"], "start": starts, "used": counts}
-            )
+                    start = int(opened[i])
+            yield pd.DataFrame({"key": pdf["key"], "block": pdf["block"], "start": starts})
 
-    def flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame(
                 {
                     "key": pdf["key"],
-                    "id": pdf["id"],
-                    "t": pdf["t"],
-                    "allowed": [
-                        decide(np.asarray(t), s, u, window_micros, limit)
-                        for t, s, u in zip(pdf["t"], pdf["start"], pdf["used"])
+                    "block": pdf["block"],
+                    "opened": [
+                        openings(np.asarray(t), s, window_micros)
+                        for t, s in zip(pdf["t"], pdf["start"])
                     ],
                 }
             )
 
-    longs = "array<bigint>"
     before = (
-        blocks.select("key", "block", "t")
-        .mapInPandas(
-            steps,
-            f"key {key_type}, block bigint, n bigint, until {longs}, start {longs}, used {longs}",
-        )
+        times.mapInPandas(steps, f"key string, block bigint, until {longs}, start {longs}")
         .repartition("key")
         .sortWithinPartitions("key", "block")
-        .mapInPandas(entries, f"key {key_type}, block bigint, start bigint, used bigint")
+        .mapInPandas(entries, "key string, block bigint, start bigint")
+    )
+    return times.join(before, ["key", "block"]).mapInPandas(
+        opened, f"key string, block bigint, opened {longs}"
+    )
+
+
+def throttle(
+    requests: DataFrame,
+    key: str,
+    ts: str,
+    request_id: str,
+    limit: int = LIMIT,
+    window_micros: int = WINDOW_MICROS,
+    block_windows: int = BLOCK_WINDOWS,
+    max_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """The requests with ``allowed``. Ties in time go by id; no key counts as one key."""
+    timed = requests.select(
+        "*",
+        F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)).alias("_key"),
+        micros(F.col(ts)).alias("_t"),
+    ).withColumn("_block", F.floor(F.col("_t") / (window_micros * block_windows)).cast("bigint"))
+    windows = window_openings(
+        timed.select(F.col("_key").alias("key"), F.col("_block").alias("block"), F.col("_t").alias("t")),
+        window_micros,
+        block_windows,
+    ).withColumnsRenamed({"key": "_key", "block": "_block"})
+    placed = join_lookup(
+        timed,
+        cut_lineage(windows, "windows"),
+        ["_key", "_block"],
+        max_bytes=max_bytes,
+        salt_by=[request_id],
+    ).withColumn("_window", F.array_max(F.filter("opened", lambda s: s <= F.col("_t")))).drop("opened")
+
+    place = F.row_number().over(
+        Window.partitionBy("_key", "_window").orderBy("_t", request_id)
+    )
+    last_admitted = (
+        placed.select("_key", "_window", "_t", request_id)
+        .withColumn("_place", place)
+        .where(F.col("_place") <= limit)
+        .groupBy("_key", "_window")
+        .agg(F.max(F.struct("_t", F.col(request_id).alias("id"))).alias("_last"))
     )
-    decided = blocks.join(before, ["key", "block"]).mapInPandas(
-        flags, f"key {key_type}, id array<{id_type}>, t {longs}, allowed array<boolean>"
+    decided = join_lookup(
+        placed,
+        cut_lineage(last_admitted, "admitted"),
+        ["_key", "_window"],
+        max_bytes=max_bytes,
+        salt_by=[request_id],
     )
+    mine = F.struct(F.col("_t"), F.col(request_id).alias("id"))
     return decided.select(
-        F.col("key").alias(key), F.explode(F.arrays_zip("id", "t", "allowed")).alias("r")
-    ).select(
-        key,
-        F.col("r.id").alias(request_id),
-        F.timestamp_micros("r.t").alias(ts),
-        F.col("r.allowed").alias("allowed"),
+        *[F.col(c) for c in requests.columns], (mine <= F.col("_last")).alias("allowed")
     )

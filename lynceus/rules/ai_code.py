@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lynceus.rules.model import AI_CODE, ASSIGN, CALL, QUOTE, Catalog, Rule
+from lynceus.rules.model import AI_CODE, ASSIGN, CALL, QUOTE, Catalog, Rule, then
 
 
 def _rule(rule_id, title, severity, cwe, pattern, needles, description, **more) -> Rule:
@@ -41,7 +41,8 @@ RULES = Catalog(
         ),
         _rule(
             "G05", "Overly Permissive CORS Policy", "medium", 942,
-            r"""access-control-allow-origin:\s*\*|cors\(\)|allow_origins=\["\*"\]|allowedorigins.*"\*\"""",
+            r"""access-control-allow-origin:\s*\*|cors\(\)|allow_origins=\["\*"\]|"""
+            + then("allowedorigins", r"""["]\*["]"""),
             (("access-control-allow-origin", "cors()", "allow_origins", "allowedorigins"),),
             "Every site may call this service from a visitor's browser. List the trusted origins.",
         ),
@@ -60,13 +61,16 @@ RULES = Catalog(
         ),
         _rule(
             "G08", "Dynamic Code Execution (exec/compile)", "high", 95,
-            r"""\b(?:exec|compile)\s*\(.*(?:\binput\b|request\.)""",
+            then(r"\b(?:exec|compile)\s*\(", r"\binput\b|request\."),
             (CALL, ("exec", "compile"), ("input", "request.")),
             "User input is compiled and run. Parse it as data instead.",
         ),
         _rule(
             "G09", "Logging Sensitive Data", "medium", 532,
-            r"""(?:console\.(?:log|info|debug)|print|logger\.(?:info|debug|warn))\s*\(.*\b(?:password|token|secret|api_key|apikey|auth)\b""",
+            then(
+                r"(?:console\.(?:log|info|debug)|print|logger\.(?:info|debug|warn))\s*\(",
+                r"\b(?:password|token|secret|api_key|apikey|auth)\b",
+            ),
             (
                 CALL,
                 ("console.", "print", "logger."),
@@ -82,7 +86,10 @@ RULES = Catalog(
         ),
         _rule(
             "G11", "Security TODO / FIXME Left by AI", "info", 546,
-            r"""(?://|#)\s*(?:todo|fixme|hack|notsecure|unsafe).*(?:auth|secur|password|token|permission|access|vulnerab|sanitiz|valid)""",
+            then(
+                r"(?://|#)\s*(?:todo|fixme|hack|notsecure|unsafe)",
+                "auth|secur|password|token|permission|access|vulnerab|sanitiz|valid",
+            ),
             (("//", "#"), ("todo", "fixme", "hack", "notsecure", "unsafe")),
             "A comment says that a security control is still missing.",
         ),

@@ -29,6 +29,15 @@ QUOTE = ("'", '"')
 FIRST_MATCH = frozenset({SECRETS, AI_CODE})
 
 
+def then(*parts: str) -> str:
+    """Pattern of a line that holds the parts one after another, with any text between.
+
+    The first place of a part leaves the most room for the next, so it is never
+    given up for a later one. A very long line costs linear time.
+    """
+    return r"\A" + "".join(f"(?>.*?(?:{p}))" for p in parts[:-1]) + f".*(?:{parts[-1]})"
+
+
 @dataclass(frozen=True)
 class Rule:
     """One line pattern.

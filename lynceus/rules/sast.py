@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lynceus.rules.model import CALL, SAST, Catalog, Rule
+from lynceus.rules.model import CALL, SAST, Catalog, Rule, then
 
 
 def _rule(rule_id, title, severity, cwe, pattern, needles, description, **more) -> Rule:
@@ -28,7 +28,7 @@ RULES = Catalog(
         ),
         _rule(
             "S03", "Potential SQL Injection (String Concatenation)", "high", 89,
-            r"""(?:select|insert|update|delete|from).*(?:['"+=]|\.format\(|\$\{)""",
+            then("select|insert|update|delete|from", r"""['"+=]|\.format\(|\$\{"""),
             (
                 ("'", '"', "+", "=", ".format(", "${"),
                 ("select", "insert", "update", "delete", "from"),
@@ -37,13 +37,14 @@ RULES = Catalog(
         ),
         _rule(
             "S04", "Potential OS Command Injection", "high", 78,
-            r"""\bos\.(?:system|popen)\(|subprocess\.(?:run|call|popen)\(.*\bshell\s*=\s*true\b|child_process\.exec\(""",
+            r"""\bos\.(?:system|popen)\(|child_process\.exec\(|"""
+            + then(r"subprocess\.(?:run|call|popen)\(", r"\bshell\s*=\s*true\b"),
             (CALL, ("os.system(", "os.popen(", "subprocess.", "child_process.exec(")),
             "A shell interprets this command. Pass an argument list and avoid the shell.",
         ),
         _rule(
             "S05", "Dangerous Use of eval()", "high", 95,
-            r"""\beval\(|new function\(|settimeout\(.*['"].*['"]\)""",
+            r"""\beval\(|new function\(|""" + then(r"settimeout\(", """['"]""", r"""['"]\)"""),
             (CALL, ("eval(", "new function(", "settimeout(")),
             "Text is run as code here. Anyone who controls the text controls the program.",
         ),
@@ -55,13 +56,14 @@ RULES = Catalog(
         ),
         _rule(
             "S07", "Potential Path Traversal", "high", 22,
-            r"""fs\.(?:readfile|writefile|open)\(.*\+|req\.(?:query|body)\..*\.\./""",
+            then(r"fs\.(?:readfile|writefile|open)\(", r"\+")
+            + "|" + then(r"req\.(?:query|body)\.", r"\.\./"),
             (("fs.readfile(", "fs.writefile(", "fs.open(", "req.query.", "req.body."),),
             "A path is assembled from request data. Resolve it and check that it stays inside the root.",
         ),
         _rule(
             "S08", "Prototype Pollution Potential", "medium", 1321,
-            r"""object\.assign\(.*\.\.\.|json\.parse\(.*req\.(?:body|query)""",
+            then(r"object\.assign\(", r"\.\.\.") + "|" + then(r"json\.parse\(", r"req\.(?:body|query)"),
             (CALL, ("object.assign(", "json.parse(")),
             "Untrusted keys are merged into an object and may reach its prototype.",
         ),

@@ -79,7 +79,7 @@ RULES = Catalog(
         ),
         _rule(
             "K10", "Provider Key", "medium",
-            r"""\w*_key\s*=\s*['"]([a-z0-9_]{20,})['"]""",
+            r"""_key\s*=\s*['"]([a-z0-9_]{20,})['"]""",
             (ASSIGN, QUOTE, ("_key",)),
             "A provider key is assigned as a literal. Read it from the environment.",
         ),

@@ -170,3 +170,14 @@ def test_needles_never_change_a_result(spark, tables):
 def test_engine_lists():
     assert parse_engines(["sca", "nope", "sast"]) == ("sca", "sast")
     assert without_engines(" SAST, sca,") == ("secrets", "ai_code")
+
+
+def test_long_lines_cost_linear_time(spark):
+    import time
+
+    line = "'" + "from subprocess.run( settimeout( print( // todo " * 12000
+    files = files_of(spark, line)
+    started = time.time()
+    found = scan(files, ["sast", "secrets", "ai_code"], "info")
+    assert {r["rule_id"] for r in found.collect()} == set()
+    assert time.time() - started < 30

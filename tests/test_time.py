@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lynceus.operators.debounce import debounce
-from lynceus.operators.throttle import decide, state_after, throttle, transfer, NEVER
+from lynceus.operators.throttle import NEVER, decide, openings, state_after, throttle, transfer
 from lynceus.scale import work_dir
 from lynceus.streaming.debounce import debounce_stream
 from lynceus.streaming.throttle import throttle_stream
@@ -37,18 +37,25 @@ def test_transfer_equals_fold(seed):
     span = window * blocks
     times = sorted(rnd.randrange(0, 400) for _ in range(rnd.choice([5, 50, 300])))
     expected, _, _ = fold(times, limit, window)
-    got, start, used = [], NEVER, 0
+    got, start, used, seen = [], NEVER, 0, set()
     for b in range(0, 400 // span + 1):
         t = np.array([x for x in times if x // span == b], dtype=np.int64)
         if not len(t):
             continue
         got += list(decide(t, start, used, window, limit))
-        until, opened, admitted = transfer(t, b * span, window, limit)
+        distinct = np.unique(t)
+        until, opened = transfer(distinct, b * span, window)
+        seen |= set(openings(distinct, start, window))
         i = int(np.searchsorted(until, start + window, side="left"))
-        after = (int(opened[i]), int(admitted[i])) if i < len(until) else (start, min(limit, used + len(t)))
-        assert after == state_after(t, start, used, window, limit)
-        start, used = after
+        after = int(opened[i]) if i < len(until) else start
+        before, (start, used) = start, state_after(t, start, used, window, limit)
+        assert after == start
     assert got == expected
+    chain = [times[0]]
+    for x in times:
+        if x - chain[-1] >= window:
+            chain.append(x)
+    assert sorted(seen) == chain
 
 
 def requests(spark, seed=1, n=600):
@@ -71,9 +78,18 @@ def brute(rows, limit, seconds):
 
 def test_throttle_batch(spark):
     rows, df = requests(spark)
-    got = throttle(df, "ip", "ts", "id", limit=3, window_micros=60_000_000, block_windows=5)
-    assert {r["id"]: r["allowed"] for r in got.collect()} == brute(rows, 3, 60)
-    assert got.columns == ["ip", "id", "ts", "allowed"]
+    for max_bytes in (0, 1 << 20):
+        got = throttle(df, "ip", "ts", "id", 3, 60_000_000, block_windows=5, max_bytes=max_bytes)
+        assert {r["id"]: r["allowed"] for r in got.collect()} == brute(rows, 3, 60)
+        assert got.columns == ["id", "ip", "ts", "allowed"]
+
+
+def test_requests_without_a_key_share_one(spark):
+    rows = [(i, None, T0 + timedelta(seconds=i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id BIGINT, ip STRING, ts TIMESTAMP")
+    got = throttle(df, "ip", "ts", "id")
+    assert sorted(r["id"] for r in got.where("allowed").collect()) == list(range(10))
+    assert got.count() == 20
 
 
 def test_throttle_admits_at_most_the_limit_per_minute(spark):

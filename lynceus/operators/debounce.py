@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lynceus.functions.times import micros, time_bucket
+
 # Fixed value: silence that ends a burst.
 GAP_MICROS = 1_500_000
 
@@ -19,12 +21,11 @@ def debounce(
     two aggregates decide everything. They combine before the shuffle and hash
     by (key, bucket): a hot key is spread like any other.
     """
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
     rest = [c for c in changes.columns if c not in (key, ts, change_id)]
     row = F.struct(F.col("_t"), F.col(change_id), F.col(ts), *rest)
     buckets = (
-        changes.withColumn("_t", t)
-        .withColumn("_bucket", F.floor(F.col("_t") / F.lit(gap_micros)))
+        changes.withColumn("_t", micros(F.col(ts)))
+        .withColumn("_bucket", time_bucket(F.col("_t"), gap_micros))
         .groupBy(key, "_bucket")
         .agg(
             F.max_by(row, F.struct("_t", change_id)).alias("last"),

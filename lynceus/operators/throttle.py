@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lynceus.functions.times import micros, time_bucket
 from lynceus.scale import BROADCAST_BYTES, cut_lineage, join_lookup
 
 # Requests admitted per window, and the window length.
@@ -42,10 +43,6 @@ NEVER = np.iinfo(np.int64).min // 2
 NO_KEY = "unknown"
 
 
-def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
-
-
 def transfer(times: np.ndarray, block_start: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Window open after a block for each window open before it, as steps.
 
@@ -141,7 +138,7 @@ def window_openings(
                 i = int(np.searchsorted(until, start + window_micros, side="left"))
                 if i < len(until):
                     start = int(opened[i])
-            yield pd.DataFrame({"key": pdf["key"], "block": pdf["block"], "start": starts})
+            yield pd.DataFrame({"key_": pdf["key"], "block_": pdf["block"], "start": starts})
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -160,9 +157,12 @@ def window_openings(
         times.mapInPandas(steps, f"key string, block bigint, until {longs}, start {longs}")
         .repartition("key")
         .sortWithinPartitions("key", "block")
-        .mapInPandas(entries, "key string, block bigint, start bigint")
+        .mapInPandas(entries, "key_ string, block_ bigint, start bigint")
     )
-    return times.join(before, ["key", "block"]).mapInPandas(
+    # Null-safe, so that no filter is pushed below one side and both sides read
+    # the same shuffle.
+    same = F.col("key").eqNullSafe(F.col("key_")) & F.col("block").eqNullSafe(F.col("block_"))
+    return times.join(before, same).drop("key_", "block_").mapInPandas(
         opened, f"key string, block bigint, opened {longs}"
     )
 
@@ -182,7 +182,7 @@ def throttle(
         "*",
         F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)).alias("_key"),
         micros(F.col(ts)).alias("_t"),
-    ).withColumn("_block", F.floor(F.col("_t") / (window_micros * block_windows)).cast("bigint"))
+    ).withColumn("_block", time_bucket(F.col("_t"), window_micros * block_windows))
     windows = window_openings(
         timed.select(F.col("_key").alias("key"), F.col("_block").alias("block"), F.col("_t").alias("t")),
         window_micros,

@@ -67,3 +67,32 @@ def scan(
     if vulnerabilities is not None:
         findings = enrich_titles(findings, vulnerabilities)
     return findings
+
+
+def scan_workspaces(
+    requests: DataFrame,
+    min_severity: str = "low",
+    catalog: Catalog = DEFAULT,
+    detected_at: datetime | None = None,
+) -> DataFrame:
+    """Findings of workspace requests, each by the line engines it asks for.
+
+    A request is a row (scan_id, files, engines) as
+    :func:`lynceus.sources.workspace.read_requests` gives it. The requests share
+    one pass; a finding is kept when its scan asked for the engine.
+    """
+    files = requests.select("scan_id", "engines", F.inline("files"))
+    ext = extension(F.col("path"))
+    files = files.select(
+        "scan_id",
+        "engines",
+        "path",
+        "code",
+        language_of(F.col("language"), ext).alias("language"),
+    )
+    lines = catalog.of(SAST, SECRETS, AI_CODE)
+    raw = match(files, lines, parse_level(min_severity), keep=("scan_id", "engines"))
+    asked = raw.where(F.array_contains("engines", F.col("engine"))).withColumn(
+        "cve_id", F.lit(None).cast("string")
+    )
+    return to_findings(asked, detected_at, keep=("scan_id",))

@@ -13,6 +13,13 @@ MAX_FILE_BYTES = 512 * 1024
 MAX_WORKSPACE_BYTES = 5 * MAX_FILE_BYTES
 
 
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """JSON scan requests, one per line, with an id made of their content."""
+    requests = spark.read.schema(schemas.WORKSPACE_REQUEST).json(path)
+    body = F.to_json(F.struct("files", "engines"))
+    return requests.select(F.sha2(body, 256).alias("scan_id"), "files", "engines")
+
+
 def read_workspace(spark: SparkSession, path: str) -> DataFrame:
     """Files of JSON scan requests ``{"files": [...], "engines": [...]}``, one per line."""
     from lynceus.plans.scan import as_files

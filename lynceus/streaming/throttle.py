@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lynceus.functions.times import micros
 from lynceus.operators.throttle import (
     LIMIT,
     NEVER,
     WINDOW_MICROS,
     decide,
-    micros,
     state_after,
 )
 

@@ -360,6 +360,24 @@ def workspace_batches(spark, sf):
     return workspace.read_workspace(spark, path).select("path", "language", F.length("code").alias("chars"))
 
 
+@query(
+    "workspace_scans",
+    f"""WITH {findings_cte('conversations')} SELECT path AS file_path, rule_id, engine FROM found
+        WHERE (engine = 'sast' AND path NOT LIKE '%/1.md') OR (engine = 'secrets' AND path LIKE '%/1.md')""",
+)
+def workspace_scans(spark, sf):
+    """Requests that ask for different engines, scanned in one pass."""
+    from lynceus.plans.scan import scan_workspaces
+
+    path = work_dir(spark, "requests")
+    corpus(spark, sf, "conversations").selectExpr(
+        "array(named_struct('path', path, 'code', code, 'language', 'md')) AS files",
+        "CASE WHEN path LIKE '%/1.md' THEN array('secrets', 'none') ELSE array('sast') END AS engines",
+    ).write.json(path)
+    found = scan_workspaces(workspace.read_requests(spark, path), "info", detected_at=NOW)
+    return found.select("file_path", "rule_id", "engine")
+
+
 @query("oversize_files", "SELECT concat('documents/', CAST(doc_id AS STRING), '.txt') AS path, strlen(text) AS bytes, strlen(text) > 8192 AS rejected FROM documents")
 def oversize_files(spark, sf):
     kept, rejects = workspace.split_oversize(corpus(spark, sf, "documents"), 8192)

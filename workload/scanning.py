@@ -11,7 +11,7 @@ from lynceus.operators.findings import fixed_findings, new_findings
 from lynceus.operators.matching import match, without_tests
 from lynceus.plans.scan import scan
 from lynceus.rules.catalog import DEFAULT
-from lynceus.rules.model import Rule
+from lynceus.rules.model import Catalog, Rule, parse_engines, rules_from_df, without_engines
 from workload.base import NOW, corpus, corpus_sql, lines_sql, query, trim_sql
 from workload.rules_sql import (
     AI_CODE,
@@ -206,6 +206,45 @@ def user_rules(spark, sf):
     return found.where("rule_id LIKE 'U%'").select("rule_id", "file_path", "line_start")
 
 
+RULE_PATTERN = "concat('expr_', CAST(n_nationkey AS STRING), '[0-9]+[)]|order = ', CAST(n_nationkey AS STRING), '[0-9]*$')"
+
+
+NATION_LINES = " UNION ALL ".join(
+    f"SELECT {k} AS k, count(*) AS n FROM lines WHERE regexp_matches(line, 'expr_{k}[0-9]+[)]|order = {k}[0-9]*$')"
+    for k in range(25)
+)
+
+
+@query(
+    "rule_table",
+    f"""WITH lines AS ({lines_sql()}) SELECT concat('N', CAST(n_nationkey AS STRING)) AS rule_id, n_name AS title,
+        CASE n_regionkey WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE 'medium' END AS severity, n
+        FROM nation JOIN ({NATION_LINES}) ON k = n_nationkey WHERE n > 0""",
+)
+def rule_table(spark, sf):
+    """Rules kept as a table; they become literals of the plan."""
+    from workload.base import table
+
+    rows = table(spark, sf, "nation").selectExpr(
+        "concat('N', CAST(n_nationkey AS STRING)) AS rule_id", "'sast' AS engine", "n_nationkey AS ord", "n_name AS title",
+        f"{RULE_PATTERN} AS pattern", "CASE n_regionkey WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE 'medium' END AS severity",
+        "0 AS sev_rank", "'CWE-0' AS cwe_id", "'' AS description", "CAST(NULL AS STRING) AS scope",
+    )
+    found = match(corpus(spark, sf), Catalog(tuple(rules_from_df(rows))))
+    return found.groupBy("rule_id", "title", "severity").agg(F.count("*").alias("n"))
+
+
+@query(
+    "engine_selection",
+    f"WITH {findings_cte()} SELECT engine, count(*) AS n FROM found WHERE engine <> 'sast' GROUP BY engine",
+)
+def engine_selection(spark, sf):
+    """Default engines minus a disabled list; unknown names are dropped."""
+    engines = parse_engines([*without_engines(" SAST, sca"), "fuzzing"])
+    found = scan(corpus(spark, sf), engines, "info", detected_at=NOW)
+    return found.groupBy("engine").agg(F.count("*").alias("n"))
+
+
 LITERALS = """SELECT path, line_no, unnest(regexp_extract_all(line, '[=:]\\s*[''"]([^''"\\s]{20,})[''"]', 1)) AS literal FROM lines"""
 
 

@@ -64,7 +64,7 @@ def affected_versions(
     package named by a third of all manifests is matched once per version.
     """
     versions = (
-        dependencies.select(*COORDINATES)
+        spread(dependencies.select(*COORDINATES))
         .distinct()
         .withColumn("key", version_key(F.col("version")))
         .where("key IS NOT NULL")
@@ -134,6 +134,7 @@ def coverage(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     Dependencies without an advisory count as clean. A version that is no
     dotted number cannot be compared and is counted apart.
     """
+    dependencies = spread(dependencies)
     per_version = dependencies.groupBy(*COORDINATES).agg(F.count("*").alias("uses"))
     hits = affected_versions(dependencies, advisories).groupBy(*COORDINATES).agg(
         F.count("*").alias("advisories")

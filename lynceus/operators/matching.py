@@ -237,7 +237,7 @@ def match(
 
 def without_tests(files: DataFrame) -> DataFrame:
     """Files whose path does not look like a test, fixture or example."""
-    return files.where(~F.col("path").rlike(TEST_PATH))
+    return files.where(~F.coalesce("path", F.lit("")).rlike(TEST_PATH))
 
 
 def with_entropy(catalog: Catalog) -> Catalog:

@@ -32,7 +32,7 @@ def split_oversize(
     files: DataFrame, max_bytes: int = MAX_FILE_BYTES
 ) -> tuple[DataFrame, DataFrame]:
     """Files within the limit, and the rejected ones with a reason instead of their text."""
-    size = F.octet_length("code")
+    size = F.coalesce(F.octet_length("code"), F.lit(0))
     rejects = files.where(size > max_bytes).select(
         "path",
         size.alias("bytes"),
@@ -50,7 +50,7 @@ def split_oversize_batches(
     as the list of rejected batches measures small.
     """
     sizes = files.groupBy(batch).agg(
-        F.sum(F.octet_length("code")).alias("bytes"), F.count("*").alias("files")
+        F.sum(F.coalesce(F.octet_length("code"), F.lit(0))).alias("bytes"), F.count("*").alias("files")
     )
     rejects = sizes.where(F.col("bytes") > max_bytes).select(
         batch,

@@ -172,6 +172,32 @@ def test_engine_lists():
     assert without_engines(" SAST, sca,") == ("secrets", "ai_code")
 
 
+def test_first_match_is_part_of_every_match(spark, tables):
+    from dataclasses import replace
+    from lynceus.rules.model import Catalog
+
+    codes = [r["text"] for r in tables("documents").select("text").collect()][:5]
+    codes += ["user_id = 1; debug = True; verify=False", "exec(input())  # TODO check token", FIXTURE]
+    files = files_of(spark, *codes)
+    # The same rules under an engine that reports every match.
+    every = Catalog(tuple(replace(r, engine="sast") for r in DEFAULT.of("ai_code", "secrets").rules))
+    place = ["rule_id", "line_start", "file_path", "severity"]
+    first = scan(files, ["ai_code", "secrets"], "info").select(*place)
+    all_ = scan(files, ["sast"], "info", catalog=every).select(*place)
+    assert first.exceptAll(all_).count() == 0
+    assert all_.count() > first.count() > 0
+
+
+def test_files_without_a_path_are_kept(spark):
+    from lynceus.operators.matching import without_tests
+    from lynceus.sources.workspace import split_oversize
+
+    files = as_files(spark.createDataFrame([(None, "eval(x)"), ("b.py", None)], "path STRING, code STRING"))
+    assert scan(without_tests(files), ["sast"]).count() == 1
+    kept, rejects = split_oversize(files)
+    assert (kept.count(), rejects.count()) == (2, 0)
+
+
 def test_long_lines_cost_linear_time(spark):
     import time
 

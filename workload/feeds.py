@@ -18,7 +18,7 @@ from lynceus.plans.advisory_sync import sync_advisories
 from lynceus.scale import work_dir
 from lynceus.sources.feeds import read_analyzer, read_nvd, read_osv
 from lynceus.sources.sinks import write_version
-from workload.base import NOW, NOW_SQL, query, table
+from workload.base import NOW, NOW_SQL, derived, query, table
 
 SCORE = """CASE c_custkey % 7 WHEN 0 THEN 'CVSS:3.1/AV:N/AC:L' WHEN 1 THEN '' WHEN 2 THEN concat(CAST(c_custkey % 11 AS STRING), '.0/x')
  ELSE concat(CAST(c_custkey % 10 AS STRING), '.', CAST(c_custkey % 9 AS STRING)) END"""
@@ -197,6 +197,11 @@ def synced(spark, sf):
     )
 
 
+def stored_vulnerabilities(spark, sf):
+    """The table a sync has stored, as lookups find it."""
+    return derived(spark, sf, "vulnerabilities", lambda: synced(spark, sf))
+
+
 UPSERTED = "cve_id severity title description data_source ecosystem package_name".split()
 
 
@@ -222,12 +227,12 @@ def upsert_twice(spark, sf):
 @query("package_lookup", f"SELECT cve_id, ecosystem, package_name FROM ({UPSERT_SQL}) WHERE package_name IN ('lodash', 'Django', 'stored') AND ecosystem IN ('npm', 'PyPI')")
 def package_lookup(spark, sf):
     wanted = V.seed_df(spark, [("npm", "lodash"), ("PyPI", "Django"), ("npm", "stored")])
-    return V.by_package(synced(spark, sf), wanted).select("cve_id", "ecosystem", "package_name")
+    return V.by_package(stored_vulnerabilities(spark, sf), wanted).select("cve_id", "ecosystem", "package_name")
 
 
 @query("vulnerability_severity", f"SELECT severity, count(*) AS n FROM ({UPSERT_SQL}) WHERE severity IN ('critical', 'high') GROUP BY severity")
 def vulnerability_severity(spark, sf):
-    return V.by_severity(synced(spark, sf), "critical", "high").groupBy("severity").agg(F.count("*").alias("n"))
+    return V.by_severity(stored_vulnerabilities(spark, sf), "critical", "high").groupBy("severity").agg(F.count("*").alias("n"))
 
 
 # Findings of the order lines, half of them with a CVE ---------------------------
@@ -254,14 +259,14 @@ ENRICHED = f"""WITH v AS ({UPSERT_SQL})
 
 @query("title_enrichment", ENRICHED)
 def title_enrichment(spark, sf):
-    found = V.enrich_titles(cve_findings(spark, sf), synced(spark, sf))
+    found = V.enrich_titles(cve_findings(spark, sf), stored_vulnerabilities(spark, sf))
     return found.groupBy("cve_id", "title").agg(F.count("*").alias("n"))
 
 
 @query("title_enrichment_salted", ENRICHED)
 def title_enrichment_salted(spark, sf):
     """The same when the table is too large to broadcast; findings without a CVE are spread."""
-    found = V.enrich_titles(cve_findings(spark, sf), synced(spark, sf), max_bytes=0)
+    found = V.enrich_titles(cve_findings(spark, sf), stored_vulnerabilities(spark, sf), max_bytes=0)
     return found.groupBy("cve_id", "title").agg(F.count("*").alias("n"))
 
 

@@ -10,6 +10,7 @@ LEVELS = ("info", "low", "medium", "high", "critical")
 RANK = {level: rank for rank, level in enumerate(LEVELS)}
 
 DEFAULT_SCORE = 5.0
+NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
 def parse_level(name: str | None, default: str = "low") -> str:
@@ -47,9 +48,9 @@ def label(level: Column) -> Column:
 
 def cvss_severity(score: Column) -> Column:
     """Level of a CVSS score text; text before the first slash, 5.0 if no number."""
+    first = F.split_part(score, F.lit("/"), F.lit(1))
     number = F.coalesce(
-        F.split_part(score, F.lit("/"), F.lit(1)).try_cast("float"),
-        F.lit(DEFAULT_SCORE).cast("float"),
+        F.when(first.rlike(NUMBER), first.try_cast("float")), F.lit(DEFAULT_SCORE).cast("float")
     )
     return (
         F.when(number >= 9.0, "critical")
@@ -65,19 +66,22 @@ def first_cvss_severity(entries: Column) -> Column:
     return F.when(first.isNull(), "medium").otherwise(cvss_severity(first["score"]))
 
 
-def rank_order(findings: DataFrame) -> DataFrame:
+def rank_order(findings: DataFrame, stored: bool = False) -> DataFrame:
     """Most severe first.
 
     The tie-break names every column that tells two findings apart, so the
     order is total and the range partitioner can split a level that holds most
-    of the rows. The sort samples its input before it runs, so the findings are
-    written first and the scan behind them runs once.
+    of the rows. The sort samples its input before it runs. Unless the findings
+    are ``stored`` already they are written first, so the scan behind them runs
+    once.
     """
     from lynceus.rules.model import ENGINES
     from lynceus.scale import cut_lineage
 
+    if not stored:
+        findings = cut_lineage(findings, "findings")
     engines = F.array(*[F.lit(e) for e in ENGINES])
-    return cut_lineage(findings, "findings").orderBy(
+    return findings.orderBy(
         F.desc("sev_rank"),
         F.array_position(engines, F.col("engine")),
         "file_path",

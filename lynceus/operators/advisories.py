@@ -67,7 +67,6 @@ def affected_versions(
         spread(dependencies.select(*COORDINATES))
         .distinct()
         .withColumn("key", version_key(F.col("version")))
-        .where("key IS NOT NULL")
     )
     return (
         join_lookup(

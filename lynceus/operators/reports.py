@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lynceus.functions.severity import LEVELS, RANK, at_least, label, parse_level
+from lynceus.functions.severity import LEVELS, RANK, at_least, label, level_of, parse_level
 from lynceus.functions.text import empty_if_none
 from lynceus.scale import cut_lineage, join_lookup
 
@@ -75,7 +75,7 @@ def by_file(findings: DataFrame) -> DataFrame:
     ).agg(
         F.count("*").alias("total"),
         *level_counts(),
-        F.max_by("severity", "sev_rank").alias("top_severity"),
+        level_of(F.max("sev_rank")).alias("top_severity"),
     )
 
 

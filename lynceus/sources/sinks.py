@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynceus import schemas
-from lynceus.functions.severity import label
+from lynceus.functions.severity import label, rank_order
 from lynceus.functions.text import empty_if_none, none_if_empty
-from lynceus.operators.reports import scan_summary
+from lynceus.operators.reports import scan_summary, severity_totals
+from lynceus.scale import cut_lineage
 
 SEPARATOR = "─" * 60
 
@@ -62,12 +63,15 @@ def summary_line(summary: DataFrame) -> DataFrame:
     return summary.select(F.when(F.col("total") == 0, none).otherwise(counts).alias("value"))
 
 
-def write_text_report(findings: DataFrame, summary: DataFrame, path: str) -> None:
-    """Blocks in report order below ``path/findings``, the closing line in ``path/summary``."""
-    from lynceus.functions.severity import rank_order
+def write_text_report(findings: DataFrame, files: DataFrame, path: str) -> None:
+    """Blocks in report order below ``path/findings``, the closing line in ``path/summary``.
 
-    rank_order(text_report(findings)).select("value").write.text(f"{path}/findings")
-    summary_line(summary).write.text(f"{path}/summary")
+    The findings are written once; the order and the counts both read them back.
+    """
+    stored = cut_lineage(findings, "findings")
+    blocks = rank_order(text_report(stored), stored=True)
+    blocks.select("value").write.text(f"{path}/findings")
+    summary_line(severity_totals(stored, files)).write.text(f"{path}/summary")
 
 
 def scan_result_rows(findings: DataFrame, scan_id: str | None = None) -> DataFrame:

@@ -88,7 +88,8 @@ def test_kind_by_content(spark):
 
 def test_cvss(spark):
     cases = {"9.8": "critical", "7.5": "high", "5.4": "medium", "2.1": "low",
-             "CVSS:3.1/AV:N/AC:L": "medium", "": "medium", "9.0/x": "critical"}
+             "CVSS:3.1/AV:N/AC:L": "medium", "": "medium", "9.0/x": "critical",
+             "NaN": "medium", " 9": "medium", "1e1": "critical", "0": "low"}
     df = spark.createDataFrame(list(cases.items()), "s STRING, want STRING")
     assert df.where(cvss_severity(F.col("s")) != F.col("want")).count() == 0
 

@@ -129,7 +129,9 @@ def test_reports(spark, tmp_path):
     assert {r["rule_id"] for r in R.diagnostics(f, "bogus").collect()} == {"S05", "S01"}
     block = sinks.text_report(f).where("rule_id = 'S05'").first()["value"]
     assert block.startswith("HIGH — Dangerous Use of eval()\n  src/f0.py  line 1\n")
-    sinks.write_text_report(f, R.severity_totals(f, files), str(tmp_path / "txt"))
+    sinks.write_text_report(f, files, str(tmp_path / "txt"))
+    written = spark.read.option("wholetext", True).text(str(tmp_path / "txt/findings"))
+    assert "".join(r[0] for r in written.collect()).startswith("HIGH — ")
     sinks.write_json_report(f, str(tmp_path / "json"))
     assert spark.read.schema(schemas.FINDINGS).json(str(tmp_path / "json")).count() == 3
     per = {r["file_path"]: r for r in R.by_file(f).collect()}

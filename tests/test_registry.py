@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from workload import registry
 from workload.check import TABLES, check
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +22,9 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(driver.oracle_sql()) == set(driver.queries())
+    assert set(registry.SQL) == set(registry.QUERIES)
+    assert registry.QUERIES.items() <= driver.queries().items()
+    assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", SAMPLE)

@@ -7,7 +7,6 @@ import hashlib
 import heapq
 import json
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -18,10 +17,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lynceus.llm.memo import Memo
+
 SEGMENT_CHARS = 1 << 16
 BLOCK_BYTES = 1 << 13
-CACHED_CHUNKS = 300_000
-CACHED_CHARS = 40
+SHORT_BYTES = 24
+NO_RANK = 1 << 60
+CACHED_CHUNKS = 600_000
 
 # The characters with Unicode's White_Space property.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -71,34 +73,52 @@ class Transducer:
             if max(made.get(u, rank), made.get(v, rank)) >= rank or u + v in made:
                 raise ValueError(f"merge {rank} is out of order")
             made[u + v] = rank
-        self.ranks = {(ids[u], ids[v]): (rank, ids[u + v]) for rank, (u, v) in enumerate(merges)}
+        self.rank_of = {(ids[u], ids[v]): rank for rank, (u, v) in enumerate(merges)}.get
+        self.results = [ids[u + v] for u, v in merges]
         self.bytes_ids = [ids[bytes([b])] for b in range(256)]
         self.pieces = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in special.items()}
         self.special = special
         self.lookahead = sufficient_lookahead(merges)
         self._split = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self._cache: dict[str, bytes] = {}
+        self._packed = {i: i.to_bytes(4, "little") for i in self.pieces}
+        self._chunks = Memo(self._chunk, CACHED_CHUNKS)
 
     def merged(self, data: bytes) -> list[int]:
         """Tokens of a whole input: the lowest rank first, and the leftmost of equal rank."""
-        ids = [self.bytes_ids[b] for b in data]
-        n = len(ids)
+        ids = list(map(self.bytes_ids.__getitem__, data))
+        return self._merged_long(ids) if len(ids) > SHORT_BYTES else self._merged_short(ids)
+
+    def _merged_short(self, ids: list[int]) -> list[int]:
+        rank_of = self.rank_of
+        ranks = [rank_of(pair, NO_RANK) for pair in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) != NO_RANK:
+            at = ranks.index(least)
+            ids[at] = new = self.results[least]
+            del ids[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = rank_of((ids[at - 1], new), NO_RANK)
+            if at < len(ranks):
+                ranks[at] = rank_of((new, ids[at + 1]), NO_RANK)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        rank_of, n = self.rank_of, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r[0], i, r[1]) for i in range(n - 1) if (r := self.ranks.get((ids[i], ids[i + 1])))]
+        heap = [(r, i) for i, pair in enumerate(zip(ids, ids[1:])) if (r := rank_of(pair)) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i, new = heapq.heappop(heap)
+            rank, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j >= n or self.ranks.get((ids[i], ids[j]), (-1, 0))[0] != rank:
+            if ids[i] < 0 or j >= n or rank_of((ids[i], ids[j])) != rank:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = self.results[rank], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if r := self.ranks.get((new, ids[k])):
-                    heapq.heappush(heap, (r[0], i, r[1]))
-            if (h := before[i]) >= 0 and (r := self.ranks.get((ids[h], new))):
-                heapq.heappush(heap, (r[0], h, r[1]))
+                if (r := rank_of((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank_of((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, (r, h))
         return [i for i in ids if i >= 0]
 
     def stream(self, blocks: Iterator[bytes]) -> Iterator[list[int]]:
@@ -124,34 +144,32 @@ class Transducer:
         yield self.merged(held)
 
     def _chunk(self, chunk: str) -> bytes:
-        out = array("I")
+        """Packed ids of white space and what follows it."""
+        out: list[int] = []
         for word in _pretokens.findall(chunk):
             data = word.encode()
-            for ids in self.stream(data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)):
-                out.extend(ids)
-        packed = np.asarray(out, "<u4").tobytes()
-        if len(chunk) <= CACHED_CHARS:
-            if len(self._cache) >= CACHED_CHUNKS:
-                self._cache.clear()
-            self._cache[chunk] = packed
-        return packed
+            if len(data) <= BLOCK_BYTES:  # one block, and so all there is
+                out += self.merged(data)
+            else:
+                for ids in self.stream(data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)):
+                    out += ids
+        return b"".join(map(self._packed.__getitem__, out))
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids as little-endian 32-bit integers, a segment of the text at a time."""
         at = 0
         for m in self._split.finditer(text) if self._split else ():
             yield from self._plain(text[at : m.start()])
-            yield np.array([self.special[m[0]]], "<u4").tobytes()
+            yield self._packed[self.special[m[0]]]
             at = m.end()
         yield from self._plain(text[at:] if at else text)
 
     def _plain(self, text: str) -> Iterator[bytes]:
-        cache, at = self._cache, 0
+        at = 0
         while at < len(text):
             cut = _cut.search(text, at + SEGMENT_CHARS) if len(text) - at > SEGMENT_CHARS else None
             end = cut.start() if cut else len(text)
-            chunks = _chunks.findall(text, at, end)
-            yield b"".join([cache.get(c) or self._chunk(c) for c in chunks])
+            yield b"".join(map(self._chunks.__getitem__, _chunks.findall(text, at, end)))
             at = end
 
 

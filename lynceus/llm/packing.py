@@ -13,43 +13,37 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lynceus.llm.memo import Memo
+
 WINDOW = 2048
 END_ID = 1
-CACHED_CHUNKS = 300_000
-CACHED_BYTES = 48
 OUT_ROWS = 20_000
+CACHED_CHUNKS = 600_000
 TASK_SEQUENCES = 1 << 38
 
 
-class ChunkIds(dict):
-    """Text between spaces to its packed ids; the tokenizer never joins over ASCII white space."""
-
-    def __init__(self, source: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self._tokenizer = Tokenizer.from_str(source)
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
+@lru_cache(maxsize=2)
+def chunk_ids(source: str) -> Memo:
+    """Packed ids of what stands between spaces; the tokenizer never joins over ASCII white space."""
+    from tokenizers import Tokenizer
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self._tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        packed = np.asarray(ids, "<u4").tobytes()
-        if len(chunk) <= CACHED_BYTES:
-            if len(self) >= CACHED_CHUNKS:
-                self.clear()
-            self[chunk] = packed
-        return packed
+    tokenizer = Tokenizer.from_str(source)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
 
+    def ids(chunk: bytes) -> bytes:
+        return b"".join([packed[i] for i in tokenizer.encode(chunk.decode(), add_special_tokens=False).ids])
 
-@lru_cache(maxsize=2)
-def chunk_ids(source: str) -> ChunkIds:
-    return ChunkIds(source)
+    return Memo(ids, CACHED_CHUNKS)
 
 
-def document_ids(text: str | None, chunks: ChunkIds, end_id: int = END_ID) -> bytes:
+def document_ids(text: str | None, chunks: Memo, end_id: int = END_ID) -> bytes:
     """The ids of a whole text and the end id, as little-endian 32-bit integers."""
-    return b"".join(map(chunks.__getitem__, (text or "").encode().split())) + end_id.to_bytes(4, "little")
+    text = text or ""
+    # The tokenizer ignores case. For letters that can't combine with marks it may be dropped before.
+    plain = text.lower() if text.isascii() and "<|" not in text else text
+    return b"".join(map(chunks.__getitem__, plain.encode().split())) + end_id.to_bytes(4, "little")
 
 
 #: A piece of a document in a window: document, its tokens, first token, packed ids.

@@ -10,25 +10,13 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from lynceus.llm.memo import Memo
+
 SPACES = " \t\n\x0b\x0c\r"
 MULTIPLIER = 0x9E3779B97F4A7C15
-CACHED_WORDS = 300_000
-CACHED_BYTES = 48
-
-
-class WordHashes(dict):
-    """Word to 64-bit hash; remembers short words and forgets all when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = value
-        return value
 
 
-_HASHES = WordHashes()
+_HASHES = Memo(xxhash.xxh64_intdigest, limit=200_000)
 
 
 def split_words(text: str | None) -> list[bytes]:

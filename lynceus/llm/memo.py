@@ -19,8 +19,12 @@ class Memo(dict):
 
     def __missing__(self, key):
         value = self._old.get(key)
-        if value is None:
-            value = self._make(key)
+        return self.put(key, self._make(key) if value is None else value)
+
+    def unknown(self, keys: set) -> list:
+        return [k for k in keys - self.keys() if k not in self._old]
+
+    def put(self, key, value):
         if len(key) <= self._longest:
             if len(self) >= self._limit:
                 self._old = dict(self)

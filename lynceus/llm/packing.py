@@ -19,31 +19,58 @@ WINDOW = 2048
 END_ID = 1
 OUT_ROWS = 20_000
 CACHED_CHUNKS = 600_000
+LEARNED = 500
+TOGETHER = 64
 TASK_SEQUENCES = 1 << 38
 
 
-@lru_cache(maxsize=2)
-def chunk_ids(source: str) -> Memo:
+class ChunkIds(Memo):
     """Packed ids of what stands between spaces; the tokenizer never joins over ASCII white space."""
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(source)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+    def __init__(self, source: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(self._one, CACHED_CHUNKS)
+        self._tokenizer = Tokenizer.from_str(source)
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
 
-    def ids(chunk: bytes) -> bytes:
-        return b"".join([packed[i] for i in tokenizer.encode(chunk.decode(), add_special_tokens=False).ids])
+    def _one(self, chunk: bytes) -> bytes:
+        return np.asarray(self._tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    return Memo(ids, CACHED_CHUNKS)
+    def learn(self, chunks: set[bytes]) -> None:
+        """Encodes new chunks many at a time; the places of the tokens tell which chunk they are of."""
+        new = [c.decode() for c in self.unknown(chunks)]
+        for i in range(0, len(new), LEARNED):
+            part = new[i : i + LEARNED]
+            found = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            cuts = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
+            ids = np.asarray(found.ids, "<u4").tobytes()
+            for chunk, a, b in zip(part, cuts, cuts[1:]):
+                self.put(chunk.encode(), ids[a:b])
 
 
-def document_ids(text: str | None, chunks: Memo, end_id: int = END_ID) -> bytes:
-    """The ids of a whole text and the end id, as little-endian 32-bit integers."""
+@lru_cache(maxsize=2)
+def chunk_ids(source: str) -> ChunkIds:
+    return ChunkIds(source)
+
+
+def text_chunks(text: str | None) -> list[bytes]:
+    """The tokenizer ignores case. For letters that can't combine with marks it may be dropped before."""
     text = text or ""
-    # The tokenizer ignores case. For letters that can't combine with marks it may be dropped before.
-    plain = text.lower() if text.isascii() and "<|" not in text else text
-    return b"".join(map(chunks.__getitem__, plain.encode().split())) + end_id.to_bytes(4, "little")
+    return (text.lower() if text.isascii() and "<|" not in text else text).encode().split()
+
+
+def document_ids(texts: list[str | None], chunks: ChunkIds, end_id: int = END_ID) -> Iterator[bytes]:
+    """Each whole text's ids and the end id, as little-endian 32-bit integers."""
+    end = end_id.to_bytes(4, "little")
+    for i in range(0, len(texts), TOGETHER):
+        split = [text_chunks(t) for t in texts[i : i + TOGETHER]]
+        chunks.learn(set().union(*split))
+        for words in split:
+            yield b"".join(map(chunks.__getitem__, words)) + end
 
 
 #: A piece of a document in a window: document, its tokens, first token, packed ids.
@@ -179,8 +206,7 @@ def pack(
         def read() -> Iterator[tuple[object, bytes]]:
             for batch in batches:
                 kinds[:] = [batch.schema.field(0).type]
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    yield doc, document_ids(text, chunks, end_id)
+                yield from zip(batch.column(0).to_pylist(), document_ids(batch.column(1).to_pylist(), chunks, end_id))
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
             ids, *rest = zip(*out)

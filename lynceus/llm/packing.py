@@ -5,6 +5,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 from pathlib import Path
 
 import numpy as np
@@ -68,9 +70,10 @@ def document_ids(texts: list[str | None], chunks: ChunkIds, end_id: int = END_ID
     end = end_id.to_bytes(4, "little")
     for i in range(0, len(texts), TOGETHER):
         split = [text_chunks(t) for t in texts[i : i + TOGETHER]]
-        chunks.learn(set().union(*split))
-        for words in split:
-            yield b"".join(map(chunks.__getitem__, words)) + end
+        found = [chunks.known(words) for words in split]
+        chunks.learn({w for words, ids in zip(split, found) for w in compress(words, map(not_, ids))})
+        for words, ids in zip(split, found):
+            yield b"".join([x or chunks[w] for w, x in zip(words, ids)]) + end
 
 
 #: A piece of a document in a window: document, its tokens, first token, packed ids.

@@ -19,12 +19,15 @@ from lynceus.scale import cut_lineage
 SHINGLE = 5
 PERCENT = 75
 TREES = 6
-PICKS = 2
-LEAF = 128
+ROOT_PICKS = 2
+LEAF = 1024
 DEPTH = 8
-POSITIONS = 128
-#: Share of equal signature positions below which a pair is not checked: five deviations under the threshold.
-ESTIMATE = 0.55
+POSITIONS = 64
+#: Share of equal signature positions from which a pair is checked: over four deviations below the threshold.
+ESTIMATE = 0.5
+MARGIN = 0.1
+GROUP = 2048
+HUB_ROUNDS = 6
 _ROWS = 2048
 _rng = np.random.default_rng(3)
 _FLIP = _rng.integers(0, 1 << 63, POSITIONS, np.uint64)
@@ -70,12 +73,12 @@ def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
-            rows = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
+            rows = [shingles(t) for t in part.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))],
-                ["of", "hashes"],
-            )
+            values = np.concatenate([np.empty(0, np.uint64), *rows]).view(np.int64)
+            signs = pa.array([signature(r) for r in rows], pa.binary())
+            hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            yield pa.RecordBatch.from_arrays([part.column(0), hashes, signs], ["of", "hashes", "set_sig"])
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -90,47 +93,50 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, POSITIONS)
 
 
-def _clusters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Small nodes, exhaustively: members whose signatures are close enough to be worth a check, in connected clusters."""
-    keys, members = [], []
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(members, pa.int64())], ["cluster", "member"])
-        keys.clear()
-        members.clear()
-        return out
-
+def _leaf_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small nodes, exhaustively: a forest over the members whose signatures make a check worth while."""
+    a, b = [], []
     for group in sorted_groups(batches, "node"):
-        ids, sig = group["class_id"].to_numpy(), _matrix(group["sig"])
-        close = np.zeros((len(ids), len(ids)), bool)
-        for i in range(len(ids)):
-            close[i] = (sig == sig[i]).mean(axis=1) >= ESTIMATE
+        ids, sig = group["class_id"].to_pylist(), _matrix(group["sig"])
         forest = Forest()
-        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(close, 1)))):
-            forest.join(i, j)
-        parts: dict[int, list[int]] = {}
-        for i in range(len(ids)):
-            parts.setdefault(forest.find(i), []).append(int(ids[i]))
-        for part in parts.values():
-            part = sorted(set(part))
-            if len(part) > 1:
-                digest = hashlib.blake2b(np.array(part, np.int64).tobytes(), digest_size=8).digest()
-                keys += [int.from_bytes(digest, "little", signed=True)] * len(part)
-                members += part
-        if len(keys) > 20_000:
-            yield flush()
-    yield flush()
+        for i in range(1, len(ids)):
+            close = np.flatnonzero((sig[:i] == sig[i]).mean(axis=1) >= ESTIMATE)
+            for j in close.tolist():
+                if forest.join(ids[i], ids[j]):
+                    a.append(ids[i])
+                    b.append(ids[j])
+        if len(a) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each cluster on full sets; a pair that other links join already needs no check."""
-    for group in sorted_groups(batches, "cluster"):
-        ids, sets = group["member"].to_pylist(), list_rows(group["hashes"], np.int64)
-        forest, a, b = Forest(), [], []
-        for i in range(len(ids)):
-            for j in range(i):
-                if forest.find(ids[i]) != forest.find(ids[j]) and alike(sets[i], sets[j]):
-                    forest.join(ids[i], ids[j])
+    """Links of each group on full sets.
+
+    Pairs are taken from the highest estimate down. One that other links connect
+    already needs no check, so a group of alike documents costs about one check a member.
+    Members with role 0 are compared with those of role 1; without role 1, with each other.
+    """
+    for group in sorted_groups(batches, "task"):
+        ids, sets, sig = group["member"].to_pylist(), list_rows(group["hashes"], np.int64), _matrix(group["set_sig"])
+        role = group["role"].to_numpy()
+        others = np.flatnonzero(role == 1)
+        found = []
+        for i in np.flatnonzero(role == 0).tolist():
+            against = others if len(others) else np.arange(i)
+            equal = (sig[against] == sig[i]).sum(axis=1, dtype=np.int16)
+            near = np.flatnonzero(equal >= ESTIMATE * POSITIONS)
+            found.append((np.full(len(near), i, np.int32), against[near].astype(np.int32), equal[near]))
+        p, q, equal = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, int),) * 3
+        name = {x: k for k, x in enumerate(dict.fromkeys(ids))}
+        label = np.array([name[x] for x in ids], np.int64)
+        a, b = [], []
+        for level in range(POSITIONS, 0, -1):
+            at = equal == level
+            for i, j in zip(p[at].tolist(), q[at].tolist()):
+                if label[i] != label[j] and alike(sets[i], sets[j]):
+                    label[label == label[i]] = label[j]
                     a.append(ids[i])
                     b.append(ids[j])
         if a:
@@ -149,6 +155,17 @@ def _key(node: Column, position: Column) -> Column:
     return F.xxhash64(node, position, F.substring(F.col("sig"), 4 * position + 1, F.lit(4)))
 
 
+def _children() -> Column:
+    """Child nodes by one position of the node's choice and, in every third node, by two: 4/3 on average.
+
+    That is one over the threshold, so paths of pairs below it die out and their
+    number doesn't grow with the depth.
+    """
+    position = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS)).cast("int")
+    one, two = (_key(F.col("node"), position(k)) for k in (0, 1))
+    return F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(3)) == 0, F.array(one, two)).otherwise(F.array(one))
+
+
 def _summary(rows: DataFrame) -> DataFrame:
     """Size, hub and a digest of the members of each node."""
     return rows.groupBy("node").agg(
@@ -163,22 +180,21 @@ def _of(rows: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
     return rows.join(nodes.select(F.col("node").alias("in_node"), *more), F.col("node") == F.col("in_node")).drop("in_node")
 
 
-def _clustered(rows: DataFrame, signs: DataFrame) -> DataFrame:
-    """(cluster, member) of small nodes, each different cluster once."""
-    with_sig = rows.join(signs, F.col("class_id") == F.col("signed")).select("node", "class_id", "sig")
-    sorted_rows = with_sig.repartition("node").sortWithinPartitions("node")
-    return cut_lineage(sorted_rows.mapInArrow(_clusters, "cluster bigint, member bigint").distinct(), "clusters")
-
-
 def _small(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows of the small nodes; of nodes with the same members, one."""
     once = nodes.where(F.col("size") <= LEAF).groupBy("size", "x1", "x2").agg(F.min("node").alias("node"))
     return _of(rows, once)
 
 
+def _leaves(rows: DataFrame, signs: DataFrame) -> DataFrame:
+    with_sig = rows.join(signs, F.col("class_id") == F.col("signed")).select("node", "class_id", "sig")
+    found = with_sig.repartition("node").sortWithinPartitions("node").mapInArrow(_leaf_links, "a bigint, b bigint")
+    return cut_lineage(found.distinct(), "candidates")
+
+
 def _chunk_pairs(rows: DataFrame) -> DataFrame:
     """Crowded nodes that paths no longer split, as pairs of chunks: every two members meet in a small node."""
-    sizes = rows.groupBy(F.col("node").alias("in_node")).agg(F.ceil(F.count("*") * 2 / LEAF).cast("int").alias("chunks"))
+    sizes = rows.groupBy(F.col("node").alias("in_node")).agg(F.ceil(F.count("*") * 3 / LEAF).cast("int").alias("chunks"))
     cut = rows.join(sizes, F.col("node") == F.col("in_node")).withColumn(
         "chunk", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int")
     )
@@ -189,61 +205,123 @@ def _chunk_pairs(rows: DataFrame) -> DataFrame:
     return cut.select(F.explode(others).alias("node"), "class_id")
 
 
-def _hub_step(big: DataFrame, signs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Compares all members of each crowded node with its hub: links, and the members that must go on.
+def _hub_step(big: DataFrame, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Compares all members of each crowded node with its hub: candidates, and the rows of the next level.
 
-    A member linked to the hub may leave its node if no unlinked member can be within
-    the threshold of it. Jaccard distance is a metric, so that is sure where its
-    distance to the hub is under the least distance of an unlinked member less the
-    threshold. The hub itself always leaves.
+    A member near the hub leaves its node if nothing that is not near the hub can be within the
+    threshold of it. Jaccard distance is a metric, so that holds where its
+    estimate exceeds the largest estimate of a member not near the hub by the
+    threshold and a margin at both. The hub itself always leaves.
     """
     hubs = signs.select(F.col("signed").alias("hub_id"), F.col("sig").alias("hub_sig"))
     near = big.join(signs, F.col("class_id") == F.col("signed")).join(hubs, F.col("hub") == F.col("hub_id"))
     near = cut_lineage(near.select("node", "class_id", "hub", _estimate(F.col("sig"), F.col("hub_sig")).alias("estimate")), "hub-estimates")
-    pairs = near.where((F.col("estimate") >= ESTIMATE) & (F.col("class_id") != F.col("hub"))).select("hub", "class_id").distinct()
-    hub_sets = sets.select(F.col("of").alias("hub_of"), F.col("hashes").alias("hub_hashes"))
-    both = pairs.join(sets, F.col("class_id") == F.col("of")).join(hub_sets, F.col("hub") == F.col("hub_of"))
-    common = F.size(F.array_intersect("hashes", "hub_hashes"))
-    sized = both.select("hub", "class_id", common.alias("common"), (F.size("hashes") + F.size("hub_hashes") - common).alias("either"))
-    checked = cut_lineage(
-        sized.select(
-            F.col("hub").alias("c_hub"),
-            F.col("class_id").alias("c_id"),
-            (100 * F.col("common") >= PERCENT * F.col("either")).alias("linked"),
-            (1 - F.col("common") / F.col("either")).alias("exact"),
-        ),
-        "hub-links",
+    far = near.where(F.col("estimate") < ESTIMATE).groupBy(F.col("node").alias("in_node")).agg(F.max("estimate").alias("most"))
+    bound = F.coalesce("most", F.lit(-1.0)) + (1 - PERCENT / 100) + 2 * MARGIN
+    stay = near.join(far, F.col("node") == F.col("in_node"), "left").where(
+        (F.col("class_id") != F.col("hub")) & ((F.col("estimate") < ESTIMATE) | (F.col("estimate") <= bound))
     )
-    limit = 1 - PERCENT / 100
-    told = near.join(checked, (F.col("hub") == F.col("c_hub")) & (F.col("class_id") == F.col("c_id")), "left").select(
-        "node",
-        "class_id",
-        "hub",
-        F.coalesce("linked", F.col("class_id") == F.col("hub")).alias("linked"),
-        F.coalesce("exact", F.when(F.col("class_id") == F.col("hub"), 0.0), F.greatest(F.lit(limit), 0.8 - F.col("estimate"))).alias("distance"),
+    candidates = near.where((F.col("estimate") >= ESTIMATE) & (F.col("class_id") != F.col("hub"))).select(
+        F.col("class_id").alias("a"), F.col("hub").alias("b")
     )
-    least = told.where("NOT linked").groupBy(F.col("node").alias("in_node")).agg(F.min("distance").alias("least"))
-    stay = told.join(least, F.col("node") == F.col("in_node"), "left").where(
-        "class_id != hub AND (NOT linked OR distance >= least - %s)" % limit
+    rows = stay.select("node", "class_id").join(signs, F.col("class_id") == F.col("signed"))
+    return candidates.distinct(), cut_lineage(rows.select(F.explode(_children()).alias("node"), "class_id").distinct(), "paths")
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) worth a check that connect all pairs which share a small node of some tree."""
+    signs = classes.select(F.col("class_id").alias("signed"), "sig")
+    roots = [_key(F.lit(-1 - t), F.lit(ROOT_PICKS * t + k)) for t in range(TREES) for k in range(ROOT_PICKS)]
+    rows = classes.select(F.explode(F.array(*roots)).alias("node"), "class_id")
+    found: DataFrame | None = None
+    for level in range(DEPTH + 1):
+        nodes = cut_lineage(_summary(rows), "nodes")
+        leaves = _leaves(_small(rows, nodes), signs)
+        found = leaves if found is None else found.unionAll(leaves)
+        crowded = nodes.where(F.col("size") > LEAF)
+        if crowded.isEmpty():
+            return found
+        big = cut_lineage(_of(rows, crowded, "hub"), "crowded")
+        if level == DEPTH:
+            return found.unionAll(_leaves(_chunk_pairs(big.select("node", "class_id")), signs))
+        near, rows = _hub_step(big, signs)
+        found = found.unionAll(near)
+    return found
+
+
+def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are links on full sets."""
+    mine, theirs = (sets.select(F.col("of").alias(f"of_{c}"), F.col("hashes").alias(f"hashes_{c}")) for c in "ab")
+    both = pairs.join(mine, F.col("a") == F.col("of_a")).join(theirs, F.col("b") == F.col("of_b"))
+    common = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    sized = both.select("a", "b", common.alias("common"), (F.size("hashes_a") + F.size("hashes_b")).alias("sum"))
+    return sized.where(100 * F.col("common") >= PERCENT * (F.col("sum") - F.col("common"))).select("a", "b")
+
+
+def _checked(tasks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within the tasks (task, member, role), members of which are compared in one Python task each."""
+    rows = tasks.join(sets, F.col("member") == F.col("of")).select("task", "member", "role", "hashes", "set_sig")
+    return cut_lineage(rows.repartition("task").sortWithinPartitions("task").mapInArrow(_verified, "a bigint, b bigint"), "links")
+
+
+def _crowded_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of groups too large for one task.
+
+    In each round one hub a group is checked against all members outside its component; only components
+    matter, so members that links connect already are not compared. From the second round on the hub
+    comes from outside the group's largest component. What is outside it after the last
+    round is checked against the whole group, in blocks.
+    """
+    links = members.sparkSession.createDataFrame([], "a bigint, b bigint")
+    for turn in range(HUB_ROUNDS + 1):
+        labels = connected_components(links, "a", "b", "labels") if turn else links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        named = members.join(labels, F.col("member") == F.col("id"), "left").select(
+            "comp", "member", F.coalesce("component", "member").alias("label")
+        )
+        named = cut_lineage(named, "labels")
+        counts = named.groupBy(F.col("comp").alias("g"), "label").agg(F.count("*").alias("n"))
+        main = counts.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+        if main.isEmpty():
+            return links
+        open_rows = cut_lineage(named.join(main, F.col("comp") == F.col("g")).select("comp", "member", "label", "main"), "open")
+        if turn == HUB_ROUNDS:
+            break
+        pick = open_rows.where("label != main") if turn else open_rows
+        hubs = pick.groupBy(F.col("comp").alias("g")).agg(F.min(F.struct("member", "label")).alias("hub"))
+        pairs = open_rows.join(hubs, F.col("comp") == F.col("g")).where("label != hub.label").select(
+            F.col("member").alias("a"), F.col("hub.member").alias("b")
+        )
+        links = links.unionAll(cut_lineage(_exact(pairs, sets), "links"))
+    half = GROUP // 2
+    sizes = open_rows.groupBy(F.col("comp").alias("g")).agg(
+        F.ceil(F.count("*") / half).cast("int").alias("all_chunks"),
+        F.ceil(F.sum((F.col("label") != F.col("main")).cast("int")) / half).cast("int").alias("out_chunks"),
+    )
+    cut = open_rows.join(sizes, F.col("comp") == F.col("g"))
+    at = lambda n: F.pmod(F.xxhash64("member"), F.col(n)).cast("int")
+    spread = lambda n, key, role: F.transform(
+        F.sequence(F.lit(0), F.col(n) - 1), lambda j: F.struct(key(j).alias("task"), F.lit(role).alias("role"))
     )
-    links = checked.where("linked AND c_id != c_hub").select(F.col("c_id").alias("a"), F.col("c_hub").alias("b"))
-    return links, cut_lineage(stay.select("node", "class_id").distinct(), "paths")
+    queries = spread("all_chunks", lambda j: F.xxhash64("comp", at("out_chunks"), j), 0)
+    whole = spread("out_chunks", lambda j: F.xxhash64("comp", j, at("all_chunks")), 1)
+    tasks = cut.select("member", F.explode(F.when(F.col("label") != F.col("main"), F.concat(queries, whole)).otherwise(whole)).alias("to"))
+    return links.unionAll(_checked(tasks.select("to.task", "member", "to.role"), sets))
 
 
 def document_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept.
 
-    Documents with equal shingle sets are one class. Each class has a signature of 128
-    minwise tokens. In each of six independent trees it is sent down two paths from the
-    root and from every node it reaches, one for its token at each of the node's two
-    positions. A node of up to 128 classes is compared exhaustively, by signature and
-    then, where the estimate is over 0.55, on full sets. In a larger node all
-    members are compared with its hub, what that settles leaves, and the rest
-    branches on. What is still crowded after eight levels is compared in
-    pairs of chunks. A pair at the threshold is missed by a tree with a chance of
-    about 1/16 at the first level and 1/9 over many, so by all six with less
-    than one in 100,000. Every link is confirmed on full sets, and nodes give spanning links,
-    not all pairs; components follow.
+    Documents with equal shingle sets are one class, with a signature of 64
+    minwise tokens. In each of six independent trees a class goes down two paths
+    from the root, one for its token at each of two positions, and 4/3 on average
+    from every later node. A node of up to 1024 classes is compared exhaustively by
+    signature. In a larger one all members are compared with its hub, what that
+    settles leaves, and the rest branches on; what is still crowded after eight levels
+    is compared in pairs of chunks. Connected candidates are a group, and a group is verified
+    on full sets: in one task up to 2048 classes, beyond that with hubs and in blocks.
+    A pair at the threshold shares a first-level node with a chance of 1 - 0.25**12; through a
+    crowded node of several levels a tree still finds it about every other time, and six trees nearly
+    always. A link is only what full sets confirm; groups give spanning links, not all pairs.
 
     Null texts and texts without words have no shingles and link with nothing. Rows of null id
     link with nothing: component null, kept. Rows that repeat an id are one
@@ -262,44 +340,21 @@ def document_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ),
         "classes",
     )
-    signs = classes.select(F.col("class_id").alias("signed"), "sig")
-    roots = [_key(F.lit(-1 - tree), F.lit(PICKS * tree + pick)) for tree in range(TREES) for pick in range(PICKS)]
-    rows = classes.select(F.explode(F.array(*roots)).alias("node"), "class_id")
-    nodes = cut_lineage(_summary(rows), "nodes")
-    clusters = [_clustered(_small(rows, nodes), signs)]
-    big = cut_lineage(_of(rows, nodes.where(F.col("size") > LEAF), "hub"), "crowded")
+    groups = connected_components(_candidates(classes), "a", "b", "candidate-groups")
+    members = groups.select(F.col("id").alias("member"), F.col("component").alias("comp"))
+    members = members.unionAll(groups.select(F.col("component").alias("member"), F.col("component").alias("comp")).distinct())
+    sizes = members.groupBy(F.col("comp").alias("g")).agg(F.count("*").alias("size"))
+    members = cut_lineage(members.join(sizes, F.col("comp") == F.col("g")).select("comp", "member", "size"), "groups")
 
-    wanted = clusters[0].select(F.col("member").alias("wanted")).unionAll(big.select("class_id")).distinct()
-    wanted = classes.select("class_id", "row").join(wanted, F.col("class_id") == F.col("wanted"))
+    wanted = classes.select("class_id", "row").join(members.select("member"), F.col("class_id") == F.col("member"))
     same = (F.col("doc") == F.col("class_id")) & (F.col("text_row") == F.col("row"))
-    sets = cut_lineage(texts.join(wanted, same).select("doc", "text").mapInArrow(_set_rows, "of bigint, hashes array<bigint>"), "shingle-sets")
-
-    links, level = [], 0
-    while not big.isEmpty():
-        if level == DEPTH:
-            clusters.append(_clustered(_chunk_pairs(big.select("node", "class_id")), signs))
-            break
-        found, stay = _hub_step(big, signs, sets)
-        links.append(found)
-        position = lambda pick: F.pmod(F.xxhash64("node", F.lit(pick)), F.lit(POSITIONS)).cast("int")
-        rows = stay.join(signs, F.col("class_id") == F.col("signed")).select(
-            F.explode(F.array(*[_key(F.col("node"), position(p)) for p in range(PICKS)])).alias("node"), "class_id"
-        )
-        rows = cut_lineage(rows.distinct(), "paths")
-        nodes = cut_lineage(_summary(rows), "nodes")
-        clusters.append(_clustered(_small(rows, nodes), signs))
-        big = cut_lineage(_of(rows, nodes.where(F.col("size") > LEAF), "hub"), "crowded")
-        level += 1
-
-    members = clusters[0]
-    for more in clusters[1:]:
-        members = members.unionAll(more)
-    members = members.distinct().join(sets, F.col("member") == F.col("of")).select("cluster", "member", "hashes")
-    confirmed = members.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_verified, "a bigint, b bigint")
-    confirmed = cut_lineage(confirmed, "links")
-    for more in links:
-        confirmed = confirmed.unionAll(more)
-    components = connected_components(confirmed, "a", "b")
+    sets = texts.join(wanted, same).select("doc", "text").mapInArrow(_set_rows, "of bigint, hashes array<bigint>, set_sig binary")
+    sets = cut_lineage(sets, "shingle-sets")
+    links = _checked(members.where(F.col("size") <= GROUP).select(F.col("comp").alias("task"), "member", F.lit(0).alias("role")), sets)
+    large = members.where(F.col("size") > GROUP)
+    if not large.isEmpty():
+        links = links.unionAll(_crowded_links(large.select("comp", "member"), sets))
+    components = connected_components(links, "a", "b")
     named = classes.select(F.col("n").alias("c_n"), F.col("f1").alias("c_1"), F.col("f2").alias("c_2"), "class_id").join(
         components, F.col("class_id") == F.col("id"), "left"
     )

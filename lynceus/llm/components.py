@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lynceus.scale import cut_lineage
 
+TASK_LINKS = 250_000
+
 
 class Forest:
     """Union-find whose roots are the smallest members."""
@@ -62,17 +64,22 @@ def _state(links: DataFrame) -> tuple:
 def connected_components(links: DataFrame, a: str, b: str, purpose: str = "components") -> DataFrame:
     """(id, component) for every linked id that is not the smallest of its component.
 
-    Each task first reduces its own links to a forest, which keeps connectivity.
-    Then large-star and small-star rounds run until nothing changes; a round is
-    written to the shared folder, so a lost executor costs one round. A hub's
-    links meet only in partial minima and in joins that Spark can split.
-    Links with a null end are ignored; an empty table gives an empty result.
+    Each task reduces its own links to a forest, which keeps connectivity. Forests
+    of up to ``TASK_LINKS`` links a task are then merged; where that is one task, it is
+    done. Otherwise large-star and small-star rounds follow until nothing changes or
+    what is left fits a task. Each step is written to the shared folder, so a lost
+    executor costs one step. A hub's links meet only in partial minima and in joins
+    that Spark can split. Links with a null end are ignored; an empty table gives an empty result.
     """
     pairs = links.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v"))
     pairs = pairs.where("u IS NOT NULL AND v IS NOT NULL AND u != v")
-    now = cut_lineage(_towards(pairs.mapInArrow(_contract, "u bigint, v bigint")), purpose)
-    state = _state(now)
-    while state[0]:
+    now = cut_lineage(pairs.mapInArrow(_contract, "u bigint, v bigint"), purpose)
+    state: tuple | None = None
+    while True:
+        tasks = -(-now.count() // TASK_LINKS)
+        now = cut_lineage(now.coalesce(max(tasks, 1)).mapInArrow(_contract, "u bigint, v bigint"), purpose)
+        if tasks <= 1:
+            break
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

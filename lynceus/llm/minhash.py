@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lynceus.llm.components import Forest, connected_components
+from lynceus.llm.components import connected_components
 from lynceus.llm.groups import list_rows, sorted_groups
 from lynceus.llm.lines import row_key
 from lynceus.llm.words import mixed, window_hashes, word_hashes
@@ -20,13 +20,13 @@ SHINGLE = 5
 PERCENT = 75
 TREES = 6
 ROOT_PICKS = 2
-LEAF = 1024
+LEAF = 4096
 DEPTH = 8
 POSITIONS = 64
 #: Share of equal signature positions from which a pair is checked: over four deviations below the threshold.
 ESTIMATE = 0.5
 MARGIN = 0.1
-GROUP = 2048
+GROUP = 4096
 HUB_ROUNDS = 6
 _ROWS = 2048
 _rng = np.random.default_rng(3)
@@ -98,13 +98,13 @@ def _leaf_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = [], []
     for group in sorted_groups(batches, "node"):
         ids, sig = group["class_id"].to_pylist(), _matrix(group["sig"])
-        forest = Forest()
+        label = np.arange(len(ids))
         for i in range(1, len(ids)):
-            close = np.flatnonzero((sig[:i] == sig[i]).mean(axis=1) >= ESTIMATE)
-            for j in close.tolist():
-                if forest.join(ids[i], ids[j]):
-                    a.append(ids[i])
-                    b.append(ids[j])
+            close = label[:i][(sig[:i] == sig[i]).mean(axis=1) >= ESTIMATE]
+            for j in np.unique(close).tolist():
+                label[label == j] = i
+                a.append(ids[i])
+                b.append(ids[j])
         if len(a) > 20_000:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
             a, b = [], []
@@ -189,7 +189,7 @@ def _small(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 def _leaves(rows: DataFrame, signs: DataFrame) -> DataFrame:
     with_sig = rows.join(signs, F.col("class_id") == F.col("signed")).select("node", "class_id", "sig")
     found = with_sig.repartition("node").sortWithinPartitions("node").mapInArrow(_leaf_links, "a bigint, b bigint")
-    return cut_lineage(found.distinct(), "candidates")
+    return cut_lineage(found, "candidates")
 
 
 def _chunk_pairs(rows: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def _hub_step(big: DataFrame, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("class_id").alias("a"), F.col("hub").alias("b")
     )
     rows = stay.select("node", "class_id").join(signs, F.col("class_id") == F.col("signed"))
-    return candidates.distinct(), cut_lineage(rows.select(F.explode(_children()).alias("node"), "class_id").distinct(), "paths")
+    return candidates, cut_lineage(rows.select(F.explode(_children()).alias("node"), "class_id").distinct(), "paths")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
@@ -314,11 +314,11 @@ def document_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with equal shingle sets are one class, with a signature of 64
     minwise tokens. In each of six independent trees a class goes down two paths
     from the root, one for its token at each of two positions, and 4/3 on average
-    from every later node. A node of up to 1024 classes is compared exhaustively by
+    from every later node. A node of up to 4096 classes is compared exhaustively by
     signature. In a larger one all members are compared with its hub, what that
     settles leaves, and the rest branches on; what is still crowded after eight levels
     is compared in pairs of chunks. Connected candidates are a group, and a group is verified
-    on full sets: in one task up to 2048 classes, beyond that with hubs and in blocks.
+    on full sets: in one task up to 4096 classes, beyond that with hubs and in blocks.
     A pair at the threshold shares a first-level node with a chance of 1 - 0.25**12; through a
     crowded node of several levels a tree still finds it about every other time, and six trees nearly
     always. A link is only what full sets confirm; groups give spanning links, not all pairs.

@@ -1,3 +1,115 @@
 """SQL that gives the same rows, where SQL can express the operator."""
 
-SQL: dict[str, str] = {}
+_SPACES = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_COMPONENTS = """
+reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+  UNION SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.b = l.a
+),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)"""
+
+_CHARS = "length({}) - length(regexp_replace({}, '{}', '', 'g'))"
+
+SQL: dict[str, str] = {
+    "op1_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)
+),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(8) r(j) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+worded AS (SELECT doc_id, line FROM lines WHERE trim(line, {_SPACES}) <> ''),
+repeats AS (
+  SELECT doc_id, sum(c) - count(*) AS n, sum(c * length(line)) AS chars, sum((c - 1) * length(line)) AS extra
+  FROM (SELECT doc_id, line, count(*) AS c FROM worded GROUP BY 1, 2) GROUP BY doc_id
+),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+by_word AS (
+  SELECT doc_id, count(*) FILTER (word = before) AS stutters, count(*) FILTER (suffix(word, '!!')) AS shouts,
+         count(*) FILTER (NOT regexp_matches(word, '[A-Za-z]|[^\x00-\x7F]')) AS bare
+  FROM (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM words) GROUP BY doc_id
+),
+top AS (SELECT doc_id, max(c) AS most FROM (SELECT doc_id, word, count(*) AS c FROM words GROUP BY 1, 2) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, ({_CHARS.format('t', 't', r'[\x20\x09-\x0D]+').replace('length(t) - ', '')})::BIGINT AS word_chars,
+         ({_CHARS.format('t', 't', r'[#*$%&|<>]')})::BIGINT AS n_symbols, coalesce(r.n, 0)::BIGINT AS n_dup_lines,
+         coalesce(p.n, 0)::BIGINT AS n_repeat_words, coalesce(r.chars, 0) AS chars, coalesce(r.extra, 0) AS extra,
+         coalesce(b.stutters, 0) AS stutters, coalesce(b.shouts, 0) AS shouts, coalesce(b.bare, 0) AS bare, coalesce(top.most, 0) AS most,
+         {_CHARS.format('t', 't', '[A-Z]')} AS capitals, {_CHARS.format('t', 't', '[a-z]')} AS small
+  FROM d LEFT JOIN repeats r USING (doc_id) LEFT JOIN repeated p USING (doc_id) LEFT JOIN by_word b USING (doc_id) LEFT JOIN top USING (doc_id)
+),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR (n_dup_lines > 0 AND 10 * extra > 3 * chars) OR 10 * stutters > 3 * n_words OR 10 * capitals > 6 * (capitals + small)
+            OR 2 * bare > n_words OR 10 * most > 4 * n_words OR 10 * shouts > 3 * n_words) AS kept
+FROM f""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS n, sha256(payload) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM d)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f""",
+    "op5_embedding_dedup": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.95
+),{_COMPONENTS},
+degree AS (SELECT a, count(*) AS n FROM (SELECT a FROM links UNION ALL SELECT b FROM links) GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id,
+       coalesce(m, e.vec_id) >= e.vec_id AS kept
+FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id""",
+    "op6_minhash": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace('text,', _LOWER.format('text') + ',')} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2
+),
+links AS (
+  SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b
+  WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)
+),{_COMPONENTS}
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
+       coalesce(m, d.doc_id) >= d.doc_id AS kept
+FROM d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id""",
+    "op9_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+),
+found AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY k) AS first_id FROM windows) WHERE first_id < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+placed AS (SELECT w.doc_id, w.i, w.word, f.i AS found_at FROM words w ASOF LEFT JOIN found f ON w.doc_id = f.doc_id AND w.i >= f.i),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM placed WHERE found_at IS NULL OR i >= found_at + 50 GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+    "op10_line_dedup": f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+each AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+keyed AS (SELECT *, {_LOWER.format(f'trim(line, {_SPACES})')} AS k FROM each),
+frequent AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS t
+  FROM keyed LEFT JOIN frequent USING (k) WHERE keeper IS NULL OR keeper = doc_id GROUP BY doc_id
+)
+SELECT d.doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+}

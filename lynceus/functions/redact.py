@@ -14,8 +14,9 @@ SHOWN = 4
 
 
 def mask(value: Column, shown: int = SHOWN) -> Column:
-    """First characters kept, the rest starred; the length stays the same."""
-    return F.rpad(F.left(value, F.lit(shown)), F.length(value), "*")
+    """First characters kept, at most a quarter of them, the rest starred; the length stays the same."""
+    seen = F.least(F.lit(shown), F.floor(F.length(value) / 4).cast("int"))
+    return F.rpad(F.left(value, seen), F.length(value), "*")
 
 
 def redact(text: Column, rules: Iterable[Rule], entropy: bool = False) -> Column:

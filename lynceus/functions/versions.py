@@ -1,27 +1,60 @@
-"""Comparable keys of dotted numeric versions."""
+"""Comparable keys of versions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PART_DIGITS = 10
 # Sorts after every key; the empty text sorts before.
 OPEN_END = "~"
-NUMERIC = r"^[vV]?\d{1,10}(?:\.\d{1,10})*$"
+# Marks between the release and what follows, in the order in which they sort:
+# a prerelease, the release itself, a later build of it, further release parts.
+BEFORE, RELEASE, AFTER = "!", "+", ","
 
+VERSION = r"^[vV=]*(\d+(?:\.\d+)*)(.*)$"
+# Words that name the release itself, later builds of it, and stages before it.
+RELEASE_WORDS = ("final", "ga", "release")
+AFTER_WORDS = ("post", "sp", "patch")
+STAGES = {"dev": "0dev", "a": "alpha", "b": "beta", "m": "milestone", "c": "rc", "cr": "rc", "pre": "rc", "preview": "rc"}
+STAGE_WORDS = (*STAGES, "alpha", "beta", "milestone", "rc", "snapshot")
 
-def version_key(version: Column) -> Column:
-    """Text that sorts as the version does; NULL when a part is no number.
 
-    Every part is padded to a fixed width and trailing zero parts are dropped,
-    so ``1.2`` equals ``1.2.0`` and keys compare as plain strings.
-    """
-    number = F.regexp_replace(version, r"^[vV]|(?:\.0+)+$", "")
-    parts = F.transform(F.split(number, r"\."), lambda p: F.lpad(p, PART_DIGITS, "0"))
-    return F.when(version.rlike(NUMERIC), F.array_join(parts, "."))
+def _number(digits: Column) -> Column:
+    """Digits as text that sorts as the number does, however many there are."""
+    bare = F.regexp_replace(digits, "^0+", "")
+    return F.concat(F.lpad(F.length(bare).cast("string"), 6, "0"), bare)
+
 
+def version_key(version: Column, ecosystem: Column | None = None) -> Column:
+    """Text that sorts as the version does; NULL when it does not begin with a number.
 
-def in_range(key: Column, low: Column, high: Column) -> Column:
-    """Whether a key lies in [low, high)."""
-    return (key >= low) & (key < high)
+    Release parts compare as numbers of any length, and trailing zero parts are dropped, so
+    ``1.2`` equals ``1.2.0``. What follows is cut into words and numbers: stages such as
+    ``-rc1``, ``b2``, ``-SNAPSHOT`` or the time of a Go pseudo-version come before the
+    release, ``.post1`` and ``-sp`` after it, and build data after a plus says nothing.
+    Maven also puts plain numbers and words it does not know after the release.
+    """
+    release = F.regexp_replace(F.regexp_extract(version, VERSION, 1), r"(?:\.0+)+$", "")
+    rest = F.lower(F.regexp_replace(F.regexp_extract(version, VERSION, 2), r"\+.*$", ""))
+    apart = F.regexp_replace(F.regexp_replace(rest, r"(?<=[a-z])(?=\d)|(?<=\d)(?=[a-z])", "."), r"[^a-z0-9]+", ".")
+    words = F.filter(F.split(apart, r"\."), lambda w: (w != "") & ~w.isin(*RELEASE_WORDS))
+    stage = F.create_map(*[F.lit(x) for pair in STAGES.items() for x in pair])
+    keyed = F.transform(
+        words,
+        lambda w: F.when(w.rlike(r"^\d+$"), F.concat(F.lit("0"), _number(w))).otherwise(
+            F.concat(F.lit("1"), F.coalesce(F.try_element_at(stage, w), w))
+        ),
+    )
+    first = F.get(words, F.lit(0))
+    later = first.isin(*AFTER_WORDS)
+    if ecosystem is not None:
+        later = later | ((ecosystem == "Maven") & ~first.isin(*STAGE_WORDS))
+    mark = F.when(F.size(words) == 0, F.lit(RELEASE)).when(later, F.lit(AFTER)).otherwise(F.lit(BEFORE))
+    parts = F.array_join(F.transform(F.split(release, r"\."), _number), ".")
+    return F.when(version.rlike(VERSION), F.concat(parts, mark, F.array_join(keyed, " ")))
+
+
+def in_range(key: Column, low: Column, high: Column, closed: Column | None = None) -> Column:
+    """Whether a key lies in [low, high), or in [low, high] where ``closed``."""
+    below = key < high
+    return (key >= low) & (below if closed is None else below | (closed & (key == high)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lynceus.functions.severity import rank_of
 from lynceus.functions.versions import OPEN_END, in_range, version_key
 from lynceus.rules.model import SCA
-from lynceus.scale import BROADCAST_BYTES, join_lookup, spread
+from lynceus.scale import BROADCAST_BYTES, cut_lineage, join_lookup
 
 COORDINATES = ["ecosystem", "name", "version"]
 
@@ -21,28 +21,42 @@ def cve_alias(advisory_id: Column, aliases: Column, strict: bool = True) -> Colu
     return F.coalesce(first, own)
 
 
+def _with_ends(advisories: DataFrame) -> DataFrame:
+    """Advisory rows with their ends as keys; a row whose end is no version has ``usable`` false.
+
+    ``introduced`` 0 and a missing end are open. ``fixed`` is outside the range and
+    ``last_affected`` inside. Where both ends are one version, it is also matched as text,
+    so versions that don't compare are found by name.
+    """
+    for name in ("last_affected",):
+        if name not in advisories.columns:
+            advisories = advisories.withColumn(name, F.lit(None).cast("string"))
+    eco = F.col("ecosystem")
+    low = F.when(F.col("introduced") != "0", F.col("introduced"))
+    end = F.coalesce("fixed", "last_affected")
+    exact = F.when(F.col("fixed").isNull() & (F.col("introduced") == F.col("last_affected")), F.col("introduced"))
+    return advisories.withColumns(
+        {
+            "lo": F.when(low.isNull(), F.lit("")).otherwise(version_key(low, eco)),
+            "hi": F.when(end.isNull(), F.lit(OPEN_END)).otherwise(version_key(end, eco)),
+            "closed": F.col("fixed").isNull() & F.col("last_affected").isNotNull(),
+            "exact": exact,
+        }
+    ).withColumn("usable", (F.col("lo").isNotNull() & F.col("hi").isNotNull()) | F.col("exact").isNotNull())
+
+
 def _ranges(advisories: DataFrame) -> DataFrame:
     """One row per package and advisory, with its version ranges as comparable keys.
 
-    ``introduced`` 0 and a missing end are open; an end that is no version
-    matches nothing. The ranges of an advisory come from one feed record, so
-    the set is bounded by that record, and copies of it collapse before the
-    shuffle. With one row per advisory a version cannot match it twice.
+    The ranges of an advisory come from one feed record, so the set is bounded by that
+    record, and copies of it collapse before the shuffle. With one row per advisory a
+    version cannot match it twice. :func:`unusable_ranges` counts what is left out.
     """
-    low = F.when(F.col("introduced") != "0", F.col("introduced"))
-    usable = (low.isNull() | version_key(low).isNotNull()) & (
-        F.col("fixed").isNull() | version_key(F.col("fixed")).isNotNull()
-    )
     return (
-        advisories.where(usable)
+        _with_ends(advisories).where("usable")
         .groupBy("ecosystem", F.col("package_name").alias("name"), "advisory_id")
         .agg(
-            F.collect_set(
-                F.struct(
-                    F.coalesce(version_key(low), F.lit("")).alias("lo"),
-                    F.coalesce(version_key(F.col("fixed")), F.lit(OPEN_END)).alias("hi"),
-                )
-            ).alias("ranges"),
+            F.collect_set(F.struct("lo", "hi", "closed", "exact")).alias("ranges"),
             F.min("cve_id").alias("cve_id"),
             F.max_by("severity", rank_of(F.col("severity"))).alias("severity"),
             F.min("summary").alias("summary"),
@@ -50,9 +64,18 @@ def _ranges(advisories: DataFrame) -> DataFrame:
     )
 
 
+def unusable_ranges(advisories: DataFrame) -> DataFrame:
+    """Per ecosystem: ranges with an end that cannot be compared."""
+    return _with_ends(advisories).where("NOT usable").groupBy("ecosystem").agg(F.count("*").alias("ranges"))
+
+
 def _in_any_range() -> Column:
-    key = F.col("key")
-    return F.exists("ranges", lambda r: in_range(key, r["lo"], r["hi"]))
+    key, version = F.col("key"), F.col("version")
+    return F.exists(
+        "ranges",
+        lambda r: F.coalesce(in_range(key, r["lo"], r["hi"], r["closed"]), F.lit(False))
+        | F.coalesce(r["exact"] == version, F.lit(False)),
+    )
 
 
 def affected_versions(
@@ -64,9 +87,9 @@ def affected_versions(
     package named by a third of all manifests is matched once per version.
     """
     versions = (
-        spread(dependencies.select(*COORDINATES))
+        dependencies.select(*COORDINATES)
         .distinct()
-        .withColumn("key", version_key(F.col("version")))
+        .withColumn("key", version_key(F.col("version"), F.col("ecosystem")))
     )
     return (
         join_lookup(
@@ -74,8 +97,7 @@ def affected_versions(
             _ranges(advisories),
             ["ecosystem", "name"],
             condition=_in_any_range(),
-            max_bytes=max_bytes,
-            salt_by=["version"],
+            max_bytes=max_bytes
         )
         .drop("key", "ranges")
     )
@@ -88,23 +110,23 @@ def affected(
 
     An equi join on ecosystem and package with the version range as its
     residual condition. The advisories are broadcast when they measure small,
-    so the dependencies are not shuffled; otherwise hot packages are salted.
+    so the dependencies are not shuffled; otherwise Spark splits hot packages.
     """
     return join_lookup(
-        spread(dependencies).withColumn("key", version_key(F.col("version"))),
+        dependencies.withColumn("key", version_key(F.col("version"), F.col("ecosystem"))),
         _ranges(advisories),
         ["ecosystem", "name"],
         condition=_in_any_range(),
-        max_bytes=max_bytes,
-        salt_by=["file_path", "version"],
+        max_bytes=max_bytes
     ).drop("key", "ranges")
 
 
-def sca_findings(hits: DataFrame) -> DataFrame:
+def sca_findings(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw findings, one per dependency and advisory. Lines are 0, there is no weakness id."""
     coordinate = F.concat_ws("@", "name", "version")
     fallback = F.concat(F.lit("Vulnerability in "), coordinate)
     return hits.select(
+        *keep,
         F.lit(SCA).alias("engine"),
         F.col("advisory_id").alias("rule_id"),
         "cve_id",
@@ -130,12 +152,12 @@ def sca_findings(hits: DataFrame) -> DataFrame:
 def coverage(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     """Per ecosystem: dependencies, distinct versions, vulnerable and uncheckable ones.
 
-    Dependencies without an advisory count as clean. A version that is no
-    dotted number cannot be compared and is counted apart.
+    Dependencies without an advisory count as clean. A version that cannot be
+    compared is counted apart. The dependencies are read once; only their distinct
+    versions are matched.
     """
-    dependencies = spread(dependencies)
-    per_version = dependencies.groupBy(*COORDINATES).agg(F.count("*").alias("uses"))
-    hits = affected_versions(dependencies, advisories).groupBy(*COORDINATES).agg(
+    per_version = cut_lineage(dependencies.groupBy(*COORDINATES).agg(F.count("*").alias("uses")), "versions")
+    hits = affected_versions(per_version, advisories).groupBy(*COORDINATES).agg(
         F.count("*").alias("advisories")
     )
     joined = per_version.join(hits, COORDINATES, "left")

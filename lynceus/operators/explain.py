@@ -21,6 +21,7 @@ UNAVAILABLE = "AI explanation unavailable."
 DEFAULT_LEVEL = "medium"
 
 ANSWERS = "cache_key string, explanation string, fixed_code string"
+ATTEMPTS = f"{ANSWERS}, ok boolean"
 
 Ask = Callable[[str], str]
 
@@ -48,7 +49,7 @@ def unanswered(asked: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def answer(asked: DataFrame, explain: Ask, fix: Ask, tasks: int | None = None) -> DataFrame:
-    """Answers to questions. A call that fails gives the fallback text.
+    """Answers to questions, ``ok`` where both calls succeeded. A call that fails gives the fallback text.
 
     Calls are slow, so the questions are dealt out by number, not by size; they
     may cost money, so the answers are written once and read back: a later
@@ -56,23 +57,26 @@ def answer(asked: DataFrame, explain: Ask, fix: Ask, tasks: int | None = None) -
     """
     tasks = tasks or asked.sparkSession.sparkContext.defaultParallelism * 4
 
-    def attempt(ask: Ask, prompt: str, fallback: str) -> str:
+    def attempt(ask: Ask, prompt: str) -> str | None:
         try:
             return ask(prompt)
         except Exception:
-            return fallback
+            return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            told = [attempt(explain, p) for p in pdf["explain_prompt"]]
+            fixed = [attempt(fix, p) for p in pdf["fix_prompt"]]
             yield pd.DataFrame(
                 {
                     "cache_key": pdf["cache_key"],
-                    "explanation": [attempt(explain, p, UNAVAILABLE) for p in pdf["explain_prompt"]],
-                    "fixed_code": [attempt(fix, p, "") for p in pdf["fix_prompt"]],
+                    "explanation": [UNAVAILABLE if t is None else t for t in told],
+                    "fixed_code": [f or "" for f in fixed],
+                    "ok": [t is not None and f is not None for t, f in zip(told, fixed)],
                 }
             )
 
-    return cut_lineage(asked.repartition(tasks).mapInPandas(run, ANSWERS), "answers")
+    return cut_lineage(asked.repartition(tasks).mapInPandas(run, ATTEMPTS), "answers")
 
 
 def with_answers(findings: DataFrame, answers: DataFrame) -> DataFrame:
@@ -86,8 +90,7 @@ def with_answers(findings: DataFrame, answers: DataFrame) -> DataFrame:
         findings.withColumn("cache_key", cache_key()),
         found,
         ["cache_key"],
-        "left",
-        salt_by=["finding_id"],
+        "left"
     )
     return joined.withColumns(
         {
@@ -113,7 +116,7 @@ def explain(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Explained findings, and the answers to add to the cache.
 
-    Without functions the rule descriptions are used and there is nothing to cache.
+    Only answers whose calls succeeded are to be cached, so that what failed is asked again. Without functions the rule descriptions are used and there is nothing to cache.
     """
     if ask_explanation is None or ask_fix is None:
         return described(findings, min_level), None
@@ -121,5 +124,6 @@ def explain(
     if cache is not None:
         asked = unanswered(asked, cache)
     made = answer(asked, ask_explanation, ask_fix)
-    known = made if cache is None else made.unionByName(cache.select(*made.columns))
-    return with_answers(findings, known), made
+    new = made.where("ok").drop("ok")
+    known = made.drop("ok") if cache is None else made.drop("ok").unionByName(cache.select(*new.columns))
+    return with_answers(findings, known), new

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.functions.text import line_array, trimmed
-from lynceus.scale import spread
 
 CARGO, NPM, PIP, GO, MAVEN = "cargo", "npm", "pip", "go", "maven"
 YARN, PNPM, PIPFILE, POETRY = "yarn", "pnpm", "pipfile", "poetry"
@@ -189,31 +188,34 @@ PARSERS = {
 }
 
 
-def _exploded(manifests: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+def _exploded(manifests: DataFrame, kinds: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
     kind, code = F.col("kind"), F.col("code")
     found = ecosystem = F
     for k in kinds:
         found = found.when(kind == k, PARSERS[k](code))
         ecosystem = ecosystem.when(kind == k, ECOSYSTEM[k])
     return manifests.where(kind.isin(*kinds)).select(
-        F.col("path").alias("file_path"), ecosystem.alias("ecosystem"), F.explode(found).alias("p")
-    ).select("file_path", "p.name", "p.version", "ecosystem")
+        *keep, F.col("path").alias("file_path"), ecosystem.alias("ecosystem"), F.explode(found).alias("p")
+    ).select(*keep, "file_path", "p.name", "p.version", "ecosystem")
 
 
 def parse(files: DataFrame, kind: str) -> DataFrame:
     """Dependencies of files that are all of one kind."""
-    return _exploded(spread(files).select("path", "code", F.lit(kind).alias("kind")), (kind,))
+    return _exploded(files.select("path", "code", F.lit(kind).alias("kind")), (kind,))
 
 
 def extract_dependencies(
-    files: DataFrame, kinds: tuple[str, ...] = tuple(PARSERS), by_content: bool = True
+    files: DataFrame,
+    kinds: tuple[str, ...] = tuple(PARSERS),
+    by_content: bool = True,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Dependencies of every manifest among the files, each format by its parser.
 
     One pass over the files: the kind selects the parser inside the row.
     """
     kind = manifest_kind(F.col("path"), F.col("code"), by_content)
-    return _exploded(spread(files).select("path", "code", kind.alias("kind")), kinds)
+    return _exploded(files.select(*keep, "path", "code", kind.alias("kind")), kinds, keep)
 
 
 def distinct_dependencies(dependencies: DataFrame) -> DataFrame:

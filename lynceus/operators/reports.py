@@ -31,12 +31,13 @@ def severity_counts(findings: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def scan_summary(findings: DataFrame) -> DataFrame:
+def scan_summary(findings: DataFrame, scans: DataFrame | None = None) -> DataFrame:
     """Per scan: number of findings and a map of level to count.
 
-    A map has at most one entry per level, built from the counts.
+    A map has at most one entry per level, built from the counts. With ``scans``, every
+    ``scan_id`` there has a row, also one without findings.
     """
-    return (
+    counted = (
         severity_counts(findings, "scan_id")
         .groupBy("scan_id")
         .agg(
@@ -44,6 +45,15 @@ def scan_summary(findings: DataFrame) -> DataFrame:
             F.map_from_entries(F.collect_list(F.struct("severity", "n"))).alias("severity_counts"),
         )
     )
+    if scans is None:
+        return counted
+    none = F.create_map().cast(counted.schema["severity_counts"].dataType)
+    return scans.join(counted, "scan_id", "left").withColumns(
+        {
+            "findings_count": F.coalesce("findings_count", F.lit(0)),
+            "severity_counts": F.coalesce("severity_counts", none),
+        }
+    )
 
 
 def level_counts() -> list[Column]:
@@ -79,9 +89,9 @@ def by_file(findings: DataFrame) -> DataFrame:
     )
 
 
-def fails(findings: DataFrame, level: str) -> DataFrame:
-    """One row: whether any finding reaches the level."""
-    return findings.agg(
+def fails(findings: DataFrame, level: str, *by: str) -> DataFrame:
+    """Whether any finding reaches the level: one row, or one per value of the named columns."""
+    return findings.groupBy(*by).agg(
         F.coalesce(F.max("sev_rank") >= RANK[parse_level(level)], F.lit(False)).alias("failed")
     )
 
@@ -211,7 +221,7 @@ def diagnostics_by_file(found: DataFrame) -> DataFrame:
 def _by_scan(results: DataFrame, scans: DataFrame, how: str) -> DataFrame:
     """Join on the scan; one scan may own most of the findings."""
     ids = scans.select("scan_id").distinct()
-    return join_lookup(results, ids, ["scan_id"], how, salt_by=["finding_id"])
+    return join_lookup(results, ids, ["scan_id"], how)
 
 
 def orphan_results(results: DataFrame, scans: DataFrame) -> DataFrame:

@@ -192,8 +192,7 @@ def throttle(
         timed,
         cut_lineage(windows, "windows"),
         ["_key", "_block"],
-        max_bytes=max_bytes,
-        salt_by=[request_id],
+        max_bytes=max_bytes
     ).withColumn("_window", F.array_max(F.filter("opened", lambda s: s <= F.col("_t")))).drop("opened")
 
     place = F.row_number().over(
@@ -210,8 +209,7 @@ def throttle(
         placed,
         cut_lineage(last_admitted, "admitted"),
         ["_key", "_window"],
-        max_bytes=max_bytes,
-        salt_by=[request_id],
+        max_bytes=max_bytes
     )
     mine = F.struct(F.col("_t"), F.col(request_id).alias("id"))
     return decided.select(

@@ -63,7 +63,7 @@ def similar_titles(titles: DataFrame, queries: DataFrame, min_score: float = MIN
         .withColumn("lookup", F.expr("transform(slice(by_rarity, 1, take), g -> g.gram)"))
         .select("query", "wanted", "lookup", F.posexplode("lookup").alias("rank", "gram"))
     )
-    candidates = join_lookup(postings, cut_lineage(rare, "trigrams"), ["gram"], salt_by=["title"])
+    candidates = join_lookup(postings, cut_lineage(rare, "trigrams"), ["gram"])
     # A pair that several trigrams find is kept at the rarest of them only.
     found_before = F.arrays_overlap(F.expr("slice(lookup, 1, rank)"), "grams")
     score = similarity(F.col("grams"), F.col("wanted"))
@@ -79,4 +79,4 @@ def title_search(
 ) -> DataFrame:
     """Vulnerabilities whose title resembles a query, with the score."""
     pairs = cut_lineage(similar_titles(vulnerabilities, queries, min_score), "title-pairs")
-    return join_lookup(vulnerabilities, pairs, ["title"], salt_by=["cve_id"])
+    return join_lookup(vulnerabilities, pairs, ["title"])

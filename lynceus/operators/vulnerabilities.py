@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lynceus import schemas
 from lynceus.operators.advisories import cve_alias
@@ -46,14 +47,17 @@ SEED_PACKAGES = (
     ("crates.io", "hyper"),
     ("crates.io", "tokio"),
     ("crates.io", "serde"),
-    ("Maven", "log4j-core"),
-    ("Maven", "spring-core"),
-    ("Maven", "commons-collections"),
-    ("Maven", "jackson-databind"),
+    ("Maven", "org.apache.logging.log4j:log4j-core"),
+    ("Maven", "org.springframework:spring-core"),
+    ("Maven", "commons-collections:commons-collections"),
+    ("Maven", "com.fasterxml.jackson.core:jackson-databind"),
 )
 
 def seed_df(spark: SparkSession, pairs=SEED_PACKAGES) -> DataFrame:
-    return spark.createDataFrame(list(pairs), "ecosystem STRING, package_name STRING")
+    """A constant table, whose size the optimizer knows."""
+    quoted = lambda text: "'" + text.replace("'", "\\'") + "'"
+    rows = ", ".join(f"({quoted(e)}, {quoted(p)})" for e, p in pairs)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS seeds(ecosystem, package_name)")
 
 
 def flatten_nvd(feed: DataFrame) -> DataFrame:
@@ -94,8 +98,7 @@ def osv_packages(feed: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
         named,
         seeds.select("ecosystem", "package_name").distinct(),
         ["ecosystem", "package_name"],
-        "left_semi",
-        salt_by=["id"],
+        "left_semi"
     )
 
 
@@ -115,41 +118,49 @@ def flatten_osv(feed: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _field(struct: Column, kind: T.DataType, name: str) -> Column:
+    """A field of a feed record, NULL where the feed was read without it."""
+    return struct[name] if name in kind.names else F.lit(None).cast("string")
+
+
 def osv_advisories(feed: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """Advisory ranges of OSV records, one row per introduced event.
+    """Advisory ranges of OSV records: one row per introduced event, and one per listed version.
 
-    An introduced event is paired with the first fixed event after it.
+    An introduced event is paired with the first fixed or last-affected event after it.
+    Ranges of commits are left out, as they hold no versions.
     """
-    hits = osv_packages(feed, seeds).select(
+    named = osv_packages(feed, seeds).select(
         F.col("id").alias("advisory_id"),
         cve_alias(F.col("id"), F.col("aliases")).alias("cve_id"),
         "ecosystem",
         "package_name",
         first_cvss_severity(F.col("severity")).alias("severity"),
         "summary",
-        F.explode("hit.ranges").alias("range"),
-    )
-    events = F.col("range.events")
-    hits = hits.select("*", F.posexplode(events).alias("n", "event")).where(
-        "event.introduced IS NOT NULL"
+        "hit",
     )
-    later_fix = F.get(
-        F.filter(
-            F.slice(events, F.col("n") + 1, F.size(events)), lambda e: e["fixed"].isNotNull()
-        ),
-        F.lit(0),
-    )["fixed"]
-    return hits.select(
-        "advisory_id",
-        "cve_id",
-        "ecosystem",
-        "package_name",
-        F.col("event.introduced").alias("introduced"),
-        later_fix.alias("fixed"),
-        "severity",
-        "summary",
-        F.lit(OSV).alias("source"),
+    hit = named.schema["hit"].dataType
+    event = hit["ranges"].dataType.elementType["events"].dataType.elementType
+    ranges = named.select("*", F.explode("hit.ranges").alias("range")).where(
+        F.coalesce(F.upper("range.type"), F.lit("")) != "GIT"
     )
+    events = F.col("range.events")
+    starts = ranges.select("*", F.posexplode(events).alias("n", "event")).where("event.introduced IS NOT NULL")
+    ends = lambda e: e["fixed"].isNotNull() | _field(e, event, "last_affected").isNotNull()
+    end = F.get(F.filter(F.slice(events, F.col("n") + 1, F.size(events)), ends), F.lit(0))
+    columns = ("advisory_id", "cve_id", "ecosystem", "package_name", "introduced", "fixed", "last_affected", "severity", "summary")
+    rows = starts.withColumns(
+        {
+            "introduced": F.col("event.introduced"),
+            "fixed": end["fixed"],
+            "last_affected": F.when(end["fixed"].isNull(), _field(end, event, "last_affected")),
+        }
+    ).select(*columns)
+    if "versions" in hit.names:
+        listed = named.select("*", F.explode(F.array_distinct("hit.versions")).alias("introduced")).withColumns(
+            {"fixed": F.lit(None).cast("string"), "last_affected": F.col("introduced")}
+        )
+        rows = rows.unionByName(listed.select(*columns))
+    return rows.withColumn("source", F.lit(OSV))
 
 
 def feed_order(*feeds: DataFrame) -> DataFrame:
@@ -229,7 +240,7 @@ def enrich_titles(
         .agg(F.min("title").alias("stored_title"))
     )
     joined = join_lookup(
-        findings, titles, ["cve_id"], "left", max_bytes=max_bytes, salt_by=["finding_id"]
+        findings, titles, ["cve_id"], "left", max_bytes=max_bytes
     )
     return joined.withColumn("title", F.coalesce("stored_title", "title")).select(
         *findings.columns
@@ -242,8 +253,7 @@ def by_package(vulnerabilities: DataFrame, packages: DataFrame) -> DataFrame:
         vulnerabilities,
         packages.select("ecosystem", "package_name").distinct(),
         ["ecosystem", "package_name"],
-        "left_semi",
-        salt_by=["cve_id"],
+        "left_semi"
     )
 
 

@@ -21,11 +21,11 @@ from lynceus.rules.catalog import DEFAULT
 from lynceus.rules.model import AI_CODE, ENGINES, SAST, SCA, SECRETS, Catalog, parse_engines
 
 
-def as_files(rows: DataFrame) -> DataFrame:
-    """Any (path, code[, language]) rows in the ``FILES`` schema."""
+def as_files(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Any (path, code[, language]) rows in the ``FILES`` schema, with further columns to keep."""
     declared = F.col("language") if "language" in rows.columns else F.lit(None).cast("string")
     ext = extension(F.col("path"))
-    return rows.select("path", "code", language_of(declared, ext).alias("language"), ext.alias("ext"))
+    return rows.select(*keep, "path", "code", language_of(declared, ext).alias("language"), ext.alias("ext"))
 
 
 def scan(
@@ -39,12 +39,14 @@ def scan(
     skip_tests: bool = False,
     by_content: bool = True,
     detected_at: datetime | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Findings of the requested engines at or above a level.
 
     All line engines share one pass over the files. The dependency engine reads
     the manifests among them and needs ``advisories``; without a feed it finds
-    nothing. Sort with :func:`lynceus.functions.severity.rank_order` when the
+    nothing. ``keep`` names columns of the files that their findings carry, such as the
+    scan's id. Sort with :func:`lynceus.functions.severity.rank_order` when the
     order matters.
     """
     engines = parse_engines(engines)
@@ -56,14 +58,15 @@ def scan(
     lines = [e for e in engines if e in (SAST, SECRETS, AI_CODE)]
     parts = []
     if lines:
-        raw = match(files, catalog.of(*lines), level).drop("_language")
+        raw = match(files, catalog.of(*lines), level, keep).drop("_language")
         parts.append(raw.withColumn("cve_id", F.lit(None).cast("string")))
     if SCA in engines and advisories is not None:
-        hits = affected(extract_dependencies(files, by_content=by_content), advisories)
-        parts.append(sca_findings(hits).where(F.col("sev_rank") >= RANK[level]))
+        hits = affected(extract_dependencies(files, by_content=by_content, keep=keep), advisories)
+        parts.append(sca_findings(hits, keep).where(F.col("sev_rank") >= RANK[level]))
     if not parts:
-        return files.sparkSession.createDataFrame([], schemas.FINDINGS)
-    findings = to_findings(append_engines(parts), detected_at)
+        empty = files.sparkSession.createDataFrame([], schemas.FINDINGS)
+        return empty.select(*[F.lit(None).cast(files.schema[c].dataType).alias(c) for c in keep], "*")
+    findings = to_findings(append_engines(parts), detected_at, keep)
     if vulnerabilities is not None:
         findings = enrich_titles(findings, vulnerabilities)
     return findings
@@ -71,28 +74,22 @@ def scan(
 
 def scan_workspaces(
     requests: DataFrame,
-    min_severity: str = "low",
+    min_severity: str = "info",
     catalog: Catalog = DEFAULT,
+    advisories: DataFrame | None = None,
     detected_at: datetime | None = None,
 ) -> DataFrame:
-    """Findings of workspace requests, each by the line engines it asks for.
+    """Findings of workspace requests, each by the engines it asks for.
 
     A request is a row (scan_id, files, engines) as
-    :func:`lynceus.sources.workspace.read_requests` gives it. The requests share
-    one pass; a finding is kept when its scan asked for the engine.
+    :func:`lynceus.sources.workspace.read_requests` gives it; one that names no
+    engines asks for all. The requests share one pass; a finding is kept when its scan
+    asked for the engine. Dependencies need ``advisories``.
     """
-    files = requests.select("scan_id", "engines", F.inline("files"))
-    ext = extension(F.col("path"))
-    files = files.select(
-        "scan_id",
-        "engines",
-        "path",
-        "code",
-        language_of(F.col("language"), ext).alias("language"),
-    )
-    lines = catalog.of(SAST, SECRETS, AI_CODE)
-    raw = match(files, lines, parse_level(min_severity), keep=("scan_id", "engines"))
-    asked = raw.where(F.array_contains("engines", F.col("engine"))).withColumn(
-        "cve_id", F.lit(None).cast("string")
+    asked = F.coalesce("engines", F.array(*[F.lit(e) for e in ENGINES]))
+    files = requests.select("scan_id", asked.alias("engines"), F.inline("files"))
+    keep = ("scan_id", "engines")
+    found = scan(
+        as_files(files, keep), ENGINES, min_severity, catalog, advisories, detected_at=detected_at, keep=keep
     )
-    return to_findings(asked, detected_at, keep=("scan_id",))
+    return found.where(F.array_contains("engines", F.col("engine"))).drop("engines")

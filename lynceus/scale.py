@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 SPREAD_BYTES = 256 * 1024 * 1024
+# Estimates from here on say that the optimizer doesn't know.
+UNKNOWN_BYTES = 2**60
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
@@ -68,9 +70,10 @@ def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether the rows, measured in one aggregate, fit under ``max_bytes``.
 
     The estimate of a plan may be far too high, so only a plan that looks
-    hopeless (1000 times the limit) is refused without measuring.
+    hopeless (1000 times the limit) is refused without measuring. A plan of unknown
+    size is measured.
     """
-    if planned_bytes(df) > max_bytes * 1000:
+    if max_bytes <= 0 or max_bytes * 1000 < planned_bytes(df) < UNKNOWN_BYTES:
         return False
     total = df.agg(F.sum(_row_bytes(df)).alias("n")).first()["n"] or 0
     return total <= max_bytes
@@ -114,20 +117,19 @@ def join_lookup(
     how: str = "inner",
     condition: Column | None = None,
     max_bytes: int = BROADCAST_BYTES,
-    salt_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join a large side to a lookup side.
 
     A lookup that measures small is broadcast, and the large side is not
-    shuffled. A larger one goes through :func:`salted_join`. The two sides may
-    share no column names but the keys.
+    shuffled. A larger one is joined by its keys, where Spark splits partitions
+    that measure skewed; nothing is copied but the other side of those. The two sides
+    may share no column names but the keys.
     """
-    if not fits_broadcast(lookup, max_bytes):
-        return salted_join(left, lookup, keys, how, condition, salt_by=salt_by)
+    small = fits_broadcast(lookup, max_bytes)
     renamed = lookup.select(
         *[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in lookup.columns]
     )
     on = condition if condition is not None else F.lit(True)
     for k in keys:
         on = on & (F.col(k) == F.col(f"_r_{k}"))
-    return left.join(F.broadcast(renamed), on, how).drop(*[f"_r_{k}" for k in keys])
+    return left.join(F.broadcast(renamed) if small else renamed, on, how).drop(*[f"_r_{k}" for k in keys])

@@ -56,6 +56,7 @@ DEPENDENCIES = _struct(
     ("file_path", _S), ("name", _S), ("version", _S), ("ecosystem", _S)
 )
 
+# Tables may also have last_affected, the last version inside a range.
 ADVISORIES = _struct(
     ("advisory_id", _S),
     ("cve_id", _S),
@@ -144,11 +145,12 @@ OSV_RECORD = _struct(
                             ("type", _S),
                             (
                                 "events",
-                                T.ArrayType(_struct(("introduced", _S), ("fixed", _S))),
+                                T.ArrayType(_struct(("introduced", _S), ("fixed", _S), ("last_affected", _S))),
                             ),
                         )
                     ),
                 ),
+                ("versions", T.ArrayType(_S)),
             )
         ),
     ),

@@ -108,9 +108,13 @@ def persist(
     target_name: str,
     created_at: datetime,
     load_id: str | None = None,
+    scans: DataFrame | None = None,
 ) -> None:
     """Store findings that carry a ``scan_id``, and a summary row per scan.
 
+    ``scans`` lists the scans (scan_id, and their own language and target_name where it has
+    them); each has a row, with or without findings.
+
     Each call writes one folder below the date of the scan, and the summary is
     computed from that folder: the two cannot disagree, the scan runs once and
     nothing older is read. A repeated call with the same ``load_id`` replaces
@@ -121,10 +125,12 @@ def persist(
     rows = scan_result_rows(findings).drop("scan_date")
     rows.write.mode("overwrite").parquet(f"{path}/scan_results/{place}")
     stored = spark.read.schema(rows.schema).parquet(f"{path}/scan_results/{place}")
-    summary = scan_summary(stored).select(
+    summary = scan_summary(stored, scans)
+    own = lambda c, value: F.coalesce(c, F.lit(value)) if c in summary.columns else F.lit(value)
+    summary = summary.select(
         "scan_id",
-        F.lit(language).alias("language"),
-        F.lit(target_name).alias("target_name"),
+        own("language", language).alias("language"),
+        own("target_name", target_name).alias("target_name"),
         F.col("findings_count").cast("int").alias("findings_count"),
         "severity_counts",
         F.lit(created_at).cast("timestamp").alias("created_at"),

@@ -58,5 +58,5 @@ def split_oversize_batches(
         "files",
         F.lit(f"Workspace request body exceeds the {max_bytes / 2**20:g} MiB limit").alias("reason"),
     )
-    kept = join_lookup(files, rejects.select(batch), [batch], "left_anti", salt_by=["path"])
+    kept = join_lookup(files, rejects.select(batch), [batch], "left_anti")
     return kept, rejects

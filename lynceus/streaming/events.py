@@ -4,21 +4,40 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lynceus import schemas
-from lynceus.operators.events import FINDING, replay
+from lynceus.operators.events import FINDING, REPLAY_SECONDS, replay
+
+
+# Number of an event of a phase: findings come between progress and completion.
+PHASE_EVENTS = 1 << 32
 
 
 def finding_events(findings: DataFrame) -> DataFrame:
-    """JSON finding events of a stream of findings."""
+    """Finding events of a stream of findings, as rows of the feed."""
+    scan = F.col("scan_id") if "scan_id" in findings.columns else F.lit(None).cast("string")
+    body = [c for c in findings.columns if c != "scan_id"]
     return findings.select(
-        "finding_id",
-        F.to_json(
-            F.struct(F.lit(FINDING).alias("type"), F.struct(*findings.columns).alias("data"))
-        ).alias("event"),
+        scan.alias("scan_id"),
+        F.lit(PHASE_EVENTS).alias("seq"),
+        F.lit(FINDING).alias("type"),
+        F.to_json(F.struct(*body)).alias("data"),
+        F.col("detected_at").alias("at"),
+    )
+
+
+def feed_rows(events: DataFrame, at: Column) -> DataFrame:
+    """Events of :func:`lynceus.operators.events.scan_events` or ``error_events`` as rows of the feed."""
+    part = lambda name: F.get_json_object("event", f"$.{name}")
+    return events.select(
+        "scan_id",
+        (F.col("phase").cast("bigint") * PHASE_EVENTS + F.col("step")).alias("seq"),
+        part("type").alias("type"),
+        part("data").alias("data"),
+        at.cast("timestamp").alias("at"),
     )
 
 
@@ -39,6 +58,8 @@ def follow(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schemas.SCAN_EVENT).parquet(path)
 
 
-def catch_up(spark: SparkSession, path: str, scan_id: str, now: datetime) -> DataFrame:
+def catch_up(
+    spark: SparkSession, path: str, scan_id: str, now: datetime, ttl_seconds: int = REPLAY_SECONDS
+) -> DataFrame:
     """Events a late subscriber gets from the feed's folder."""
-    return replay(spark.read.schema(schemas.SCAN_EVENT).parquet(path), scan_id, now)
+    return replay(spark.read.schema(schemas.SCAN_EVENT).parquet(path), scan_id, now, ttl_seconds)

@@ -45,6 +45,17 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def stored_scans(spark: SparkSession, path: str) -> DataFrame:
+    """One row per scan of a job's folder: findings in all and per level, over all micro-batches."""
+    rows = spark.read.parquet(f"{path}/scans")
+    counts = rows.select("scan_id", F.explode_outer("severity_counts").alias("severity", "n"))
+    levels = counts.groupBy("scan_id", "severity").agg(F.sum("n").alias("n"))
+    known = F.filter(F.collect_list(F.struct("severity", "n")), lambda x: x["severity"].isNotNull())
+    return levels.groupBy("scan_id").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("findings_count"), F.map_from_entries(known).alias("severity_counts")
+    )
+
+
 def start_scan_job(
     files: DataFrame,
     path: str,
@@ -55,24 +66,21 @@ def start_scan_job(
 ) -> StreamingQuery:
     """Scan every micro-batch with any engine, store findings and completion summary.
 
-    Each micro-batch is one scan unless a column names the scan. The findings
-    are written once, and the summary aggregates what was written.
+    Each micro-batch is one scan unless a column names the scan. The id goes through the
+    scan with each file. The findings are written once, and the summary aggregates what was
+    written, with a row for scans without findings too. A scan over several
+    micro-batches has a row in each; :func:`stored_scans` adds them up.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        found = scan(as_files(batch), **options)
-        if scan_id_column is None:
-            found = found.withColumn("scan_id", F.lit(f"batch-{batch_id:09d}"))
-        else:
-            ids = batch.select(
-                F.col("path").alias("file_path"), F.col(scan_id_column).alias("scan_id")
-            ).distinct()
-            found = found.join(ids, "file_path")
-        rows = scan_result_rows(found)
+        own = F.lit(f"batch-{batch_id:09d}") if scan_id_column is None else F.col(scan_id_column)
+        named = batch.withColumn("scan_id", own.cast("string"))
+        rows = scan_result_rows(scan(as_files(named, ("scan_id",)), keep=("scan_id",), **options))
         write_batch(rows, f"{path}/scan_results", batch_id)
         stored = spark.read.schema(rows.schema).parquet(f"{path}/scan_results/batch_id={batch_id}")
-        write_batch(scan_summary(stored), f"{path}/scans", batch_id)
+        counted = scan_summary(stored, named.select("scan_id").distinct())
+        write_batch(counted, f"{path}/scans", batch_id)
 
     return (
         files.writeStream.foreachBatch(run)

@@ -14,6 +14,7 @@ from lynceus.functions.times import micros
 from lynceus.operators.throttle import (
     LIMIT,
     NEVER,
+    NO_KEY,
     WINDOW_MICROS,
     decide,
     state_after,
@@ -34,12 +35,18 @@ def throttle_stream(
     A micro-batch holds later requests than the one before; a late request is
     decided when it arrives. Only times and ids enter the state function, and
     the state is two numbers per key. ``expire_ms`` drops keys idle for that
-    long of processing time, which must cover the window.
+    long of processing time, which must cover the window. It suits queries that run on: one that
+    ends with its input would wait for timeouts.
+    Requests without a key share one window with those of the unnamed client, as in batch.
     """
+    window_ms = -(-window_micros // 1000)
+    if expire_ms is not None and expire_ms < window_ms:
+        raise ValueError(f"expire_ms must be at least the window of {window_ms} ms")
     timed = requests.select(
-        F.col(key).alias("key"), micros(F.col(ts)).alias("t"), F.col(request_id).alias("id")
+        F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)).alias("key"),
+        micros(F.col(ts)).alias("t"),
+        F.col(request_id).alias("id"),
     )
-    key_type = timed.schema["key"].dataType.simpleString()
     id_type = timed.schema["id"].dataType.simpleString()
 
     def run(
@@ -59,18 +66,15 @@ def throttle_stream(
             {"key": group[0], "id": pdf["id"], "t": pdf["t"], "allowed": allowed}
         )
 
-    timeout = (
-        GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    )
     decided = timed.groupBy("key").applyInPandasWithState(
         run,
-        f"key {key_type}, id {id_type}, t bigint, allowed boolean",
+        f"key string, id {id_type}, t bigint, allowed boolean",
         "start bigint, used bigint",
         "append",
-        timeout,
+        GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
     return decided.select(
-        F.col("key").alias(key),
+        F.col("key").cast(requests.schema[key].dataType).alias(key),
         F.col("id").alias(request_id),
         F.timestamp_micros("t").alias(ts),
         "allowed",

@@ -1,13 +1,15 @@
+import json
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lynceus import schemas
 from lynceus.functions.severity import cvss_severity
 from lynceus.functions.versions import version_key
 from lynceus.operators import vulnerabilities as V
-from lynceus.operators.advisories import affected, affected_versions, coverage, sca_findings
+from lynceus.operators.advisories import affected, affected_versions, coverage, sca_findings, unusable_ranges
 from lynceus.operators.manifests import extract_dependencies, manifest_kind
 from lynceus.operators.findings import to_findings
 from lynceus.operators.title_search import similar_titles, title_search
@@ -101,7 +103,17 @@ def test_version_order(spark):
     assert got == list(range(len(ordered)))
     same = spark.createDataFrame([("1.2", "1.2.0.0"), ("v1", "1.0")], "a STRING, b STRING")
     assert same.where(version_key(F.col("a")) == version_key(F.col("b"))).count() == 2
-    odd = spark.createDataFrame([("1.0.0-rc1",), ("unknown",), ("",)], "v STRING")
+    staged = [
+        "1.0.dev3", "1.0a1", "1.0-beta", "1.0b2", "1.0-rc.2", "1.0rc10", "1.0-SNAPSHOT", "1.0.Final", "1.0.post1", "1.0.0.1",
+        "20210101120000", "123456789012345678901234567890.1",
+    ]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(staged)], "i INT, v STRING")
+    assert [r["i"] for r in df.orderBy(version_key(F.col("v"))).collect()] == list(range(len(staged)))
+    go = spark.createDataFrame([(0, "v0.0.0-20190101000000-ab"), (1, "v0.0.0-20210101000000-aa"), (2, "v0.0.0"), (3, "0.0.1+build")], "i INT, v STRING")
+    assert [r["i"] for r in go.orderBy(version_key(F.col("v"))).collect()] == [0, 1, 2, 3]
+    jre = spark.createDataFrame([("31.1-jre",)], "v STRING").select(version_key(F.col("v"), F.lit("Maven")) > version_key(F.lit("31.1"), F.lit("Maven")))
+    assert jre.first()[0]
+    odd = spark.createDataFrame([("unknown",), ("",), ("main",)], "v STRING")
     assert odd.where(version_key(F.col("v")).isNotNull()).count() == 0
 
 
@@ -130,11 +142,11 @@ def test_affected_is_a_range_join(spark, max_bytes):
     got = {(r["file_path"], r["advisory_id"]) for r in affected(deps, adv, max_bytes).collect()}
     want = {(f"f{i}", "GHSA-1") for i in range(60) if i % 30 < 21}
     want |= {(f"f{i}", "GHSA-2") for i in range(60) if i % 30 < 12}
-    want |= {("f0", "RS-1")}
+    want |= {("f0", "RS-1"), ("f1", "RS-1")}
     assert got == want
     assert affected(deps, adv, max_bytes).count() == len(want)
     versions = affected_versions(deps, adv, max_bytes)
-    assert versions.count() == 21 + 12 + 1
+    assert versions.count() == 21 + 12 + 2
 
 
 def test_sca_findings_and_coverage(spark):
@@ -148,7 +160,7 @@ def test_sca_findings_and_coverage(spark):
     cov = {r["ecosystem"]: r.asDict() for r in coverage(deps, adv).collect()}
     assert cov["npm"]["dependencies"] == 60 and cov["npm"]["vulnerable_versions"] == 21
     assert cov["npm"]["vulnerable_dependencies"] == 42
-    assert cov["crates.io"]["uncheckable_versions"] == 1
+    assert cov["crates.io"]["uncheckable_versions"] == 0
 
 
 def feeds(spark):
@@ -257,3 +269,38 @@ def test_title_search_against_brute_force(spark, score):
                 want.add((x, t, round(s, 9)))
     assert got == want
     assert title_search(v, q, score).count() == len(want)
+
+
+def test_advisories_of_real_records(spark):
+    """Ends inside the range, listed versions, commit ranges and staged ends, as feeds have them."""
+    def record(name, ranges=(), versions=None, eco="PyPI"):
+        return {
+            "id": f"A-{name}", "affected": [{"package": {"name": name, "ecosystem": eco}, "ranges": list(ranges), "versions": versions}],
+        }
+
+    def span(kind="ECOSYSTEM", **events):
+        return {"type": kind, "events": [{"introduced": "0"}] + [{k: v} for k, v in events.items()]}
+
+    records = [
+        record("last", [span(last_affected="1.0.0")]), record("git", [span("GIT")]), record("listed", versions=["5.0.0", "weekly"]),
+        record("staged", [span(fixed="6.0.0-rc1")]), record("long", [span(fixed="20210101120000")]),
+        record("org:mvn", [span(fixed="31.1-jre")], eco="Maven"), record("go", [span("SEMVER", fixed="0.0.0-20210101000000-aa")], eco="Go"),
+        record("odd", [span(fixed="trunk")]),
+    ]
+    rows = [(json.dumps(r | {"feed_pos": str(i)}),) for i, r in enumerate(records)]
+    schema = T.StructType([*schemas.OSV_RECORD.fields, T.StructField("feed_pos", T.StringType())])
+    feed = spark.createDataFrame(rows, "value string").select(F.from_json("value", schema).alias("r")).select("r.*")
+    advisories = V.osv_advisories(feed)
+    cases = {
+        ("last", "5.0.0", "PyPI"): False, ("last", "1.0", "PyPI"): True, ("last", "1.0.0.1", "PyPI"): False,
+        ("git", "5.0.0", "PyPI"): False, ("listed", "5.0.0", "PyPI"): True, ("listed", "weekly", "PyPI"): True,
+        ("listed", "5.0.1", "PyPI"): False, ("staged", "5.0.0", "PyPI"): True, ("staged", "6.0.0rc1", "PyPI"): False,
+        ("staged", "6.0.0-beta", "PyPI"): True, ("long", "20200101120000", "PyPI"): True, ("long", "20220101120000", "PyPI"): False,
+        ("org:mvn", "31.1", "Maven"): True, ("org:mvn", "31.1-jre", "Maven"): False, ("go", "v0.0.0-20200101000000-ff", "Go"): True,
+        ("go", "v0.0.0", "Go"): False, ("odd", "1.0", "PyPI"): False,
+    }
+    deps = spark.createDataFrame([(f"f{i}", n, v, e) for i, (n, v, e) in enumerate(cases)], schemas.DEPENDENCIES)
+    for max_bytes in (0, 1 << 20):
+        hits = {(r["name"], r["version"]) for r in affected(deps, advisories, max_bytes).collect()}
+        assert hits == {(n, v) for (n, v, _), hit in cases.items() if hit}
+    assert [tuple(r) for r in unusable_ranges(advisories).collect()] == [("PyPI", 1)]

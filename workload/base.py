@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lynceus.plans.scan import as_files
-from lynceus.scale import work_dir
+from lynceus.scale import spread, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -195,7 +195,7 @@ def derived(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFra
 def corpus(spark: SparkSession, sf: str, name: str = "code") -> DataFrame:
     source, path, text = CORPORA[name]
     rows = lambda: table(spark, sf, source).selectExpr(f"{path} AS path", f"{text} AS code")
-    return as_files(derived(spark, sf, f"corpus-{name}", rows) if name == "code" else rows())
+    return as_files(derived(spark, sf, f"corpus-{name}", rows) if name == "code" else spread(rows()))
 
 
 def corpus_sql(name: str = "code") -> str:

@@ -166,7 +166,7 @@ ECO = "CASE CAST({} AS BIGINT) % 5 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' WHEN 2 T
 INSTALLED = (
     "concat('order', CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING), '/', CAST(l_suppkey AS STRING)) AS file_path",
     "concat('pkg-', CAST(l_partkey AS STRING)) AS name",
-    "concat(CAST(CAST(l_quantity AS BIGINT) AS STRING), '.', CAST(l_linenumber AS STRING), CASE WHEN l_linenumber = 7 THEN '-rc1' ELSE '.0' END) AS version",
+    "concat(CASE WHEN l_linenumber = 6 THEN 'rev' ELSE '' END, CAST(CAST(l_quantity AS BIGINT) AS STRING), '.', CAST(l_linenumber AS STRING), CASE WHEN l_linenumber = 7 THEN '-rc1' ELSE '.0' END) AS version",
     f"{ECO.format('l_partkey')} AS ecosystem",
 )
 ADVISORIES = (
@@ -181,7 +181,7 @@ ADVISORIES = (
     "'osv' AS source",
 )
 HITS_SQL = f"""
-    deps AS (SELECT {', '.join(INSTALLED)}, CAST(l_quantity AS BIGINT) * 100 + l_linenumber AS num, l_linenumber < 7 AS usable FROM lineitem),
+    deps AS (SELECT {', '.join(INSTALLED)}, CAST(l_quantity AS BIGINT) * 100 + l_linenumber AS num, l_linenumber <> 6 AS usable FROM lineitem),
     advs AS (SELECT {', '.join(ADVISORIES)}, CASE WHEN p_size <= 10 THEN 0 ELSE (p_size - 10) * 100 END AS lo,
              CASE WHEN p_partkey % 4 = 0 THEN 1000000 ELSE p_size * 100 + 3 END AS hi FROM part),
     hits AS (SELECT d.file_path, d.name, d.version, d.ecosystem, a.advisory_id, a.cve_id, a.severity, a.summary

@@ -178,11 +178,8 @@ def shown_counts(spark, sf):
 @query("fail_gate", f"SELECT engine, bool_or({ROW_RANK} >= 4) AS failed FROM ({FOUND_SQL}) GROUP BY engine UNION ALL SELECT 'none', false")
 def fail_gate(spark, sf):
     found = findings(spark, sf)
-    out = R.fails(found.where("false"), "critical").select(F.lit("none").alias("engine"), "failed")
-    for engine in LINE_ENGINES:
-        gate = R.fails(found.where(F.col("engine") == engine), "critical")
-        out = out.unionByName(gate.select(F.lit(engine).alias("engine"), "failed"))
-    return out
+    none = R.fails(found.where("false"), "critical").select(F.lit("none").alias("engine"), "failed")
+    return R.fails(found, "critical", "engine").unionByName(none)
 
 
 @query(

@@ -101,7 +101,7 @@ def prose_findings(spark, sf):
 @query(
     "secret_redaction",
     """SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey,
-       concat('password = "', left(pw, 4), repeat('*', length(pw) - 4), '"; token = "ghp_', repeat('*', 36), '"') AS vulnerable_code
+       concat('password = "', left(pw, least(4, length(pw) // 4)), repeat('*', length(pw) - least(4, length(pw) // 4)), '"; token = "ghp_', repeat('*', 36), '"') AS vulnerable_code
        FROM (SELECT o_orderkey, concat('order-', CAST(o_orderkey AS STRING), '-', CAST(o_custkey AS STRING)) AS pw FROM orders)""",
 )
 def secret_redaction(spark, sf):

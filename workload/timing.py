@@ -146,8 +146,7 @@ def scanned_stream(spark, sf):
 def event_feed(spark, sf):
     found = scan_stream(file_stream(spark, sf, "documents"), LINE_ENGINES, "info", detected_at=NOW)
     events = run_to_table(finding_events(found), "feed")
-    get = lambda p: F.get_json_object("event", p)
-    return events.groupBy(get("$.type").alias("type"), get("$.data.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))
+    return events.groupBy("type", F.get_json_object("data", "$.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))
 
 
 @query("completion_summary", f"WITH {findings_cte('documents')} SELECT severity, count(*) AS n FROM found GROUP BY severity")
@@ -193,7 +192,4 @@ def late_subscriber(spark, sf):
     """Events of one scan, read back from a feed folder in order."""
     path = work_dir(spark, "events")
     feed(spark, sf).write.parquet(path)
-    from lynceus.operators.events import replay
-
-    rows = spark.read.schema(schemas.SCAN_EVENT).parquet(path)
-    return replay(rows, "scan-7", REPLAY_AT, 30 * 24 * 3600).select("scan_id", "seq", "type")
+    return catch_up(spark, path, "scan-7", REPLAY_AT, 30 * 24 * 3600).select("scan_id", "seq", "type")

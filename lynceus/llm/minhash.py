@@ -23,6 +23,7 @@ ROOT_PICKS = 2
 LEAF = 4096
 DEPTH = 8
 POSITIONS = 64
+HALF = 2 * POSITIONS
 #: Share of equal signature positions from which a pair is checked: over four deviations below the threshold.
 ESTIMATE = 0.5
 MARGIN = 0.1
@@ -46,11 +47,14 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def signature(sets: np.ndarray) -> bytes:
-    """The least scrambled hash of the set at each position, in 32 bits."""
+    """The least scrambled hash of the set at each position, in 32 bits: all upper halves, then all lower ones.
+
+    The upper halves alone serve to estimate similarity; unequal tokens share one with a chance of 2**-16.
+    """
     least = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(sets), _ROWS):
         least = np.minimum(least, ((sets[i : i + _ROWS, None] ^ _FLIP) * _SPREAD).min(axis=0))
-    return (least >> np.uint64(32)).astype("<u4").tobytes()
+    return (least >> np.uint64(48)).astype("<u2").tobytes() + (least >> np.uint64(32)).astype("<u2").tobytes()
 
 
 def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +80,7 @@ def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [shingles(t) for t in part.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             values = np.concatenate([np.empty(0, np.uint64), *rows]).view(np.int64)
-            signs = pa.array([signature(r) for r in rows], pa.binary())
+            signs = pa.array([signature(r)[:HALF] for r in rows], pa.binary())
             hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
             yield pa.RecordBatch.from_arrays([part.column(0), hashes, signs], ["of", "hashes", "set_sig"])
 
@@ -90,7 +94,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, POSITIONS)
+    """The upper halves of signatures, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, POSITIONS)
 
 
 def _leaf_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +157,12 @@ def _estimate(a: Column, b: Column) -> Column:
 
 def _key(node: Column, position: Column) -> Column:
     """The child node that a document of ``node`` goes to by its token at a position."""
-    return F.xxhash64(node, position, F.substring(F.col("sig"), 4 * position + 1, F.lit(4)))
+    at = 2 * position + 1
+    return F.xxhash64(node, position, F.substring("sig", at, F.lit(2)), F.substring("sig", HALF + at, F.lit(2)))
+
+
+def _upper() -> Column:
+    return F.substring("sig", 1, HALF)
 
 
 def _children() -> Column:
@@ -187,7 +197,7 @@ def _small(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _leaves(rows: DataFrame, signs: DataFrame) -> DataFrame:
-    with_sig = rows.join(signs, F.col("class_id") == F.col("signed")).select("node", "class_id", "sig")
+    with_sig = rows.join(signs.withColumn("sig", _upper()), F.col("class_id") == F.col("signed")).select("node", "class_id", "sig")
     found = with_sig.repartition("node").sortWithinPartitions("node").mapInArrow(_leaf_links, "a bigint, b bigint")
     return cut_lineage(found, "candidates")
 
@@ -213,8 +223,9 @@ def _hub_step(big: DataFrame, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
     estimate exceeds the largest estimate of a member not near the hub by the
     threshold and a margin at both. The hub itself always leaves.
     """
-    hubs = signs.select(F.col("signed").alias("hub_id"), F.col("sig").alias("hub_sig"))
-    near = big.join(signs, F.col("class_id") == F.col("signed")).join(hubs, F.col("hub") == F.col("hub_id"))
+    upper = signs.withColumn("sig", _upper())
+    hubs = upper.select(F.col("signed").alias("hub_id"), F.col("sig").alias("hub_sig"))
+    near = big.join(upper, F.col("class_id") == F.col("signed")).join(hubs, F.col("hub") == F.col("hub_id"))
     near = cut_lineage(near.select("node", "class_id", "hub", _estimate(F.col("sig"), F.col("hub_sig")).alias("estimate")), "hub-estimates")
     far = near.where(F.col("estimate") < ESTIMATE).groupBy(F.col("node").alias("in_node")).agg(F.max("estimate").alias("most"))
     bound = F.coalesce("most", F.lit(-1.0)) + (1 - PERCENT / 100) + 2 * MARGIN

@@ -21,13 +21,6 @@ class Memo(dict):
         value = self._old.get(key)
         return self.put(key, self._make(key) if value is None else value)
 
-    def known(self, keys: list) -> list:
-        """Values of the young generation, None for other keys."""
-        return list(map(self.get, keys))
-
-    def unknown(self, keys: set) -> list:
-        return [k for k in keys if k not in self and k not in self._old]
-
     def put(self, key, value):
         if len(key) <= self._longest:
             if len(self) >= self._limit:

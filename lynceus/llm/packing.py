@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import compress
-from operator import not_
 from pathlib import Path
 
 import numpy as np
@@ -26,6 +26,14 @@ TOGETHER = 64
 TASK_SEQUENCES = 1 << 38
 
 
+#: Latin letters that stay one letter in lower case, then ASCII marks other than the apostrophe. The
+#: tokenizer ends a word where letters end, so it treats both parts apart.
+PARTS = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@[-`{-~]*)")
+#: How byte-level tokenizers write bytes as characters: printable ones as themselves, others from 256 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 class ChunkIds(Memo):
     """Packed ids of what stands between spaces; the tokenizer never joins over ASCII white space."""
 
@@ -36,13 +44,37 @@ class ChunkIds(Memo):
         self._tokenizer = Tokenizer.from_str(source)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        self._model = self._tokenizer.model
 
     def _one(self, chunk: bytes) -> bytes:
         return np.asarray(self._tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Encodes new chunks many at a time; the places of the tokens tell which chunk they are of."""
-        new = [c.decode() for c in self.unknown(chunks)]
+    def _letters(self, word: bytes) -> bytes:
+        """One word of lower-case letters, which needs no more than the merges."""
+        text = word.decode() if word.isascii() else word.decode("latin-1").translate(BYTE_CHARS)
+        ids = [t.id for t in self._model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def of(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of all the chunks. Of new ones a word and its marks are encoded apart, all others together."""
+        found = dict(zip(chunks, map(self.get, chunks)))
+        rest = []
+        for chunk in [c for c, ids in found.items() if ids is None]:
+            if (ids := self._old.get(chunk)) is None:
+                if not (parts := PARTS.fullmatch(text := chunk.decode())):
+                    rest.append(text)
+                    continue
+                word, marks = parts[1].lower().encode(), parts[2].encode()
+                ids = self.get(word) or self._old.get(word) or self.put(word, self._letters(word))
+                if marks:
+                    ids += self[marks]
+            found[chunk] = self.put(chunk, ids)
+        for chunk, ids in self._joined(rest):
+            found[chunk] = self.put(chunk, ids)
+        return found
+
+    def _joined(self, new: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """Encodes many chunks at once; the places of the tokens tell which chunk they are of."""
         for i in range(0, len(new), LEARNED):
             part = new[i : i + LEARNED]
             found = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -51,7 +83,7 @@ class ChunkIds(Memo):
             cuts = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
             ids = np.asarray(found.ids, "<u4").tobytes()
             for chunk, a, b in zip(part, cuts, cuts[1:]):
-                self.put(chunk.encode(), ids[a:b])
+                yield chunk.encode(), ids[a:b]
 
 
 @lru_cache(maxsize=2)
@@ -70,10 +102,9 @@ def document_ids(texts: list[str | None], chunks: ChunkIds, end_id: int = END_ID
     end = end_id.to_bytes(4, "little")
     for i in range(0, len(texts), TOGETHER):
         split = [text_chunks(t) for t in texts[i : i + TOGETHER]]
-        found = [chunks.known(words) for words in split]
-        chunks.learn({w for words, ids in zip(split, found) for w in compress(words, map(not_, ids))})
-        for words, ids in zip(split, found):
-            yield b"".join([x or chunks[w] for w, x in zip(words, ids)]) + end
+        ids = chunks.of(set().union(*split))
+        for words in split:
+            yield b"".join(map(ids.__getitem__, words)) + end
 
 
 #: A piece of a document in a window: document, its tokens, first token, packed ids.

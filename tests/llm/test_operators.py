@@ -1,6 +1,7 @@
 """Each operator against its plain version, on the smallest tables and on odd rows."""
 
 import random
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -238,6 +239,17 @@ def test_packing(spark, odd, documents):
     assert not packing.pack(odd.limit(0), path).collect()
 
 
+def test_packing_words_and_marks_apart():
+    """Ids of Latin letters beside marks, apostrophes and combining marks are those of the library."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, chunks = Tokenizer.from_file(path), packing.chunk_ids(Path(path).read_text())
+    texts = [f"{a}{chr(i)}{b}" for i in range(1, 0x2FF) for a in ("", "Z") for b in (",", "b.", "'s", "!\u0301", "<|", "")]
+    texts += ["x" * 100 + ", " + "\u00e9" * 90 + "!!", "abc<|endoftext|>x, \ufb01. \u1e9e, \u212a.", None, ""]
+    for text, ids in zip(texts, packing.document_ids(texts, chunks)):
+        expected = tokenizer.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
+        assert np.frombuffer(ids, "<u4").tolist() == expected, text
+
+
 def test_packing_takes_the_level_of_least_sum_of_squares():
     rng = random.Random(3)
     levels = packing.LevelArray(16)

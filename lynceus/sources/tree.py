@@ -43,7 +43,7 @@ def is_scannable(path: Column, extensions: tuple[str, ...] = SCANNABLE_EXTENSION
 
 
 def _decoded(raw: DataFrame) -> DataFrame:
-    """Text of files that are valid UTF-8; all others are left out."""
+    """Text of files that are valid UTF-8; :func:`tree_rejects` lists the others."""
     code = F.col("content").cast("string")
     ext = extension(F.col("path"))
     return raw.where(F.is_valid_utf8(code)).select(
@@ -72,7 +72,7 @@ def list_tree(
             for start in pdf["path"]:
                 todo, rows, listed = [start], [], 0
                 while todo and listed < entries_per_task:
-                    for info in filesystem.get_file_info(pafs.FileSelector(todo.pop())):
+                    for info in filesystem.get_file_info(pafs.FileSelector(todo.pop(), allow_not_found=True)):
                         listed += 1
                         if info.type == pafs.FileType.File:
                             rows.append((info.path, False, info.size))
@@ -98,32 +98,44 @@ def list_tree(
     return spark.read.schema(schema).parquet(base).where("NOT is_folder").select("path", "bytes")
 
 
-def _contents(files: DataFrame, root: str, skip_unreadable: bool = True) -> DataFrame:
-    """Bytes of listed files, read in tasks of similar size."""
+def _refusal(error: OSError) -> str | None:
+    """Why a file can't be read whatever the attempt; None for errors worth another attempt."""
+    if isinstance(error, PermissionError) or "ACCESS_DENIED" in str(error):
+        return "permission denied"
+    return "not found" if isinstance(error, FileNotFoundError) else None
+
+
+def _contents(files: DataFrame, root: str, refuse: bool = True) -> DataFrame:
+    """Bytes of listed files, read in tasks of similar size.
+
+    With ``refuse`` a file that is gone or may not be read has a ``reason`` and no bytes.
+    Any other error fails the task, which Spark tries again.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filesystem, _ = _filesystem(root)
         rows, size = [], 0
         for pdf in batches:
             for path in pdf["path"]:
+                content, reason = None, None
                 try:
                     with filesystem.open_input_stream(path) as stream:
                         content = stream.read()
-                except OSError:
-                    if skip_unreadable:
-                        continue
-                    raise
-                rows.append((path, content))
-                size += len(content)
+                except OSError as error:
+                    reason = _refusal(error)
+                    if reason is None or not refuse:
+                        raise
+                rows.append((path, content, reason))
+                size += len(content or b"")
                 if size >= READ_BYTES:
-                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    yield pd.DataFrame(rows, columns=["path", "content", "reason"])
                     rows, size = [], 0
-        yield pd.DataFrame(rows, columns=["path", "content"])
+        yield pd.DataFrame(rows, columns=["path", "content", "reason"])
 
     total = files.agg(F.sum("bytes")).first()[0] or 0
     tasks = max(files.sparkSession.sparkContext.defaultParallelism, total // BYTES_PER_TASK)
     return files.select("path").repartition(int(tasks)).mapInPandas(
-        read, "path STRING, content BINARY"
+        read, "path STRING, content BINARY, reason STRING"
     )
 
 
@@ -136,7 +148,7 @@ def read_code_tree(
     """Every scannable text file below a folder.
 
     Folders, names and sizes are tested on the listing, so no other file is
-    opened.
+    opened. What is left out of the scannable files is in :func:`tree_rejects`.
     """
     files = list_tree(spark, path).where(is_scannable(F.col("path"), extensions))
     if max_bytes is not None:
@@ -144,6 +156,28 @@ def read_code_tree(
     return _decoded(_contents(files, path))
 
 
+def tree_rejects(
+    spark: SparkSession,
+    path: str,
+    extensions: tuple[str, ...] = SCANNABLE_EXTENSIONS,
+    max_bytes: int | None = None,
+) -> DataFrame:
+    """Scannable files that :func:`read_code_tree` leaves out: path, bytes, reason.
+
+    A list of its own, which reads the files within ``max_bytes`` once more.
+    """
+    files = list_tree(spark, path).where(is_scannable(F.col("path"), extensions))
+    over = F.col("bytes") > max_bytes if max_bytes is not None else F.lit(False)
+    large = files.where(over).select("path", "bytes", F.lit(f"over {max_bytes} bytes").alias("reason"))
+    text = F.is_valid_utf8(F.col("content").cast("string"))
+    bad = _contents(files.where(~over), path).select(
+        "path",
+        F.octet_length("content").cast("bigint").alias("bytes"),
+        F.coalesce("reason", F.when(~text, "not UTF-8 text")).alias("reason"),
+    )
+    return large.unionByName(bad.where("reason IS NOT NULL"))
+
+
 def read_code_files(
     spark: SparkSession,
     path: str,
@@ -176,6 +210,6 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
         F.raise_error(F.concat(F.lit("not UTF-8 text: "), F.col("path")))
     )
     ext = extension(F.col("path"))
-    return _contents(files, path, skip_unreadable=False).select(
+    return _contents(files, path, refuse=False).select(
         "path", checked.alias("code"), language_from_ext(ext).alias("language"), ext.alias("ext")
     )

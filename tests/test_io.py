@@ -73,6 +73,15 @@ def test_code_tree(spark, tmp_path):
     rounds = tree.list_tree(spark, str(tmp_path), entries_per_task=2)
     assert rounds.count() == tree.list_tree(spark, f"file://{tmp_path}").count() == 10
     assert scan(files, ["sast"]).where("rule_id = 'S05'").count() == 2
+    refused = tree.tree_rejects(spark, str(tmp_path), max_bytes=1000).collect()
+    assert {(os.path.basename(r["path"]), r["bytes"], r["reason"]) for r in refused} == {
+        ("bad.py", 8, "not UTF-8 text"), ("big.py", 2000, "over 1000 bytes")
+    }
+    gone = spark.createDataFrame([(str(tmp_path / "gone.py"), 1)], "path STRING, bytes BIGINT")
+    assert [r["reason"] for r in tree._contents(gone, str(tmp_path)).collect()] == ["not found"]
+    folder = spark.createDataFrame([(str(tmp_path / "src"), 1)], "path STRING, bytes BIGINT")
+    with pytest.raises(Exception, match="(?i)director|regular file"):
+        tree._contents(folder, str(tmp_path)).collect()
     one = tree.read_file(spark, str(tmp_path / "src/notes.txt")).collect()
     assert one[0]["code"] == "eval(z)\n"
     with pytest.raises(Exception, match="not UTF-8"):

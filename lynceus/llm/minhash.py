@@ -165,15 +165,22 @@ def _upper() -> Column:
     return F.substring("sig", 1, HALF)
 
 
+def _roots() -> Column:
+    """First-level nodes: in each tree one for each of its own positions."""
+    return F.array(*[_key(F.lit(-1 - t), F.lit(ROOT_PICKS * t + k)) for t in range(TREES) for k in range(ROOT_PICKS)])
+
+
 def _children() -> Column:
-    """Child nodes by one position of the node's choice and, in every third node, by two: 4/3 on average.
+    """Child nodes by two different positions of the node's choice and, in every third node, by a third.
 
-    That is one over the threshold, so paths of pairs below it die out and their
-    number doesn't grow with the depth.
+    A pair at the threshold shares 1.75 of them on average, so its paths grow in number with the depth and
+    all of them end with a chance of under 1 in 10,000 at any depth.
     """
-    position = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS)).cast("int")
-    one, two = (_key(F.col("node"), position(k)) for k in (0, 1))
-    return F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(3)) == 0, F.array(one, two)).otherwise(F.array(one))
+    draw = lambda k, n: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(n)).cast("int")
+    first, third = draw(0, POSITIONS), draw(3, POSITIONS)
+    second = F.pmod(first + 1 + draw(1, POSITIONS - 1), F.lit(POSITIONS)).cast("int")
+    two = [_key(F.col("node"), p) for p in (first, second)]
+    return F.when(draw(2, 3) == 0, F.array(*two, _key(F.col("node"), third))).otherwise(F.array(*two))
 
 
 def _summary(rows: DataFrame) -> DataFrame:
@@ -242,8 +249,7 @@ def _hub_step(big: DataFrame, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _candidates(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) worth a check that connect all pairs which share a small node of some tree."""
     signs = classes.select(F.col("class_id").alias("signed"), "sig")
-    roots = [_key(F.lit(-1 - t), F.lit(ROOT_PICKS * t + k)) for t in range(TREES) for k in range(ROOT_PICKS)]
-    rows = classes.select(F.explode(F.array(*roots)).alias("node"), "class_id")
+    rows = classes.select(F.explode(_roots()).alias("node"), "class_id")
     found: DataFrame | None = None
     for level in range(DEPTH + 1):
         nodes = cut_lineage(_summary(rows), "nodes")
@@ -324,15 +330,15 @@ def document_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with equal shingle sets are one class, with a signature of 64
     minwise tokens. In each of six independent trees a class goes down two paths
-    from the root, one for its token at each of two positions, and 4/3 on average
+    from the root, one for its token at each of two positions, and 7/3 on average
     from every later node. A node of up to 4096 classes is compared exhaustively by
     signature. In a larger one all members are compared with its hub, what that
     settles leaves, and the rest branches on; what is still crowded after eight levels
     is compared in pairs of chunks. Connected candidates are a group, and a group is verified
     on full sets: in one task up to 4096 classes, beyond that with hubs and in blocks.
-    A pair at the threshold shares a first-level node with a chance of 1 - 0.25**12; through a
-    crowded node of several levels a tree still finds it about every other time, and six trees nearly
-    always. A link is only what full sets confirm; groups give spanning links, not all pairs.
+    A pair at the threshold shares a first-level node with a chance of 1 - 0.25**12. Where all nodes of its
+    shared tokens are crowded, all its paths end within eight levels with a chance of 1.5e-5 by calculation.
+    A link is only what full sets confirm; groups give spanning links, not all pairs.
 
     Null texts and texts without words have no shingles and link with nothing. Rows of null id
     link with nothing: component null, kept. Rows that repeat an id are one

@@ -219,6 +219,22 @@ def test_documents(spark, odd, documents, monkeypatch):
         same(rows_of(minhash.document_groups(df)), expected)
 
 
+def test_paths_of_pairs_at_the_threshold_survive_crowded_levels(spark):
+    """Pairs of similarity 0.75 to 0.8 still share a node where no node is a leaf before the last level."""
+    rng, n = np.random.default_rng(5), 1000
+    one, other = rng.integers(0, 1 << 32, (2, n, minhash.POSITIONS), np.uint64)
+    shared = rng.random((n, minhash.POSITIONS)) < rng.uniform(0.75, 0.8, (n, 1))
+    halves = lambda m: [r.tobytes() for r in np.hstack([m >> np.uint64(16), m & np.uint64(0xFFFF)]).astype("<u2")]
+    pairs = list(zip(range(n), halves(one), halves(np.where(shared, one, other))))
+    both = spark.createDataFrame(pairs, "pair int, a binary, b binary").repartition(4)
+    signs, nodes = [both.select("pair", F.col(c).alias("sig")) for c in "ab"], None
+    for _ in range(minhash.DEPTH + 1):
+        to = minhash._children() if nodes else minhash._roots()
+        a, b = ((s.join(nodes, "pair") if nodes else s).select("pair", F.explode(to).alias("node")).distinct() for s in signs)
+        nodes = a.join(b, ["pair", "node"]).localCheckpoint()
+    assert nodes.select("pair").distinct().count() == n
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(2)
     links = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)] + [(i, i + 1) for i in range(500, 560)] + [(None, 1), (3, 3)]

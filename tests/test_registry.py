@@ -33,5 +33,10 @@ def test_query_equals_sql(spark, con, name):
     assert result.startswith("ok") and "EMPTY" not in result, result
 
 
+def test_history_reports_every_scan(spark, con, tables):
+    result = check(spark, con, SF, "history_all")
+    assert result.startswith("ok") and int(result.split()[1]) == tables("orders").count(), result
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 20

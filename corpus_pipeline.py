@@ -31,9 +31,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    gone = minhash.document_groups(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: the one with the smallest id.
+
+    Rows that repeat an id are told apart by their texts; of rows alike in both, one stays.
+    Texts without words are in no group, and rows of null id neither: they all stay.
+    """
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", lines.row_key(F.col("text"))))
+    keyed = docs.withColumn("_row", key)
+    groups = minhash.document_groups(keyed, "_row").where("n_shingles > 0 AND doc_id IS NOT NULL")
+    groups = groups.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component"), F.count("*").alias("times"))
+    groups = cut_lineage(groups, "near-groups")
+    ids = keyed.groupBy(F.col("_row").alias("_id_row")).agg(F.min("doc_id").alias("id"))
+    first = groups.join(ids, F.col("_key") == F.col("_id_row")).groupBy("component").agg(F.min(F.struct("id", "_key")).alias("first"))
+    gone = groups.select("_key").join(first.select(F.col("first._key").alias("_stays")), F.col("_key") == F.col("_stays"), "left_anti")
+    single = keyed.join(gone, F.col("_row") == F.col("_key"), "left_anti")
+    again = groups.where("times > 1").select("_key")
+    if not again.isEmpty():
+        same = F.col("_row") == F.col("_key")
+        once = single.join(again, same, "left_semi").dropDuplicates(["_row"])
+        single = single.join(again, same, "left_anti").unionByName(once)
+    return single.select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

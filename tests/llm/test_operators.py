@@ -368,3 +368,13 @@ def test_pipeline(spark, documents):
     path = public_tokenizers.path(corpus_pipeline.TOKENIZER)
     assert brute.check_pieces(list(texts.items()), rows_of(steps[4](spark, masked, SF)), Tokenizer.from_file(path)) == 0
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == len(texts)
+
+
+def test_pipeline_keeps_each_text_of_a_repeated_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    kept = lambda rows: rows_of(stage(spark, frame(spark, rows), SF), "doc_id", "text")
+    same(kept([(1, a), (5, a), (5, b)]), [(1, a), (5, b)])
+    same(kept([(5, a), (5, b), (3, f"{b} tail")]), [(5, a), (3, f"{b} tail")])
+    same(kept([(5, a), (5, a), (5, a), (7, f"{a} tail"), (8, c), (8, c)]), [(5, a), (8, c)])
+    same(kept([(None, a), (None, a), (4, ""), (4, ""), (6, None)]), [(None, a), (None, a), (4, ""), (4, ""), (6, None)])

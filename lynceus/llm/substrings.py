@@ -1,4 +1,4 @@
-"""Substring dedup by a relative Lempel-Ziv parse against content-defined reference blocks."""
+"""Substring dedup by hash joins of content-defined blocks and of windows, in place of a relative Lempel-Ziv parse."""
 
 from __future__ import annotations
 
@@ -104,10 +104,9 @@ def _windows(window: int):
 def factors(starts: np.ndarray, sizes: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Duplicate spans of words from runs of found windows.
 
-    Greedy parse: a factor begins at the first found window not yet covered and goes on
-    as long as the next window is found too, whichever reference block holds it; the
-    windows over a boundary between two factors are looked up like all others, so
-    factors that touch there become one span. A found window alone has the least length.
+    The joins have decided which windows are found; here runs of them are merged. A factor
+    goes on as long as the next window is found too, whichever reference block holds it, and has
+    no reference position. Factors that touch become one span. A found window alone has the least length.
     """
     spans: list[list[int]] = []
     order = np.argsort(starts, kind="stable")

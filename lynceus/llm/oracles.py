@@ -13,6 +13,52 @@ least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)"""
 
 _CHARS = "length({}) - length(regexp_replace({}, '{}', '', 'g'))"
 
+_CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+)"""
+
+
+def _crc(codes: str) -> str:
+    """The unsigned crc32 of a list of byte values, beside ``crc_table``."""
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+_ID_CRC = _crc("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)")
+
+
+def _climb(name: str, levels: int) -> str:
+    """Tables name_0, name_1, ... of the nodes of each level, each with its siblings joined, from name(tree, pos, n, h)."""
+    beside = "coalesce(string_agg(h, '') OVER (PARTITION BY tree, pos // 3 ORDER BY pos ROWS BETWEEN {}), '')"
+    sides = f"{beside.format('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS b, {beside.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS a"
+    out = [f"{name}_0 AS MATERIALIZED (SELECT tree, pos, n, h, {sides} FROM {name})"]
+    for k in range(levels):
+        raised = "CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END"
+        out.append(
+            f"{name}_{k + 1} AS MATERIALIZED (SELECT tree, pos, n, h, {sides} FROM (SELECT tree, pos // 3 AS pos, (any_value(n) + 2) // 3 AS n,"
+            f" {raised} AS h FROM {name}_{k} GROUP BY tree, pos // 3))"
+        )
+    return ",\n".join(out)
+
+
+def _paths(source: str, name: str, levels: int, out: str) -> str:
+    """Rows of ``source`` (tree, pos, proof, folded) after the steps of all levels of a climbed table."""
+    parts = []
+    for k in range(levels):
+        of, to = (source if k == 0 else f"{out}_{k}"), (out if k == levels - 1 else f"{out}_{k + 1}")
+        parts.append(
+            f"{to} AS MATERIALIZED (SELECT p.* REPLACE (p.pos // 3 AS pos, proof || b || a AS proof,"
+            f" CASE WHEN n > 1 THEN sha256(b || folded || a) ELSE folded END AS folded) FROM {of} p JOIN {name}_{k} l ON l.tree = p.tree AND l.pos = p.pos)"
+        )
+    return ",\n".join(parts)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+_ROW = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
 SQL: dict[str, str] = {
     "op1_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
@@ -112,4 +158,22 @@ kept AS (
 )
 SELECT d.doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_merkle": f"""
+WITH {_CRC_TABLE},
+d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS tree, sha256({_ROW} || {_field('text')}) AS h,
+         CASE WHEN {_ID_CRC} % 2 = 0 THEN sha256({_ROW} || {_field("replace(text, chr(10), '')")}) END AS tampered
+  FROM documents, crc_table
+),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+{_climb('leaves', 12)},
+subroots AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM leaves_12),
+tops AS (SELECT '2' AS tree, place AS pos, count(*) OVER () AS n, subroot AS h FROM subroots),
+{_climb('tops', 8)},
+started AS (SELECT doc_id, tree, h AS leaf, pos, '' AS proof, coalesce(tampered, h) AS folded FROM leaves),
+{_paths('started', 'leaves', 12, 'inside')},
+between AS (SELECT doc_id, leaf, subroot, '2' AS tree, place AS pos, proof, folded FROM inside JOIN subroots USING (tree)),
+{_paths('between', 'tops', 8, 'whole')}
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
+FROM whole JOIN tops_8 t ON t.tree = whole.tree""",
 }

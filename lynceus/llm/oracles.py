@@ -176,4 +176,28 @@ between AS (SELECT doc_id, leaf, subroot, '2' AS tree, place AS pos, proof, fold
 {_paths('between', 'tops', 8, 'whole')}
 SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
 FROM whole JOIN tops_8 t ON t.tree = whole.tree""",
+    "op13_spelling": f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS n, doc_id::VARCHAR || ':' || run AS named FROM runs GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc("flatten(list_transform(string_split(named, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 + (unicode(x) >> 6))::BIGINT, (128 + (unicode(x) & 63))::BIGINT] END))")} END AS h
+  FROM each, crc_table
+),
+results AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed
+),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM results GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5),
+cuts AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT x.word AS a, y.word AS b, y.n FROM cuts x JOIN cuts y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word AND length(x.word) = length(y.word)
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.rest
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.rest
+),
+best AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS m FROM pairs GROUP BY a),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN b END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM words LEFT JOIN best ON a = word),
+chain(word, root, further) AS (
+  SELECT word, word, form FROM forms UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.further
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.further IS NULL""",
 }

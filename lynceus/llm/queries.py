@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lynceus.llm import bpe, crf, embeddings, lines, merkle, minhash, packing, quality, secrets, substrings, warc
+from lynceus.llm import bpe, crf, embeddings, lines, merkle, minhash, packing, quality, secrets, spelling, substrings, warc
 from lynceus.llm.oracles import SQL  # noqa: F401
 from lynceus.scale import work_dir
 
@@ -113,10 +113,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.vocabulary(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_bpe, op3_secrets, op4_warc, op5_embedding_dedup, op6_minhash, op7_packing,
         op8_quality_crf, op9_substring_dedup, op10_line_dedup, op11_merkle,
+        op13_spelling,
     )
 } | {"pipeline": corpus_pipeline.run}

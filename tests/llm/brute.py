@@ -216,3 +216,43 @@ def merkle(rows):
             proof = sha("".join(b + a for b, a in steps))
             out.append((r[0], own, trees[g][-1][0], top[-1][0], proof, at, at == top[-1][0]))
     return out
+
+
+RUN = re.compile("[A-Za-z\u00c0-\u00ff]+")
+
+
+def spelling_words(rows, min_chars=6, min_count=5):
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in RUN.findall(text or ""):
+            run = run.translate(CAPITALS)
+            h = 1 if doc_id is None else zlib.crc32(f"{doc_id}:{run}".encode())
+            if h % 199 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= min_chars and n >= min_count}
+
+
+def spelling(words):
+    """Rows (word, form, root, n, n_near, form_n) from all edits of every word."""
+    letters = {c for w in words for c in w}
+
+    def near(w):
+        cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        made = {a + b[1:] for a, b in cuts if b}
+        made |= {a + c + b[1:] for a, b in cuts if b for c in letters} | {a + c + b for a, b in cuts for c in letters}
+        return (made - {w}) & words.keys()
+
+    beside = {w: near(w) for w in words}
+    form = {}
+    for w, found in beside.items():
+        best = min(found, key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 5 * words[w] else None
+
+    def last(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return [(w, form[w], last(w), words[w], len(beside[w]), words.get(form[w])) for w in words]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lynceus.llm import bpe, crf, embeddings, lines, merkle, minhash, packing, quality, secrets, spelling, substrings, warc
+from lynceus.llm import bpe, crf, embeddings, lines, merkle, minhash, packing, quality, secrets, spelling, substrings, suffix_tree, warc
 from lynceus.llm.oracles import SQL  # noqa: F401
 from lynceus.scale import work_dir
 
@@ -113,6 +113,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the rows that are not held out; rows of null id are learned from."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lambda c: F.coalesce(_crc(c) % 7 == 2, F.lit(False))
+    scored = suffix_tree.score(docs, suffix_tree.train(docs.where(~held_out("doc_id"))))
+    return scored.withColumnRenamed("id", "doc_id").select(
+        "doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(spelling.vocabulary(_table(spark, sf_dir, "documents")))
 
@@ -122,6 +132,6 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_quality_rules, op2_bpe, op3_secrets, op4_warc, op5_embedding_dedup, op6_minhash, op7_packing,
         op8_quality_crf, op9_substring_dedup, op10_line_dedup, op11_merkle,
-        op13_spelling,
+        op12_suffix_tree, op13_spelling,
     )
 } | {"pipeline": corpus_pipeline.run}

@@ -256,3 +256,52 @@ def spelling(words):
         return w
 
     return [(w, form[w], last(w), words[w], len(beside[w]), words.get(form[w])) for w in words]
+
+
+class SuffixTree:
+    """The suffix tree of token lists, with a dictionary for everything."""
+
+    def __init__(self, texts, depth=2, min_count=8, min_state=64, cost=4.0):
+        self.depth = depth
+        counts = defaultdict(Counter)
+        for tokens in texts:
+            for i, w in enumerate(tokens):
+                for n in range(min(i, depth) + 1):
+                    counts[tuple(tokens[i - n : i])][w] += 1
+        self.words = counts[()]
+        self.n, self.v = sum(self.words.values()), len(self.words)
+        self.states = {}
+        for s in sorted((s for s in counts if s), key=len):
+            total = sum(counts[s].values())
+            # a context is looked at if all its beginnings were, as pairs seen often enough
+            begins = all(counts[s[:i]][s[i]] >= (min_state if i else 0) for i in range(len(s)))
+            own = {w: c for w, c in counts[s].items() if c >= min_count}
+            if total < min_state or not begins or not own:
+                continue
+            rest = total + 1 - sum(own.values())
+            p = {w: np.log(self.predicts(s[1:], w)) for w in own}
+            q = {w: np.log((c + rest * np.exp(p[w])) / (total + 1)) for w, c in own.items()}
+            back = np.log(rest / (total + 1))
+            if sum(c * (q[w] - p[w]) for w, c in own.items()) + (total - sum(own.values())) * back > cost * len(own):
+                self.states[s] = (total, rest, own)
+
+    def base(self, w):
+        return (self.words[w] + 1) / (self.n + self.v + 1)
+
+    def predicts(self, context, w):
+        while context and context not in self.states:
+            context = context[1:]
+        if not context:
+            return self.base(w)
+        total, rest, own = self.states[context]
+        return (own.get(w, 0) + rest * self.predicts(context[1:], w)) / (total + 1)
+
+    def score(self, tokens):
+        known = sum(self.words[w] > 0 for w in tokens)
+        base = sum(np.log10(self.base(w)) for w in tokens)
+        whole = sum(np.log10(self.predicts(tuple(tokens[max(i - self.depth, 0) : i]), w)) for i, w in enumerate(tokens))
+        return len(tokens), known, self.n, base, whole
+
+
+def lm_tokens(text):
+    return [*WORD.findall((text or "").translate(CAPITALS)), " "]

@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lynceus.llm.groups import sorted_groups
 from lynceus.llm.words import MULTIPLIER, mixed, word_hashes
-from lynceus.scale import cut_lineage
+from lynceus.scale import cut_lineage, planned_bytes
 
 DEPTH = 2
 # A next word needs so many occurrences after a state to have a probability of its own there.
@@ -24,7 +25,9 @@ MIN_STATE = 64
 COST = 4.0
 PRIOR = 1.0
 
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 1_000_000
+# Input bytes for each bucket of counts, so that a bucket fits a task at every size.
+BUCKET_BYTES = 4 * 1024 * 1024
 OUT_ROWS = 100_000
 # Values that every task holds, 24 bytes each; the others are joined.
 HELD_VALUES = 1_500_000
@@ -102,9 +105,9 @@ def key_filter(keys: DataFrame, column: str) -> KeyFilter:
 class _Chunk:
     """Tokens of many texts behind each other: hashes, texts, places in their text, and distinct words."""
 
-    def __init__(self, texts: list[list[bytes]]):
+    def __init__(self, texts: list[np.ndarray]):
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.hashes = word_hashes([w for t in texts for w in t])
+        self.hashes = np.concatenate(texts)
         self.of = np.repeat(np.arange(len(texts)), lengths)
         self.place = np.arange(len(self.hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.lengths = lengths
@@ -124,15 +127,16 @@ class _Chunk:
 def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[tuple], _Chunk]]:
     """Rows (all columns but the last) and their tokens, about CHUNK_TOKENS at a time."""
     rows: list[tuple] = []
-    texts: list[list[bytes]] = []
+    texts: list[np.ndarray] = []
     held = 0
     for batch in batches:
         for row in zip(*batch.columns):
             text = row[-1].as_py()
             # bytes.lower() folds A-Z only
-            tokens = [*text.encode().lower().split(), END] if text else [END]
+            tokens = text.encode().lower().split() if text else []
+            tokens.append(END)
             rows.append(row[:-1])
-            texts.append(tokens)
+            texts.append(word_hashes(tokens))
             held += len(tokens)
             if held >= CHUNK_TOKENS:
                 yield rows, _Chunk(texts)
@@ -145,42 +149,86 @@ def _signed(keys: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(keys).view(np.int64))
 
 
-def _counting(lengths: range, wanted):
-    """(state, word, n) of the chunk's words after their contexts of the given lengths; ``wanted`` filters contexts."""
+def _counting(length: int, wanted, bits: int):
+    """Words of each chunk after their contexts of one length, with their counts, packed by bucket of their key.
+
+    ``wanted`` filters contexts, and words after the context that is one shorter: what is rare there is not frequent here.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, chunk in _chunks(batches):
-            found = []
-            if 0 in lengths:
-                found.append((np.zeros(len(chunk.distinct), np.uint64), chunk.distinct, np.bincount(chunk.codes)))
-            for n, at, keys in chunk.contexts(max(lengths)):
-                if n not in lengths:
-                    continue
-                if wanted is not None:
-                    at = at[wanted.value.passes(keys[at])]
-                codes, states = pd.factorize(keys[at])
-                pairs, counts = np.unique(codes * len(chunk.distinct) + chunk.codes[at], return_counts=True)
-                found.append((states[pairs // len(chunk.distinct)], chunk.distinct[pairs % len(chunk.distinct)], counts))
-            for states, words, counts in found:
-                for i in range(0, len(states), OUT_ROWS):
-                    part = slice(i, i + OUT_ROWS)
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed(states[part]), _signed(words[part]), pa.array(counts[part].astype(np.int64))], ["state", "word", "n"]
-                    )
+            if length:
+                states, words, counts = _pairs(chunk, length, *wanted.value)
+            else:
+                states, words, counts = np.zeros(len(chunk.distinct), np.uint64), chunk.distinct, np.bincount(chunk.codes)
+            buckets = (extended(states, words) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+            order = np.argsort(buckets, kind="stable")
+            states, words, counts = states[order], words[order], counts[order].astype(np.int64)
+            found, starts = np.unique(buckets[order], return_index=True)
+            ends = [*starts[1:].tolist(), len(order)]
+            packed = [[c[i:j].tobytes() for i, j in zip(starts.tolist(), ends)] for c in (states, words, counts.astype(np.uint32))]
+            if len(counts) and counts.max() >= 1 << 32:
+                raise OverflowError("a chunk has more words than its counts can hold")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.astype(np.int32)), *[pa.array(c, pa.binary()) for c in packed]], ["bucket", "states", "words", "counts"]
+            )
+
+    return run
+
+
+def _pairs(chunk: _Chunk, length: int, contexts: KeyFilter, events: KeyFilter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    shorter = np.zeros(len(chunk.hashes), np.uint64)
+    for n, at, keys in chunk.contexts(length):
+        if n == length:
+            at = at[contexts.passes(keys[at])]
+            at = at[events.passes(extended(shorter[at], chunk.hashes[at]))]
+            codes, states = pd.factorize(keys[at])
+            pairs, counts = np.unique(codes * len(chunk.distinct) + chunk.codes[at], return_counts=True)
+            return states[pairs // len(chunk.distinct)], chunk.distinct[pairs % len(chunk.distinct)], counts
+        shorter = keys
+    raise ValueError(length)
+
+
+def _summed(least: int):
+    """(state, word, n, key) of each bucket, summed over chunks, from ``least`` on."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, "bucket"):
+            states, words, counts = (
+                np.frombuffer(b"".join(group[c].to_pylist()), kind) for c, kind in (("states", np.uint64), ("words", np.uint64), ("counts", np.uint32))
+            )
+            keys = extended(states, words)
+            order = np.argsort(keys)
+            first = np.flatnonzero(np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]))
+            sums = np.add.reduceat(counts[order].astype(np.int64), first)
+            at, sums = order[first[sums >= least]], sums[sums >= least]
+            for i in range(0, len(at), OUT_ROWS):
+                part = slice(i, i + OUT_ROWS)
+                made = [_signed(states[at[part]]), _signed(words[at[part]]), pa.array(sums[part]), _signed(keys[at[part]])]
+                yield pa.RecordBatch.from_arrays(made, ["state", "word", "n", "key"])
 
     return run
 
 
-def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the keys of their word after the state and, in ``events``, after each shorter suffix of it."""
+def _counts(texts: DataFrame, length: int, wanted, least: int) -> DataFrame:
+    """(state, word, n, key) of all words after contexts of ``length`` words, from ``least`` occurrences on.
+
+    A context's words are dealt out by the key of both, so a frequent context is in all buckets.
+    """
+    bits = min(max((planned_bytes(texts) // BUCKET_BYTES).bit_length(), 6), 24)
+    packed = texts.mapInArrow(_counting(length, wanted, bits), "bucket int, states binary, words binary, counts binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed(least), f"{_ROWS}, key bigint")
+
+
+def _with_events(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the keys of their word after each suffix of the state in ``chain``."""
     for batch in batches:
-        state, word = (batch.column(c).to_numpy().view(np.uint64) for c in ("state", "word"))
+        word = batch.column("word").to_numpy().view(np.uint64)
         suffixes = batch.column("chain").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         depth = len(suffixes) // max(len(word), 1)
         events = extended(suffixes.reshape(len(word), depth), word[:, None])
         ends = pa.array(np.arange(len(word) + 1, dtype=np.int32) * depth, pa.int32())
-        made = [_signed(extended(state, word)), pa.ListArray.from_arrays(ends, _signed(events.reshape(-1)))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "key", "events"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, _signed(events.reshape(-1)))], [*batch.schema.names, "events"])
 
 
 _ROWS = "state bigint, word bigint, n bigint"
@@ -197,11 +245,6 @@ class SuffixTree:
     depth: int
 
 
-def _events(rows: DataFrame) -> DataFrame:
-    """``rows`` (state, word, n, total, chain) with the keys that :func:`_keyed` adds."""
-    return rows.mapInArrow(_keyed, f"{_ROWS}, total bigint, chain array<bigint>, key bigint, events array<bigint>")
-
-
 def train(
     docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_count: int = MIN_COUNT,
     min_state: int = MIN_STATE, cost: float = COST,
@@ -214,18 +257,13 @@ def train(
     for each next word seen ``min_count`` times after it. At a state such a word has (c + r p) / (n + 1), any other
     r p / (n + 1), where n is the state's count, p the prediction of the shorter state and r, what is left: n + 1 less all such c.
 
-    Every count covers all rows and grows with them. Tasks count before the shuffle; rows are then dealt out by
-    context and word together, so that no task gets all of a frequent context. Longer contexts are counted where
-    the shorter count allows a state, told by a filter of bounded size. Null texts are empty: one token. An empty table gives a tree without words.
+    Every count covers all rows and grows with them. Tasks count before the shuffle; counts are then dealt out by
+    context and word together, so that no task gets all of a frequent context. A pass counts contexts of one length, where the
+    counts before allow a state and a next word, told by filters of bounded size. Null texts are empty: one token. An empty table gives a tree without words.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    counted = texts.mapInArrow(_counting(range(min(depth, 1) + 1), None), _ROWS).groupBy("state", "word").agg(F.sum("n").alias("n"))
-    counted = counted.where((F.col("state") == 0) | (F.col("n") >= min_count))
-    counted = cut_lineage(counted, "tree-counts")
-    none = F.array().cast("array<bigint>").alias("chain")
-    words = _events(counted.where("state = 0").select("state", "word", "n", F.col("n").alias("total"), none))
-    words = cut_lineage(words.select("word", "key", "n"), "tree-words")
+    words = cut_lineage(_counts(texts, 0, None, 1).select("word", "n", "key"), "tree-words")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, types = int(totals[0]), int(totals[1])
     root = tokens + types + 1
@@ -234,20 +272,19 @@ def train(
     values = [words.select("key", F.log10(F.col("n") + 1.0).alias("base"), F.lit(0.0).alias("gain"), F.col("n").alias("weight"))]
 
     # contexts that may be states: key, n, chain (keys of their suffixes, from none on)
-    able = words.where((F.col("word") != end) & (F.col("n") >= min_state)).select("key", "n", F.array(F.lit(0).cast("bigint")).alias("chain"))
-    pairs = counted.where("state != 0").select("state", "word", "n") if depth else None
+    none = F.array(F.lit(0).cast("bigint"))
+    able = words.where((F.col("word") != end) & (F.col("n") >= min_state)).select("key", "n", none.alias("chain"))
+    frequent = words.where(F.col("n") >= min_count)
     known: list[tuple[DataFrame, DataFrame]] = []
     for size in range(1, depth + 1):
         able = cut_lineage(able, "tree-contexts")
-        if size > 1:
-            if able.isEmpty():
-                break
-            wanted = spark.sparkContext.broadcast(key_filter(able, "key"))
-            pairs = texts.mapInArrow(_counting(range(size, size + 1), wanted), _ROWS).groupBy("state", "word").agg(F.sum("n").alias("n"))
-            pairs = pairs.where(F.col("n") >= min_count)
+        if able.isEmpty():
+            break
+        wanted = spark.sparkContext.broadcast((key_filter(able, "key"), key_filter(frequent, "key")))
         contexts = able.select(F.col("key").alias("context"), F.col("n").alias("total"), F.col("chain"))
-        rows = pairs.join(contexts, F.col("state") == F.col("context")).select("state", "word", "n", "total", "chain")
-        rows = cut_lineage(_events(rows), "tree-pairs")
+        rows = _counts(texts, size, wanted, min_count).join(contexts, F.col("state") == F.col("context")).drop("context")
+        rows = cut_lineage(rows.mapInArrow(_with_events, f"{_ROWS}, key bigint, total bigint, chain array<bigint>, events array<bigint>"), "tree-pairs")
+        frequent = rows
 
         # what the longest shorter state predicts
         expected = rows.join(first.withColumnRenamed("word", "first_word"), F.col("word") == F.col("first_word"))
@@ -281,7 +318,7 @@ def train(
         values.append(entries.select("key", F.lit(0.0).alias("base"), (F.col("more") / LN10).alias("gain"), F.col("n").alias("weight")))
         # a pair seen often enough is a longer context
         longer = rows.where((F.col("word") != end) & (F.col("n") >= min_state))
-        able = longer.select("key", "n", F.concat(F.array(F.lit(0).cast("bigint")), F.col("events")).alias("chain"))
+        able = longer.select("key", "n", F.concat(none, F.col("events")).alias("chain"))
 
     whole = values[0]
     for more in values[1:]:

@@ -9,16 +9,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.llm.groups import sorted_groups
-from lynceus.llm.words import MULTIPLIER, mixed, word_hashes
+from lynceus.llm.words import MULTIPLIER, mixed
 from lynceus.scale import cut_lineage, planned_bytes
 
 DEPTH = 2
 # A next word needs so many occurrences after a state to have a probability of its own there.
-MIN_COUNT = 8
+MIN_COUNT = 16
 # A context needs so many to be considered.
 MIN_STATE = 64
 # What a next word must save the training text, in nats, on average over the words of a state.
@@ -29,11 +30,16 @@ CHUNK_TOKENS = 1_000_000
 # Input bytes for each bucket of counts, so that a bucket fits a task at every size.
 BUCKET_BYTES = 4 * 1024 * 1024
 OUT_ROWS = 100_000
-# Values that every task holds, 24 bytes each; the others are joined.
+# Every task holds the values of what has this share of all tokens, 24 bytes each; the others are joined.
+# Words, states and next words have as many occurrences as tokens at most, so each depth has at most 3 / share such values.
+HELD_SHARE = 5e-7
 HELD_VALUES = 1_500_000
 MAX_FILTER_BITS = 28
-# No word holds a space.
-END = b" "
+# Texts are hashed about so many bytes at a time; longer words are hashed alone.
+PIECE_BYTES = 1 << 20
+LONGEST = 64
+# The end of a text, a byte that UTF-8 never has.
+END = b"\xff"
 _STATE = np.uint64(0xD6E8FEB86659FD93)
 LN10 = math.log(10)
 
@@ -102,14 +108,54 @@ def key_filter(keys: DataFrame, column: str) -> KeyFilter:
     return KeyFilter(bits, words)
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for every byte, the same for A-Z and a-z and 0 for space; which bytes are not space; powers of an odd number."""
+    values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIER))
+    values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
+    inside = np.ones(256, bool)
+    inside[list(b" \t\n\x0b\x0c\r")] = False
+    values[~inside] = 0
+    powers = np.full(LONGEST + 1, MULTIPLIER, np.uint64)
+    powers[0] = 1
+    return values, inside, np.cumprod(powers, dtype=np.uint64)
+
+
+_VALUES, _INSIDE, _POWERS = _tables()
+
+
+def token_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of all words, lower-cased in A-Z, of many at a time: a sum of byte values by place, then mixed."""
+    data = np.frombuffer(b" " + data + b" ", np.uint8)
+    inside = _INSIDE[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    data = data[starts[0] :]
+    place = np.arange(len(data), dtype=np.int32) - np.repeat((starts - starts[0]).astype(np.int32), np.diff(starts, append=starts[0] + len(data)))
+    np.minimum(place, LONGEST, out=place)
+    values = _VALUES[data]
+    values *= _POWERS[place]
+    hashes = np.add.reduceat(values, starts - starts[0])
+    lengths = ends - starts
+    for i in np.flatnonzero(lengths > LONGEST).tolist():
+        word = data[starts[i] - starts[0] : ends[i] - starts[0]].tobytes().lower()
+        hashes[i] = xxhash.xxh64_intdigest(word)
+    return mixed(hashes + lengths.astype(np.uint64))
+
+
+_END = token_hashes(END)[0]
+
+
 class _Chunk:
     """Tokens of many texts behind each other: hashes, texts, places in their text, and distinct words."""
 
-    def __init__(self, texts: list[np.ndarray]):
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.hashes = np.concatenate(texts)
-        self.of = np.repeat(np.arange(len(texts)), lengths)
-        self.place = np.arange(len(self.hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    def __init__(self, hashes: list[np.ndarray]):
+        self.hashes = np.concatenate(hashes)
+        ends = np.flatnonzero(self.hashes == _END)
+        lengths = np.diff(ends, prepend=-1)
+        self.of = np.repeat(np.arange(len(ends), dtype=np.int32), lengths)
+        self.place = np.arange(len(self.hashes), dtype=np.int32) - np.repeat((ends - lengths + 1).astype(np.int32), lengths)
         self.lengths = lengths
         codes, distinct = pd.factorize(self.hashes)
         self.codes, self.distinct = codes, distinct
@@ -124,25 +170,26 @@ class _Chunk:
             yield n, np.flatnonzero(self.place >= n), keys
 
 
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[tuple], _Chunk]]:
-    """Rows (all columns but the last) and their tokens, about CHUNK_TOKENS at a time."""
-    rows: list[tuple] = []
-    texts: list[np.ndarray] = []
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, _Chunk]]:
+    """Rows without their last column, the text, and its tokens, about CHUNK_TOKENS at a time."""
+    rows: list[pa.RecordBatch] = []
+    hashes: list[np.ndarray] = []
     held = 0
     for batch in batches:
-        for row in zip(*batch.columns):
-            text = row[-1].as_py()
-            # bytes.lower() folds A-Z only
-            tokens = text.encode().lower().split() if text else []
-            tokens.append(END)
-            rows.append(row[:-1])
-            texts.append(word_hashes(tokens))
-            held += len(tokens)
+        texts = batch.column(batch.num_columns - 1)
+        sizes = np.fromiter((len(t.as_buffer()) if t.is_valid else 0 for t in texts), np.int64, len(texts))
+        pieces = np.cumsum(sizes) // PIECE_BYTES
+        cuts = [*(np.flatnonzero(np.diff(pieces, prepend=-1))).tolist(), len(texts)] if len(texts) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            part = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts[a:b]]
+            hashes.append(token_hashes(b" \xff ".join([*part, b""])))
+            rows.append(batch.slice(a, b - a).drop_columns(batch.schema.names[-1:]))
+            held += len(hashes[-1])
             if held >= CHUNK_TOKENS:
-                yield rows, _Chunk(texts)
-                rows, texts, held = [], [], 0
+                yield pa.Table.from_batches(rows), _Chunk(hashes)
+                rows, hashes, held = [], [], 0
     if rows:
-        yield rows, _Chunk(texts)
+        yield pa.Table.from_batches(rows), _Chunk(hashes)
 
 
 def _signed(keys: np.ndarray) -> pa.Array:
@@ -267,7 +314,7 @@ def train(
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, types = int(totals[0]), int(totals[1])
     root = tokens + types + 1
-    end = int(word_hashes([END]).view(np.int64)[0])
+    end = int(_END.view(np.int64))
     first = words.select("word", F.log((F.col("n") + 1) / F.lit(float(root))).alias("p0"))
     values = [words.select("key", F.log10(F.col("n") + 1.0).alias("base"), F.lit(0.0).alias("gain"), F.col("n").alias("weight"))]
 
@@ -342,17 +389,18 @@ class _Held:
     others: KeyFilter
 
 
-def _split_values(tree: SuffixTree, most: int) -> tuple[_Held, DataFrame]:
-    """The ``most`` heaviest values, to be held by tasks, and the table of all others."""
+def _split_values(tree: SuffixTree, share: float, most: int) -> tuple[_Held, DataFrame]:
+    """The values of at least this share of all tokens, ``most`` at most, to be held by tasks, and the table of all others."""
     level = F.floor(4 * F.log2(F.col("weight"))).cast("int")
-    steps = tree.values.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.col("level").desc()).collect()
-    held, least = 0, None
-    for step in steps:
+    often = F.col("weight") >= share * tree.tokens
+    steps = tree.values.where(often).groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()
+    held, least = 0, 10**6
+    for step in sorted(steps, key=lambda step: -step["level"]):
         held += step["n"]
         if held > most:
             break
         least = step["level"]
-    heavy = level >= least if least is not None else F.lit(False)
+    heavy = often & (level >= least)
     table = tree.values.where(heavy).select("key", "base", "gain").toArrow()
     keys = table["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
@@ -367,7 +415,7 @@ def _scoring(depth: int, held):
         known: _Held = held.value
         table = KeyTable(known.keys)
         for rows, chunk in _chunks(batches):
-            texts, tokens = len(rows), len(chunk.hashes)
+            texts = rows.num_rows
             base, gain, seen = np.zeros(texts), np.zeros(texts), np.zeros(texts)
             others: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -395,7 +443,7 @@ def _scoring(depth: int, held):
                 at = at[add(state_key(contexts[at]), chunk.of[at])]
                 add(extended(contexts[at], chunk.hashes[at]), chunk.of[at])
 
-            ids = [pa.array([r[c].as_py() for r in rows], rows[0][c].type) for c in range(2)]
+            ids = [rows.column(c).combine_chunks() for c in range(2)]
             yield _scored(ids, np.arange(texts), chunk.lengths, seen, base, gain, None, None)
             of, keys = (np.concatenate(c) for c in zip(*others))
             codes, distinct = pd.factorize(keys)
@@ -426,19 +474,20 @@ def _scored(ids, of, n_tokens, known, base, gain, keys, times) -> pa.RecordBatch
 
 
 def score(
-    docs: DataFrame, tree: SuffixTree, id_col: str = "doc_id", text_col: str = "text", held_values: int = HELD_VALUES
+    docs: DataFrame, tree: SuffixTree, id_col: str = "doc_id", text_col: str = "text",
+    held_share: float = HELD_SHARE, held_values: int = HELD_VALUES,
 ) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row, in log10.
 
     Each token is predicted by its longest suffix that is a state. That is a sum: the word's own term, a term for
     each suffix that is a state, and one for each that knows the next word. So a text's score is a sum of values by key.
-    The heaviest values, ``held_values`` at most, are held by tasks; the other keys of a text, a few per cent, are joined to their
-    values, none of which is frequent. A filter of bounded size leaves keys without value out of the join.
+    The values of what has at least ``held_share`` of all tokens, ``held_values`` at most, are held by tasks; the other keys of a
+    text are joined to their values. A filter of bounded size leaves keys without value out of the join.
 
     ``base_score`` takes the root alone. Null texts are empty: one token. Every row is scored by
     itself, also where ids or texts repeat; ids of null too. An empty table gives an empty result.
     """
-    known, others = _split_values(tree, held_values)
+    known, others = _split_values(tree, held_share, held_values)
     held = docs.sparkSession.sparkContext.broadcast(known)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = cut_lineage(rows.mapInArrow(_scoring(tree.depth, held), f"row bigint, id bigint, {_SCORED}"), "tree-scores")

@@ -261,7 +261,7 @@ def spelling(words):
 class SuffixTree:
     """The suffix tree of token lists, with a dictionary for everything."""
 
-    def __init__(self, texts, depth=2, min_count=8, min_state=64, cost=4.0):
+    def __init__(self, texts, depth=2, min_count=16, min_state=64, cost=4.0):
         self.depth = depth
         counts = defaultdict(Counter)
         for tokens in texts:

@@ -30,8 +30,8 @@ CHUNK_TOKENS = 1_000_000
 # Input bytes for each bucket of counts, so that a bucket fits a task at every size.
 BUCKET_BYTES = 4 * 1024 * 1024
 OUT_ROWS = 100_000
-# Every task holds the values of what has this share of all tokens, 24 bytes each; the others are joined.
-# Words, states and next words have as many occurrences as tokens at most, so each depth has at most 3 / share such values.
+# Every task holds the values of words that are this share of all tokens or more, so 1 / share at most, and those of the most
+# frequent states and next words, so many at most; 24 bytes each. All others are joined.
 HELD_SHARE = 5e-7
 HELD_VALUES = 1_500_000
 MAX_FILTER_BITS = 28
@@ -390,17 +390,17 @@ class _Held:
 
 
 def _split_values(tree: SuffixTree, share: float, most: int) -> tuple[_Held, DataFrame]:
-    """The values of at least this share of all tokens, ``most`` at most, to be held by tasks, and the table of all others."""
-    level = F.floor(4 * F.log2(F.col("weight"))).cast("int")
-    often = F.col("weight") >= share * tree.tokens
-    steps = tree.values.where(often).groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()
+    """The values of words of at least this share of all tokens and of the ``most`` most frequent states and next
+    words, to be held by tasks, and the table of all others."""
+    level, word = F.floor(4 * F.log2(F.col("weight"))).cast("int"), F.col("base") > 0
+    steps = tree.values.where(~word).groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()
     held, least = 0, 10**6
     for step in sorted(steps, key=lambda step: -step["level"]):
         held += step["n"]
         if held > most:
             break
         least = step["level"]
-    heavy = often & (level >= least)
+    heavy = F.when(word, F.col("weight") >= share * tree.tokens).otherwise(level >= least)
     table = tree.values.where(heavy).select("key", "base", "gain").toArrow()
     keys = table["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
@@ -481,8 +481,8 @@ def score(
 
     Each token is predicted by its longest suffix that is a state. That is a sum: the word's own term, a term for
     each suffix that is a state, and one for each that knows the next word. So a text's score is a sum of values by key.
-    The values of what has at least ``held_share`` of all tokens, ``held_values`` at most, are held by tasks; the other keys of a
-    text are joined to their values. A filter of bounded size leaves keys without value out of the join.
+    Tasks hold the values of words with at least ``held_share`` of all tokens and of the ``held_values`` most frequent states
+    and next words; the other keys of a text are joined to their values. A filter of bounded size leaves keys without value out of the join.
 
     ``base_score`` takes the root alone. Null texts are empty: one token. Every row is scored by
     itself, also where ids or texts repeat; ids of null too. An empty table gives an empty result.

@@ -37,8 +37,8 @@ def test_table(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-@pytest.mark.parametrize("depth, held", [(1, 10**6), (2, 40), (3, 0), (3, 10**6)])
-def test_random_texts(spark, monkeypatch, depth, held):
+@pytest.mark.parametrize("depth, held, share", [(1, 10**6, 0), (2, 40, 0.01), (3, 0, 1), (3, 10**6, 0)])
+def test_random_texts(spark, monkeypatch, depth, held, share):
     """All depths; values that tasks hold, hold in part and only join; texts across chunks; odd rows."""
     monkeypatch.setattr(suffix_tree, "CHUNK_TOKENS", 300)
     rng = random.Random(4)
@@ -53,7 +53,7 @@ def test_random_texts(spark, monkeypatch, depth, held):
     assert {len(s) for s in tree.states} == set(range(1, depth + 1))
     docs = frame(spark, rows)
     made = suffix_tree.train(docs.where("doc_id IS NULL OR doc_id % 3 != 0"), depth=depth, min_count=2, min_state=4, cost=0.3)
-    got = suffix_tree.score(docs, made, held_values=held).collect()
+    got = suffix_tree.score(docs, made, held_share=share, held_values=held).collect()
     same(got, [(i, *tree.score(brute.lm_tokens(t))) for i, t in rows])
     for s in list(tree.states)[:20]:
         assert abs(sum(tree.predicts(s, w) for w in [*tree.words, "unseen"]) - 1) < 1e-9

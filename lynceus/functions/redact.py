@@ -23,7 +23,8 @@ def redact(text: Column, rules: Iterable[Rule], entropy: bool = False) -> Column
     """Text with every value that any of the rules captures masked.
 
     All rules are applied, not only the reported one, because a line may hold
-    several credentials.
+    several credentials. Longer values go first, so that a value inside another
+    does not leave the rest of it in sight.
     """
     captured = [
         F.regexp_extract_all(text, F.lit(r.regex), F.lit(r.value_group))
@@ -34,5 +35,6 @@ def redact(text: Column, rules: Iterable[Rule], entropy: bool = False) -> Column
         captured.append(assigned_literals(text))
     if not captured:
         return text
-    values = F.flatten(F.array(*captured))
-    return F.aggregate(values, text, lambda acc, v: F.replace(acc, v, mask(v)))
+    values = F.array_distinct(F.flatten(F.array(*captured)))
+    longest = F.sort_array(F.transform(values, lambda v: F.struct((-F.length(v)).alias("less"), v.alias("value"))))
+    return F.aggregate(longest, text, lambda acc, v: F.replace(acc, v["value"], mask(v["value"])))

@@ -205,14 +205,20 @@ def rule_column(catalog: Catalog, attribute: str) -> Column:
     return F.expr(f"get(array({', '.join(items)}), rule_pos)") if items else F.lit(None)
 
 
-def snippet(catalog: Catalog) -> Column:
-    """Trimmed line; credentials masked when a secrets rule reports it."""
-    secret = [r for r in catalog.rules if r.engine == SECRETS]
+def snippet(rules: Iterable[Rule] = ()) -> Column:
+    """Trimmed line with all credentials masked, whichever engine reports it.
+
+    The built-in credential rules are always applied, also where no secrets engine runs, as
+    snippets are stored and put into prompts. ``rules`` are further ones. A line without
+    any sign of a credential only pays for substring tests.
+    """
+    masking = [*secret_rules.RULES.rules, *[r for r in rules if r.engine == SECRETS and r not in secret_rules.RULES.rules]]
     plain = trimmed(F.col("line"))
-    if not secret:
-        return plain
-    hidden = redact_fn.redact(plain, secret, entropy=any(r.random_value for r in secret))
-    return F.when(rule_column(catalog, "engine") == SECRETS, hidden).otherwise(plain)
+    hidden = redact_fn.redact(plain, masking, entropy=any(r.random_value for r in masking))
+    tests = [needle_test(r.needles, "lower(replace(line, 'ſ', 's'))") for r in masking]
+    if any(t is None for t in tests):
+        return hidden
+    return F.when(F.expr(" OR ".join(f"({t})" for t in tests)), hidden).otherwise(plain)
 
 
 def match(
@@ -226,7 +232,7 @@ def match(
     return rule_hits(files, catalog, min_level, keep).select(
         *keep,
         *[rule_column(catalog, a).alias(a) for a in attributes],
-        snippet(catalog).alias("vulnerable_code"),
+        snippet(catalog.rules).alias("vulnerable_code"),
         F.col("line_no").alias("line_start"),
         F.col("line_no").alias("line_end"),
         F.col("path").alias("file_path"),

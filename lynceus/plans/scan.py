@@ -16,6 +16,7 @@ from lynceus.operators.advisories import affected, sca_findings
 from lynceus.operators.findings import append_engines, to_findings
 from lynceus.operators.manifests import extract_dependencies
 from lynceus.operators.matching import match, with_entropy, without_tests
+from lynceus.operators.rule_tables import match_table
 from lynceus.operators.vulnerabilities import enrich_titles
 from lynceus.rules.catalog import DEFAULT
 from lynceus.rules.model import AI_CODE, ENGINES, SAST, SCA, SECRETS, Catalog, parse_engines
@@ -40,13 +41,15 @@ def scan(
     by_content: bool = True,
     detected_at: datetime | None = None,
     keep: tuple[str, ...] = (),
+    rules: DataFrame | None = None,
 ) -> DataFrame:
     """Findings of the requested engines at or above a level.
 
     All line engines share one pass over the files. The dependency engine reads
     the manifests among them and needs ``advisories``; without a feed it finds
     nothing. ``keep`` names columns of the files that their findings carry, such as the
-    scan's id. Sort with :func:`lynceus.functions.severity.rank_order` when the
+    scan's id. ``rules`` is a table of further line rules, of any size; among them, an engine that
+    reports the first match takes the first of the table. Sort with :func:`lynceus.functions.severity.rank_order` when the
     order matters.
     """
     engines = parse_engines(engines)
@@ -60,6 +63,9 @@ def scan(
     if lines:
         raw = match(files, catalog.of(*lines), level, keep).drop("_language")
         parts.append(raw.withColumn("cve_id", F.lit(None).cast("string")))
+        if rules is not None:
+            own = match_table(files, rules.where(F.col("engine").isin(lines)), level, keep).drop("_language")
+            parts.append(own.withColumn("cve_id", F.lit(None).cast("string")))
     if SCA in engines and advisories is not None:
         hits = affected(extract_dependencies(files, by_content=by_content, keep=keep), advisories)
         parts.append(sca_findings(hits, keep).where(F.col("sev_rank") >= RANK[level]))

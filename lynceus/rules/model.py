@@ -1,7 +1,8 @@
 """Rule records and catalogs.
 
 A catalog is configuration: a few dozen records that become literals of the
-query plan. A line is never joined to a rule table.
+query plan. Rules kept as a table are matched by
+:mod:`lynceus.operators.rule_tables`, whatever their number.
 """
 
 from __future__ import annotations
@@ -120,31 +121,6 @@ class Catalog:
         return spark.createDataFrame(rows, schemas.RULES)
 
 
-def rules_from_df(df: DataFrame, max_rules: int = 5000) -> list[Rule]:
-    """A user's rules, given as a table in the ``RULES`` schema.
-
-    Rules become plan literals, so the table is read on the driver. Its size is
-    checked first, and a table that is no rule catalog is refused.
-    """
-    rows = df.orderBy("ord", "rule_id").limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"rule table has more than {max_rules} rows")
-    return [
-        Rule(
-            rule_id=row["rule_id"],
-            engine=row["engine"],
-            title=row["title"],
-            pattern=row["pattern"],
-            severity=row["severity"],
-            cwe_id=row["cwe_id"],
-            description=row["description"] or "",
-            languages=tuple(row["scope"].split(",")) if row["scope"] else None,
-            ignore_case=False,
-        )
-        for row in rows
-    ]
-
-
 def parse_engines(names: Iterable[str]) -> tuple[str, ...]:
     """Known engine names in the order given; unknown names are dropped."""
     return tuple(n for n in names if n in ENGINES)

@@ -17,6 +17,7 @@ def _m(pattern: str, column: str = "line", flags: str = "(?i)") -> str:
     return f"regexp_matches({column}, {quoted(text)})"
 
 
+# The accepted forms of the rules below follow from the blueprint.
 SAST = {
     "S01": ("medium", _m(r"""<b>md5\(|hashlib\.md5\(|crypto\.createhash\(['"]md5['"]\)""")),
     "S02": ("low", _m(r"""<b>sha1\(|hashlib\.sha1\(|crypto\.createhash\(['"]sha1['"]\)""")),
@@ -69,6 +70,30 @@ SECRETS = {
 }
 
 
+# The value that each credential pattern captures.
+VALUES = (
+    r"(AKIA[0-9A-Z]{16})",
+    r"""(?i)aws[\p{L}\p{N}_]*secret[\p{L}\p{N}_]*['"]?\s*[=:]\s*['"]([a-z0-9/+=]{40})['"]""",
+    r"-----BEGIN (?:RSA|EC|OPENSSH) PRIVATE KEY-----([a-zA-Z0-9+/=\\]*)",
+    r"(ghp_[a-zA-Z0-9]{36})",
+    r"(?i)(?:postgres|mysql|mongodb)://[^:]+:([^@]+)@",
+    r"(sk-ant-[a-zA-Z0-9-]{95})",
+    r"(eyJ[a-zA-Z0-9_-]+\.eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+)",
+    r"""(?i)api[_-]?key\s*=\s*['"]([a-z0-9]{20,})['"]""",
+    r"""(?i)(?:password|passwd|pwd)['"]?\s*[=:]\s*['"]([^'"]{4,})['"]""",
+    r"""(?i)_key\s*=\s*['"]([a-z0-9_]{20,})['"]""",
+)
+
+
+def masked_sql(text: str) -> str:
+    """A text whose captured values, the longest first, keep four characters at most, a quarter of them."""
+    found = "flatten([" + ", ".join(f"regexp_extract_all({text}, {quoted(v)}, 1)" for v in VALUES) + "])"
+    values = f"list_filter(list_distinct({found}), lambda v: v <> '')"
+    longest = f"list_transform(list_sort(list_transform({values}, lambda v: {{'n': -length(v), 'v': v}})), lambda x: x.v)"
+    seen = "least(4, length(v) // 4)"
+    return f"list_reduce(list_prepend({text}, {longest}), lambda t, v: replace(t, v, left(v, {seen}) || repeat('*', length(v) - {seen})))"
+
+
 
 def level_sql(rules: dict, column: str = "rule_id") -> str:
     whens = " ".join(f"WHEN '{r}' THEN '{level}'" for r, (level, _) in rules.items())
@@ -103,4 +128,4 @@ def findings_cte(name: str = "code") -> str:
 
 
 RANK_SQL = "CAST(CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END AS BIGINT)"
-SNIPPET = trim_sql("line")
+SNIPPET = masked_sql(trim_sql("line"))

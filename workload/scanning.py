@@ -9,9 +9,10 @@ from lynceus.functions.text import to_lines, trimmed
 from lynceus.operators.entropy import random_literals
 from lynceus.operators.findings import fixed_findings, new_findings
 from lynceus.operators.matching import match, without_tests
+from lynceus.operators.rule_tables import match_table
 from lynceus.plans.scan import scan
 from lynceus.rules.catalog import DEFAULT
-from lynceus.rules.model import Catalog, Rule, parse_engines, rules_from_df, without_engines
+from lynceus.rules.model import Rule, parse_engines, without_engines
 from workload.base import NOW, corpus, corpus_sql, lines_sql, query, trim_sql
 from workload.rules_sql import (
     AI_CODE,
@@ -68,14 +69,11 @@ def ai_code(spark, sf):
 
 @query(
     "secrets_code",
-    f"WITH lines AS ({lines_sql()}) SELECT {PLACE}, length({SNIPPET}) AS snippet_chars FROM ({first_match(SECRETS)})",
+    f"WITH lines AS ({lines_sql()}) SELECT {PLACE}, {SNIPPET} AS vulnerable_code FROM ({first_match(SECRETS)})",
 )
 def secret(spark, sf):
     found = match(corpus(spark, sf), DEFAULT.of("secrets"))
-    return found.select(
-        "file_path", "line_start", "rule_id", "severity",
-        F.length("vulnerable_code").alias("snippet_chars"),
-    )
+    return found.select("file_path", "line_start", "rule_id", "severity", "vulnerable_code")
 
 
 PROSE = ("documents", "pages", "conversations")
@@ -222,7 +220,7 @@ NATION_LINES = " UNION ALL ".join(
         FROM nation JOIN ({NATION_LINES}) ON k = n_nationkey WHERE n > 0""",
 )
 def rule_table(spark, sf):
-    """Rules kept as a table; they become literals of the plan."""
+    """Rules kept as a table, whose patterns are two alternatives."""
     from workload.base import table
 
     rows = table(spark, sf, "nation").selectExpr(
@@ -230,10 +228,59 @@ def rule_table(spark, sf):
         f"{RULE_PATTERN} AS pattern", "CASE n_regionkey WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE 'medium' END AS severity",
         "0 AS sev_rank", "'CWE-0' AS cwe_id", "'' AS description", "CAST(NULL AS STRING) AS scope",
     )
-    found = match(corpus(spark, sf), Catalog(tuple(rules_from_df(rows))))
+    found = match_table(corpus(spark, sf), rows)
     return found.groupBy("rule_id", "title", "severity").agg(F.count("*").alias("n"))
 
 
+# A rule for each order: texts, alternatives, a class in front, and one engine that reports the first match. Rules of
+# regions require no text.
+ORDER_RULES = """
+    SELECT concat('O', CAST(o_orderkey AS STRING)) AS rule_id, CASE o_orderkey % 5 WHEN 4 THEN 'ai_code' ELSE 'sast' END AS engine,
+      CAST(o_orderkey AS INT) AS ord, 'An order' AS title,
+      CASE o_orderkey % 5 WHEN 0 THEN concat('user_id = ', CAST(o_orderkey AS STRING), '$')
+        WHEN 1 THEN concat('expr_', CAST(o_orderkey AS STRING), '[)]')
+        WHEN 2 THEN concat('order = ', CAST(o_orderkey AS STRING), '$|; size = ', CAST(o_orderkey AS STRING), '$')
+        WHEN 3 THEN concat('[gh]ost = .127[.]0[.]0[.]1:', CAST(o_orderkey AS STRING), '.$')
+        ELSE concat('list[(]', CAST(o_orderkey AS STRING), '|; (?:n|build) = ', CAST(o_orderkey AS STRING), '$') END AS pattern,
+      CASE o_orderkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE 'medium' END AS severity, 0 AS sev_rank,
+      'CWE-0' AS cwe_id, '' AS description, CASE o_orderkey % 2 WHEN 0 THEN 'python,go,java' END AS scope FROM orders
+    UNION ALL
+    SELECT concat('R', CAST(r_regionkey AS STRING)), 'ai_code', -1 - CAST(r_regionkey AS INT), r_name, concat('^[ ]{', CAST(r_regionkey + 1 AS STRING), '}[a-z]+'), 'info', 0, 'CWE-1', '', NULL
+    FROM region
+"""
+NUMBERED = " UNION ALL ".join(
+    f"SELECT path, line_no, line, {kind} AS kind, regexp_extract(line, '{pattern}', 1) AS n FROM lines"
+    for kind, pattern in (
+        (0, r"user_id = (\d+)$"), (1, r"expr_(\d+)[)]"), (2, r"order = (\d+)$"), (2, r"; size = (\d+)$"),
+        (3, r"[gh]ost = .127[.]0[.]0[.]1:(\d+).$"), (4, r"; (?:n|build) = (\d+)$"),
+    )
+)
+
+
+@query(
+    "rule_index",
+    f"""WITH lines AS ({lines_sql()}), numbered AS ({NUMBERED}),
+        -- an open end matches every order whose number begins the one found
+        listed AS (SELECT path, line_no, line, unnest([left(n, i) FOR i IN range(1, length(n) + 1)]) AS n, 4 AS kind
+                   FROM (SELECT *, regexp_extract(line, 'list[(]([0-9]+)', 1) AS n FROM lines)),
+        found AS (
+          SELECT DISTINCT path, line_no, concat('O', n) AS rule_id, kind, CAST(n AS BIGINT) AS ord FROM (SELECT path, line_no, line, n, kind FROM numbered UNION ALL SELECT path, line_no, line, n, kind FROM listed)
+          JOIN orders ON CAST(o_orderkey AS STRING) = n AND o_orderkey % 5 = kind
+          WHERE o_orderkey % 2 = 1 OR regexp_matches(path, '[.](py|go|java)$')
+          UNION ALL SELECT path, line_no, concat('R', CAST(r_regionkey AS STRING)), 4, -1 - r_regionkey
+          FROM lines, region WHERE regexp_matches(line, concat('^[ ]{{', CAST(r_regionkey + 1 AS STRING), '}}[a-z]+'))
+        )
+        SELECT path AS file_path, line_no AS line_start, rule_id FROM found WHERE kind < 4
+        UNION ALL SELECT path, line_no, first(rule_id ORDER BY ord, rule_id) FROM found WHERE kind = 4 GROUP BY path, line_no""",
+)
+def rule_index(spark, sf):
+    """A rule for every order, matched to lines by an index; no rule comes to the driver."""
+    for name in ("orders", "region"):
+        spark.read.parquet(f"{sf}/{name}.parquet").createOrReplaceTempView(f"rule_{name}")
+    rows = spark.sql(ORDER_RULES.replace("FROM orders", "FROM rule_orders").replace("FROM region", "FROM rule_region"))
+    return match_table(corpus(spark, sf), rows).select("file_path", "line_start", "rule_id")
+
+
 @query(
     "engine_selection",
     f"WITH {findings_cte()} SELECT engine, count(*) AS n FROM found WHERE engine <> 'sast' GROUP BY engine",

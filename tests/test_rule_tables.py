@@ -87,7 +87,7 @@ def test_a_matching_line_holds_a_required_text(pattern):
 
 
 def test_required_texts():
-    assert anchors("[gh]ost = .127[.]0:5.$", 3) == ["ost = "]
+    assert anchors("[gh]ost = .127[.]0:5.$", 3) == ["127.0:5"]
     assert anchors("list[(]123|; (?:n|build) = 12$", 3) == ["list(123", " = 12"]
     assert anchors("(abc(def(ghij)+))k", 3) == ["ghij"]
     assert anchors("abc|", 3) == anchors("(?x) a b c", 3) == anchors("\\x41bcd", 3) == anchors("(abc", 3) == anchors(None, 3) == []

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from lynceus.functions.severity import rank_of
 from lynceus.functions.versions import OPEN_END, in_range, version_key
 from lynceus.rules.model import SCA
-from lynceus.scale import BROADCAST_BYTES, cut_lineage, join_lookup
+from lynceus.scale import BROADCAST_BYTES, cut_lineage, join_lookup, numbered
 
 COORDINATES = ["ecosystem", "name", "version"]
+# Beyond so many advisories a package's versions are not compared with each of them.
+CROWDED = 256
+# Versions and range ends that one key of the sweep's join holds.
+SWEEP_BLOCK = 64
 
 
 def cve_alias(advisory_id: Column, aliases: Column, strict: bool = True) -> Column:
@@ -78,6 +82,70 @@ def _in_any_range() -> Column:
     )
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the key of their version, made once for each distinct version of an ecosystem."""
+    versions = rows.select("ecosystem", "version").where("ecosystem IS NOT NULL AND version IS NOT NULL").distinct()
+    keys = versions.withColumn("key", version_key(F.col("version"), F.col("ecosystem")))
+    return join_lookup(rows, cut_lineage(keys, "version-keys"), ["ecosystem", "version"], "left")
+
+
+def swept(versions: DataFrame, ranges: DataFrame, block: int = SWEEP_BLOCK) -> DataFrame:
+    """(ecosystem, name, version, advisory_id): distinct versions in any of the ranges of their package, by a sorted sweep.
+
+    Versions and range ends of all packages are put in one order and numbered. A low end comes before equal
+    versions, a high end before or, where it belongs to the range, after them. So a range is the
+    versions between two numbers, and no key is compared with a range. A range meets its versions in an equi join on blocks of
+    numbers: a block holds ``block`` versions at most, whatever their package, so a package with any number of
+    versions and advisories spreads over tasks. Versions without a key are matched by name only.
+    """
+    package = ["ecosystem", "name"]
+    each = ranges.select(*package, "advisory_id", F.explode("ranges").alias("r")).select(*package, "advisory_id", "r.*")
+    each = cut_lineage(each.withColumn("range_id", F.monotonically_increasing_id()), "ranges")
+    usable = each.where("lo IS NOT NULL AND hi IS NOT NULL")
+    none = lambda kind: F.lit(None).cast(kind)
+    lows = usable.select(*package, F.col("lo").alias("key"), F.lit(0).alias("kind"), "range_id", F.lit(True).alias("low"), none("string").alias("version"))
+    closing = F.when(F.col("closed"), 2).otherwise(0)
+    highs = usable.select(*package, F.col("hi").alias("key"), closing.alias("kind"), "range_id", F.lit(False).alias("low"), none("string").alias("version"))
+    points = versions.where("key IS NOT NULL").select(*package, "key", F.lit(1).alias("kind"), none("bigint").alias("range_id"), none("boolean").alias("low"), "version")
+    order = numbered(points.unionAll(lows).unionAll(highs), [*package, "key", "kind", "range_id", "version"], "pos", "sweep")
+    order = cut_lineage(order.drop("key", "kind"), "sweep-order")
+    spans = order.where("range_id IS NOT NULL").groupBy("range_id").agg(
+        F.max(F.when(F.col("low"), F.col("pos"))).alias("a"), F.max(F.when(~F.col("low"), F.col("pos"))).alias("b")
+    ).where("a < b")
+    number = lambda c: F.floor(F.col(c) / block)
+    spread = spans.select("range_id", "a", "b", F.explode(F.sequence(number("a"), number("b"))).alias("block"))
+    placed = order.where("range_id IS NULL").select(*package, "version", "pos", number("pos").alias("at"))
+    pairs = placed.join(spread, (F.col("at") == F.col("block")) & (F.col("pos") > F.col("a")) & (F.col("pos") < F.col("b")))
+    advisory = each.select(F.col("range_id").alias("of"), "advisory_id")
+    found = pairs.join(advisory, F.col("range_id") == F.col("of")).select(*COORDINATES, "advisory_id")
+    named = each.where("exact IS NOT NULL").select(F.col("ecosystem").alias("e"), F.col("name").alias("n"), "exact", "advisory_id")
+    same = (F.col("ecosystem") == F.col("e")) & (F.col("name") == F.col("n")) & (F.col("version") == F.col("exact"))
+    by_name = versions.join(named, same).select(*COORDINATES, "advisory_id")
+    return found.unionAll(by_name).distinct()
+
+
+def _matched(rows: DataFrame, advisories: DataFrame, max_bytes: int, distinct: bool) -> DataFrame:
+    """``rows`` with each advisory that affects their version. ``distinct``: every coordinate stands once."""
+    ranges = cut_lineage(_ranges(advisories), "advisory-ranges")
+    attributes = ranges.drop("ranges")
+    package = ["ecosystem", "name"]
+    keyed = _keyed(rows)
+    crowded = ranges.groupBy(*package).agg(F.count("*").alias("advisories")).where(F.col("advisories") > CROWDED).select(*package)
+    crowded = cut_lineage(crowded, "crowded-packages")
+    if crowded.isEmpty():
+        return join_lookup(keyed, ranges, package, condition=_in_any_range(), max_bytes=max_bytes).drop("key", "ranges")
+    light = join_lookup(keyed, crowded, package, "left_anti")
+    few = join_lookup(ranges, crowded, package, "left_anti")
+    hits = join_lookup(light, few, package, condition=_in_any_range(), max_bytes=max_bytes).drop("key", "ranges")
+    heavy = cut_lineage(join_lookup(keyed, crowded, package, "left_semi"), "crowded-dependencies")
+    versions = heavy.select(*COORDINATES, "key") if distinct else heavy.select(*COORDINATES, "key").distinct()
+    pairs = swept(versions, join_lookup(ranges, crowded, package, "left_semi"))
+    if not distinct:
+        pairs = join_lookup(heavy.drop("key"), pairs, COORDINATES, max_bytes=max_bytes)
+    named = join_lookup(pairs, attributes, [*package, "advisory_id"], max_bytes=max_bytes)
+    return hits.unionByName(named)
+
+
 def affected_versions(
     dependencies: DataFrame, advisories: DataFrame, max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -86,21 +154,7 @@ def affected_versions(
     The distinct coordinates are taken first, with partial aggregation, so a
     package named by a third of all manifests is matched once per version.
     """
-    versions = (
-        dependencies.select(*COORDINATES)
-        .distinct()
-        .withColumn("key", version_key(F.col("version"), F.col("ecosystem")))
-    )
-    return (
-        join_lookup(
-            versions,
-            _ranges(advisories),
-            ["ecosystem", "name"],
-            condition=_in_any_range(),
-            max_bytes=max_bytes
-        )
-        .drop("key", "ranges")
-    )
+    return _matched(dependencies.select(*COORDINATES).distinct(), advisories, max_bytes, True)
 
 
 def affected(
@@ -110,15 +164,10 @@ def affected(
 
     An equi join on ecosystem and package with the version range as its
     residual condition. The advisories are broadcast when they measure small,
-    so the dependencies are not shuffled; otherwise Spark splits hot packages.
+    so the dependencies are not shuffled; otherwise Spark splits hot packages. Packages with more than
+    ``CROWDED`` advisories are matched by a sorted sweep (:func:`swept`), once for each distinct version.
     """
-    return join_lookup(
-        dependencies.withColumn("key", version_key(F.col("version"), F.col("ecosystem"))),
-        _ranges(advisories),
-        ["ecosystem", "name"],
-        condition=_in_any_range(),
-        max_bytes=max_bytes
-    ).drop("key", "ranges")
+    return _matched(dependencies, advisories, max_bytes, False)
 
 
 def sca_findings(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -156,8 +205,9 @@ def coverage(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     compared is counted apart. The dependencies are read once; only their distinct
     versions are matched.
     """
-    per_version = cut_lineage(dependencies.groupBy(*COORDINATES).agg(F.count("*").alias("uses")), "versions")
-    hits = affected_versions(per_version, advisories).groupBy(*COORDINATES).agg(
+    per_version = dependencies.groupBy(*COORDINATES).agg(F.count("*").alias("uses"))
+    per_version = cut_lineage(_keyed(per_version), "versions")
+    hits = _matched(per_version.select(*COORDINATES), advisories, BROADCAST_BYTES, True).groupBy(*COORDINATES).agg(
         F.count("*").alias("advisories")
     )
     joined = per_version.join(hits, COORDINATES, "left")
@@ -168,5 +218,5 @@ def coverage(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("advisories").isNotNull(), F.col("uses"))), F.lit(0)).alias(
             "vulnerable_dependencies"
         ),
-        F.count_if(version_key(F.col("version")).isNull()).alias("uncheckable_versions"),
+        F.count_if(F.col("key").isNull()).alias("uncheckable_versions"),
     )

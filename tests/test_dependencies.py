@@ -304,3 +304,69 @@ def test_advisories_of_real_records(spark):
         hits = {(r["name"], r["version"]) for r in affected(deps, advisories, max_bytes).collect()}
         assert hits == {(n, v) for (n, v, _), hit in cases.items() if hit}
     assert [tuple(r) for r in unusable_ranges(advisories).collect()] == [("PyPI", 1)]
+
+
+def test_sweep_gives_the_rows_of_every_range(spark):
+    """Random ranges, open and closed, equal versions, versions without a key, blocks smaller than a package."""
+    import random
+
+    from lynceus.operators import advisories as A
+
+    rng = random.Random(8)
+    version = lambda: rng.choice(["{}.{}", "{}.{}.0", "{}.{}-rc1", "v{}.{}"]).format(rng.randint(0, 9), rng.randint(0, 9))
+    installed = [("f", rng.choice("ab"), version(), "npm") for _ in range(400)] + [("f", "a", "odd", "npm"), ("f", None, "1.0", "npm"), ("f", "a", None, "npm")]
+    rows = []
+    for i in range(120):
+        low, end = rng.choice(["0", version()]), rng.choice([None, version()])
+        fixed = end if rng.random() < 0.5 else None
+        rows.append((f"A{i % 60}", None, "npm", rng.choice("ab"), low, fixed, None if fixed else end, "low", "s", "osv"))
+    rows.append(("A-odd", None, "npm", "a", "odd", None, "odd", "low", "s", "osv"))
+    names = "advisory_id string, cve_id string, ecosystem string, package_name string, introduced string, fixed string, last_affected string, severity string, summary string, source string"
+    deps = spark.createDataFrame(installed, "file_path string, name string, version string, ecosystem string")
+    advs = spark.createDataFrame(rows, names)
+    rows_of = lambda df: sorted(map(tuple, df.select("file_path", "name", "version", "advisory_id", "severity").collect()))
+    plain = rows_of(affected(deps, advs))
+    assert any(r[3] == "A-odd" for r in plain) and len(plain) > 1000
+    for block in (1, 5, 64):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(A, "CROWDED", 3)
+            patch.setattr(A.swept, "__defaults__", (block,))
+            assert rows_of(affected(deps, advs)) == plain
+            versions = affected_versions(deps, advs).select("name", "version", "advisory_id")
+            assert sorted(map(tuple, versions.collect())) == sorted({(r[1], r[2], r[3]) for r in plain})
+    # as many compared one by one
+    keyed = advs.select("advisory_id", F.col("package_name").alias("p"), "introduced", "fixed", "last_affected")
+    key = lambda c: version_key(F.col(c), F.lit("npm"))
+    inside = ((F.col("introduced") == "0") | (key("version") >= key("introduced"))) & F.coalesce(key("version") < key("fixed"), key("version") <= key("last_affected"), F.lit(True))
+    brute = deps.join(keyed, (F.col("name") == F.col("p")) & inside & key("version").isNotNull()).select("file_path", "name", "version", "advisory_id", F.lit("low").alias("severity"))
+    counted = brute.dropDuplicates(["name", "version", "advisory_id"]).select("name", "version", "advisory_id")
+    assert sorted(map(tuple, counted.collect())) == sorted({(r[1], r[2], r[3]) for r in plain if r[3] != "A-odd"})
+
+
+def test_version_grammars(spark):
+    from workload.dependencies import ORDER_ROWS
+
+    rows = [(eco, place, form.replace("{n}", n)) for eco, place, _, form in ORDER_ROWS for n in ("1", "12")]
+    df = spark.createDataFrame(rows, "eco string, place int, v string").select("*", version_key(F.col("v"), F.col("eco")).alias("key"))
+    assert df.where("key IS NULL").count() == 0
+    a, b = df.alias("a"), df.alias("b")
+    pairs = a.join(b, (F.col("a.eco") == F.col("b.eco")) & (F.regexp_extract("a.v", r"(12|1)", 1) == F.regexp_extract("b.v", r"(12|1)", 1)))
+    wrong = pairs.where(((F.col("a.place") < F.col("b.place")) != (F.col("a.key") < F.col("b.key"))) & ~F.col("a.v").startswith("1!") & ~F.col("b.v").startswith("1!"))
+    assert wrong.select("a.v", "b.v").collect() == []
+    for eco, low, high in (
+        ("PyPI", "3.0", "1!2.0"), ("PyPI", "1.0", "1.0-1"), ("PyPI", "1.0a1.dev1", "1.0a1"), ("PyPI", "1.0.post1.dev1", "1.0.post1"), ("PyPI", "1.0", "1.0+local1"),
+        ("npm", "1.0.0-patch.1", "1.0.0"), ("npm", "1.0.0-alpha10", "1.0.0-alpha2"), ("npm", "1.0.0-pre", "1.0.0-rc"), ("npm", "1.0.0-Beta", "1.0.0-alpha"),
+    ):
+        got = spark.range(1).select(version_key(F.lit(low), F.lit(eco)) < version_key(F.lit(high), F.lit(eco))).first()[0]
+        assert got, (eco, low, high)
+    odd = [("PyPI", "1.0-jre"), ("npm", "latest"), ("Maven", "${v}"), ("Go", ""), ("PyPI", None), ("npm", "x1")]
+    assert spark.createDataFrame(odd, "eco string, v string").where(version_key(F.col("v"), F.col("eco")).isNotNull()).count() == 0
+
+
+def test_numbered_has_no_gaps(spark):
+    from lynceus.scale import numbered
+
+    rows = spark.range(1000).select((F.col("id") % 37).alias("k"), F.col("id").alias("i"))
+    got = [tuple(r) for r in numbered(rows, ["k", "i"], "at").select("at", "k", "i").collect()]
+    assert [r[0] for r in sorted(got, key=lambda r: r[1:])] == list(range(1000))
+    assert numbered(rows.limit(0), ["k", "i"], "at").collect() == []

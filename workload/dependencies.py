@@ -272,17 +272,98 @@ def version_order(spark, sf):
     return keyed.select("version", F.dense_rank().over(Window.orderBy("key")).alias("place"))
 
 
+# Versions in the order that each ecosystem's public rules give them. Versions between bars are equal.
+ORDERS = {
+    "PyPI": "{n}.dev0 {n}.0.dev456 {n}.0a1.dev1 {n}.0a1|{n}alpha1 {n}.0a2.dev456 {n}.0a12.dev456 {n}.0a12 {n}.0b1.dev456 {n}.0b2"
+    " {n}.0b2.post345.dev456 {n}.0b2.post345 {n}.0rc1.dev456 {n}.0rc1|{n}-c1|{n}.pre1 {n}.0|{n}|v{n}.0.0 {n}.0+abc.5 {n}.0+abc.7 {n}.0+5"
+    " {n}.0.post1.dev1 {n}.0-1|{n}.post1|{n}.0.rev1 {n}.0.post456.dev34 {n}.0.post456 {n}.0.15 {n}.1.dev1 {n}.1 1!{n}.0a1 1!{n}.2",
+    "npm": "{n}.0.0-1 {n}.0.0-Beta {n}.0.0-alpha|{n}.0.0-alpha+x {n}.0.0-alpha.1 {n}.0.0-alpha.beta {n}.0.0-alpha10 {n}.0.0-alpha2 {n}.0.0-beta"
+    " {n}.0.0-beta.2 {n}.0.0-beta.11 {n}.0.0-patch.1 {n}.0.0-pre {n}.0.0-rc {n}.0.0-rc.1 {n}.0.0|{n}|{n}.0.0+build.5 {n}.0.1-0 {n}.0.1 {n}.2.0 {n}.10.0",
+    "Go": "v{n}.0.0-20190101000000-abcdef012345 v{n}.0.0-20200101000000-0bcdef012345 v{n}.0.0-alpha v{n}.0.0-rc.1.0.20200101000000-abcdef012345"
+    " v{n}.0.0|v{n}.0.0+incompatible v{n}.0.1-0.20200101000000-abcdef012345 v{n}.0.1 v{n}.10.0",
+    "Maven": "{n}-alpha-1|{n}.0-a1 {n}-alpha-2 {n}-beta-2|{n}b2 {n}-beta-10 {n}-milestone-1|{n}-m1 {n}-rc-1|{n}-CR1 {n}-SNAPSHOT"
+    " {n}|{n}.0|{n}.0.0|{n}-ga|{n}.Final|{n}.0.RELEASE {n}-sp {n}-sp-1 {n}-foo {n}-jre {n}-1|{n}.0-1 {n}-2 {n}.0.1 {n}.1-SNAPSHOT {n}.1 {n}.10",
+}
+ORDER_ROWS = [(eco, place, i, v) for eco, line in ORDERS.items() for place, same in enumerate(line.split()) for i, v in enumerate(same.split("|"))]
+
+
+@query(
+    "version_grammars",
+    " UNION ALL ".join(
+        f"SELECT '{eco}' AS ecosystem, CAST(p_partkey AS BIGINT) AS n, replace('{v}', '{{n}}', CAST(p_partkey AS STRING)) AS version, CAST({place + 1} AS BIGINT) AS place FROM part"
+        for eco, place, _, v in ORDER_ROWS
+    ),
+)
+def version_grammars(spark, sf):
+    """For every part a list of versions of each ecosystem, placed by their keys; equal versions share a place."""
+    from pyspark.sql import Window
+
+    each = F.explode(F.array(*[F.struct(F.lit(eco).alias("ecosystem"), F.lit(v).alias("form")) for eco, _, _, v in ORDER_ROWS]))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("bigint").alias("n"), each.alias("x")).select("n", "x.*")
+    rows = rows.withColumn("version", F.replace("form", F.lit("{n}"), F.col("n").cast("string")))
+    keyed = rows.select("ecosystem", "n", "version", version_key(F.col("version"), F.col("ecosystem")).alias("key"))
+    # a window holds the few versions of one list
+    return keyed.select("ecosystem", "n", "version", F.dense_rank().over(Window.partitionBy("ecosystem", "n").orderBy("key")).alias("place"))
+
+
+HOT_VERSION = "concat(CAST(l_orderkey % 10000 AS STRING), '.', CAST(l_linenumber AS STRING), '.0')"
+HOT_ADVISORY = (
+    "concat('HOT-', CAST(o_orderkey AS STRING)) AS advisory_id",
+    "CAST(NULL AS STRING) AS cve_id",
+    "'npm' AS ecosystem",
+    "'hot' AS package_name",
+    "CASE WHEN o_orderkey % 1000 = 3 THEN '0' ELSE concat(CAST(o_custkey % 9000 AS STRING), '.2') END AS introduced",
+    "CASE WHEN o_orderkey % 4 <> 1 AND o_orderkey % 1000 <> 7 THEN concat(CAST(o_custkey % 9000 + 2 AS STRING), '.3.0') END AS fixed",
+    "CASE WHEN o_orderkey % 4 = 1 THEN concat(CAST(o_custkey % 9000 + 1 AS STRING), '.4') END AS last_affected",
+    "'high' AS severity", "'s' AS summary", "'osv' AS source",
+)
+
+
+@query(
+    "affected_hot_package",
+    """WITH v AS (SELECT DISTINCT (l_orderkey % 10000) * 10 + l_linenumber AS x FROM lineitem),
+        r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 3 THEN 0 ELSE (o_custkey % 9000) * 10 + 2 END AS lo,
+              CASE WHEN o_orderkey % 4 = 1 THEN (o_custkey % 9000 + 1) * 10 + 4.5 WHEN o_orderkey % 1000 = 7 THEN 1e9 ELSE (o_custkey % 9000 + 2) * 10 + 3 END AS hi FROM orders)
+        SELECT concat('HOT-', CAST(o_orderkey AS STRING)) AS advisory_id, count(*) AS versions, CAST(sum(x) AS BIGINT) AS total
+        FROM v JOIN r ON x >= lo AND x < hi GROUP BY 1""",
+)
+def affected_hot_package(spark, sf):
+    """One package with a version of every order line and an advisory of every order."""
+    rows = table(spark, sf, "lineitem").selectExpr("'f' AS file_path", "'npm' AS ecosystem", "'hot' AS name", f"{HOT_VERSION} AS version")
+    hits = affected_versions(rows, table(spark, sf, "orders").selectExpr(*HOT_ADVISORY))
+    parts = F.split("version", r"\.")
+    number = parts[0].cast("bigint") * 10 + parts[1].cast("bigint")
+    return hits.groupBy("advisory_id").agg(F.count("*").alias("versions"), F.sum(number).alias("total"))
+
+
 @query(
     "scan_dependencies",
-    f"""WITH advs AS (SELECT {', '.join(ADVISORIES)} FROM part),
-        deps AS ({expected(M.CARGO)} UNION ALL {expected(M.PIP)})
-        SELECT 'none' AS state, count(*) AS n FROM deps JOIN advs ON advs.ecosystem = deps.ecosystem AND advs.package_name = deps.name""",
+    f"""WITH advs AS (SELECT ecosystem, package_name, advisory_id, severity, CAST(split_part(fixed, '.', 1) AS BIGINT) AS hi FROM ({{0}})),
+        deps AS ({expected(M.CARGO)} UNION ALL {expected(M.PIP)} UNION ALL {expected(M.NPM)})
+        SELECT advisory_id AS rule_id, d.ecosystem, advs.severity, count(*) AS n FROM deps d JOIN advs ON advs.ecosystem = d.ecosystem AND advs.package_name = d.name
+        WHERE CAST(split_part(version, '.', 1) AS BIGINT) < hi GROUP BY ALL""".replace(
+        "{0}",
+        " UNION ALL ".join(
+            f"SELECT '{eco}' AS ecosystem, concat('{prefix}', CAST(p_partkey % 500 AS STRING)) AS package_name, concat('{eco}-', CAST(p_partkey AS STRING)) AS advisory_id,"
+            f" CASE WHEN p_partkey % 2 = 0 THEN 'high' ELSE 'low' END AS severity, concat(CAST(p_size AS STRING), '.0') AS fixed FROM part WHERE p_partkey % 20 = {k}"
+            for k, (eco, prefix) in enumerate((("crates.io", "core-"), ("PyPI", "net-"), ("npm", "io-")))
+        ),
+    ),
 )
-def scan_without_hits(spark, sf):
-    """The whole dependency engine on manifests whose packages no advisory names."""
-    files = manifest_files(spark, sf, M.CARGO).unionByName(manifest_files(spark, sf, M.PIP))
-    found = scan(files, ["sca"], "info", advisories=advisories(spark, sf), detected_at=NOW)
-    return found.agg(F.count("*").alias("n")).select(F.lit("none").alias("state"), "n")
+def scan_dependencies(spark, sf):
+    """The whole dependency engine on manifests of three ecosystems."""
+    files = manifest_files(spark, sf, M.CARGO).unionByName(manifest_files(spark, sf, M.PIP)).unionByName(manifest_files(spark, sf, M.NPM))
+    advs = None
+    for k, (eco, prefix) in enumerate((("crates.io", "core-"), ("PyPI", "net-"), ("npm", "io-"))):
+        part = table(spark, sf, "part").where(f"p_partkey % 20 = {k}").selectExpr(
+            f"concat('{eco}-', CAST(p_partkey AS STRING)) AS advisory_id", "CAST(NULL AS STRING) AS cve_id", f"'{eco}' AS ecosystem",
+            f"concat('{prefix}', CAST(p_partkey % 500 AS STRING)) AS package_name", "'0' AS introduced", "concat(CAST(p_size AS STRING), '.0') AS fixed",
+            "CASE WHEN p_partkey % 2 = 0 THEN 'high' ELSE 'low' END AS severity", "p_name AS summary", "'osv' AS source",
+        )
+        advs = part if advs is None else advs.unionByName(part)
+    found = scan(files, ["sca"], "info", advisories=advs, detected_at=NOW)
+    ecosystem = F.regexp_extract("vulnerable_code", r"\((.*)\)$", 1)
+    return found.groupBy("rule_id", ecosystem.alias("ecosystem"), "severity").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 SPREAD_BYTES = 256 * 1024 * 1024
+BATCH_BYTES = 8 * 1024 * 1024
 # Estimates from here on say that the optimizer doesn't know.
 UNKNOWN_BYTES = 2**60
 
@@ -38,6 +39,21 @@ def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it; names differ by more than case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bound_batches(spark: SparkSession, max_bytes: int = BATCH_BYTES) -> None:
+    """Arrow batches of at most ``max_bytes``, so that a worker never holds thousands of long texts at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= max_bytes:
+        spark.conf.set(key, str(max_bytes))
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's own size estimate; costs no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -17,13 +17,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynceus.llm.memo import Memo
+from lynceus.llm.memo import Memo, keep_only
 
 SEGMENT_CHARS = 1 << 16
 BLOCK_BYTES = 1 << 13
 SHORT_BYTES = 24
 NO_RANK = 1 << 60
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 300_000
 
 # The characters with Unicode's White_Space property.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -207,6 +207,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
 
     def ids(texts: pa.Array) -> pa.Array:
         t = transducer(source.value)
+        keep_only(t._chunks)
         rows = [np.frombuffer(b"".join(t.encode(x or "")), "<u4").astype(np.int32) for x in texts.to_pylist()]
         ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
@@ -247,6 +248,7 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", out_col: str
 
     def run(texts: pa.Array) -> pa.Array:
         t = transducer(source.value)
+        keep_only(t._chunks)
         return pa.array([dict(zip(kind.names, digests(x, t))) for x in texts.to_pylist()], kind)
 
     made: Callable[..., Column] = F.arrow_udf(run, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lynceus.scale import cut_lineage
+from lynceus.scale import cut_lineage, spare
 
 SPACES = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -102,9 +102,10 @@ def keep_bitmaps(
         .where(F.col("n_docs") >= min_docs)
         .select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "keeper")
     )
-    gone = keyed.join(
-        frequent, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & ~F.equal_null("doc", "keeper")
-    )
+    # a frequent line meets its copies once for each salt, so no task gets all of them
+    salted = frequent.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
+    same = (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & (F.col("salt") == F.col("f_salt"))
+    gone = keyed.join(salted, same & ~F.equal_null("doc", "keeper"))
     found = gone.groupBy("doc", "row").agg(
         F.max("n_lines").alias("n_lines"), F.sort_array(F.collect_set("pos")).alias("dropped")
     )
@@ -118,9 +119,13 @@ def keep_bitmaps(
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, out_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` and, as column ``out_col``, each row's bitmap or null."""
-    names = bitmaps.select(
-        F.col("bitmap_id").alias("_bitmap_id"), F.col("bitmap_row").alias("_bitmap_row"), F.col("keep_runs").alias(out_col)
-    )
-    same = F.equal_null(F.col(id_col), F.col("_bitmap_id")) & (row_key(F.col(text_col)) == F.col("_bitmap_row"))
-    return docs.drop(out_col).join(names, same, "left").drop("_bitmap_id", "_bitmap_row")
+    """``docs`` and, as column ``out_col``, each row's bitmap or null.
+
+    A column of that name is replaced; all others stay, whatever their names. Rows without a bitmap, also those of null id or
+    text, get null; rows that repeat an id get the bitmap of their own text. An empty table gives an empty result.
+    """
+    docs = docs.drop(out_col)
+    of, row = spare(docs, "_bitmap_id"), spare(docs, "_bitmap_row")
+    names = bitmaps.select(F.col("bitmap_id").alias(of), F.col("bitmap_row").alias(row), F.col("keep_runs").alias(out_col))
+    same = F.equal_null(F.col(id_col), F.col(of)) & (row_key(F.col(text_col)) == F.col(row))
+    return docs.join(names, same, "left").drop(of, row)

@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
+_MEMORIES: weakref.WeakSet = weakref.WeakSet()
+
+
+def keep_only(*wanted: Memo) -> None:
+    """Empties all other memories of this worker. A task calls it first, as workers live on and serve other operators."""
+    for memory in list(_MEMORIES):
+        if not any(memory is w for w in wanted):
+            memory.forget()
+
 
 class Memo(dict):
     """Key to ``make(key)``, remembered in two generations of ``limit`` short keys each.
@@ -16,6 +26,13 @@ class Memo(dict):
         super().__init__()
         self._make, self._limit, self._longest = make, limit, longest
         self._old: dict = {}
+        _MEMORIES.add(self)
+
+    __hash__ = object.__hash__
+
+    def forget(self) -> None:
+        self.clear()
+        self._old = {}
 
     def __missing__(self, key):
         value = self._old.get(key)

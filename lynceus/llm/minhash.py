@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lynceus.llm.components import connected_components
 from lynceus.llm.groups import list_rows, sorted_groups
 from lynceus.llm.lines import row_key
-from lynceus.llm.words import mixed, window_hashes, word_hashes
+from lynceus.llm.memo import keep_only
+from lynceus.llm.words import begin_task, mixed, window_hashes, word_hashes
 from lynceus.scale import cut_lineage
 
 SHINGLE = 5
@@ -30,6 +31,7 @@ MARGIN = 0.1
 GROUP = 4096
 HUB_ROUNDS = 6
 _ROWS = 2048
+_CHECKED = 256
 _rng = np.random.default_rng(3)
 _FLIP = _rng.integers(0, 1 << 63, POSITIONS, np.uint64)
 _SPREAD = _rng.integers(0, 1 << 63, POSITIONS, np.uint64) | np.uint64(1)
@@ -58,6 +60,7 @@ def signature(sets: np.ndarray) -> bytes:
 
 
 def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin_task()
     for batch in batches:
         sizes, first, second, signs = [], [], [], []
         for text in batch.column(1).to_pylist():
@@ -74,6 +77,7 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin_task()
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
@@ -100,6 +104,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def _leaf_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Small nodes, exhaustively: a forest over the members whose signatures make a check worth while."""
+    keep_only()
     a, b = [], []
     for group in sorted_groups(batches, "node"):
         ids, sig = group["class_id"].to_pylist(), _matrix(group["sig"])
@@ -119,31 +124,32 @@ def _leaf_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each group on full sets.
 
-    Pairs are taken from the highest estimate down. One that other links connect
-    already needs no check, so a group of alike documents costs about one check a member.
-    Members with role 0 are compared with those of role 1; without role 1, with each other.
+    Members are taken in blocks. In a block pairs are taken from the highest estimate down, a level at a time, so only a
+    block's estimates are held. A pair that other links connect already needs no check, so a group of alike documents
+    costs about one check a member. Members with role 0 are compared with those of role 1; without role 1, with each other.
     """
+    keep_only()
     for group in sorted_groups(batches, "task"):
         ids, sets, sig = group["member"].to_pylist(), list_rows(group["hashes"], np.int64), _matrix(group["set_sig"])
         role = group["role"].to_numpy()
         others = np.flatnonzero(role == 1)
-        found = []
-        for i in np.flatnonzero(role == 0).tolist():
-            against = others if len(others) else np.arange(i)
-            equal = (sig[against] == sig[i]).sum(axis=1, dtype=np.int16)
-            near = np.flatnonzero(equal >= ESTIMATE * POSITIONS)
-            found.append((np.full(len(near), i, np.int32), against[near].astype(np.int32), equal[near]))
-        p, q, equal = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, int),) * 3
         name = {x: k for k, x in enumerate(dict.fromkeys(ids))}
         label = np.array([name[x] for x in ids], np.int64)
         a, b = [], []
-        for level in range(POSITIONS, 0, -1):
-            at = equal == level
-            for i, j in zip(p[at].tolist(), q[at].tolist()):
-                if label[i] != label[j] and alike(sets[i], sets[j]):
-                    label[label == label[i]] = label[j]
-                    a.append(ids[i])
-                    b.append(ids[j])
+        mine = np.flatnonzero(role == 0)
+        for start in range(0, len(mine), _CHECKED):
+            block = mine[start : start + _CHECKED]
+            equal = np.zeros((len(block), len(ids)), np.uint8)
+            for k, i in enumerate(block.tolist()):
+                against = others if len(others) else np.arange(i)
+                equal[k, against] = (sig[against] == sig[i]).sum(axis=1, dtype=np.uint8)
+            for level in range(POSITIONS, int(np.ceil(ESTIMATE * POSITIONS)) - 1, -1):
+                for k, j in np.argwhere(equal == level).tolist():
+                    i = int(block[k])
+                    if label[i] != label[j] and alike(sets[i], sets[j]):
+                        label[label == label[i]] = label[j]
+                        a.append(ids[i])
+                        b.append(ids[j])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 

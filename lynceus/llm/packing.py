@@ -15,12 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lynceus.llm.memo import Memo
+from lynceus.llm.memo import Memo, keep_only
 
 WINDOW = 2048
 END_ID = 1
 OUT_ROWS = 20_000
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 300_000
 LEARNED = 500
 TOGETHER = 64
 TASK_SEQUENCES = 1 << 38
@@ -235,6 +235,7 @@ def pack(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = chunk_ids(source.value)
+        keep_only(chunks)
         kinds: list[pa.DataType] = []
 
         def read() -> Iterator[tuple[object, bytes]]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lynceus.llm.words import SPACES, covered, split_words, window_hashes, word_hashes
+from lynceus.llm.words import SPACES, begin_task, covered, split_words, window_hashes, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 SAMPLE_ROWS = 2000
@@ -126,6 +126,7 @@ _RESULT_DDL = "struct<" + ",".join(f"{c}:bigint" for c in MEASURES) + ",base_fai
 
 def _tried(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each sampled text that the base rules keep: what every rule says and takes."""
+    begin_task()
     for batch in batches:
         rejects, seconds = [], []
         for text in batch.column(0).to_pylist():
@@ -184,6 +185,7 @@ def verdict(text: str | None, order: Sequence[str]) -> dict:
 
 def _judge(order: Sequence[str]) -> Callable[..., Column]:
     def judge(texts: pa.Array) -> pa.Array:
+        begin_task()
         return pa.array([verdict(t, order) for t in texts.to_pylist()], _RESULT)
 
     return F.arrow_udf(judge, _RESULT_DDL).asNondeterministic()

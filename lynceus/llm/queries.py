@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lynceus.llm import bpe, crf, embeddings, lines, merkle, minhash, packing, quality, secrets, spelling, substrings, suffix_tree, warc
 from lynceus.llm.oracles import SQL  # noqa: F401
-from lynceus.scale import work_dir
+from lynceus.scale import bound_batches, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

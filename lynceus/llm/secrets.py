@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.llm.lines import row_key
-from lynceus.scale import cut_lineage
+from lynceus.scale import cut_lineage, spare
 
 SHARED_OWNERS = 3
 OWN_REPOSITORIES = 1
@@ -132,11 +132,16 @@ def scan_secrets(
 
 
 def mask_live(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every live-looking secret replaced by ``MASK``; copied examples and all else stay."""
+    """``docs`` with every live-looking secret replaced by ``MASK``; copied examples and all else stay.
+
+    All rows and columns stay, whatever their names. Null and empty texts have no secrets. Rows that repeat an id are masked by
+    the spans of their own text; an empty table gives an empty result.
+    """
+    of, row, spans = (spare(docs, c) for c in ("_scan_id", "_scan_row", "_live"))
     live = scanned.where(F.size("live") > 0).select(
-        F.col("scan_id").alias("_scan_id"), F.col("scan_row").alias("_scan_row"), F.col("live").alias("_live")
-    ).dropDuplicates(["_scan_id", "_scan_row"])
-    same = F.equal_null(F.col(id_col), F.col("_scan_id")) & (row_key(F.col(text_col)) == F.col("_scan_row"))
+        F.col("scan_id").alias(of), F.col("scan_row").alias(row), F.col("live").alias(spans)
+    ).dropDuplicates([of, row])
+    same = F.equal_null(F.col(id_col), F.col(of)) & (row_key(F.col(text_col)) == F.col(row))
     joined = docs.join(live, same, "left")
     text = F.col(text_col)
     none = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
@@ -147,7 +152,7 @@ def mask_live(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_
         return F.struct(out.alias("out"), F.greatest(acc["at"], z["end"]).alias("at"))
 
     masked = F.aggregate(
-        F.col("_live"), none, add,
+        F.col(spans), none, add,
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return joined.withColumn(text_col, F.when(F.col("_live").isNull(), text).otherwise(masked)).drop("_scan_id", "_scan_row", "_live")
+    return joined.withColumn(text_col, F.when(F.col(spans).isNull(), text).otherwise(masked)).drop(of, row, spans)

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.llm.lines import row_key
-from lynceus.llm.words import mixed, split_words, window_hashes, word_hashes
-from lynceus.scale import cut_lineage
+from lynceus.llm.words import begin_task, mixed, split_words, window_hashes, word_hashes
+from lynceus.scale import cut_lineage, spare
 
 WINDOW = 50
 GRAM = 8
@@ -42,6 +42,7 @@ def block_bounds(hashes: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.
 
 def _blocks(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
             parts, held = [], 0
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -75,6 +76,7 @@ def _block_batch(batch: pa.RecordBatch, parts: list) -> pa.RecordBatch:
 
 def _windows(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
             parts, held = [], 0
 
@@ -180,10 +182,13 @@ def remove_spans(
 ) -> DataFrame:
     """``docs`` with a struct: n_words, n_removed, kept (the words that stay, joined by one space), kept_sha256.
 
-    All rows and columns stay; a column named ``out_col`` is replaced.
+    All rows and columns stay, whatever their names; a column named ``out_col`` is replaced. Null and empty texts have no words and lose
+    none. Rows that repeat an id are cut by the spans of their own text; an empty table gives an empty result.
     """
-    found = spans.select(F.col("span_id").alias("_span_id"), F.col("span_row").alias("_span_row"), F.col("found").alias("_found"))
-    same = F.equal_null(F.col(id_col), F.col("_span_id")) & (row_key(F.col(text_col)) == F.col("_span_row"))
+    docs = docs.drop(out_col)
+    of, row, runs_of = (spare(docs, c) for c in ("_span_id", "_span_row", "_found"))
+    found = spans.select(F.col("span_id").alias(of), F.col("span_row").alias(row), F.col("found").alias(runs_of))
+    same = F.equal_null(F.col(id_col), F.col(of)) & (row_key(F.col(text_col)) == F.col(row))
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
 
     def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
@@ -200,5 +205,5 @@ def remove_spans(
         return pa.array([dict(zip(kind.names, row)) for row in out], kind)
 
     ddl = "struct<n_words:bigint,n_removed:bigint,kept:string,kept_sha256:string>"
-    made = F.arrow_udf(cut, ddl).asNondeterministic()(F.col(text_col).cast("string"), F.col("_found"))
-    return docs.drop(out_col).join(found, same, "left").withColumn(out_col, made).drop("_span_id", "_span_row", "_found")
+    made = F.arrow_udf(cut, ddl).asNondeterministic()(F.col(text_col).cast("string"), F.col(runs_of))
+    return docs.join(found, same, "left").withColumn(out_col, made).drop(of, row, runs_of)

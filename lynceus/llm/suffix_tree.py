@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.llm.groups import sorted_groups
+from lynceus.llm.memo import keep_only
 from lynceus.llm.words import MULTIPLIER, mixed
 from lynceus.scale import cut_lineage, planned_bytes
 
@@ -172,6 +173,7 @@ class _Chunk:
 
 def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, _Chunk]]:
     """Rows without their last column, the text, and its tokens, about CHUNK_TOKENS at a time."""
+    keep_only()
     rows: list[pa.RecordBatch] = []
     hashes: list[np.ndarray] = []
     held = 0

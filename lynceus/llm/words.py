@@ -10,13 +10,18 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from lynceus.llm.memo import Memo
+from lynceus.llm.memo import Memo, keep_only
 
 SPACES = " \t\n\x0b\x0c\r"
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-_HASHES = Memo(xxhash.xxh64_intdigest, limit=200_000)
+_HASHES = Memo(xxhash.xxh64_intdigest, limit=100_000)
+
+
+def begin_task() -> None:
+    """Empties the memories of other operators."""
+    keep_only(_HASHES)
 
 
 def split_words(text: str | None) -> list[bytes]:

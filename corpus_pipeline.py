@@ -9,61 +9,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynceus.llm import lines, minhash, packing, quality, secrets
-from lynceus.scale import cut_lineage
+from lynceus.scale import bound_batches, cut_lineage, spare
 
 TOKENIZER = "word_bpe_49k.json"
 ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    judged = quality.quality_rules(docs, out_col="_quality")
-    return judged.where("_quality.kept").select(*docs.columns)
+    """Documents that no quality rule rejects. Null and empty texts are rejected; rows are judged one by one, also repeated
+    ones; columns of any name stay; an empty table gives an empty one."""
+    bound_batches(spark)
+    out = spare(docs, "_quality")
+    return quality.quality_rules(docs, out_col=out).where(F.col(out)["kept"]).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that later documents repeat; n_chars follows the text."""
-    marked = lines.with_bitmaps(docs, lines.keep_bitmaps(docs), "_runs")
-    split = marked.withColumn("_lines", lines.text_lines(F.col("text")))
-    kept = split.withColumn("_kept", F.array_join(lines.kept_lines(F.col("_lines"), F.col("_runs")), "\n"))
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.col("_kept"))
-    return _with_text(kept, text, docs)
+    """Documents without the lines that later documents repeat; n_chars follows the text.
+
+    Null texts stay null. Rows of one id are one document, each cut by its own text. Columns of any name stay;
+    an empty table gives an empty one.
+    """
+    runs, split = (spare(docs, c) for c in ("_runs", "_lines"))
+    marked = lines.with_bitmaps(docs, lines.keep_bitmaps(docs), runs).withColumn(split, lines.text_lines(F.col("text")))
+    kept = F.array_join(lines.kept_lines(F.col(split), F.col(runs)), "\n")
+    return _with_text(marked, F.when(F.col(runs).isNull(), F.col("text")).otherwise(kept), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: the one with the smallest id.
 
-    Rows that repeat an id are told apart by their texts; of rows alike in both, one stays.
-    Texts without words are in no group, and rows of null id neither: they all stay.
+    Rows are told apart by a number of their own; of rows alike in id and text one stays.
+    Texts without words are in no group, and rows of null id neither: they all stay. Columns of any name stay;
+    an empty table gives an empty one.
     """
-    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", lines.row_key(F.col("text"))))
-    keyed = docs.withColumn("_row", key)
-    groups = minhash.document_groups(keyed, "_row").where("n_shingles > 0 AND doc_id IS NOT NULL")
-    groups = groups.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component"), F.count("*").alias("times"))
-    groups = cut_lineage(groups, "near-groups")
-    ids = keyed.groupBy(F.col("_row").alias("_id_row")).agg(F.min("doc_id").alias("id"))
-    first = groups.join(ids, F.col("_key") == F.col("_id_row")).groupBy("component").agg(F.min(F.struct("id", "_key")).alias("first"))
-    gone = groups.select("_key").join(first.select(F.col("first._key").alias("_stays")), F.col("_key") == F.col("_stays"), "left_anti")
-    single = keyed.join(gone, F.col("_row") == F.col("_key"), "left_anti")
-    again = groups.where("times > 1").select("_key")
-    if not again.isEmpty():
-        same = F.col("_row") == F.col("_key")
-        once = single.join(again, same, "left_semi").dropDuplicates(["_row"])
-        single = single.join(again, same, "left_anti").unionByName(once)
-    return single.select(*docs.columns)
+    bound_batches(spark)
+    row = spare(docs, "_row")
+    # written once, so that a row keeps its number
+    keyed = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    grouped = F.when(F.col("doc_id").isNotNull(), F.col(row))
+    groups = minhash.document_groups(keyed.select(grouped.alias("doc_id"), "text")).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    groups = cut_lineage(groups.select(F.col("doc_id").alias("member"), "component_id"), "near-groups")
+    ids = keyed.select(F.col(row).alias("numbered"), F.col("doc_id").alias("id"))
+    first = groups.join(ids, F.col("member") == F.col("numbered")).groupBy("component_id").agg(F.min(F.struct("id", "member")).alias("first"))
+    stays = first.select(F.col("first.member").alias("stays"))
+    out = spare(docs, "_gone")
+    gone = groups.join(stays, F.col("member") == F.col("stays"), "left_anti").select(F.col("member").alias(out))
+    return keyed.join(gone, F.col(row) == F.col(out), "left_anti").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their live-looking secrets masked; n_chars follows the text."""
+    """Documents with their live-looking secrets masked; n_chars follows the text.
+
+    Null and empty texts stay as they are; repeated rows are masked alike; a null source is one unnamed owner. Columns of any
+    name stay; an empty table gives an empty one.
+    """
     found = secrets.scan_secrets(docs, repo_col=F.concat_ws("/", "source", "lang"), owner_col="source")
     masked = secrets.mask_live(docs, found)
     return _with_text(masked, F.col("text"), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every piece of every document lies in the training sequences."""
+    """Where every piece of every document lies in the training sequences.
+
+    Null and empty texts are the end id alone; repeated rows and null ids are packed one by one; an empty table gives no pieces.
+    """
     import public_tokenizers
 
+    bound_batches(spark)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -124,8 +124,9 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, out_col: str, id_col: str
     A column of that name is replaced; all others stay, whatever their names. Rows without a bitmap, also those of null id or
     text, get null; rows that repeat an id get the bitmap of their own text. An empty table gives an empty result.
     """
+    taken = docs.withColumn(out_col, F.lit(None))
+    of, row = spare(taken, "_bitmap_id"), spare(taken, "_bitmap_row")
     docs = docs.drop(out_col)
-    of, row = spare(docs, "_bitmap_id"), spare(docs, "_bitmap_row")
     names = bitmaps.select(F.col("bitmap_id").alias(of), F.col("bitmap_row").alias(row), F.col("keep_runs").alias(out_col))
     same = F.equal_null(F.col(id_col), F.col(of)) & (row_key(F.col(text_col)) == F.col(row))
     return docs.join(names, same, "left").drop(of, row)

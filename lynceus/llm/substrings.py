@@ -185,8 +185,9 @@ def remove_spans(
     All rows and columns stay, whatever their names; a column named ``out_col`` is replaced. Null and empty texts have no words and lose
     none. Rows that repeat an id are cut by the spans of their own text; an empty table gives an empty result.
     """
+    taken = docs.withColumn(out_col, F.lit(None))
+    of, row, runs_of = (spare(taken, c) for c in ("_span_id", "_span_row", "_found"))
     docs = docs.drop(out_col)
-    of, row, runs_of = (spare(docs, c) for c in ("_span_id", "_span_row", "_found"))
     found = spans.select(F.col("span_id").alias(of), F.col("span_row").alias(row), F.col("found").alias(runs_of))
     same = F.equal_null(F.col(id_col), F.col(of)) & (row_key(F.col(text_col)) == F.col(row))
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])

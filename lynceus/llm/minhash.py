@@ -15,7 +15,7 @@ from lynceus.llm.groups import list_rows, sorted_groups
 from lynceus.llm.lines import row_key
 from lynceus.llm.memo import keep_only
 from lynceus.llm.words import begin_task, mixed, window_hashes, word_hashes
-from lynceus.scale import cut_lineage
+from lynceus.scale import cut_lineage, fits_broadcast
 
 SHINGLE = 5
 PERCENT = 75
@@ -371,6 +371,8 @@ def document_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = classes.select("class_id", "row").join(members.select("member"), F.col("class_id") == F.col("member"))
     same = (F.col("doc") == F.col("class_id")) & (F.col("text_row") == F.col("row"))
+    # the representatives of candidate groups are few rows of two numbers: where they measure small, no text is shuffled
+    wanted = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     sets = texts.join(wanted, same).select("doc", "text").mapInArrow(_set_rows, "of bigint, hashes array<bigint>, set_sig binary")
     sets = cut_lineage(sets, "shingle-sets")
     links = _checked(members.where(F.col("size") <= GROUP).select(F.col("comp").alias("task"), "member", F.lit(0).alias("role")), sets)

@@ -27,7 +27,8 @@ MIN_STATE = 64
 COST = 4.0
 PRIOR = 1.0
 
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 700_000
+SCORED_TOKENS = 350_000
 # Input bytes for each bucket of counts, so that a bucket fits a task at every size.
 BUCKET_BYTES = 4 * 1024 * 1024
 OUT_ROWS = 100_000
@@ -171,8 +172,8 @@ class _Chunk:
             yield n, np.flatnonzero(self.place >= n), keys
 
 
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, _Chunk]]:
-    """Rows without their last column, the text, and its tokens, about CHUNK_TOKENS at a time."""
+def _chunks(batches: Iterable[pa.RecordBatch], tokens: int) -> Iterator[tuple[pa.Table, _Chunk]]:
+    """Rows without their last column, the text, and its tokens, about so many at a time."""
     keep_only()
     rows: list[pa.RecordBatch] = []
     hashes: list[np.ndarray] = []
@@ -187,7 +188,7 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, _Chun
             hashes.append(token_hashes(b" \xff ".join([*part, b""])))
             rows.append(batch.slice(a, b - a).drop_columns(batch.schema.names[-1:]))
             held += len(hashes[-1])
-            if held >= CHUNK_TOKENS:
+            if held >= tokens:
                 yield pa.Table.from_batches(rows), _Chunk(hashes)
                 rows, hashes, held = [], [], 0
     if rows:
@@ -205,7 +206,7 @@ def _counting(length: int, wanted, bits: int):
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, chunk in _chunks(batches):
+        for _, chunk in _chunks(batches, CHUNK_TOKENS):
             if length:
                 states, words, counts = _pairs(chunk, length, *wanted.value)
             else:
@@ -416,7 +417,7 @@ def _scoring(depth: int, held):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: _Held = held.value
         table = KeyTable(known.keys)
-        for rows, chunk in _chunks(batches):
+        for rows, chunk in _chunks(batches, SCORED_TOKENS):
             texts = rows.num_rows
             base, gain, seen = np.zeros(texts), np.zeros(texts), np.zeros(texts)
             others: list[tuple[np.ndarray, np.ndarray]] = []

@@ -41,6 +41,7 @@ def test_table(spark):
 def test_random_texts(spark, monkeypatch, depth, held, share):
     """All depths; values that tasks hold, hold in part and only join; texts across chunks; odd rows."""
     monkeypatch.setattr(suffix_tree, "CHUNK_TOKENS", 300)
+    monkeypatch.setattr(suffix_tree, "SCORED_TOKENS", 200)
     rng = random.Random(4)
     def text(n):
         words, out = "a b c d A É é \U0001f600 x%d" % rng.randrange(9), []

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynceus.llm import lines, minhash, packing, quality, secrets
-from lynceus.scale import bound_batches, cut_lineage, spare
+from lynceus.scale import bound_batches, cut_lineage, fits_broadcast, spare
 
 TOKENIZER = "word_bpe_49k.json"
 ORACLE_SQL = None
@@ -54,6 +54,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays = first.select(F.col("first.member").alias("stays"))
     out = spare(docs, "_gone")
     gone = groups.join(stays, F.col("member") == F.col("stays"), "left_anti").select(F.col("member").alias(out))
+    gone = cut_lineage(gone, "near-gone")
+    # rows that go are numbers alone: where they measure small, no text is shuffled
+    gone = F.broadcast(gone) if fits_broadcast(gone) else gone
     return keyed.join(gone, F.col(row) == F.col(out), "left_anti").select(*docs.columns)
 
 

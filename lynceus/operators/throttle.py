@@ -5,19 +5,19 @@ after the opening opens a new window; otherwise it is allowed while the window
 has admitted fewer than the limit. A rejected request changes nothing.
 
 Where windows open depends on request times only, and one window on the next
-only through its opening time. Time is cut into blocks, and a block is a
-function from the window open before it to the window open after it, so the
-blocks of one hot key are worked on in parallel:
-
-1. the distinct request times of every (key, block) become one sorted row;
-2. every row gives its transfer function, a few steps;
-3. one ordered pass over the steps gives the window open before each block;
-4. every row lists the windows that open in it;
+only through its opening time. A key's times are cut into blocks of a bounded
+number, and a block is a function from the window open before it to the window
+open after it, so the blocks of one hot key are worked on in parallel:
+
+1. the distinct request times are numbered in one order; a block is so many in a row;
+2. every block gives its transfer function, a few steps;
+3. neighbouring functions are composed, a bounded number at a time, in rounds until one a key is left;
+   back down the rounds, each group hands its members the window open before them;
+4. every block lists the windows that open in it;
 5. the first requests of every window are admitted, a top-k that combines
    before the shuffle.
 
-No step holds the requests of a key. A row of step 1 holds distinct times of one
-block, however many requests share them.
+No step holds the requests of a key, and no task all blocks of one.
 """
 
 from __future__ import annotations
@@ -30,14 +30,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lynceus.functions.times import micros, time_bucket
-from lynceus.scale import BROADCAST_BYTES, cut_lineage, join_lookup
+from lynceus.scale import BROADCAST_BYTES, cut_lineage, join_lookup, numbered
 
 # Requests admitted per window, and the window length.
 LIMIT = 10
 WINDOW_MICROS = 60_000_000
 
-# Windows per block.
-BLOCK_WINDOWS = 16
+# Distinct times per block, and functions composed at a time.
+BLOCK_TIMES = 4096
+FAN_IN = 16
 
 NEVER = np.iinfo(np.int64).min // 2
 NO_KEY = "unknown"
@@ -66,9 +67,32 @@ def transfer(times: np.ndarray, block_start: int, window: int) -> tuple[np.ndarr
     return times[:reach][keep], times[ends[keep]]
 
 
+def composed(first: tuple, then: tuple, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The steps of two blocks behind each other.
+
+    What the first leaves goes through the second; a window that the first leaves open, as it expires later,
+    meets the steps of the second that lie further.
+    """
+    until, start = first
+    i = np.searchsorted(then[0], start + window, side="left")
+    found = i < len(then[0])
+    left = start.copy()
+    left[found] = then[1][i[found]]
+    further = then[0] > until[-1] if len(until) else np.ones(len(then[0]), bool)
+    until, left = np.concatenate([until, then[0][further]]), np.concatenate([left, then[1][further]])
+    keep = np.append(left[1:] != left[:-1], True)[: len(left)]
+    return until[keep], left[keep]
+
+
+def after(steps: tuple, start: int, window: int) -> int:
+    """The window open behind a block, given the one open before it."""
+    i = int(np.searchsorted(steps[0], start + window, side="left"))
+    return int(steps[1][i]) if i < len(steps[0]) else start
+
+
 def openings(times: np.ndarray, start: int, window: int) -> list[int]:
-    """Opening times of the windows that requests of a block fall into."""
-    out = [start] if start + window > times[0] else []
+    """Opening times of the windows that open in a block, given the one open before it."""
+    out = []
     i = int(np.searchsorted(times, start + window, side="left"))
     while i < len(times):
         out.append(int(times[i]))
@@ -101,70 +125,86 @@ def state_after(times: np.ndarray, start: int, used: int, window: int, limit: in
     return start, used
 
 
-def window_openings(
-    requests: DataFrame, window_micros: int, block_windows: int
-) -> DataFrame:
-    """Per (key, block): the opening times of the windows its requests fall into.
+_STEPS = "key string, block bigint, until array<bigint>, start array<bigint>"
 
-    ``requests`` has the columns key, block and t.
-    """
-    span = window_micros * block_windows
-    longs = "array<bigint>"
-    times = requests.groupBy("key", "block").agg(F.array_sort(F.collect_set("t")).alias("t"))
 
-    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _gathered(functions: DataFrame, fan_in: int) -> DataFrame:
+    """Functions of up to ``fan_in`` neighbouring blocks of a key in one row."""
+    above = F.floor(F.col("block") / fan_in).alias("above")
+    return functions.groupBy("key", above).agg(F.sort_array(F.collect_list(F.struct("block", "until", "start"))).alias("parts"))
+
+
+def _parts(row: list) -> list[tuple[int, tuple]]:
+    return [(p["block"], (np.asarray(p["until"], np.int64), np.asarray(p["start"], np.int64))) for p in row]
+
+
+def _entries(functions: DataFrame, window: int, fan_in: int) -> DataFrame:
+    """(key, block, entry): the window open before each block, by composing functions in rounds and handing entries back."""
+
+    def up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for parts in pdf["parts"]:
+                steps = _parts(parts)
+                whole = steps[0][1]
+                for _, one in steps[1:]:
+                    whole = composed(whole, one, window)
+                rows.append(whole)
+            yield pd.DataFrame({"key": pdf["key"], "block": pdf["above"], "until": [r[0] for r in rows], "start": [r[1] for r in rows]})
+
+    def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                transfer(np.asarray(t), int(b) * span, window_micros)
-                for t, b in zip(pdf["t"], pdf["block"])
-            ]
-            yield pd.DataFrame(
-                {
-                    "key": pdf["key"],
-                    "block": pdf["block"],
-                    "until": [r[0] for r in rows],
-                    "start": [r[1] for r in rows],
-                }
-            )
-
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start = None, NEVER
+            out = []
+            for key, parts, entry in zip(pdf["key"], pdf["parts"], pdf["entry"]):
+                for block, steps in _parts(parts):
+                    out.append((key, block, entry))
+                    entry = after(steps, entry, window)
+            yield pd.DataFrame(out, columns=["key", "block", "entry"])
+
+    levels = []
+    while True:
+        # keys with one block left are done: nothing is open before it
+        several = functions.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1").select("k")
+        functions = functions.join(several, F.col("key") == F.col("k"), "left_semi")
+        gathered = cut_lineage(_gathered(functions, fan_in), "throttle-groups")
+        if gathered.isEmpty():
+            break
+        levels.append(gathered)
+        functions = cut_lineage(gathered.mapInPandas(up, _STEPS), "throttle-functions")
+    entries = None
+    for gathered in reversed(levels):
+        rows = gathered.withColumn("entry", F.lit(int(NEVER)))
+        if entries is not None:
+            known = entries.select(F.col("key").alias("k"), F.col("block").alias("b"), F.col("entry").alias("given"))
+            rows = gathered.join(known, (F.col("key") == F.col("k")) & (F.col("above") == F.col("b")), "left")
+            rows = rows.select("key", "above", "parts", F.coalesce("given", F.lit(int(NEVER))).alias("entry"))
+        entries = cut_lineage(rows.mapInPandas(down, "key string, block bigint, entry bigint"), "throttle-entries")
+    if entries is None:
+        return functions.where("false").select("key", "block", F.lit(0).cast("bigint").alias("entry"))
+    return entries
+
+
+def window_openings(requests: DataFrame, window_micros: int, block_times: int = BLOCK_TIMES, fan_in: int = FAN_IN) -> DataFrame:
+    """(key, opened): the windows that the requests (key, t) open."""
+    order = numbered(requests.distinct(), ["key", "t"], "pos", "throttle-times")
+    block = F.floor(F.col("pos") / block_times).alias("block")
+    times = cut_lineage(order.groupBy("key", block).agg(F.sort_array(F.collect_list("t")).alias("t")), "throttle-blocks")
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            starts = []
-            for k, until, opened in zip(pdf["key"], pdf["until"], pdf["start"]):
-                if k != key:
-                    key, start = k, NEVER
-                starts.append(start)
-                i = int(np.searchsorted(until, start + window_micros, side="left"))
-                if i < len(until):
-                    start = int(opened[i])
-            yield pd.DataFrame({"key_": pdf["key"], "block_": pdf["block"], "start": starts})
+            rows = [transfer(np.asarray(t), int(t[0]), window_micros) for t in pdf["t"]]
+            yield pd.DataFrame({"key": pdf["key"], "block": pdf["block"], "until": [r[0] for r in rows], "start": [r[1] for r in rows]})
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame(
-                {
-                    "key": pdf["key"],
-                    "block": pdf["block"],
-                    "opened": [
-                        openings(np.asarray(t), s, window_micros)
-                        for t, s in zip(pdf["t"], pdf["start"])
-                    ],
-                }
-            )
-
-    before = (
-        times.mapInPandas(steps, f"key string, block bigint, until {longs}, start {longs}")
-        .repartition("key")
-        .sortWithinPartitions("key", "block")
-        .mapInPandas(entries, "key_ string, block_ bigint, start bigint")
-    )
-    # Null-safe, so that no filter is pushed below one side and both sides read
-    # the same shuffle.
-    same = F.col("key").eqNullSafe(F.col("key_")) & F.col("block").eqNullSafe(F.col("block_"))
-    return times.join(before, same).drop("key_", "block_").mapInPandas(
-        opened, f"key string, block bigint, opened {longs}"
-    )
+            out = [(k, s) for k, t, entry in zip(pdf["key"], pdf["t"], pdf["entry"]) for s in openings(np.asarray(t), entry, window_micros)]
+            yield pd.DataFrame(out, columns=["key", "opened"])
+
+    functions = cut_lineage(times.mapInPandas(steps, _STEPS), "throttle-functions")
+    entries = _entries(functions, window_micros, fan_in)
+    known = entries.select(F.col("key").alias("k"), F.col("block").alias("b"), "entry")
+    both = times.join(known, (F.col("key") == F.col("k")) & (F.col("block") == F.col("b")), "left")
+    return both.select("key", "t", F.coalesce("entry", F.lit(int(NEVER))).alias("entry")).mapInPandas(opened, "key string, opened bigint")
 
 
 def throttle(
@@ -174,7 +214,7 @@ def throttle(
     request_id: str,
     limit: int = LIMIT,
     window_micros: int = WINDOW_MICROS,
-    block_windows: int = BLOCK_WINDOWS,
+    block_times: int = BLOCK_TIMES,
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The requests with ``allowed``. Ties in time go by id; no key counts as one key."""
@@ -182,18 +222,15 @@ def throttle(
         "*",
         F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)).alias("_key"),
         micros(F.col(ts)).alias("_t"),
-    ).withColumn("_block", time_bucket(F.col("_t"), window_micros * block_windows))
+    ).withColumn("_bucket", time_bucket(F.col("_t"), window_micros))
     windows = window_openings(
-        timed.select(F.col("_key").alias("key"), F.col("_block").alias("block"), F.col("_t").alias("t")),
-        window_micros,
-        block_windows,
-    ).withColumnsRenamed({"key": "_key", "block": "_block"})
-    placed = join_lookup(
-        timed,
-        cut_lineage(windows, "windows"),
-        ["_key", "_block"],
-        max_bytes=max_bytes
-    ).withColumn("_window", F.array_max(F.filter("opened", lambda s: s <= F.col("_t")))).drop("opened")
+        timed.select(F.col("_key").alias("key"), F.col("_t").alias("t")).where("t IS NOT NULL"), window_micros, block_times
+    )
+    # a window lies in two buckets of its length at most, and a bucket meets two windows of a key
+    ends = [time_bucket(F.col("opened") + late, window_micros) for late in (0, window_micros - 1)]
+    buckets = windows.select(F.col("key").alias("_key"), F.col("opened").alias("_window"), F.explode(F.array_distinct(F.array(*ends))).alias("_bucket"))
+    inside = (F.col("_t") >= F.col("_window")) & (F.col("_t") < F.col("_window") + window_micros)
+    placed = join_lookup(timed, cut_lineage(buckets, "windows"), ["_key", "_bucket"], condition=inside, max_bytes=max_bytes)
 
     place = F.row_number().over(
         Window.partitionBy("_key", "_window").orderBy("_t", request_id)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lynceus.operators.debounce import debounce
-from lynceus.operators.throttle import NEVER, decide, openings, state_after, throttle, transfer
+from lynceus.operators.throttle import NEVER, after, composed, decide, openings, state_after, throttle, transfer, window_openings
 from lynceus.scale import work_dir
 from lynceus.streaming.debounce import debounce_stream
 from lynceus.streaming.throttle import throttle_stream
@@ -44,12 +44,10 @@ def test_transfer_equals_fold(seed):
             continue
         got += list(decide(t, start, used, window, limit))
         distinct = np.unique(t)
-        until, opened = transfer(distinct, b * span, window)
+        steps = transfer(distinct, int(distinct[0]), window)
         seen |= set(openings(distinct, start, window))
-        i = int(np.searchsorted(until, start + window, side="left"))
-        after = int(opened[i]) if i < len(until) else start
         before, (start, used) = start, state_after(t, start, used, window, limit)
-        assert after == start
+        assert after(steps, before, window) == start
     assert got == expected
     chain = [times[0]]
     for x in times:
@@ -58,6 +56,44 @@ def test_transfer_equals_fold(seed):
     assert sorted(seen) == chain
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_composed_blocks_are_one_block(seed):
+    """Blocks of any length, also much shorter than a window, composed in any grouping."""
+    rnd = random.Random(seed)
+    window = 20
+    times = np.array(sorted(rnd.sample(range(400), rnd.choice([3, 40, 150]))), np.int64)
+    cuts = sorted(rnd.sample(range(1, len(times)), min(len(times) - 1, rnd.choice([1, 5, 30]))))
+    blocks = [b for b in np.split(times, cuts) if len(b)]
+    steps = [transfer(b, int(b[0]), window) for b in blocks]
+    while len(steps) > 1:
+        i = rnd.randrange(len(steps) - 1)
+        steps[i : i + 2] = [composed(steps[i], steps[i + 1], window)]
+    # a window before the first time is open until it has passed
+    for start in [NEVER, *range(int(times[0]) - 2 * window, int(times[0]))]:
+        now = start
+        for t in times.tolist():
+            if t >= now + window:
+                now = t
+        assert after(steps[0], start, window) == now
+
+
+@pytest.mark.parametrize("block_times, fan_in", [(1, 2), (3, 4), (4096, 16)])
+def test_openings_of_a_hot_key(spark, block_times, fan_in):
+    rnd = random.Random(block_times)
+    times = {"hot": sorted(rnd.sample(range(3000), 700)), "b": [5, 9, 40], "c": [7]}
+    df = spark.createDataFrame([(k, t) for k, ts in times.items() for t in ts for _ in range(rnd.randint(1, 2))], "key string, t bigint")
+    got = window_openings(df, 30, block_times, fan_in).collect()
+    expected = []
+    for k, ts in times.items():
+        now = NEVER
+        for t in ts:
+            if t >= now + 30:
+                now = t
+                expected.append((k, t))
+    assert sorted(map(tuple, got)) == sorted(expected)
+    assert window_openings(df.limit(0), 30, block_times, fan_in).collect() == []
+
+
 def requests(spark, seed=1, n=600):
     rnd = random.Random(seed)
     rows = [
@@ -79,7 +115,7 @@ def brute(rows, limit, seconds):
 def test_throttle_batch(spark):
     rows, df = requests(spark)
     for max_bytes in (0, 1 << 20):
-        got = throttle(df, "ip", "ts", "id", 3, 60_000_000, block_windows=5, max_bytes=max_bytes)
+        got = throttle(df, "ip", "ts", "id", 3, 60_000_000, block_times=7, max_bytes=max_bytes)
         assert {r["id"]: r["allowed"] for r in got.collect()} == brute(rows, 3, 60)
         assert got.columns == ["id", "ip", "ts", "allowed"]
 

@@ -46,13 +46,13 @@ PER_USER = "SELECT user_id, count(*) FILTER (WHERE allowed) AS allowed, count(*)
 
 @query("throttle", throttle_sql("1 DAY", 3, FLAGS))
 def throttled(spark, sf):
-    got = throttle(table(spark, sf, "events"), "user_id", "ts", "event_id", 3, DAY, block_windows=4)
+    got = throttle(table(spark, sf, "events"), "user_id", "ts", "event_id", 3, DAY, block_times=64)
     return got.select("user_id", "event_id", "allowed")
 
 
 @query("throttle_hours", throttle_sql("12 HOUR", 1, PER_USER))
 def throttle_hours(spark, sf):
-    got = throttle(table(spark, sf, "events"), "user_id", "ts", "event_id", 1, 12 * HOUR, block_windows=2)
+    got = throttle(table(spark, sf, "events"), "user_id", "ts", "event_id", 1, 12 * HOUR, block_times=16)
     return got.groupBy("user_id").agg(
         F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("rejected")
     )
@@ -66,7 +66,7 @@ def one_client_sql(window: str, limit: int) -> str:
 def throttle_one_client(spark, sf):
     """All requests from a single client; its blocks are decided in parallel."""
     rows = table(spark, sf, "events").withColumn("client", F.lit("one"))
-    return throttle(rows, "client", "ts", "event_id", 10, 6 * HOUR, block_windows=8).select("event_id", "allowed")
+    return throttle(rows, "client", "ts", "event_id", 10, 6 * HOUR, block_times=256).select("event_id", "allowed")
 
 
 BURSTS = """SELECT event_id, user_id, event_type AS code FROM (

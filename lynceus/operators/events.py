@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lynceus.functions.text import sql_map
 from lynceus.rules.model import ENGINE_LABELS, parse_engines
+from lynceus.scale import fits_broadcast, numbered
 
 # Event types, messages and the time finished events stay replayable.
 PROGRESS, FINDING, COMPLETE, ERROR = "progress", "finding", "complete", "error"
@@ -53,11 +54,7 @@ def _event(kind: str, data: Column | None) -> Column:
 
 
 def scan_events(scans: DataFrame, findings: DataFrame, engines: Sequence[str]) -> DataFrame:
-    """JSON events of scans. ``phase``, ``step`` and ``finding_id`` give their order.
-
-    Findings of one scan carry no running number, because numbering them would
-    bring a whole scan into one task.
-    """
+    """JSON events of scans. ``phase``, ``step`` and ``finding_id`` give their order, :func:`numbered_events` their numbers."""
     none = F.lit(None).cast("string")
     progress = progress_events(scans, engines).select(
         "scan_id", F.lit(0).alias("phase"), "step", none.alias("finding_id"),
@@ -75,6 +72,24 @@ def scan_events(scans: DataFrame, findings: DataFrame, engines: Sequence[str]) -
     return progress.unionByName(found).unionByName(complete)
 
 
+def numbered_in_scan(events: DataFrame, by: Sequence[str], out: str = "seq") -> DataFrame:
+    """``events`` with a running number from 1 within their scan, in the order of ``by``.
+
+    All events are numbered in one order by scan, over range partitions, so no task holds a scan; a scan's
+    number starts behind those before it. Rows alike in all of ``by`` get different numbers.
+    """
+    order = numbered(events, ["scan_id", *by], "_at", "event-order")
+    first = order.groupBy(F.col("scan_id").alias("_scan")).agg(F.min("_at").alias("_first"))
+    first = F.broadcast(first) if fits_broadcast(first) else first
+    own = order.join(first, F.equal_null("scan_id", "_scan"))
+    return own.withColumn(out, F.col("_at") - F.col("_first") + 1).drop("_at", "_scan", "_first")
+
+
+def numbered_events(events: DataFrame) -> DataFrame:
+    """Events of :func:`scan_events` or :func:`error_events` with ``seq``, their running number within the scan."""
+    return numbered_in_scan(events, ["phase", "step", "finding_id", "event"])
+
+
 def error_events(failures: DataFrame) -> DataFrame:
     """Error events of (scan_id, reason) rows."""
     return failures.select(

@@ -237,3 +237,31 @@ def test_salted_join_matches_plain_join(spark):
         plain = left.join(right, "k", how)
         salted = salted_join(left, right, ["k"], how, salts=7).select(*plain.columns)
         assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
+
+
+def test_event_numbers(spark, tmp_path):
+    """Numbers run from 1 within each scan, also for equal events and unnamed scans; micro-batches go on behind each other."""
+    from lynceus.streaming.events import feed, finding_events, follow, write_finding_events
+
+    rows = [(f"s{i % 3}" if i % 10 else None, 1, 0, f"f{i % 7}", "{}") for i in range(200)]
+    events = spark.createDataFrame(rows, "scan_id string, phase int, step int, finding_id string, event string").repartition(5)
+    got = E.numbered_events(events).collect()
+    for scan_id in ("s0", "s1", "s2", None):
+        own = sorted((r.seq, r.finding_id) for r in got if r.scan_id == scan_id)
+        assert [n for n, _ in own] == list(range(1, len(own) + 1)) and [f for _, f in own] == sorted(f for _, f in own)
+    assert E.numbered_events(events.limit(0)).collect() == []
+
+    rows = [(f"s{i % 2}", f"f{i}", "x", NOW) for i in range(40)]
+    df = spark.createDataFrame(rows, "scan_id string, finding_id string, title string, detected_at timestamp")
+    df.repartition(4).write.parquet(f"{tmp_path}/in")
+    found = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for _ in range(2):  # a second start finds nothing new
+        write_finding_events(found, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    written = feed(spark, f"{tmp_path}/out").collect()
+    assert len(written) == 40 == len({(r.scan_id, r.seq) for r in written})
+    middle = sorted(r.seq for r in written if r.scan_id == "s0")[9]
+    out = follow(spark, f"{tmp_path}/out", "s0", middle).writeStream.format("memory").queryName("followed").trigger(availableNow=True)
+    out.option("checkpointLocation", f"{tmp_path}/followed").start().awaitTermination()
+    assert sorted(r.seq for r in spark.table("followed").collect()) == sorted(r.seq for r in written if r.scan_id == "s0" and r.seq > middle)
+    with pytest.raises(ValueError):
+        finding_events(found)

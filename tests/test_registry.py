@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_history_reports_every_scan(spark, con, tables):
-    result = check(spark, con, SF, "history_all")
+    result = check(spark, con, SF, "history")
     assert result.startswith("ok") and int(result.split()[1]) == tables("orders").count(), result
 
 

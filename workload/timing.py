@@ -14,7 +14,8 @@ from lynceus.operators.throttle import throttle
 from lynceus.plans.scan import as_files, scan
 from lynceus.scale import work_dir
 from lynceus.streaming.debounce import debounce_stream
-from lynceus.streaming.events import catch_up, finding_events, write_events
+from lynceus.streaming.events import catch_up, write_events, write_finding_events
+from lynceus.streaming.events import feed as feed_of
 from lynceus.streaming.scan import read_file_stream, scan_stream, start_scan_job
 from lynceus.streaming.throttle import throttle_stream
 from workload.base import NOW, corpus, corpus_sql, query, table
@@ -142,11 +143,42 @@ def scanned_stream(spark, sf):
     return run_to_table(got, "scan").select("engine", "rule_id", "file_path", "line_start")
 
 
-@query("event_feed", f"WITH {findings_cte('documents')} SELECT 'finding' AS type, rule_id, count(*) AS n FROM found GROUP BY rule_id")
+FEED_RULES = f"WITH {findings_cte('documents')} SELECT 'finding' AS type, rule_id, count(*) AS n, true AS numbered FROM found GROUP BY rule_id"
+
+
+@query("event_feed", FEED_RULES)
 def event_feed(spark, sf):
-    found = scan_stream(file_stream(spark, sf, "documents"), LINE_ENGINES, "info", detected_at=NOW)
-    events = run_to_table(finding_events(found), "feed")
-    return events.groupBy("type", F.get_json_object("data", "$.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))
+    """Finding events of a stream of several micro-batches; a scan's numbers are all different."""
+    path = work_dir(spark, "feed")
+    incoming = work_dir(spark, "incoming")
+    corpus(spark, sf, "documents").select("path", "code", "language").repartition(6).write.parquet(incoming)
+    found = scan_stream(read_file_stream(spark, incoming, "parquet", files_per_batch=2), LINE_ENGINES, "info", detected_at=NOW)
+    write_finding_events(found, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    events = feed_of(spark, f"{path}/out")
+    twice = events.groupBy("scan_id", "seq").agg(F.count("*").alias("times")).agg(F.max("times").alias("most"))
+    by_rule = events.groupBy("type", F.get_json_object("data", "$.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))
+    return by_rule.join(F.broadcast(twice.select((F.col("most") == 1).alias("numbered"), F.lit("finding").alias("of"))), F.col("type") == F.col("of")).drop("of")
+
+
+EVENT_NUMBERS = f"""WITH {findings_cte('conversations')},
+    named AS (SELECT *, concat('scan-', CAST(length(path) % 3 AS STRING)) AS scan_id FROM found)
+    SELECT scan_id, count(*) + 5 AS events, CAST(1 AS BIGINT) AS lowest, count(*) + 5 AS highest, count(*) + 5 AS different,
+      CAST(4 AS BIGINT) AS before_findings, CAST(count(*) AS BIGINT) AS resumed FROM named GROUP BY scan_id"""
+
+
+@query("event_numbers", EVENT_NUMBERS)
+def event_numbers(spark, sf):
+    """Events of scans, numbered from 1 without gaps: progress, findings, completion; and what is behind a number."""
+    files = corpus(spark, sf, "conversations").withColumn("scan_id", F.concat(F.lit("scan-"), (F.length("path") % 3).cast("string")))
+    found = scan(files, LINE_ENGINES, "info", detected_at=NOW, keep=("scan_id",))
+    scans = files.select("scan_id").distinct()
+    events = E.numbered_events(E.scan_events(scans, found, LINE_ENGINES))
+    kind = F.get_json_object("event", "$.type")
+    return events.groupBy("scan_id").agg(
+        F.count("*").alias("events"), F.min("seq").alias("lowest"), F.max("seq").alias("highest"), F.count_distinct("seq").alias("different"),
+        F.max(F.when(kind == "progress", F.col("seq"))).alias("before_findings"),
+        F.count_if((F.col("seq") > 4) & (kind == "finding")).alias("resumed"),
+    ).where("resumed > 0")
 
 
 @query("completion_summary", f"WITH {findings_cte('documents')} SELECT severity, count(*) AS n FROM found GROUP BY severity")

@@ -272,6 +272,12 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return found
 
 
+def _small_side(numbers: DataFrame, purpose: str) -> DataFrame:
+    """Rows of a few numbers, written once, so that their size is known: broadcast where it measures small, else joined."""
+    numbers = cut_lineage(numbers, purpose)
+    return F.broadcast(numbers) if fits_broadcast(numbers) else numbers
+
+
 def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are links on full sets."""
     mine, theirs = (sets.select(F.col("of").alias(f"of_{c}"), F.col("hashes").alias(f"hashes_{c}")) for c in "ab")
@@ -283,6 +289,7 @@ def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _checked(tasks: DataFrame, sets: DataFrame) -> DataFrame:
     """Links within the tasks (task, member, role), members of which are compared in one Python task each."""
+    tasks = _small_side(tasks, "tasks")
     rows = tasks.join(sets, F.col("member") == F.col("of")).select("task", "member", "role", "hashes", "set_sig")
     return cut_lineage(rows.repartition("task").sortWithinPartitions("task").mapInArrow(_verified, "a bigint, b bigint"), "links")
 
@@ -372,7 +379,7 @@ def document_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = classes.select("class_id", "row").join(members.select("member"), F.col("class_id") == F.col("member"))
     same = (F.col("doc") == F.col("class_id")) & (F.col("text_row") == F.col("row"))
     # the representatives of candidate groups are few rows of two numbers: where they measure small, no text is shuffled
-    wanted = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
+    wanted = _small_side(wanted, "wanted-sets")
     sets = texts.join(wanted, same).select("doc", "text").mapInArrow(_set_rows, "of bigint, hashes array<bigint>, set_sig binary")
     sets = cut_lineage(sets, "shingle-sets")
     links = _checked(members.where(F.col("size") <= GROUP).select(F.col("comp").alias("task"), "member", F.lit(0).alias("role")), sets)

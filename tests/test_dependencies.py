@@ -370,3 +370,11 @@ def test_numbered_has_no_gaps(spark):
     got = [tuple(r) for r in numbered(rows, ["k", "i"], "at").select("at", "k", "i").collect()]
     assert [r[0] for r in sorted(got, key=lambda r: r[1:])] == list(range(1000))
     assert numbered(rows.limit(0), ["k", "i"], "at").collect() == []
+
+
+def test_requirement_lines(spark):
+    from lynceus.operators import manifests as M
+
+    code = "a==1.0\nreq[sec, x] >= 2.1,<3 ; python_version > '3'\nz.y-w_v===4.0.dev1 # note\n-e git+x==1\nb~=5\nplain\n# c==1\nd != 6.0\n"
+    got = spark.createDataFrame([(code,)], "code string").select(M.requirements(F.col("code")).alias("p")).first()["p"]
+    assert [tuple(x)[:2] for x in got] == [("a", "1.0"), ("req", "2.1"), ("z.y-w_v", "4.0.dev1"), ("b", "5"), ("d", "6.0")]

@@ -7,7 +7,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from lynceus.llm.memo import Memo, keep_only
 
-SEGMENT_CHARS = 1 << 16
+BLOCK_CHARS = 1 << 16
 BLOCK_BYTES = 1 << 13
+# Characters beyond a pretoken's end that its pattern can read: those of the longest contraction.
+PATTERN_REACH = 3
 SHORT_BYTES = 24
 NO_RANK = 1 << 60
 CACHED_CHUNKS = 300_000
@@ -34,7 +36,10 @@ _pretokens = regex.compile(
 # White space stays with what follows it. No merge and no pattern match crosses the start of
 # a run of white space, so each chunk is encoded by itself.
 _chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_cut = re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
+_last_cut = regex.compile(f"(?r)(?<=[^{WHITE}])[{WHITE}]")
+# How an open pretoken goes on, by the kind of its last character.
+_white = regex.compile(f"[{WHITE}]*")
+_runs = (_white, regex.compile(r"\p{L}*"), regex.compile(r"\p{N}*"), regex.compile(rf"[^{WHITE}\p{{L}}\p{{N}}]*"))
 
 
 def byte_letters() -> dict[str, int]:
@@ -81,7 +86,7 @@ class Transducer:
         self.lookahead = sufficient_lookahead(merges)
         self._split = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self._packed = {i: i.to_bytes(4, "little") for i in self.pieces}
-        self._chunks = Memo(self._chunk, CACHED_CHUNKS)
+        self._spans = Memo(self._span, CACHED_CHUNKS)
 
     def merged(self, data: bytes) -> list[int]:
         """Tokens of a whole input: the lowest rank first, and the leftmost of equal rank."""
@@ -121,56 +126,98 @@ class Transducer:
                 heapq.heappush(heap, (r, h))
         return [i for i in ids if i >= 0]
 
-    def stream(self, blocks: Iterator[bytes]) -> Iterator[list[int]]:
-        """Tokens of one pretoken that arrives in blocks, each emitted once it is stable.
+    def _stable(self, held: bytes, data: bytes) -> tuple[list[int], bytes]:
+        """Tokens of an open pretoken that no further byte can change, and the bytes behind them.
 
-        The buffer holds the bytes of tokens that are not stable yet: less than
-        the lookahead, the longest token and a block together.
+        ``held`` are the bytes of tokens that were not stable before ``data``: always
+        less than the lookahead and the longest token together.
         """
-        held = b""
-        for block in blocks:
-            held += block
-            if len(held) <= self.lookahead:
-                continue
-            out, end = [], 0
-            for i in self.merged(held):
-                if end + len(self.pieces[i]) > len(held) - self.lookahead:
+        out: list[int] = []
+        for i in range(0, len(data), BLOCK_BYTES):
+            held += data[i : i + BLOCK_BYTES]
+            end = 0
+            for token in self.merged(held) if len(held) > self.lookahead else ():
+                if end + len(self.pieces[token]) > len(held) - self.lookahead:
                     break
-                end += len(self.pieces[i])
-                out.append(i)
+                end += len(self.pieces[token])
+                out.append(token)
             held = held[end:]
-            if out:
-                yield out
-        yield self.merged(held)
+        return out, held
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Packed ids of white space and what follows it."""
-        out: list[int] = []
-        for word in _pretokens.findall(chunk):
-            data = word.encode()
-            if len(data) <= BLOCK_BYTES:  # one block, and so all there is
-                out += self.merged(data)
+    def _closed(self, held: bytes, data: bytes) -> list[int]:
+        """Tokens of a pretoken, or of its rest, that ends with ``data``."""
+        if len(data) <= BLOCK_BYTES:
+            return self.merged(held + data)
+        out, held = self._stable(held, data)
+        return out + self.merged(held)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return b"".join(map(self._packed.__getitem__, ids))
+
+    def _span(self, chunk: str) -> bytes:
+        """What leaves the transducer for white space and all that follows it."""
+        return b"".join(self._pack(self._closed(b"", word.encode())) for word in _pretokens.findall(chunk))
+
+    def stream(self, blocks: Iterable[str]) -> Iterator[bytes]:
+        """Packed ids of a text that arrives in blocks, each emitted once it is stable.
+
+        State between blocks: the text behind the last sure end of a pretoken, or, of a
+        pretoken longer than a block's share, its kind and the bytes without stable tokens.
+        Both are bounded, whatever the length of the text or of a pretoken. Ids of short
+        spans that were emitted before are looked up.
+        """
+        rest, run, held = "", None, b""
+        for block in blocks:
+            rest += block
+            if run:
+                stop = run.match(rest).end()
+                going = stop == len(rest)
+                stop -= run is _white  # the last white space may belong to what follows
+                data, rest = rest[:stop].encode(), rest[stop:]
+                if going:
+                    ids, held = self._stable(held, data)
+                    yield self._pack(ids)
+                    continue
+                yield self._pack(self._closed(held, data))
+                run, held = None, b""
+            if cut := _last_cut.search(rest):
+                yield b"".join(map(self._spans.__getitem__, _chunks.findall(rest, 0, cut.start())))
+                rest = rest[cut.start() :]
+            if len(rest) <= BLOCK_BYTES:
+                continue
+            sure = len(rest) - PATTERN_REACH
+            for word in _pretokens.finditer(rest):
+                if word.end() > sure:
+                    break
+                yield self._pack(self._closed(b"", word[0].encode()))
+            if word.end() - word.start() > BLOCK_BYTES:
+                run = next(r for r in _runs if r.match(rest, word.end() - 1).end() >= word.end())
+                stop = word.end() - (run is _white)
+                ids, held = self._stable(b"", rest[word.start() : stop].encode())
+                yield self._pack(ids)
+                rest = rest[stop:]
             else:
-                for ids in self.stream(data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)):
-                    out += ids
-        return b"".join(map(self._packed.__getitem__, out))
+                rest = rest[word.start() :]
+        if run:
+            stop = run.match(rest).end()
+            stop -= run is _white and stop < len(rest)
+            yield self._pack(self._closed(held, rest[:stop].encode()))
+            rest = rest[stop:]
+        yield b"".join(map(self._spans.__getitem__, _chunks.findall(rest)))
 
     def encode(self, text: str) -> Iterator[bytes]:
-        """Ids as little-endian 32-bit integers, a segment of the text at a time."""
+        """Ids as little-endian 32-bit integers, a block of the text at a time."""
         at = 0
         for m in self._split.finditer(text) if self._split else ():
-            yield from self._plain(text[at : m.start()])
+            yield from self.stream(text_blocks(text, at, m.start()))
             yield self._packed[self.special[m[0]]]
             at = m.end()
-        yield from self._plain(text[at:] if at else text)
+        yield from self.stream(text_blocks(text, at, len(text)))
 
-    def _plain(self, text: str) -> Iterator[bytes]:
-        at = 0
-        while at < len(text):
-            cut = _cut.search(text, at + SEGMENT_CHARS) if len(text) - at > SEGMENT_CHARS else None
-            end = cut.start() if cut else len(text)
-            yield b"".join(map(self._chunks.__getitem__, _chunks.findall(text, at, end)))
-            at = end
+
+def text_blocks(text: str, start: int, end: int) -> Iterator[str]:
+    """A part of a text in blocks of bounded length."""
+    return (text[i : min(i + BLOCK_CHARS, end)] for i in range(start, end, BLOCK_CHARS))
 
 
 class Decoder:
@@ -202,12 +249,16 @@ def _shared(spark: SparkSession, path: str):
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of each whole text. Null texts have none; other columns stay."""
+    """``docs`` with the token ids of each whole text.
+
+    Null and empty texts have none; repeated rows give repeated ids. Other columns
+    stay, one named ``out_col`` is replaced; an empty table gives an empty one.
+    """
     source = _shared(docs.sparkSession, path)
 
     def ids(texts: pa.Array) -> pa.Array:
         t = transducer(source.value)
-        keep_only(t._chunks)
+        keep_only(t._spans)
         rows = [np.frombuffer(b"".join(t.encode(x or "")), "<u4").astype(np.int32) for x in texts.to_pylist()]
         ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
@@ -216,7 +267,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """``rows`` with the text of their ids; bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
+    """``rows`` with the text of their ids.
+
+    Bytes that are no UTF-8 become U+FFFD; null and empty ids give an empty text.
+    Other columns stay, one named ``out_col`` is replaced; an empty table gives an empty one.
+    """
     source = _shared(rows.sparkSession, path)
 
     def texts(ids: pa.Array) -> pa.Array:
@@ -248,7 +303,7 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", out_col: str
 
     def run(texts: pa.Array) -> pa.Array:
         t = transducer(source.value)
-        keep_only(t._chunks)
+        keep_only(t._spans)
         return pa.array([dict(zip(kind.names, digests(x, t))) for x in texts.to_pylist()], kind)
 
     made: Callable[..., Column] = F.arrow_udf(run, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")

@@ -1,6 +1,7 @@
 """Each operator against its plain version, on the smallest tables and on odd rows."""
 
 import random
+import tracemalloc
 from pathlib import Path
 
 import brute
@@ -94,6 +95,49 @@ def test_white_space_and_letters_split_like_the_tokenizer():
         assert brute.token_digests(text, tokenizer) == bpe.digests(text, t)
 
 
+def test_stream_of_any_blocks_gives_the_tokens_of_the_whole(monkeypatch):
+    """Long runs of every kind, contractions and white space at all block ends."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, t = Tokenizer.from_file(path), bpe.transducer(open(path).read())
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 6)
+    rng = random.Random(5)
+    for _ in range(1500):
+        runs = rng.choices(["a", "re", "é", "7", "'", "'re", "'s", "!", " ", "\n", "\u3000", "字"], k=rng.randint(1, 8))
+        text = "".join(r * rng.choice([1, 1, 2, 3, 20]) for r in runs)
+        size = rng.randint(1, 9)
+        parts = t.stream(text[i : i + size] for i in range(0, len(text), size))
+        assert np.frombuffer(b"".join(parts), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, (text, size)
+
+
+def test_all_tokens_leave_through_the_stream(documents, monkeypatch):
+    t = bpe.transducer(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    streamed, stream = [], bpe.Transducer.stream
+
+    def counted(self, blocks):
+        for packed in stream(self, blocks):
+            streamed.append(len(packed) // 4)
+            yield packed
+
+    monkeypatch.setattr(bpe.Transducer, "stream", counted)
+    tokens = sum(bpe.digests(text, t)[0] for _, text in documents)
+    assert sum(streamed) == tokens > 0  # these texts hold no special token
+
+
+def test_stream_memory_is_flat():
+    t = bpe.transducer(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+
+    def peak(n_blocks):
+        t._spans.forget()
+        tracemalloc.start()
+        emitted = sum(len(p) for p in t.stream("abcdefgh" * 1000 for _ in range(n_blocks)))
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert emitted
+        return size
+
+    assert peak(40) < 1.2 * peak(10)
+
+
 def plain_merge(data, merges):
     """Applies the merges one rank after the other."""
     tokens = [bytes([b]) for b in data]
@@ -106,8 +150,9 @@ def plain_merge(data, merges):
     return tokens
 
 
-def test_lookahead_makes_tokens_stable():
+def test_lookahead_makes_tokens_stable(monkeypatch):
     """Random merge lists: streams in small blocks give the tokens of the whole, and the bound holds."""
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 4)
     for seed in range(60):
         rng = random.Random(seed)
         known, merges = [b"a", b"b", b"c"], []
@@ -123,8 +168,8 @@ def test_lookahead_makes_tokens_stable():
             whole = plain_merge(data, merges)
             assert [t.pieces[i] for i in t.merged(data)] == whole
             size = rng.randint(1, 5)
-            parts = t.stream(data[i : i + size] for i in range(0, len(data), size))
-            assert [t.pieces[i] for part in parts for i in part] == whole
+            parts = t.stream(data[i : i + size].decode() for i in range(0, len(data), size))
+            assert [t.pieces[i] for i in np.frombuffer(b"".join(parts), "<u4")] == whole
             cut = rng.randint(0, len(data))
             end = 0
             for token in plain_merge(data[:cut], merges):

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lynceus import schemas
+from lynceus.functions.text import line_array
+from lynceus.scale import cut_lineage, join_lookup
 
 
 def finding_id() -> Column:
@@ -60,3 +62,66 @@ def new_findings(current: DataFrame, previous: DataFrame) -> DataFrame:
 def fixed_findings(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Findings of the previous scan that are gone."""
     return new_findings(previous, current)
+
+
+def _words(text: Column) -> Column:
+    """A text without the white space that formatters change."""
+    return F.btrim(F.regexp_replace(text, r"\s+", " "))
+
+
+def with_context(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings with ``context``, a hash of the lines before and after them without white space.
+
+    The findings are written once. No text is shuffled: of each line only its place and hash travel, and where the findings'
+    places measure small, only those of lines with findings.
+    Findings without a line, or whose file is not among ``files`` (path, code), have none.
+    """
+    findings = cut_lineage(findings, "found")
+    hashes = F.transform(line_array(F.col("code")), lambda line: F.xxhash64(F.translate(line, " \t\r", "")))
+    none = F.array(F.lit(None).cast("bigint"))
+    before, after = F.concat(none, "_all"), F.concat(F.slice("_all", 2, F.size("_all")), none)
+    lines = files.select(F.col("path").alias("file_path"), hashes.alias("_all"))
+    lines = lines.select("file_path", F.posexplode(F.zip_with(before, after, lambda a, b: F.xxhash64(a, b))).alias("_pos", "context"))
+    lines = lines.select("file_path", (F.col("_pos") + 1).alias("line_start"), "context")
+    place = ["file_path", "line_start"]
+    wanted = join_lookup(lines, findings.select(*place).distinct(), place, "left_semi")
+    one = wanted.groupBy(*place).agg(F.min("context").alias("context"))
+    return findings.join(one, place, "left").select(*findings.columns, "context")
+
+
+def compare_scans(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """Current findings with ``is_new``, told apart from moved ones; both sides have a ``context``.
+
+    A finding is known by its file, rule and snippet without regard to white space, not by its line. Several
+    that are alike so are paired first where their neighbouring lines are alike too, in line
+    order, then the rest in line order; what is left over is new. Groups are parts of one
+    file, whose size bounds them. Swap the sides to learn what was fixed. Repeated rows are one finding;
+    a finding without file or line is known by the rest.
+    """
+    alike = F.sha2(
+        F.to_json(F.struct(*[F.coalesce(c, F.lit("")) for c in ("file_path", "rule_id")], _words(F.col("vulnerable_code")).alias("code"))), 256
+    )
+    keyed = lambda df, *row: df.select(
+        *row, alike.alias("_alike"), F.coalesce("context", F.lit(0)).alias("_near"), F.col("line_start").alias("_line")
+    )
+    key = ["_alike", "_near", "_line"]
+    # both are read several times; what is compared are keys, without texts
+    rows = cut_lineage(keyed(current, F.struct(*current.columns).alias("_row")), "scan-now")
+    before = cut_lineage(keyed(previous).distinct(), "scan-before").withColumn("_paired", F.lit(False))
+    now = rows.select(*key).distinct().withColumn("_paired", F.lit(False))
+    for group in (["_alike", "_near"], ["_alike"]):
+        now, before = _paired(now, before, group), _paired(before, now, group)
+    flags = now.select(*[F.col(c).alias(f"_now{c}") for c in key], (~F.col("_paired")).alias("is_new"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_now{c}"))
+    return rows.join(flags, same).select("_row.*", "is_new")
+
+
+def _paired(ours: DataFrame, theirs: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``ours`` with ``_paired`` also where the n-th of a group without a partner meets the n-th of the other side."""
+    nth = F.row_number().over(Window.partitionBy(*group, "_paired").orderBy("_line", "_near")).alias("_nth")
+    on = [*group, "_paired", "_nth"]
+    other = theirs.select("*", nth).where(~F.col("_paired")).select(*on, F.lit(True).alias("_met"))
+    joined = ours.select("*", nth).join(other, on, "left")
+    return joined.select("_alike", "_near", "_line", (F.col("_paired") | F.col("_met").isNotNull()).alias("_paired"))

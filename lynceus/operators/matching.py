@@ -27,6 +27,8 @@ from lynceus.rules import secrets as secret_rules
 from lynceus.rules.model import FIRST_MATCH, SECRETS, Catalog, Rule
 
 BITS = 60
+# Any one character; a text may hold it.
+MARK = "\uffff"
 
 # Path parts that mark tests and examples.
 TEST_PATH = r"\.env\.example|test_|_test\.|fixture"
@@ -52,35 +54,31 @@ def needle_test(
     return " AND ".join(f"({t})" for t in tests) if tests else None
 
 
-def match_start_lines(code: Column, regex: str) -> Column:
-    """Numbers of the lines on which a whole-file pattern starts to match.
+def match_starts(code: Column, regex: str) -> Column:
+    """For line 0, 1, ... whether a whole-file pattern starts to match there; NULL where it matches nowhere.
 
-    The text is cut in front of each match; the line ends before a cut give its
-    line number. A line end put in front makes the numbers start at 1.
+    The text is cut in front of each match, rid of the mark, joined with the mark, and cut
+    into lines: the work grows with the text, whatever the number of matches. A line
+    end put in front makes the first line number 1.
     """
     flags, pattern = regex[: regex.index(")") + 1], regex[regex.index(")") + 1 :]
     pieces = F.split(F.concat(F.lit("\n"), code), f"{flags}(?={pattern})", -1)
-    ends = F.transform(
-        pieces, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
-    )
-    before = lambda n: F.aggregate(F.slice(ends, 1, n), F.lit(0), lambda a, b: a + b)
-    return F.when(
-        F.size(ends) > 1,
-        F.transform(F.sequence(F.lit(1), F.size(ends) - 1), before),
-    )
+    bare = F.transform(pieces, lambda p: F.replace(p, F.lit(MARK), F.lit("")))
+    lines = F.split(F.array_join(bare, MARK), "\n", -1)
+    return F.when(F.size(pieces) > 1, F.transform(lines, lambda line: F.contains(line, F.lit(MARK))))
 
 
 def _multiline_column(rule: Rule) -> str:
-    return f"_lines_{rule.rule_id}"
+    return f"_starts_{rule.rule_id}"
 
 
-def _match_lines(rule: Rule) -> Column:
-    """Lines on which a whole-file rule matches; most files only pay for a sign test.
+def _match_starts(rule: Rule) -> Column:
+    """Whether a whole-file rule matches, by line; most files only pay for a sign test.
 
     Needles without letters are looked up in the text as it is. The branches
     are nested, so the text is folded only where those are present.
     """
-    hits = match_start_lines(F.col("code"), rule.regex)
+    hits = match_starts(F.col("code"), rule.regex)
     signs = [g for g in rule.needles if not any(n.upper() != n for n in g)]
     words = [g for g in rule.needles if g not in signs]
     if words:
@@ -97,7 +95,7 @@ def _condition(rule: Rule, known: dict[str, str]) -> str:
     if rule.languages is not None:
         tests.append(f"language IN ({', '.join(map(sql_text, rule.languages))})")
     if rule.multiline:
-        tests.append(f"array_contains(`{_multiline_column(rule)}`, line_no)")
+        tests.append(f"get(`{_multiline_column(rule)}`, line_no)")
     else:
         needles = needle_test(rule.needles, "_low", known)
         if needles is not None:
@@ -113,7 +111,7 @@ def exploded_lines(files: DataFrame, catalog: Catalog, keep: list[str]) -> DataF
     whole_file = [r for r in catalog.rules if r.multiline]
     names = [_multiline_column(r) for r in whole_file]
     if whole_file:
-        marks = [_match_lines(r).alias(_multiline_column(r)) for r in whole_file]
+        marks = [_match_starts(r).alias(_multiline_column(r)) for r in whole_file]
         files = files.select(*keep, "code", *marks)
     return files.select(
         *keep, *names, F.posexplode(line_array(F.col("code"))).alias("_pos", "line")

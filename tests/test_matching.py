@@ -207,3 +207,39 @@ def test_long_lines_cost_linear_time(spark):
     found = scan(files, ["sast", "secrets", "ai_code"], "info")
     assert {r["rule_id"] for r in found.collect()} == set()
     assert time.time() - started < 30
+
+
+def test_many_whole_file_matches_cost_linear_time(spark):
+    import time
+
+    route = "@app.delete('/x')\nasync def drop(id):\n"
+    code = "\uffff first\n" + route * 10_000
+    started = time.time()
+    found = scan(files_of(spark, code), ["ai_code"], "info").where("rule_id = 'G07'").select("line_start").collect()
+    assert sorted(r[0] for r in found) == list(range(2, 20_002, 2))
+    assert time.time() - started < 30
+
+
+def test_moved_findings_are_known(spark):
+    from lynceus.operators.findings import compare_scans, with_context
+
+    def state(code):
+        files = files_of(spark, code)
+        return with_context(scan(files, ["sast"], "info"), files)
+
+    def news(after, before):
+        return sorted((r["line_start"], r["rule_id"]) for r in compare_scans(state(after), state(before)).where("is_new").collect())
+
+    old = "a\neval(x)\nb\nc\neval(x)\nd\n"
+    assert news("top\n" + old, old) == []
+    assert news("a\n  eval(x)\nz\nc\neval(x)\nd\n", old) == []  # a neighbour and the white space changed
+    # a third one alike, in the middle: the two with known neighbours are the old ones
+    assert news("a\neval(x)\nb\nq\neval(x)\nr\nc\neval(x)\nd\n", old) == [(5, "S05")]
+    assert news("a\nb\nc\neval(x)\nd\n", old) == []
+    assert news(old, "a\nb\nc\neval(x)\nd\n") == [(2, "S05")]  # the sides swapped: fixed
+    assert news(old, "") == [(2, "S05"), (5, "S05")]
+    twice = state(old).unionAll(state(old))
+    assert compare_scans(twice, state(old)).where("is_new").count() == 0
+    assert compare_scans(twice, state(old)).count() == 4
+    odd = state(old).withColumns({"file_path": F.lit(None).cast("string"), "line_start": F.lit(None).cast("int")})
+    assert compare_scans(odd, odd).where("is_new").count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lynceus.functions.severity import at_least, rank_order
 from lynceus.functions.text import to_lines, trimmed
 from lynceus.operators.entropy import random_literals
-from lynceus.operators.findings import fixed_findings, new_findings
+from lynceus.operators.findings import compare_scans, fixed_findings, new_findings, with_context
 from lynceus.operators.matching import match, without_tests
 from lynceus.operators.rule_tables import match_table
 from lynceus.plans.scan import scan
@@ -362,3 +362,21 @@ def new(spark, sf):
 def fixed(spark, sf):
     before, after = two_scans(spark, sf)
     return fixed_findings(after, before).select("file_path", "line_start", "rule_id")
+
+
+INSERTED = "ready = eval(given_by_caller)"
+
+
+@query(
+    "compared_scans",
+    f"""WITH old AS ({lines_sql()}),
+      lines AS (SELECT path, line_no, line FROM old UNION ALL SELECT DISTINCT path, 0, '{INSERTED}' FROM old)
+      SELECT path AS file_path, line_no + 1 AS line_start, rule_id, line_no = 0 AS is_new FROM ({every_match(SAST)})""",
+)
+def compared(spark, sf):
+    """A line put in front moves all others; only the finding on it is new."""
+    files = corpus(spark, sf).where("code <> ''")
+    later = files.withColumn("code", F.concat(F.lit(INSERTED + "\n"), "code"))
+    rest = dict(engines=["sast"], min_severity="info", detected_at=NOW)
+    before, after = (with_context(scan(f, **rest), f) for f in (files, later))
+    return compare_scans(after, before).select("file_path", "line_start", "rule_id", "is_new")

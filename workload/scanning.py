@@ -370,7 +370,7 @@ INSERTED = "ready = eval(given_by_caller)"
 @query(
     "compared_scans",
     f"""WITH old AS ({lines_sql()}),
-      lines AS (SELECT path, line_no, line FROM old UNION ALL SELECT DISTINCT path, 0, '{INSERTED}' FROM old)
+      lines AS (SELECT path, line_no, line FROM old UNION ALL SELECT path, 0, '{INSERTED}' FROM ({corpus_sql()}) WHERE code <> '')
       SELECT path AS file_path, line_no + 1 AS line_start, rule_id, line_no = 0 AS is_new FROM ({every_match(SAST)})""",
 )
 def compared(spark, sf):

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from lynceus.functions.times import micros
 from lynceus.operators.throttle import (
@@ -20,6 +21,14 @@ from lynceus.operators.throttle import (
     state_after,
 )
 
+# Types whose JSON text gives the same value back.
+CARRIED = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp", "timestamp_ntz")
+EXACT = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timeZone": "UTC",
+}
+
 
 def throttle_stream(
     requests: DataFrame,
@@ -30,11 +39,12 @@ def throttle_stream(
     window_micros: int = WINDOW_MICROS,
     expire_ms: int | None = None,
 ) -> DataFrame:
-    """Every request with ``allowed``, decided in the order of its micro-batch.
+    """Every request, with all its columns and ``allowed``, decided in the order of its micro-batch.
 
     A micro-batch holds later requests than the one before; a late request is
-    decided when it arrives. Only times and ids enter the state function, and
-    the state is two numbers per key. ``expire_ms`` drops keys idle for that
+    decided when it arrives. The state function sees a request's time and id, its other columns as
+    one JSON text, and the state is two numbers per key. Other than plain columns (nested, binary, interval ones) are refused by name; a
+    column named ``allowed`` is replaced. ``expire_ms`` drops keys idle for that
     long of processing time, which must cover the window. It suits queries that run on: one that
     ends with its input would wait for timeouts.
     Requests without a key share one window with those of the unnamed client, as in batch.
@@ -42,10 +52,14 @@ def throttle_stream(
     window_ms = -(-window_micros // 1000)
     if expire_ms is not None and expire_ms < window_ms:
         raise ValueError(f"expire_ms must be at least the window of {window_ms} ms")
+    rest = [f for f in requests.schema.fields if f.name not in (request_id, "allowed")]
+    if bad := [f.name for f in rest if f.dataType.simpleString().split("(")[0] not in CARRIED]:
+        raise ValueError(f"columns {bad} can not be carried through the state function")
     timed = requests.select(
         F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)).alias("key"),
         micros(F.col(ts)).alias("t"),
         F.col(request_id).alias("id"),
+        F.to_json(F.struct(*[F.col(f.name) for f in rest]), EXACT).alias("rest"),
     )
     id_type = timed.schema["id"].dataType.simpleString()
 
@@ -63,19 +77,16 @@ def throttle_stream(
         if expire_ms is not None:
             state.setTimeoutDuration(expire_ms)
         yield pd.DataFrame(
-            {"key": group[0], "id": pdf["id"], "t": pdf["t"], "allowed": allowed}
+            {"id": pdf["id"], "rest": pdf["rest"], "allowed": allowed}
         )
 
     decided = timed.groupBy("key").applyInPandasWithState(
         run,
-        f"key string, id {id_type}, t bigint, allowed boolean",
+        f"id {id_type}, rest string, allowed boolean",
         "start bigint, used bigint",
         "append",
         GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
-    return decided.select(
-        F.col("key").cast(requests.schema[key].dataType).alias(key),
-        F.col("id").alias(request_id),
-        F.timestamp_micros("t").alias(ts),
-        "allowed",
-    )
+    back = decided.select("id", F.from_json("rest", StructType(rest), EXACT).alias("rest"), "allowed")
+    columns = [F.col("id").alias(c) if c == request_id else F.col("rest").getField(c).alias(c) for c in requests.columns if c != "allowed"]
+    return back.select(*columns, "allowed")

@@ -137,6 +137,11 @@ def test_throttle_admits_at_most_the_limit_per_minute(spark):
 
 def test_throttle_stream_equals_batch(spark):
     rows, df = requests(spark, seed=2)
+    df = df.selectExpr(
+        "*", "IF(id % 3 = 0, NULL, 9007199254740993 + id) AS big", "IF(id % 5 = 0, DOUBLE('NaN'), id / 7) AS share",
+        "CAST(id AS DECIMAL(20, 3)) / 7 AS part", "DATE'2001-02-03' + CAST(id AS INT) AS day", "ts + INTERVAL 1 MICROSECOND AS seen",
+        "TIMESTAMP_NTZ'2001-01-01 00:00:00.000001' AS local", "concat('\"é\\n{', id) AS note", "id % 2 = 0 AS even",
+    )
     src = work_dir(spark, "src")
     cut = F.lit(T0 + timedelta(hours=1))
     df.where(F.col("ts") < cut).coalesce(1).write.parquet(f"{src}/a")
@@ -151,8 +156,12 @@ def test_throttle_stream_equals_batch(spark):
         .option("checkpointLocation", f"{src}-cp").trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    got = {r["id"]: r["allowed"] for r in spark.read.parquet(f"{src}-out").collect()}
-    assert got == brute(rows, 3, 60)
+    written = spark.read.parquet(f"{src}-out")
+    assert {r["id"]: r["allowed"] for r in written.collect()} == brute(rows, 3, 60)
+    assert out.columns == [*df.columns, "allowed"] and out.drop("allowed").dtypes == df.dtypes
+    assert written.drop("allowed").exceptAll(df).count() == df.exceptAll(written.drop("allowed")).count() == 0
+    with pytest.raises(ValueError, match="nested"):
+        throttle_stream(stream.withColumn("nested", F.struct("id")), "ip", "ts", "id")
 
 
 def burst_ends(rows, gap):

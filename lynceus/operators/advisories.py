@@ -173,7 +173,7 @@ def affected(
 def sca_findings(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw findings, one per dependency and advisory. Lines are 0, there is no weakness id."""
     coordinate = F.concat_ws("@", "name", "version")
-    fallback = F.concat(F.lit("Vulnerability in "), coordinate)
+    fallback = F.concat(F.lit("advisory for "), coordinate)
     return hits.select(
         *keep,
         F.lit(SCA).alias("engine"),
@@ -183,7 +183,7 @@ def sca_findings(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "severity",
         rank_of(F.col("severity"), 2).alias("sev_rank"),
         F.format_string(
-            "Vulnerable dependency: %s v%s — %s",
+            "Dependency %s %s: %s",
             "name",
             "version",
             F.coalesce("summary", fallback),

@@ -183,7 +183,7 @@ def diagnostics(findings: DataFrame, min_severity: str = "medium", source: str =
         .otherwise("warning")
     )
     message = F.format_string(
-        "[%s] %s\n\n%s\n\nFix Recommendation:\n%s",
+        "[%s] %s\n\n%s\n\nSuggested fix:\n%s",
         label(F.col("engine")),
         "title",
         empty_if_none(F.col("explanation")),

@@ -42,8 +42,8 @@ def text_report(findings: DataFrame) -> DataFrame:
         place,
         cve,
         F.concat(F.lit("\n  "), F.col("vulnerable_code"), F.lit("\n")),
-        section("What happened", "explanation"),
-        section("Fix", "fixed_code"),
+        section("Why it matters", "explanation"),
+        section("How to fix it", "fixed_code"),
         F.lit(SEPARATOR),
     )
     return findings.select(
@@ -54,10 +54,10 @@ def text_report(findings: DataFrame) -> DataFrame:
 def summary_line(summary: DataFrame) -> DataFrame:
     """Closing line of a text report, from :func:`lynceus.operators.reports.severity_totals`."""
     none = F.format_string(
-        "✓ No vulnerabilities found!\n  Scanned %s file(s)", F.col("files").cast("string")
+        "Nothing found in %s file(s)", F.col("files").cast("string")
     )
     counts = F.format_string(
-        "Found %s issue(s) (%s critical · %s high · %s medium · %s low) scanning %s file(s)",
+        "%s finding(s) (%s critical, %s high, %s medium, %s low) in %s file(s)",
         *[F.col(c).cast("string") for c in ("total", "critical", "high", "medium", "low", "files")],
     )
     return summary.select(F.when(F.col("total") == 0, none).otherwise(counts).alias("value"))

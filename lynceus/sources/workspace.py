@@ -36,7 +36,7 @@ def split_oversize(
     rejects = files.where(size > max_bytes).select(
         "path",
         size.alias("bytes"),
-        F.lit(f"Request body exceeds the {max_bytes // 1024} KiB limit").alias("reason"),
+        F.lit(f"text of more than {max_bytes // 1024} KiB").alias("reason"),
     )
     return files.where(size <= max_bytes), rejects
 
@@ -56,7 +56,7 @@ def split_oversize_batches(
         batch,
         "bytes",
         "files",
-        F.lit(f"Workspace request body exceeds the {max_bytes / 2**20:g} MiB limit").alias("reason"),
+        F.lit(f"workspace of more than {max_bytes / 2**20:g} MiB").alias("reason"),
     )
     kept = join_lookup(files, rejects.select(batch), [batch], "left_anti")
     return kept, rejects

@@ -153,7 +153,7 @@ def test_sca_findings_and_coverage(spark):
     deps, adv = deps_and_advisories(spark)
     found = to_findings(sca_findings(affected(deps, adv)))
     row = found.where("file_path = 'f0' AND rule_id = 'GHSA-2'").first()
-    assert row["title"] == "Vulnerable dependency: lodash v4.17.0 — Vulnerability in lodash@4.17.0"
+    assert row["title"] == "Dependency lodash 4.17.0: advisory for lodash@4.17.0"
     assert row["vulnerable_code"] == "lodash@4.17.0 (npm)"
     assert row["description"] == " (ID: GHSA-2)"
     assert (row["line_start"], row["cwe_id"], row["sev_rank"]) == (0, None, 2)

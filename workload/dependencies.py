@@ -220,7 +220,7 @@ def affected_version_rows(spark, sf):
 @query(
     "sca_findings",
     f"""WITH {HITS_SQL} SELECT file_path, advisory_id AS rule_id, cve_id, severity,
-        concat('Vulnerable dependency: ', name, ' v', version, ' — ', coalesce(summary, concat('Vulnerability in ', name, '@', version))) AS title,
+        concat('Dependency ', name, ' ', version, ': ', coalesce(summary, concat('advisory for ', name, '@', version))) AS title,
         concat(name, '@', version, ' (', ecosystem, ')') AS vulnerable_code,
         concat(coalesce(summary, ''), ' (ID: ', advisory_id, ')') AS description,
         CAST(0 AS BIGINT) AS line_start FROM hits""",

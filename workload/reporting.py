@@ -156,9 +156,9 @@ def severity_totals(spark, sf):
 
 @query(
     "summary_line",
-    f"""WITH {findings_cte('documents')} SELECT concat('Found ', CAST(count(*) AS STRING), ' issue(s) (', CAST(count(*) FILTER (WHERE severity = 'critical') AS STRING), ' critical · ',
-        CAST(count(*) FILTER (WHERE severity = 'high') AS STRING), ' high · ', CAST(count(*) FILTER (WHERE severity = 'medium') AS STRING), ' medium · ',
-        CAST(count(*) FILTER (WHERE severity = 'low') AS STRING), ' low) scanning ', CAST((SELECT count(*) FROM documents) AS STRING), ' file(s)') AS value FROM found""",
+    f"""WITH {findings_cte('documents')} SELECT concat(CAST(count(*) AS STRING), ' finding(s) (', CAST(count(*) FILTER (WHERE severity = 'critical') AS STRING), ' critical, ',
+        CAST(count(*) FILTER (WHERE severity = 'high') AS STRING), ' high, ', CAST(count(*) FILTER (WHERE severity = 'medium') AS STRING), ' medium, ',
+        CAST(count(*) FILTER (WHERE severity = 'low') AS STRING), ' low) in ', CAST((SELECT count(*) FROM documents) AS STRING), ' file(s)') AS value FROM found""",
 )
 def summary_line(spark, sf):
     totals = R.severity_totals(line_scan(spark, sf, "documents"), corpus(spark, sf, "documents"))
@@ -255,7 +255,7 @@ def workspace_files(spark, sf):
 
 DIAGNOSTICS = f"""SELECT coalesce(file_path, 'unknown') AS path, greatest(line_start - 1, 0) AS line, CAST(0 AS BIGINT) AS start_column, CAST(500 AS BIGINT) AS end_column,
    CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'info' THEN 'information' ELSE 'warning' END AS level,
-   concat('[', upper(engine), '] ', title, chr(10), chr(10), chr(10), chr(10), 'Fix Recommendation:', chr(10)) AS message, 'lynceus' AS source, cve_id AS code, rule_id
+   concat('[', upper(engine), '] ', title, chr(10), chr(10), chr(10), chr(10), 'Suggested fix:', chr(10)) AS message, 'lynceus' AS source, cve_id AS code, rule_id
    FROM ({FOUND_SQL}) WHERE {ROW_RANK} >= {{}}"""
 
 
@@ -471,7 +471,7 @@ def scan_events(spark, sf):
     return events.groupBy("scan_id", F.get_json_object("event", "$.type").alias("type")).agg(F.count("*").alias("n"))
 
 
-@query("error_events", "SELECT concat('documents/', CAST(doc_id AS STRING), '.txt') AS scan_id, 'error' AS type, 'Request body exceeds the 8 KiB limit' AS data FROM documents WHERE strlen(text) > 8192")
+@query("error_events", "SELECT concat('documents/', CAST(doc_id AS STRING), '.txt') AS scan_id, 'error' AS type, 'text of more than 8 KiB' AS data FROM documents WHERE strlen(text) > 8192")
 def error_events(spark, sf):
     _, rejects = workspace.split_oversize(corpus(spark, sf, "documents"), 8192)
     events = E.error_events(rejects.select(F.col("path").alias("scan_id"), "reason"))

@@ -378,3 +378,34 @@ def test_requirement_lines(spark):
     code = "a==1.0\nreq[sec, x] >= 2.1,<3 ; python_version > '3'\nz.y-w_v===4.0.dev1 # note\n-e git+x==1\nb~=5\nplain\n# c==1\nd != 6.0\n"
     got = spark.createDataFrame([(code,)], "code string").select(M.requirements(F.col("code")).alias("p")).first()["p"]
     assert [tuple(x)[:2] for x in got] == [("a", "1.0"), ("req", "2.1"), ("z.y-w_v", "4.0.dev1"), ("b", "5"), ("d", "6.0")]
+
+
+def test_larger_lookups_are_never_broadcast_on_an_estimate(spark, tmp_path):
+    from lynceus.scale import join_lookup
+
+    # rows that compress to a small file, as written keys and ranges do
+    spark.range(20000).selectExpr("id % 7 AS k", "repeat('x', 50) AS text").write.parquet(str(tmp_path / "lookup"))
+    lookup = spark.read.parquet(str(tmp_path / "lookup"))
+    joined = join_lookup(spark.range(50).selectExpr("id AS k", "id AS n"), lookup, ["k"], "left", max_bytes=1000)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert joined.count() == 20000 + 43
+
+
+def test_sweep_finds_a_pair_once_and_carries_the_advisory(spark):
+    from lynceus.operators.advisories import OPEN_END, swept
+
+    ranges = spark.createDataFrame(
+        [
+            ("npm", "p", "A", [("", "5", False, None), ("2", "3", False, None), ("2", OPEN_END, False, None), ("4", "4", True, "4"), (None, None, True, "odd")], "high"),
+            ("npm", "p", "B", [("1", "1", True, "1")], "low"),
+            ("npm", "p", None, [("", OPEN_END, False, None)], "low"),
+        ],
+        "ecosystem string, name string, advisory_id string, ranges array<struct<lo:string,hi:string,closed:boolean,exact:string>>, severity string",
+    )
+    rows = [("npm", "p", v, v) for v in "123456789"] + [("npm", "p", "odd", None), ("npm", "p", "other", None), ("npm", "q", "1", "1")]
+    versions = spark.createDataFrame(rows, "ecosystem string, name string, version string, key string")
+    got = swept(versions, ranges, 2)
+    assert sorted(map(tuple, got.select("version", "advisory_id", "severity").collect())) == sorted(
+        [(v, "A", "high") for v in [*"123456789", "odd"]] + [("1", "B", "low")]
+    )

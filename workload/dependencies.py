@@ -9,7 +9,7 @@ from lynceus.operators import manifests as M
 from lynceus.operators.advisories import affected, affected_versions, coverage, sca_findings
 from lynceus.operators.findings import to_findings
 from lynceus.plans.scan import as_files, scan
-from workload.base import NOW, derived, query, quoted, table
+from workload.base import NOW, dealt, query, quoted, table
 
 # Dependencies of the manifest that each part gives: (name, version) expressions.
 DEPS = [
@@ -77,10 +77,8 @@ def path(name: str) -> str:
 
 
 def manifest_files(spark, sf, kind, name=None):
-    rows = lambda: table(spark, sf, "part").selectExpr(
-        f"{path(name or NAMES[kind])} AS path", f"{text(kind)} AS code"
-    )
-    return as_files(derived(spark, sf, f"manifest-{kind}-{name or 'named'}", rows))
+    rows = dealt(spark, sf, "part", ("p_partkey", "p_size"))
+    return as_files(rows.selectExpr(f"{path(name or NAMES[kind])} AS path", f"{text(kind)} AS code"))
 
 
 def expected(kind: str, name: str | None = None) -> str:

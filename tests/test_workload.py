@@ -25,3 +25,11 @@ def test_texts_of_code_are_neither_moved_nor_written(spark, tables, tmp_path):
             kinds = {k for _, k in spark.read.parquet(folder).dtypes}
             assert "string" not in kinds
     assert files.count() == tables("lineitem").count()
+
+
+def test_versions_of_all_parts_are_keyed_by_many_tasks(spark):
+    from workload.dependencies import version_grammars
+
+    sf = "/root/testdata/sf0.001"
+    assert len(base.table(spark, sf, "part").inputFiles()) == 1
+    assert len(version_grammars(spark, sf).inputFiles()) > 1

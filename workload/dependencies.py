@@ -297,7 +297,8 @@ def version_grammars(spark, sf):
     from pyspark.sql import Window
 
     each = F.explode(F.array(*[F.struct(F.lit(eco).alias("ecosystem"), F.lit(v).alias("form")) for eco, _, _, v in ORDER_ROWS]))
-    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("bigint").alias("n"), each.alias("x")).select("n", "x.*")
+    parts = dealt(spark, sf, "part", ("p_partkey",))
+    rows = parts.select(F.col("p_partkey").cast("bigint").alias("n"), each.alias("x")).select("n", "x.*")
     rows = rows.withColumn("version", F.replace("form", F.lit("{n}"), F.col("n").cast("string")))
     keyed = rows.select("ecosystem", "n", "version", version_key(F.col("version"), F.col("ecosystem")).alias("key"))
     # a window holds the few versions of one list

@@ -409,3 +409,16 @@ def test_sweep_finds_a_pair_once_and_carries_the_advisory(spark):
     assert sorted(map(tuple, got.select("version", "advisory_id", "severity").collect())) == sorted(
         [(v, "A", "high") for v in [*"123456789", "odd"]] + [("1", "B", "low")]
     )
+
+
+def test_rows_without_a_key_are_spread(spark):
+    from lynceus.scale import join_lookup
+
+    left = spark.range(2000).selectExpr("CASE WHEN id % 2 = 0 THEN id END AS k", "id AS n")
+    right = spark.createDataFrame([(4, "a"), (4, "b"), (None, "c")], "k bigint, t string")
+    joined = join_lookup(left, right, ["k"], "left", max_bytes=0)
+    assert joined.columns == ["k", "n", "t"]
+    assert sorted((r.n, r.t) for r in joined.where("t IS NOT NULL").collect()) == [(4, "a"), (4, "b")]
+    assert joined.count() == 2001
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" in plan and "_spread" in plan.split("hashpartitioning(k")[1].split(")")[0], plan

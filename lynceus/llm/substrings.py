@@ -74,6 +74,14 @@ def _block_batch(batch: pa.RecordBatch, parts: list) -> pa.RecordBatch:
     )
 
 
+def run_arrays(runs: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First windows and sizes of each row's runs, as views of the batch; a batch may hold a million runs, too many for Python objects."""
+    starts, sizes = (runs.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "size"))
+    bounds = runs.offsets.to_numpy()
+    for there, a, b in zip(runs.is_valid().to_numpy(zero_copy_only=False).tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+        yield (starts[a:b], sizes[a:b]) if there else (starts[:0], sizes[:0])
+
+
 def _windows(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task()
@@ -88,10 +96,10 @@ def _windows(window: int):
                     ["doc", "row", "hash", "start"],
                 )
 
-            spans = batch.column(3).to_pylist()
-            for i, text in enumerate(batch.column(2).to_pylist()):
+            spans = run_arrays(batch.column(3))
+            for i, (text, (starts, sizes)) in enumerate(zip(batch.column(2).to_pylist(), spans)):
                 whole = window_hashes(word_hashes(split_words(text)), window)
-                at = np.concatenate([np.arange(s["start"], s["start"] + s["size"]) for s in spans[i]])
+                at = np.concatenate([np.arange(a, a + n) for a, n in zip(starts.tolist(), sizes.tolist())])
                 parts.append((np.full(len(at), i), whole[at], at))
                 held += len(at)
                 if held > OUT_ROWS:
@@ -127,6 +135,25 @@ def removed_words(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
     return gone
 
 
+KEPT = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
+
+
+def cut_texts(window: int):
+    def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        out = []
+        for text, (starts, sizes) in zip(texts, run_arrays(runs)):
+            words = split_words(text.as_py())
+            kept = words
+            if len(starts):
+                gone = removed_words(len(words), factors(starts, sizes, window))
+                kept = [w for w, g in zip(words, gone.tolist()) if not g]
+            joined = b" ".join(kept)
+            out.append((len(words), len(words) - len(kept), joined.decode(), hashlib.sha256(joined).hexdigest()))
+        return pa.array([dict(zip(KEPT.names, row)) for row in out], KEPT)
+
+    return cut
+
+
 def duplicate_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
 ) -> DataFrame:
@@ -190,21 +217,6 @@ def remove_spans(
     docs = docs.drop(out_col)
     found = spans.select(F.col("span_id").alias(of), F.col("span_row").alias(row), F.col("found").alias(runs_of))
     same = F.equal_null(F.col(id_col), F.col(of)) & (row_key(F.col(text_col)) == F.col(row))
-    kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
-
-    def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
-        out = []
-        for text, found in zip(texts.to_pylist(), runs.to_pylist()):
-            words = split_words(text)
-            kept = words
-            if found:
-                starts, sizes = (np.array([f[c] for f in found]) for c in ("start", "size"))
-                gone = removed_words(len(words), factors(starts, sizes, window))
-                kept = [w for w, g in zip(words, gone.tolist()) if not g]
-            joined = b" ".join(kept)
-            out.append((len(words), len(words) - len(kept), joined.decode(), hashlib.sha256(joined).hexdigest()))
-        return pa.array([dict(zip(kind.names, row)) for row in out], kind)
-
     ddl = "struct<n_words:bigint,n_removed:bigint,kept:string,kept_sha256:string>"
-    made = F.arrow_udf(cut, ddl).asNondeterministic()(F.col(text_col).cast("string"), F.col(runs_of))
+    made = F.arrow_udf(cut_texts(window), ddl).asNondeterministic()(F.col(text_col).cast("string"), F.col(runs_of))
     return docs.join(found, same, "left").withColumn(out_col, made).drop(of, row, runs_of)

@@ -18,7 +18,7 @@ from lynceus.plans.advisory_sync import sync_advisories
 from lynceus.scale import work_dir
 from lynceus.sources.feeds import read_analyzer, read_nvd, read_osv
 from lynceus.sources.sinks import write_version
-from workload.base import NOW, NOW_SQL, derived, query, table
+from workload.base import NOW, NOW_SQL, derived, in_parts, query, table
 
 SCORE = """CASE c_custkey % 7 WHEN 0 THEN 'CVSS:3.1/AV:N/AC:L' WHEN 1 THEN '' WHEN 2 THEN concat(CAST(c_custkey % 11 AS STRING), '.0/x')
  ELSE concat(CAST(c_custkey % 10 AS STRING), '.', CAST(c_custkey % 9 AS STRING)) END"""
@@ -68,7 +68,7 @@ NVD_SQL = f"{NVD_ROW_SQL.format(i=0)} UNION ALL {NVD_ROW_SQL.format(i=1)}"
 
 def nvd_pages(spark, sf):
     item = ", ".join(NVD_ITEM.format(i=i) for i in (0, 1))
-    return table(spark, sf, "customer").selectExpr(
+    return in_parts(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")).selectExpr(
         f"array({item}) AS vulnerabilities", "lpad(CAST(c_custkey AS STRING), 12, '0') AS feed_pos"
     )
 
@@ -117,7 +117,7 @@ SEEDED = f"({', '.join(repr(p) for _, p in SEEDS)})"
 
 
 def osv_records(spark, sf):
-    return table(spark, sf, "orders").selectExpr(*OSV_COLUMNS)
+    return in_parts(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).selectExpr(*OSV_COLUMNS)
 
 
 @query(

@@ -40,3 +40,17 @@ def test_repeated_findings_are_one(spark):
     once = compare_scans(now, before.unionAll(before))
     rows = lambda df: sorted((r["line_start"], r["is_new"]) for r in df.collect())
     assert rows(twice) == sorted(rows(once) * 2) and sum(new for _, new in rows(once)) == 2
+
+
+def test_new_findings_keep_no_table_of_ids(spark):
+    """An anti join needs no distinct ids, for which each task once kept all of its ids in a hash table."""
+    from lynceus.operators.findings import fixed_findings, new_findings
+
+    now, before = (scan(files_of(spark, c), ["sast"], "info") for c in (CODE, "x = eval(a)"))
+    twice = before.unionAll(before)
+    lines = lambda df: sorted(r["line_start"] for r in df.collect())
+    assert lines(new_findings(now, twice)) == [3, 4, 6] and lines(fixed_findings(now, twice)) == []
+    out = io.StringIO()
+    with redirect_stdout(out):
+        new_findings(now, twice).explain()
+    assert "HashAggregate" not in out.getvalue()

@@ -422,3 +422,20 @@ def test_rows_without_a_key_are_spread(spark):
     assert joined.count() == 2001
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k" in plan and "_spread" in plan.split("hashpartitioning(k")[1].split(")")[0], plan
+
+
+def test_sweep_takes_rows_with_further_columns(spark):
+    """Repeated dependencies are matched as they are, so that no pairs are joined with them afterwards; ranges of all block sizes."""
+    from lynceus.operators.advisories import swept
+
+    n = 600
+    rows = spark.range(n).selectExpr("'npm' AS ecosystem", "'p' AS name", "lpad(CAST(id % 50 AS STRING), 2, '0') AS version", "id AS a", "lpad(CAST(id % 50 AS STRING), 2, '0') AS key")
+    ranges = spark.range(400).selectExpr(
+        "'npm' AS ecosystem", "'p' AS name", "CAST(id AS STRING) AS advisory_id",
+        "array(named_struct('lo', '', 'hi', lpad(CAST(id % 50 AS STRING), 2, '0'), 'closed', false, 'exact', CAST(NULL AS STRING))) AS ranges",
+    )
+    got = swept(rows, ranges, 1)
+    assert got.columns == ["ecosystem", "name", "version", "a", "advisory_id"]
+    pairs = {(r.a, r.advisory_id) for r in got.collect()}
+    assert pairs == {(a, str(i)) for a in range(n) for i in range(400) if a % 50 < i % 50}
+    assert got.count() == len(pairs) > 100_000

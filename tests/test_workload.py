@@ -33,3 +33,17 @@ def test_versions_of_all_parts_are_keyed_by_many_tasks(spark):
     sf = "/root/testdata/sf0.001"
     assert len(base.table(spark, sf, "part").inputFiles()) == 1
     assert len(version_grammars(spark, sf).inputFiles()) > 1
+
+
+def test_streamed_code_is_not_written(spark):
+    """The stream picks up rows of the table; neither texts nor what the query does not read are written."""
+    from pathlib import Path
+
+    from workload.registry import QUERIES
+
+    base_dir = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(base_dir.iterdir())
+    found = QUERIES["scan_stream"](spark, "/root/testdata/sf0.001")
+    assert found.count() > 1000
+    folders = {f.parent for new in set(base_dir.iterdir()) - before for f in new.rglob("*.parquet")}
+    assert folders and all({"code", "vulnerable_code"}.isdisjoint(spark.read.parquet(str(f)).columns) for f in folders)

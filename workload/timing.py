@@ -18,7 +18,7 @@ from lynceus.streaming.events import catch_up, write_events, write_finding_event
 from lynceus.streaming.events import feed as feed_of
 from lynceus.streaming.scan import read_file_stream, scan_stream, start_scan_job
 from lynceus.streaming.throttle import throttle_stream
-from workload.base import NOW, corpus, corpus_sql, query, table
+from workload.base import CODE_COLUMNS, NOW, code_files, corpus, corpus_sql, dealt_stream, query, table
 from workload.rules_sql import SNIPPET, findings_cte
 from workload.scanning import LINE_ENGINES
 
@@ -138,9 +138,10 @@ def file_stream(spark, sf, name: str) -> DataFrame:
 
 @query("scan_stream", f"WITH {findings_cte()} SELECT engine, rule_id, path AS file_path, line_no AS line_start FROM found")
 def scanned_stream(spark, sf):
-    """Findings of arriving files; equal to the batch scan."""
-    got = scan_stream(file_stream(spark, sf, "code"), LINE_ENGINES, "info", detected_at=NOW)
-    return run_to_table(got, "scan").select("engine", "rule_id", "file_path", "line_start")
+    """Findings of arriving files, made of the rows as they arrive; equal to the batch scan."""
+    files = code_files(dealt_stream(spark, sf, "lineitem", CODE_COLUMNS))
+    got = scan_stream(files, LINE_ENGINES, "info", detected_at=NOW)
+    return run_to_table(got.select("engine", "rule_id", "file_path", "line_start"), "scan")
 
 
 FEED_RULES = f"WITH {findings_cte('documents')} SELECT 'finding' AS type, rule_id, count(*) AS n, true AS numbered FROM found GROUP BY rule_id"

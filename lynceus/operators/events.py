@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lynceus.functions.text import sql_map
 from lynceus.rules.model import ENGINE_LABELS, parse_engines
-from lynceus.scale import fits_broadcast, numbered
+from lynceus.scale import cut_lineage, fits_broadcast, numbered
 
 # Event types, messages and the time finished events stay replayable.
 PROGRESS, FINDING, COMPLETE, ERROR = "progress", "finding", "complete", "error"
@@ -76,9 +76,10 @@ def numbered_in_scan(events: DataFrame, by: Sequence[str], out: str = "seq") ->
     """``events`` with a running number from 1 within their scan, in the order of ``by``.
 
     All events are numbered in one order by scan, over range partitions, so no task holds a scan; a scan's
-    number starts behind those before it. Rows alike in all of ``by`` get different numbers.
+    number starts behind those before it. Rows alike in all of ``by`` get different numbers. The events are
+    written once, as the range partitions are drawn from a sample, for which a scan would run a second time.
     """
-    order = numbered(events, ["scan_id", *by], "_at", "event-order")
+    order = numbered(cut_lineage(events, "events"), ["scan_id", *by], "_at", "event-order")
     first = order.groupBy(F.col("scan_id").alias("_scan")).agg(F.min("_at").alias("_first"))
     first = F.broadcast(first) if fits_broadcast(first) else first
     own = order.join(first, F.equal_null("scan_id", "_scan"))

@@ -265,3 +265,17 @@ def test_event_numbers(spark, tmp_path):
     assert sorted(r.seq for r in spark.table("followed").collect()) == sorted(r.seq for r in written if r.scan_id == "s0" and r.seq > middle)
     with pytest.raises(ValueError):
         finding_events(found)
+
+
+def test_numbering_makes_its_events_once(spark):
+    """Range partitions are drawn from a sample; what gives the events, such as a scan, is not run again for it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        made.add(1)
+        return text
+
+    rows = spark.range(300).select(F.lit("s").alias("scan_id"), F.udf(count, "string")(F.concat(F.lit("f"), "id")).alias("finding_id"))
+    got = E.numbered_in_scan(rows, ["finding_id"]).collect()
+    assert [r.seq for r in sorted(got, key=lambda r: r.finding_id)] == list(range(1, 301))
+    assert made.value == 300

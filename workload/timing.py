@@ -144,6 +144,10 @@ def scanned_stream(spark, sf):
     return run_to_table(got.select("engine", "rule_id", "file_path", "line_start"), "scan")
 
 
+# Micro-batches of the event feed, where the files are so many.
+MICRO_BATCHES = 3
+# Texts of one file, so that a micro-batch has files for all cores.
+FILE_RECORDS = 5_000
 FEED_RULES = f"WITH {findings_cte('documents')} SELECT 'finding' AS type, rule_id, count(*) AS n, true AS numbered FROM found GROUP BY rule_id"
 
 
@@ -152,8 +156,10 @@ def event_feed(spark, sf):
     """Finding events of a stream of several micro-batches; a scan's numbers are all different."""
     path = work_dir(spark, "feed")
     incoming = work_dir(spark, "incoming")
-    corpus(spark, sf, "documents").select("path", "code", "language").repartition(6).write.parquet(incoming)
-    found = scan_stream(read_file_stream(spark, incoming, "parquet", files_per_batch=2), LINE_ENGINES, "info", detected_at=NOW)
+    files = corpus(spark, sf, "documents").select("path", "code", "language")
+    files.write.option("maxRecordsPerFile", FILE_RECORDS).parquet(incoming)
+    per_batch = -(-len(spark.read.schema(files.schema).parquet(incoming).inputFiles()) // MICRO_BATCHES)
+    found = scan_stream(read_file_stream(spark, incoming, "parquet", files_per_batch=per_batch), LINE_ENGINES, "info", detected_at=NOW)
     write_finding_events(found, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     events = feed_of(spark, f"{path}/out")
     twice = events.groupBy("scan_id", "seq").agg(F.count("*").alias("times")).agg(F.max("times").alias("most"))

@@ -243,3 +243,19 @@ def test_moved_findings_are_known(spark):
     assert compare_scans(twice, state(old)).count() == 4
     odd = state(old).withColumns({"file_path": F.lit(None).cast("string"), "line_start": F.lit(None).cast("int")})
     assert compare_scans(odd, odd).where("is_new").count() == 0
+
+
+def test_lines_are_folded_once_and_searched_only_where_needed(spark):
+    from lynceus.functions.text import line_array, replaced
+    from lynceus.operators.matching import folded
+
+    files = files_of(spark, "eval(ſ)\r\npaſſword = 'hunter2222'\r\n", "a\rb\nc", "")
+    found = scan(files, ["sast"], "info", detected_at=None).select("finding_id", "vulnerable_code")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # the lines, and once more the lines with findings, however many tests read the folded text
+    assert plan.count("lower(") == 2
+    assert [r.vulnerable_code for r in found.collect()] == ["eval(ſ)"]
+    texts = spark.createDataFrame([("ſaſA",), ("B",), ("",), (None,)], "t string")
+    got = texts.select(folded(F.col("t")).alias("f"), replaced(F.col("t"), "ſ", "s").alias("r")).collect()
+    assert [tuple(r) for r in got] == [("sasa", "sasA"), ("b", "B"), ("", ""), (None, None)]
+    assert [r[0] for r in files.select(line_array(F.col("code"))).collect()] == [["eval(ſ)", "paſſword = 'hunter2222'"], ["a\rb", "c"], None]

@@ -259,3 +259,17 @@ def test_lines_are_folded_once_and_searched_only_where_needed(spark):
     got = texts.select(folded(F.col("t")).alias("f"), replaced(F.col("t"), "ſ", "s").alias("r")).collect()
     assert [tuple(r) for r in got] == [("sasa", "sasA"), ("b", "B"), ("", ""), (None, None)]
     assert [r[0] for r in files.select(line_array(F.col("code"))).collect()] == [["eval(ſ)", "paſſword = 'hunter2222'"], ["a\rb", "c"], None]
+
+
+def test_literals_are_only_looked_for_behind_an_assignment(spark):
+    """A line without an assignment or a quote never meets the pattern, and the result is that of the pattern alone."""
+    from lynceus.functions.entropy import THRESHOLD, assigned_literals, entropy, has_random_literal
+
+    value = "q9Zx7Lk2Vb8Nc4Mw1Tr6Yp3Sd5Fg0Hj"
+    lines = [f"a = '{value}'", f'a: "{value}"', f"a = {value}", f"a '{value}'", "a = 'aaaaaaaaaaaaaaaaaaaaaaaa'", f"x='{'b' * 30}', y='{value}'", "", None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "n int, line string")
+    alone = F.exists(assigned_literals(F.col("line")), lambda v: entropy(v) > THRESHOLD)
+    got = rows.select("n", has_random_literal(F.col("line")).alias("random"), alone.alias("alone")).orderBy("n").collect()
+    assert [r.random for r in got] == [r.alone for r in got] == [True, True, False, False, False, True, False, None]
+    plan = rows.select(has_random_literal(F.col("line")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ontains") < plan.index("regexp_extract_all")

@@ -54,3 +54,26 @@ def test_new_findings_keep_no_table_of_ids(spark):
     with redirect_stdout(out):
         new_findings(now, twice).explain()
     assert "HashAggregate" not in out.getvalue()
+
+
+def test_only_lines_with_findings_are_hashed(spark):
+    """Contexts were hashed for every line of a file, by lambdas that are not compiled."""
+    out = io.StringIO()
+    with redirect_stdout(out):
+        scan(files_of(spark, CODE), ["sast"], "info", context=True).select("context").explain()
+    assert "xxhash64" in out.getvalue() and "lambdafunction" not in out.getvalue()
+
+
+def test_findings_alike_but_for_white_space(spark):
+    """Snippets, files and rules are told apart wherever one ends; white space and an absent snippet are not lost or mixed up."""
+    columns = "file_path string, rule_id string, line_start int, vulnerable_code string, context bigint"
+    table = lambda *rows: spark.createDataFrame(rows, columns)
+    before = table(("a", "bc", 1, "x\t= \r\n 1 ", 1), ("ab", "c", 2, "y", 1), ("f", "r", 3, None, 1), ("g", "r", 3, "=", 1), (None, "r", None, " z ", None))
+    now = table(
+        ("a", "bc", 9, "x = 1", 2), ("a", "bc", 9, "x = 1", 2), ("a", "bcy", 2, "", 1), ("ab", "c", 2, "y ", 1), ("f", "r", 3, "", 1),
+        ("f", "r", 4, None, 1), ("g", "r", 3, "==", 1), ("", "r", None, "z", 5), ("a", "bc", 10, "x= 1", 2),
+    )
+    got = compare_scans(now, before)
+    assert got.schema["line_start"].dataType == now.schema["line_start"].dataType and got.columns == [*now.columns, "is_new"]
+    new = sorted((r.file_path, r.rule_id, r.line_start) for r in got.collect() if r.is_new)
+    assert new == [("a", "bc", 10), ("a", "bcy", 2), ("f", "r", 3), ("g", "r", 3)] and got.count() == 9

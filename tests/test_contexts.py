@@ -77,3 +77,15 @@ def test_findings_alike_but_for_white_space(spark):
     assert got.schema["line_start"].dataType == now.schema["line_start"].dataType and got.columns == [*now.columns, "is_new"]
     new = sorted((r.file_path, r.rule_id, r.line_start) for r in got.collect() if r.is_new)
     assert new == [("a", "bc", 10), ("a", "bcy", 2), ("f", "r", 3), ("g", "r", 3)] and got.count() == 9
+
+
+def test_lines_are_trimmed_alike(spark):
+    from pyspark.sql import functions as F
+
+    from lynceus.functions.text import WHITE_SPACE, trimmed, trimmed_line
+
+    ends = [*WHITE_SPACE, "", "a", "~", "!", "\x7f", "\x1f", "\u20ac", "\u017f", "\x00"]
+    rows = [(a + m + b,) for a in ends for b in ends for m in ("", "x", "x y\t", " ")] + [(None,)]
+    lines = spark.createDataFrame(rows, "line string")
+    got = lines.select(trimmed(F.col("line")).alias("a"), trimmed_line(F.col("line")).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and len(got) == len(rows)
